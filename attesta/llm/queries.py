@@ -11,7 +11,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, exact_dedup
+from attesta.llm import bpe, exact_dedup, packing, token_store
+from attesta.llm.common import shared_dir
 
 #: Folder of the vocabulary files.
 TOKENIZERS = os.environ.get("ATTESTA_TOKENIZERS", "/opt/tokenizers")
@@ -54,5 +55,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe}
+#: Tokens of a packed sequence.
+SEQUENCE = 2048
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), SEQUENCE)
+    return packing.pack(parts, SEQUENCE).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens"
+    token_store.write(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
+    return token_store.read(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_token_store": op9_token_store,
+}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
