@@ -137,12 +137,12 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES):
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of each row, and n+1 offsets of the rows into the words. A word does not cross rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (bytes not in ``outside``) of each row, and n+1 offsets of the rows into the words. A word does not cross rows."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~IS_SPACE[data]
+    word = ~outside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before, after = np.empty(n, bool), np.empty(n, bool)

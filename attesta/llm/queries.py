@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, exact_dedup, packing, token_store
+from attesta.llm import bpe, chat, ctph, exact_dedup, packing, token_store, toxicity
 from attesta.llm.common import shared_dir
 
 #: Folder of the vocabulary files.
@@ -70,10 +70,37 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", same), (-1, 1, "assistant", same)], "conv_id bigint, turn bigint, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_chats(turns.unionByName(more)))
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels of which a model may learn: crc32 of the id as text is not divisible by 5."""
+    return labels.select("doc_id", F.col("toxic").alias("label")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_edits(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_chat_format": op3_chat_format,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
     "op9_token_store": op9_token_store,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL}
