@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, ctph, exact_dedup, packing, token_store, toxicity
+from attesta.llm import bpe, chat, ctph, exact_dedup, near_dedup, packing, token_store, toxicity
 from attesta.llm.common import shared_dir
 
 #: Folder of the vocabulary files.
@@ -55,6 +55,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir), width=3, share=(85, 100))
+
+
 #: Tokens of a packed sequence.
 SEQUENCE = 2048
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_chat_format": op3_chat_format,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
