@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, ctph, exact_dedup, line_dedup, near_dedup, packing, token_store, toxicity
+from attesta.llm import bpe, chat, ctph, exact_dedup, line_dedup, near_dedup, packing, suffix_dedup, token_store, toxicity
 from attesta.llm.common import shared_dir
 
 #: Folder of the vocabulary files.
@@ -98,6 +98,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -111,6 +116,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_store": op9_token_store,
     "op10_line_dedup": op10_line_dedup,
 }
