@@ -117,7 +117,9 @@ class Spans:
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a batch of texts and the n+1 offsets of its rows; null is empty."""
-    column = column.cast(pa.large_string()).fill_null("") if column.null_count or not pa.types.is_large_string(column.type) else column
+    wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = column.cast(wide)
+    column = column.fill_null("" if wide == pa.large_string() else b"") if column.null_count else column
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

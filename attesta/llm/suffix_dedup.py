@@ -409,3 +409,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", spans_type)])
     return joined.mapInArrow(cut, schema)
+
+
+def kept_text(cut: DataFrame, text_col: str = "text") -> DataFrame:
+    """The result of ``suffix_dedup`` with ``kept`` as its text. A character of which a run took some bytes goes whole; null texts stay null."""
+
+    def run(batches):
+        for batch in batches:
+            at, kept = batch.schema.get_field_index(text_col), batch.schema.get_field_index("kept")
+            for part, _, _ in blocks(batch, "kept"):
+                was = part.column(at)
+                texts = [None if t is None else b.decode("utf-8", "ignore") for t, b in zip(was.to_pylist(), part.column(kept).to_pylist(), strict=True)]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, was.type))
+
+    return cut.mapInArrow(run, cut.schema)

@@ -1,30 +1,34 @@
 """Encoding of whole texts with the tokenizers library, a distinct chunk once.
 
-The pre-tokenizers of the vocabularies used here never join what white space
-separates (``[space]word`` at most), so ids of a text are those of its chunks
-in a row.  Each Python worker keeps the ids of the chunks it has met, up to
-``CACHE_CHUNKS``; the library encodes the others in batches.
+The pre-tokenizers of the vocabularies used here end a token wherever white
+space begins (but for one space before a word) and between a letter and an
+ASCII character that is none, so ids of a text are those of its chunks in a
+row.  Each Python worker keeps the ids of the chunks it has met lately, two
+generations of ``CACHE_CHUNKS``; the library encodes the others in batches.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space of Unicode, fixed values (property White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Most chunks that a worker remembers (about 200 bytes each).
-CACHE_CHUNKS = 500_000
+#: Chunks of a generation (about 200 bytes each).
+CACHE_CHUNKS = 350_000
 #: Longest chunk, in code points, that is remembered.
 CACHE_CHARS = 64
 
-#: A run of white space up to its last character before a word; a word with the single space before it; other white space.
-BYTE_CHUNKS = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]+")
-WORD_CHUNKS = re.compile(f"[^{WHITE}]+")
+#: Latin letters (all in property L, also when lower-cased and composed), and what may follow them at the end of a chunk.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af"
+_STOP = f"(?![^{WHITE}!-@\\[-`{{-~])"
+
+#: Latin letters with the single space before them; a run of white space up to its last character before a word; the rest of a word; other white space.
+BYTE_CHUNKS = re.compile(f" ?[{LETTERS}]+{_STOP}|[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]+")
+WORD_CHUNKS = re.compile(f"[{LETTERS}]+{_STOP}|[^{WHITE}]+")
 
 _encoders: dict = {}
 
@@ -34,24 +38,26 @@ class Encoder:
 
     def __init__(self, tokenizer, chunks: re.Pattern):
         tokenizer.encode_special_tokens = True
-        self.tokenizer, self.chunks, self.known = tokenizer, chunks, {}
+        self.tokenizer, self.chunks, self.known, self.older = tokenizer, chunks, {}, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [self.chunks.findall(t) for t in texts]
-        known = self.known
-        new = list(set().union(*parts).difference(known)) if parts else []
-        fresh = {}
+        wanted = set().union(*parts)
+        if len(self.known) + len(wanted) > CACHE_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for c in wanted.difference(known):
+            if c in older:
+                known[c] = older[c]
+            else:
+                new.append(c)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[chunk] = np.array(e.ids, "<u4").tobytes()
-        if len(known) + len(fresh) > CACHE_CHUNKS:
-            kept = {c: known[c] for c in set().union(*parts).intersection(known)}
-            known.clear()
-            known.update(kept)
-        known.update(fresh)
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[c] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for c in fresh:
+        for c in new:
             if len(c) > CACHE_CHARS:
                 del known[c]
         return out
