@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.functions.session import shared_folder
+
 #: Steps that a route may have at most when none is given, fixed value.
 MAX_STEPS = 12
 
@@ -31,6 +33,7 @@ def leaf_requirements(steps: DataFrame, inputs: DataFrame, target: DataFrame, we
     Masses go down the tree level by level; a branch without weight, yield or
     stoichiometry is dropped.  Of several steps for a product the last counts.
     """
+    shared_folder(steps.sparkSession)
     last = steps.groupBy("route", "product").agg(F.max_by(F.struct("step", "yield_percent"), F.col("step")).alias("s")).select("route", F.col("product").alias("compound"), "s.*")
     mw = weights.select("compound", "mw")
     need = target.select("route", "compound", "mass_g").checkpoint()
@@ -89,6 +92,7 @@ def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFram
     without inputs are skipped; a target that is a starting material has the
     route of no steps.
     """
+    shared_folder(reactions.sparkSession)
     order = W.partitionBy("reaction").orderBy("compound")
     wants = inputs.select("reaction", "compound").distinct().withColumn("k", F.row_number().over(order))
     arity = wants.groupBy("reaction").agg(F.max("k").alias("arity"))

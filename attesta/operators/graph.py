@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.functions.session import shared_folder
+
 
 def node_id(kind: str, col: str):
     """``kind:id``; an id that has the prefix keeps it."""
@@ -31,7 +33,7 @@ def neighbours(edge: DataFrame, node: str, direction: str = "both", limit: int =
     own = edge.filter({"out": out, "in": into}.get(direction, out | into))
     page = own.orderBy("edge_type", "source_id", "target_id").limit(limit + 1)
     w = W.orderBy("edge_type", "source_id", "target_id")
-    return page.withColumn("rn", F.row_number().over(w)).withColumn("truncated", F.max("rn").over(w.rowsBetween(-(1 << 62), 1 << 62)) > limit).filter(F.col("rn") <= limit).drop("rn")
+    return page.withColumn("rn", F.row_number().over(w)).withColumn("truncated", F.max("rn").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) > limit).filter(F.col("rn") <= limit).drop("rn")
 
 
 def backtrack(edge: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -40,6 +42,7 @@ def backtrack(edge: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     A step joins the newest level alone with the edges and drops nodes seen
     before; levels are written out, so the plan does not grow with the depth.
     """
+    shared_folder(edge.sparkSession)
     seen = start.select("node_id").distinct().withColumn("level", F.lit(0))
     new = seen
     for level in range(1, depth + 1):
@@ -57,6 +60,7 @@ def components(edge: DataFrame, a: str, b: str) -> DataFrame:
     Every round a node takes the least label among its neighbours', then the
     label of its label; rounds grow with the logarithm of a component's width.
     """
+    shared_folder(edge.sparkSession)
     both = edge.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edge.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct().checkpoint()
     label = both.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
     while True:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from attesta.plans import evidence
+from attesta.plans import evidence, graph_queries
+from attesta.streaming import jobs
 
-QUERIES = dict(evidence.QUERIES)
-ORACLES = dict(evidence.ORACLES)
+QUERIES = evidence.QUERIES | graph_queries.QUERIES | jobs.QUERIES
+ORACLES = evidence.ORACLES | graph_queries.ORACLES | jobs.ORACLES
