@@ -9,8 +9,8 @@ Equal sets collapse to one representative first.  Documents of a band bucket
 are compared with the bucket's first; the sketches sort out unlikely pairs and
 full shingle sets confirm the others.  Buckets that then hold more than one
 component are compared in blocks, member by member across components; so a
-bucket of near copies costs as many comparisons as it has members, and no link
-is lost.
+bucket of near copies costs as many comparisons as it has members, no link is
+lost, and no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -146,6 +146,53 @@ def _differ(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
+def _links(group: pa.Table, limit: int, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components of a bucket (or of two blocks of it), confirmed on full sets: enough of them to hold together what they link.
+
+    A pair that shares an earlier band is left to that band's bucket.
+    """
+    ids, comp, block = (group.column(c).to_numpy() for c in ("id", "component", "own"))
+    i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
+    flat = lambda c: np.ascontiguousarray(group.column(c).combine_chunks().flatten().to_numpy()).view(np.uint64)
+    n = len(ids)
+    sketch, keys = flat("sketch").reshape(n, -1), flat("keys").reshape(n, -1)[:, :band]
+    near = np.zeros((n, n), bool)
+    for r in np.flatnonzero(block == i):
+        c = np.flatnonzero((block == j) & (comp != comp[r]) & ((ids > ids[r]) | (i != j)))
+        c = c[np.bitwise_count(sketch[c] ^ sketch[r]).sum(axis=1) <= limit]
+        near[r, c[~(keys[c] == keys[r]).any(axis=1)]] = True
+    near |= near.T
+    some = np.flatnonzero(near.any(axis=1))
+    if not len(some):
+        return ids[:0], ids[:0]
+    lists = group.column("shingles").combine_chunks().take(pa.array(some))
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    _, at, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    met = often > 1  # shingles of one document alone are in no intersection
+    col, row = (np.cumsum(met) - 1)[at][met[at]], np.repeat(np.arange(len(some)), sizes)[met[at]]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    common = np.zeros((len(some), len(some)), np.float32)  # counts below 2^24 are exact
+    for k in range(0, int(met.sum()), 4096):
+        a, b = np.searchsorted(col, (k, k + 4096))
+        x = np.zeros((len(some), 4096), np.float32)
+        x[row[a:b], col[a:b] - k] = 1
+        common += x @ x.T
+    common = common.astype(np.int64)
+    linked = near[np.ix_(some, some)] & (share[1] * common >= share[0] * (sizes[:, None] + sizes[None, :] - common))
+    us, vs, left = [], [], np.ones(len(some), bool)
+    while left.any():  # a tree for each component of the links
+        reach = [int(np.argmax(left))]
+        left[reach[0]] = False
+        for x in reach:
+            new = np.flatnonzero(linked[x] & left)
+            left[new] = False
+            reach.extend(new.tolist())
+            us.extend([ids[some[x]]] * len(new))
+            vs.extend(ids[some[new]].tolist())
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
 def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: documents are linked where share[1] * |A and B| >= share[0] * |A or B|.
 
@@ -167,7 +214,7 @@ def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     classes = stage(signed.groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     own = stage(signed.select("id", "n_shingles", "s1", "s2", "keys", "sketch").join(classes.select("rep", "n_shingles", "s1", "s2"), ["n_shingles", "s1", "s2"]).filter("id = rep").select("id", "keys", "sketch"))
 
-    keyed = own.select("id", F.explode("keys").alias("key"))
+    keyed = own.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     crowded = stage(keyed.join(buckets, "key"))
     candidates = crowded.filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
@@ -179,30 +226,20 @@ def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     edges = _confirm(first, docs, id_col, text_col, width, share)
 
     label = components(edges)
-    member = crowded.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    member = crowded.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high")
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    apart = member.join(split.select("key", "m"), "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(own.select("id", "sketch"), "id")
+    apart = stage(member.join(split.select("key", "m"), "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    sets = _sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(small(stage(apart.select(F.col("id").alias(id_col)).distinct())), id_col, "left_semi"), id_col, text_col, width)
+    full = stage(own.join(sets, "id"))
+    dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(full, "id")
 
     def across(group: pa.Table) -> pa.Table:
-        ids, comp, block = (group.column(c).to_numpy() for c in ("id", "component", "own"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sk = np.array(group.column("sketch").to_pylist(), np.int64).view(np.uint64)
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        us, vs = [], []
-        for r in rows:
-            c = cols[(comp[cols] != comp[r]) & (ids[cols] > ids[r] if i == j else True)]
-            if len(c):
-                c = c[np.bitwise_count(sk[c] ^ sk[r]).sum(axis=1) <= limit]
-                us.append(np.minimum(ids[c], ids[r]))
-                vs.append(np.maximum(ids[c], ids[r]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate(us) if us else empty, "v": np.concatenate(vs) if vs else empty})
-
-    more = dealt.groupBy("key", "i", "j").applyInArrow(across, "u bigint, v bigint").distinct()
-    more = more.join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    edges = edges.unionByName(_confirm(more, docs, id_col, text_col, width, share))
+        u, v = _links(group, limit, share)
+        return pa.table({"u": u, "v": v})
+
+    more = dealt.groupBy("key", "i", "j").applyInArrow(across, "u bigint, v bigint")
+    edges = edges.unionByName(stage(more))
 
     label = components(edges)
     # labels of representatives go to their copies
