@@ -71,7 +71,8 @@ class Anchors:
         new = np.ones(len(best), bool)
         new[1:] = (best[1:] != best[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(new)
-        self.hash, self.row, self.first = h[best[begin]], row[begin], valid[begin]
+        # the least of many hashes is small: mixed again, anchors fall evenly into ranges
+        self.hash, self.row, self.first = mix(h[best[begin]]), row[begin], valid[begin]
         self.last = valid[np.append(begin[1:], len(best)) - 1] if len(begin) else empty
         lead = np.searchsorted(self.row, np.arange(len(sizes)))
         self.number = np.arange(len(begin)) - lead[self.row]
