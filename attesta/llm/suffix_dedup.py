@@ -209,10 +209,25 @@ def common_prefixes(sa: np.ndarray, words: np.ndarray, lanes: np.ndarray, counts
 
 
 class Contexts:
-    """Strings of a shard in the order of documents and places, joined with a separator."""
+    """Strings of a shard in the order of documents and places, joined with a separator.
 
-    def __init__(self, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, data: np.ndarray, cuts: np.ndarray, length: int):
+    Of equal contexts the earliest stays; ``again`` has the runs of the others.
+    With ``alone`` unset, anchors that then have one context are left out too:
+    an equal string would have brought another.
+    """
+
+    def __init__(self, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, anchors: np.ndarray, data: np.ndarray, length: int, alone: bool = True):
+        cuts = np.concatenate(([0], np.cumsum(counts + length - 1)))
         order = np.lexsort((starts, docs))
+        digest = mix(Spans(data).hash(cuts[:-1], cuts[1:]) ^ mix(Spans(data, _OTHER).hash(cuts[:-1], cuts[1:])))[order]
+        keep = np.zeros(len(order), bool)
+        keep[np.unique(digest, return_index=True)[1]] = True
+        late = order[~keep]
+        self.again = docs[late], starts[late], starts[late] + counts[late] + length - 1
+        order = order[keep]
+        if not alone:
+            _, at, often = np.unique(anchors[order], return_inverse=True, return_counts=True)
+            order = order[often[at] > 1]
         self.docs, self.starts, self.counts = docs[order], starts[order], counts[order]
         sizes = np.diff(cuts)[order]
         self.lanes = np.cumsum(sizes + 1) - sizes - 1
@@ -226,6 +241,7 @@ class Contexts:
         """Which of all positions start a string that starts at an earlier position too."""
         n = len(self.text)
         out = np.zeros(n, bool)
+        self.is_start = out
         if not n:
             return out
         sa, words = suffix_array(self.text)
@@ -244,25 +260,28 @@ class Contexts:
         return out
 
     def runs(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, first byte, end) of the bytes covered by runs of marked starts."""
+        """(doc, first byte, end) of the bytes covered by runs of marked starts and by contexts that were met again."""
         edge = np.diff(np.concatenate(([0], marked.view(np.int8), [0])))
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         lane = np.searchsorted(self.lanes, a, "right") - 1
         shift = self.starts[lane] - self.lanes[lane]
-        return self.docs[lane], a + shift, b - 1 + shift + self.length
+        own = self.docs[lane], a + shift, b - 1 + shift + self.length
+        return tuple(np.concatenate(x) for x in zip(own, self.again, strict=True))
 
 
 def _pack_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
     """Contexts of the wanted anchors by shard, and (shard -1) runs that are repeats of the same block. Packed arrays of a block in each row."""
-    names = ["shard", "n_bytes", "docs", "starts", "counts", "data"]
+    names = ["shard", "n_bytes", "docs", "starts", "counts", "anchors", "data"]
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 a = Anchors(data, offsets, length, gram)
                 cuts = np.searchsorted(a.row, np.arange(part.num_rows + 1))
-                pick = [cuts[r] + np.unique(np.frombuffer(b"".join(x), "<u4")).astype(np.int64) for r, x in enumerate(column(part, "numbers").to_pylist())]
-                pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
+                packed = column(part, "numbers").to_pylist()
+                pairs = np.frombuffer(b"".join(packed), "<u4").astype(np.int64).reshape(-1, 2)
+                first, many = pairs[:, 0] + np.repeat(cuts[:-1], [len(x) // 8 for x in packed]), pairs[:, 1]
+                pick = np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
                 ids = column(part, "doc").to_numpy(zero_copy_only=False)
                 docs, first, last = ids[a.row[pick]], a.first[pick], a.last[pick]
                 starts, counts, end = first - offsets[a.row[pick]], last - first + 1, last + length
@@ -273,37 +292,55 @@ def _pack_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int,
                 again, keep = order[~new], order[new]
                 rows = []
                 if len(again):
-                    rows.append((-1, 0, docs[again].astype("<i8").tobytes(), starts[again].astype("<i8").tobytes(), (counts[again] + length - 1).astype("<i8").tobytes(), b""))
+                    rows.append((-1, 0, docs[again].astype("<i8").tobytes(), starts[again].astype("<i8").tobytes(), (counts[again] + length - 1).astype("<i8").tobytes(), b"", b""))
                 shard = (a.hash[pick[keep]] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
                 by, begin = _groups(shard)
                 for s in np.split(by, begin[1:]) if len(by) else []:
                     k = keep[s]
                     text = b"".join(data[x:y].tobytes() for x, y in zip(first[k].tolist(), end[k].tolist(), strict=True))
-                    rows.append((int(shard[s[0]]), len(text), docs[k].astype("<i8").tobytes(), starts[k].astype("<i8").tobytes(), counts[k].astype("<i8").tobytes(), text))
+                    rows.append((int(shard[s[0]]), len(text), docs[k].astype("<i8").tobytes(), starts[k].astype("<i8").tobytes(), counts[k].astype("<i8").tobytes(), a.hash[pick[k]].astype("<u8").tobytes(), pa.compress(text, "zstd", asbytes=True)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=names)
 
-    return texts.join(wanted, "doc").mapInArrow(run, "shard bigint, n_bytes bigint, docs binary, starts binary, counts binary, data binary")
+    return texts.join(wanted, "doc").mapInArrow(run, "shard bigint, n_bytes bigint, docs binary, starts binary, counts binary, anchors binary, data binary")
 
 
 _RUNS = "doc bigint, a bigint, b bigint"
 
 
-def _open(group: pa.Table, length: int) -> Contexts:
+def _open(group: pa.Table, length: int, alone: bool) -> Contexts:
     join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-    counts = join("counts", "<i8")
-    return Contexts(join("docs", "<i8"), join("starts", "<i8"), counts, join("data", np.uint8), np.concatenate(([0], np.cumsum(counts + length - 1))), length)
+    sizes = group.column("n_bytes").to_pylist()
+    data = b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(group.column("data").to_pylist(), sizes, strict=True))
+    return Contexts(join("docs", "<i8"), join("starts", "<i8"), join("counts", "<i8"), join("anchors", "<u8"), np.frombuffer(data, np.uint8), length, alone)
+
+
+def _ranges_of(shared: DataFrame) -> DataFrame:
+    """(doc, numbers, m): each document's m anchor numbers as packed pairs (first, how many); numbers of a copied passage follow each other."""
+
+    def run(batches):
+        for batch in batches:
+            out, m = [], []
+            for x in column(batch, "numbers").to_pylist():
+                own = np.unique(np.frombuffer(b"".join(x), "<u4")).astype(np.int64)
+                first = np.flatnonzero(np.diff(own, prepend=-2) != 1)
+                out.append(np.stack((own[first], np.diff(np.append(first, len(own)))), axis=1).astype("<u4").tobytes())
+                m.append(len(own))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(out, pa.binary()), pa.array(m, pa.int64())], names=["doc", "numbers", "m"])
+
+    return shared.groupBy("doc").agg(F.collect_list("numbers").alias("numbers")).mapInArrow(run, "doc bigint, numbers binary, m bigint")
 
 
 def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, a, b): byte ranges to remove, which may touch or overlap."""
     spark = texts.sparkSession
-    shared = stage(_shared_anchors(texts, length, gram, 2 * partitions(spark)))
-    wanted = shared.groupBy("doc").agg(F.collect_list("numbers").alias("numbers"))
-    n_bytes, n = shared.agg(F.coalesce(F.sum(F.length("numbers")), F.lit(0)), F.count(F.lit(1))).first()
+    shared = _shared_anchors(texts, length, gram, 2 * partitions(spark))
+    wanted = stage(_ranges_of(shared))
+    n_bytes, n, anchors = wanted.agg(F.coalesce(F.sum(F.length("numbers")), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    wanted = wanted.select("doc", "numbers")
     if n_bytes + 50 * n <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    shards = max(partitions(spark), -(-(n_bytes // 4) * (length + gram) // SHARD_BYTES))
+    shards = max(partitions(spark), -(-anchors * (length + gram) // SHARD_BYTES))
     packed = stage(_pack_contexts(texts, wanted, length, gram, shards))
 
     def unpack(batches):
@@ -319,12 +356,12 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     dealt = packed.filter("shard >= 0").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("docs", "starts"), F.col("parts")))
 
     def sort_shard(group: pa.Table) -> pa.Table:
-        own = _open(group, length)
+        parts = group.column("parts")[0].as_py()
+        own = _open(group, length, alone=parts > 1)
         marked = own.repeats()
         docs, a, b = own.runs(marked)
         none = np.full(len(docs), -1)
         table = {"doc": docs, "a": a, "b": b, "r": none, "one": none, "two": none}
-        parts = group.column("parts")[0].as_py()
         if parts > 1:  # first occurrences, in the order of their digests
             at = np.flatnonzero(own.is_start & ~marked)
             raw = np.maximum(own.text - 1, 0).astype(np.uint8)
