@@ -151,7 +151,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h) of the distinct lines that are one word away from an earlier one."""
     halves = firsts.filter(F.col("n") >= NEAR_WORDS).select("h", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("half")
-    near = halves.join(shared, "half").select("h").distinct()
+    near = halves.join(shared.hint("merge"), "half").select("h").distinct()
     wanted = firsts.join(near, "h", "left_semi").groupBy("doc").agg(F.collect_list("line").alias("lines"))
     lines = stage(_words_of(docs, small(stage(wanted), 100_000)))
 
@@ -183,10 +183,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = stage(found.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("e"), F.count(F.lit(1)).alias("m"), *[F.max(c).alias(c) for c in ("n", "p0", "p1", "s0", "s1")]).select("h", F.col("e.doc").alias("doc"), F.col("e.line").alias("line"), "m", "n", "p0", "p1", "s0", "s1"))
     near = stage(near_lines(texts, firsts))
     gone = firsts.select("h", F.col("doc").alias("d"), F.col("line").alias("l"), "m").join(near.withColumn("near", F.lit(True)), "h", "left").filter("m > 1 or near")
-    out = found.select("h", "doc", "line").join(gone, "h").filter(F.col("near").isNotNull() | (F.col("doc") != F.col("d")) | (F.col("line") != F.col("l")))
+    out = found.select("h", "doc", "line").join(gone.hint("merge"), "h").filter(F.col("near").isNotNull() | (F.col("doc") != F.col("d")) | (F.col("line") != F.col("l")))
     drop = stage(out.groupBy("doc").agg(F.collect_set("line").alias("__drop"))).withColumnRenamed("doc", "__key")
 
-    joined = docs.withColumn("__key", key).join(drop, "__key", "left").drop("__key")
+    joined = docs.withColumn("__key", key).join(drop.hint("merge"), "__key", "left").drop("__key")
     names = [*docs.columns, "n_lines", "n_removed"]
     at = docs.columns.index(text_col)
 
