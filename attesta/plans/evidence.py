@@ -249,12 +249,12 @@ def validation_issues(spark, sf_dir):
     return d.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))).alias("code"))
 
 
-_SPLIT = "SELECT doc_id, source, CASE WHEN v < 0.8 THEN 'train' WHEN v < 0.9 THEN 'validation' ELSE 'test' END AS split_name, v FROM (SELECT doc_id, source, ('0x' || substr(sha256('scaleup-data-v1|' || source), 1, 13))::BIGINT / 4503599627370496.0 AS v FROM documents)"
+_SPLIT = "SELECT doc_id, source, CASE WHEN v < 0.8 THEN 'train' WHEN v < 0.9 THEN 'validation' ELSE 'test' END AS split_name, v FROM (SELECT doc_id, source, ('0x' || substr(sha256('data-v1|' || source), 1, 13))::BIGINT / 4503599627370496.0 AS v FROM documents)"
 
 
 @query(_SPLIT)
 def deterministic_split(spark, sf_dir):
-    v = S.bucket(F.col("source"), "scaleup-data-v1")
+    v = S.bucket(F.col("source"), "data-v1")
     return table(spark, sf_dir, "documents").select("doc_id", "source", S.split_name(v).alias("split_name"), v.alias("v"))
 
 
