@@ -87,22 +87,23 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rat
     weights = np.zeros(1 << BITS)
     if not len(bags) or labels.min() == labels.max():
         return Model(weights, 8.0 if len(bags) and labels[0] else -8.0)
-    ids = np.concatenate([f for _, f, _ in bags])
-    sizes = [np.diff(c) for _, _, c in bags]
-    cuts = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-    doc = np.repeat(np.arange(len(bags)), [len(s) for s in sizes])
-    owner = np.repeat(doc, np.diff(cuts))
-    pairs = np.unique(ids.astype(np.int64) * len(bags) + owner)
-    often = np.bincount(pairs // len(bags), minlength=1 << BITS)
-    hits = np.bincount(pairs // len(bags), labels[pairs % len(bags)], minlength=1 << BITS)
+    often, hits = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for y, f, _ in bags:
+        own = np.unique(f)
+        often[own] += 1
+        hits[own] += y
     share = labels.mean()
     # features that say something: their share of label 1 is off by more than chance
     keep = (often >= MIN_DOCS) & (np.abs(hits - often * share) > 2.5 * np.sqrt(often * share * (1 - share)))
-    used = keep[ids]
-    local = np.cumsum(keep) - 1
-    sent = np.repeat(np.arange(len(doc)), np.diff(cuts))[used]
-    feat = local[ids[used]]
-    k = int(keep.sum())
+    local, k = np.cumsum(keep) - 1, int(keep.sum())
+    doc = np.repeat(np.arange(len(bags)), [len(c) - 1 for _, _, c in bags])
+    sents, feats, at = [], [], 0
+    for _, f, c in bags:  # the others are left out document by document
+        used = np.flatnonzero(keep[f])
+        sents.append((at + np.searchsorted(c, used, "right") - 1).astype(np.int32))
+        feats.append(local[f[used]].astype(np.int32))
+        at += len(c) - 1
+    sent, feat = np.concatenate(sents), np.concatenate(feats)
     w, bias = np.zeros(k), -6.0
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / len(bags)
