@@ -128,9 +128,19 @@ def matched(spark, sf_dir):
 @query(_MATCH + """SELECT seed_id, source_id, match_type, CASE match_type WHEN 'exact_structure' THEN 0.98 ELSE 0.85 END::DOUBLE AS confidence, l_orderkey AS publication, o_orderdate AS publication_date
 FROM m JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) ON l_partkey = source_id JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND seed_id <= 400""")
 def candidate_match_or_join(spark, sf_dir):
+    """The seeds up to 400, as its SQL has them; candidate_match_all_seeds is the whole match."""
+    return candidate_match_all_seeds(spark, sf_dir).filter("seed_id <= 400")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, nullif(p_name, '') AS k, p_brand || ':' || p_size AS c FROM part), seed AS (SELECT p_partkey AS seed_id, k, c FROM p WHERE p_size <= 3),
+m AS (SELECT seed_id, p_partkey AS source_id, 'exact_structure' AS match_type, 0.98::DOUBLE AS confidence FROM seed JOIN p ON seed.k = p.k
+      UNION ALL SELECT seed_id, p_partkey, 'same_connectivity', 0.85::DOUBLE FROM seed JOIN p ON seed.c = p.c WHERE coalesce(seed.k <> p.k, true))
+SELECT seed_id, source_id, match_type, confidence, l_orderkey AS publication, o_orderdate AS publication_date
+FROM m JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) ON l_partkey = source_id JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+def candidate_match_all_seeds(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_orderkey").alias("publication")).distinct()
     orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("publication"), F.col("o_orderdate").alias("publication_date"))
-    return matched(spark, sf_dir).filter("seed_id <= 400").join(line, "source_id").join(orders, "publication").select("seed_id", "source_id", "match_type", "confidence", "publication", "publication_date")
+    return matched(spark, sf_dir).join(line, "source_id").join(orders, "publication").select("seed_id", "source_id", "match_type", "confidence", "publication", "publication_date")
 
 
 @query(_MATCH + "SELECT match_type, count(*) AS n, count(DISTINCT seed_id) AS n_seeds, count(DISTINCT source_id) AS n_sources FROM m GROUP BY match_type")
