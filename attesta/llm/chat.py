@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ Template = Callable[[Messages], str]
 #: Turns that are rendered together. Longer conversations go on in windows that begin with the last turn of the one before.
 SEGMENT = 64
 SENTINEL = ""
+LENGTHEN = "\ue001"
 
 # --- the template that comes with the operator -------------------------------------------
 
@@ -78,6 +81,14 @@ def read_turn(piece: str) -> tuple[str, str]:
 # --- rendering -----------------------------------------------------------------------------
 
 
+def absent(*texts: str) -> str:
+    """The sentinel, or the first of its extensions that no text contains; it begins with a character that it does not repeat, so it cannot overlap itself."""
+    mark = SENTINEL
+    while any(mark in t for t in texts):
+        mark += LENGTHEN
+    return mark
+
+
 def spans(turns: Messages, template: Template, context: Messages = []) -> list[tuple[str, int, int]] | None:  # noqa: B006
     """(span, start of its text, end of its text) of each turn after ``context``; None if the template rewrites history.
 
@@ -90,13 +101,14 @@ def spans(turns: Messages, template: Template, context: Messages = []) -> list[t
         if not now.startswith(before):
             return None
         piece = now[len(before) :]
-        probe = template([*prefix[:-1], (turns[k][0], SENTINEL)])
-        if SENTINEL in turns[k][1] or not probe.startswith(before) or probe[len(before) :].count(SENTINEL) != 1:
+        mark = absent(now, *turns[k])
+        probe = template([*prefix[:-1], (turns[k][0], mark)])
+        if not probe.startswith(before) or probe[len(before) :].count(mark) != 1:
             out.append((piece, -1, -1))
         else:
-            start = probe.index(SENTINEL, len(before)) - len(before)
-            end = len(piece) - (len(probe) - len(before) - start - len(SENTINEL))
-            ok = end >= start and piece[:start] == probe[len(before) :][:start] and piece[end:] == probe[len(before) + start + 1 :]
+            start = probe.index(mark, len(before)) - len(before)
+            end = len(piece) - (len(probe) - len(before) - start - len(mark))
+            ok = end >= start and piece[:start] == probe[len(before) :][:start] and piece[end:] == probe[len(before) + start + len(mark) :]
             out.append((piece, start, end) if ok else (piece, -1, -1))
         before = now
     return out
@@ -120,6 +132,35 @@ def _segments(rows):
         yield at, seq, turns, last
 
 
+def _windows(rows, template):
+    """(conversation, seq, role, piece, text start, text end, rewrites) of each turn, window by window."""
+    at, rewrites = None, False
+    for k, seq, own, last in _segments(rows):
+        rewrites = rewrites and seq > 0
+        context = last[-1:]
+        found = spans(own, template, context)
+        if found and len(last) > 1:  # is the last turn's span the same without what came before?
+            local = spans(last[-1:], template, last[:1])
+            rewrites = rewrites or local is None or local[0][0] != at
+        rewrites = rewrites or found is None
+        whole = template([*context, *own]) if rewrites else ""
+        for i, (role, _) in enumerate(own):
+            piece, a, b = (whole if i == len(own) - 1 else None, -1, -1) if rewrites else found[i]
+            yield k, seq + i, role, piece, a, b, rewrites
+        at = found[-1][0] if found else None
+
+
+def _whole(rows, template):
+    """As _windows, a conversation at a time: beyond a window the output of all turns so far is compared with the joined pieces at each doubling and at the end."""
+    for k, own in groupby(rows, key=itemgetter(0)):
+        turns = [(role or "", text or "") for _, role, text in own]
+        done = list(_windows(((k, *t) for t in turns), template))
+        marks = [n for n in (SEGMENT << i for i in range(1, 64)) if n < len(turns)] + [len(turns)]
+        rewrites = any(r[-1] for r in done) or (len(turns) > SEGMENT and any(template(turns[:n]) != "".join(r[3] for r in done[:n]) for n in marks))
+        for i, r in enumerate(done):
+            yield (*r[:3], template(turns) if i == len(turns) - 1 else None, -1, -1, True) if rewrites else r
+
+
 def format_chats(turns: DataFrame, template: Template = instruct_template, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per turn: its span of the formatted conversation and the code points of its text there.
 
@@ -127,38 +168,33 @@ def format_chats(turns: DataFrame, template: Template = instruct_template, loss_
     text_start and text_end (in the piece; -1 if it cannot be located), loss,
     rewrites.  The pieces of a conversation in a row are its output.  If the
     template rewrites history, its turns have no piece but the last one, which
-    holds the output of its window.  Rows are partitioned by conversation and
-    sorted, and are read turn by turn, so that a conversation with a third of
-    all turns needs no more memory than another; over SEGMENT turns it is
-    rendered in windows, which presumes (and checks, at each boundary) that a
-    turn's span depends on no turn but the one before it.
+    holds the whole output.  Rows are partitioned by conversation and sorted;
+    over SEGMENT turns a conversation is rendered in windows, which presumes
+    (and checks, at each boundary) that a turn's span depends on no turn but
+    the one before it.  The template of this module is read turn by turn, so
+    that a conversation with a third of all turns needs no more memory than
+    another.  Of other templates the pieces are compared with the output of all
+    turns so far at each doubling of SEGMENT and at the end, for which a task
+    holds one conversation; a template that rewrites between two of these
+    lengths only, and beyond the window, is not seen.
 
     Turns come in the order of ``turn``, then role and text; null turns first.
     Null texts and roles are empty.  Null conv_ids form one conversation.
     """
 
+    local = template is instruct_template
+
     def run(batches):
         def rows():
             for batch in batches:
                 yield from zip(column(batch, "conv_id").to_pylist(), column(batch, "role").to_pylist(), column(batch, "text").to_pylist(), strict=True)
 
-        out, size, at, total, rewrites = [], 0, None, 0, False
-        for k, seq, own, last in _segments(rows()):
-            if not seq:
-                total, rewrites = 0, False
-            context = last[-1:]
-            found = spans(own, template, context)
-            if found and len(last) > 1:  # is the last turn's span the same without what came before?
-                local = spans(last[-1:], template, last[:1])
-                rewrites = rewrites or local is None or local[0][0] != at
-            rewrites = rewrites or found is None
-            whole = template([*context, *own]) if rewrites else ""
-            for i, (role, _) in enumerate(own):
-                piece, a, b = (whole if i == len(own) - 1 else None, -1, -1) if rewrites else found[i]
-                out.append((k, seq + i, role, piece, total, a, b, role in loss_roles and a >= 0, rewrites))
-                total += len(piece or "")
-                size += len(piece or "") + 64
-            at = found[-1][0] if found else None
+        out, size, total = [], 0, 0
+        for k, seq, role, piece, a, b, rewrites in _windows(rows(), template) if local else _whole(rows(), template):
+            total = total if seq else 0
+            out.append((k, seq, role, piece, total, a, b, role in loss_roles and a >= 0, rewrites))
+            total += len(piece or "")
+            size += len(piece or "") + 64
             if size > BLOCK_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
                 out, size = [], 0

@@ -74,3 +74,28 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     same = "</s>[INST] ok [/INST]"
     assert got(op3_chat_format(spark, d)) == brute([*rows, (-1, 0, "user", same), (-1, 1, "assistant", same)])
+
+
+def test_text_that_contains_the_sentinel_is_located(spark):
+    texts = [chat.SENTINEL, f"a{chat.SENTINEL}b", chat.SENTINEL + chat.LENGTHEN * 3, chat.LENGTHEN + chat.SENTINEL * 2, f"{chat.SENTINEL}{chat.LENGTHEN}</s>"]
+    rows = [(k, turn, role, t) for k, t in enumerate(texts) for turn, role in enumerate(("user", "assistant", chat.SENTINEL, "assistant"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.format_chats(df).collect()
+    assert all(r.loss == (r.role == "assistant") and r.piece[r.text_start : r.text_end] == chat.escape(texts[r.conv_id]) for r in turns)
+    assert got(chat.digests(chat.format_chats(df))) == brute(rows)
+
+
+def test_template_that_trims_beyond_the_window_is_seen(spark):
+    def trims(messages):
+        return "".join(f"{r}:{t};" for r, t in messages[-100:])
+
+    def plain(messages):
+        return "".join(f"{r}:{t};" for r, t in messages)
+
+    rows = [(k, i, "user", f"t{i}") for k, n in ((1, 90), (2, 101), (3, 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = sorted(chat.format_chats(df, trims).collect())
+    assert {(r.conv_id, r.rewrites) for r in out} == {(1, False), (2, True), (3, True)}
+    for k in (1, 2, 3):
+        assert "".join(r.piece or "" for r in out if r.conv_id == k) == trims([(r, t) for c, _, r, t in rows if c == k])
+    assert not any(r.rewrites for r in chat.format_chats(df, plain).collect())
