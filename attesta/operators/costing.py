@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from attesta.functions.session import shared_folder
 
-#: Steps that a route may have at most when none is given, fixed value.
-MAX_STEPS = 12
-
 
 def cheapest_quotes(quotes: DataFrame, key: str) -> DataFrame:
     """Of quotes (key, quote_id, pack_g, price, rate, need_g): the cheapest by whole packs for each key.
@@ -25,20 +22,23 @@ def cheapest_quotes(quotes: DataFrame, key: str) -> DataFrame:
     return best.select(key, "b.*")
 
 
-def leaf_requirements(steps: DataFrame, inputs: DataFrame, target: DataFrame, weights: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+def leaf_requirements(steps: DataFrame, inputs: DataFrame, target: DataFrame, weights: DataFrame) -> DataFrame:
     """(route, compound, mass_g): what each route needs of its starting materials.
 
     steps (route, step, product, yield_percent), inputs (step, compound,
     stoichiometry), target (route, compound, mass_g), weights (compound, mw).
-    Masses go down the tree level by level; a branch without weight, yield or
-    stoichiometry is dropped.  Of several steps for a product the last counts.
+    Masses go down the tree level by level to its leaves, however deep; a cycle
+    raises ValueError.  A branch without weight, yield or stoichiometry is
+    dropped.  Of several steps for a product the last counts.
     """
     shared_folder(steps.sparkSession)
     last = steps.groupBy("route", "product").agg(F.max_by(F.struct("step", "yield_percent"), F.col("step")).alias("s")).select("route", F.col("product").alias("compound"), "s.*")
     mw = weights.select("compound", "mw")
     need = target.select("route", "compound", "mass_g").checkpoint()
     leaves = need.limit(0)
-    for _ in range(max_steps):
+    # a path without a cycle makes each product of its route once, and has a leaf below
+    deepest = last.groupBy("route").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    for _ in range(deepest + 1):
         leaves = leaves.unionByName(need.join(last.select("route", "compound"), ["route", "compound"], "left_anti"))
         made = need.join(last, ["route", "compound"]).join(mw, "compound").withColumnRenamed("mw", "out_mw")
         moles = F.col("mass_g") / F.col("out_mw")
@@ -46,6 +46,8 @@ def leaf_requirements(steps: DataFrame, inputs: DataFrame, target: DataFrame, we
         need = down.filter("yield_percent > 0").select("route", "compound", (F.col("moles") * F.col("stoichiometry") / (F.col("yield_percent") / 100) * F.col("mw")).alias("mass_g")).filter("mass_g is not null").checkpoint()
         if need.isEmpty():
             break
+    else:
+        raise ValueError("a route needs its own product to make it")
     return leaves.groupBy("route", "compound").agg(F.sum("mass_g").alias("mass_g"))
 
 

@@ -124,3 +124,19 @@ def test_scalars(spark):
     assert get(S.has_phrase(F.lit("process for aspirin tablets"), F.lit("aspirin"))) and not get(S.has_phrase(F.lit("aspirins"), F.lit("aspirin")))
     v = int(hashlib.sha256(b"s|g").hexdigest()[:13], 16) / (1 << 52)
     assert get(S.bucket(F.lit("g"), "s")) == v
+
+
+@pytest.mark.parametrize("depth", [12, 13])
+def test_leaves_of_deep_routes(spark, depth):
+    steps = [("r", f"s{i}", f"c{i}", 50.0) for i in range(depth)]
+    inputs = [(f"s{i}", c, 1.0) for i in range(depth) for c in (f"c{i + 1}", "solvent")]
+    weights = [(f"c{i}", 100.0) for i in range(depth + 1)] + [("solvent", 10.0)]
+    frames = lambda inputs: (
+        spark.createDataFrame(steps, "route string, step string, product string, yield_percent double"), spark.createDataFrame(inputs, "step string, compound string, stoichiometry double"),
+        spark.createDataFrame([("r", "c0", 1.0)], "route string, compound string, mass_g double"), spark.createDataFrame(weights, "compound string, mw double"),
+    )
+    want = {f"c{depth}": 2.0**depth, "solvent": sum(0.1 * 2.0**i for i in range(1, depth + 1))}
+    assert {r.compound: pytest.approx(r.mass_g) for r in costing.leaf_requirements(*frames(inputs)).collect()} == want
+    if depth == 12:
+        with pytest.raises(ValueError):
+            costing.leaf_requirements(*frames([*inputs, (f"s{depth - 1}", "c3", 1.0)]))
