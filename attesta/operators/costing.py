@@ -84,16 +84,24 @@ def rank(evaluated: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(whole.orderBy("tier", "rank_score", "route")))
 
 
-def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target: DataFrame, max_steps: int = 4, top: int = 10) -> DataFrame:
-    """Routes from starting materials to the targets: (compound, steps, n_steps, confidence, route_id), the best ``top`` of each target.
+def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target: DataFrame, max_steps: int = 6, top: int = 10, excluded: DataFrame | None = None, hazardous: DataFrame | None = None, participants: DataFrame | None = None) -> DataFrame:
+    """Routes from starting materials to the targets: (compound, path, n_steps, confidence, route_id, n_routes), the best ``top`` of each target; n_routes counts them all.
 
     reactions (reaction, product, confidence), inputs (reaction, compound),
     starting (compound), target (compound).  Routes grow upwards: a reaction
     joins the routes of all its inputs, in the order of their names.  A route
     has ``max_steps`` reactions at most and makes no compound twice.  Reactions
     without inputs are skipped; a target that is a starting material has the
-    route of no steps.
+    route of no steps.  Compounds in excluded (compound) are neither bought nor
+    made; reactions with a compound in hazardous (compound) among their inputs,
+    product or other participants (reaction, compound) are not used.
     """
+    if excluded is not None:
+        starting, reactions = starting.join(excluded, "compound", "left_anti"), reactions.join(excluded.select(F.col("compound").alias("product")), "product", "left_anti")
+    if hazardous is not None:
+        involved = inputs.select("reaction", "compound").unionByName(reactions.select("reaction", F.col("product").alias("compound")))
+        involved = involved if participants is None else involved.unionByName(participants.select("reaction", "compound"))
+        reactions = reactions.join(involved.join(hazardous, "compound", "left_semi"), "reaction", "left_anti")
     shared_folder(reactions.sparkSession)
     order = W.partitionBy("reaction").orderBy("compound")
     wants = inputs.select("reaction", "compound").distinct().withColumn("k", F.row_number().over(order))
@@ -125,7 +133,8 @@ def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFram
     scored = scored.groupBy("compound", "key").agg(F.first("steps").alias("steps"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("confidence"))
     scored = scored.select("compound", F.col("key").alias("path"), F.size("steps").alias("n_steps"), "confidence", F.concat(F.lit("route:"), F.substring(F.sha2(F.concat_ws("|", "compound", "key"), 256), 1, 24)).alias("route_id"))
     w = W.partitionBy("compound").orderBy("n_steps", F.col("confidence").desc(), "route_id")
-    return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top).drop("rn")
+    best = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top).drop("rn")
+    return best.join(scored.groupBy("compound").agg(F.count(F.lit(1)).alias("n_routes")), "compound")
 
 
 def compare(pairs: DataFrame) -> DataFrame:

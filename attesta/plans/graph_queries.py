@@ -224,6 +224,27 @@ def route_enumeration(spark, sf_dir):
     return costing.enumerate_routes(reactions, inputs, starting, target, top=1000).groupBy("compound", "n_steps").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH y AS (SELECT n_regionkey AS r, 'z' || n_nationkey || '>y' || n_nationkey AS path FROM nation),
+a AS (SELECT 'M' || s_nationkey AS compound, path || '>x' || s_suppkey AS path, 3 AS n_steps, 1.5::DOUBLE AS confidence FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN y ON r = n_regionkey
+      UNION ALL SELECT 'M' || s_nationkey, 'w' || s_suppkey, 1, 0.125 FROM supplier WHERE s_acctbal < 0),
+i AS (SELECT *, 'route:' || substr(sha256(compound || '|' || path), 1, 24) AS route_id FROM a),
+n AS (SELECT *, count(*) OVER (PARTITION BY compound) AS n_routes, row_number() OVER (PARTITION BY compound ORDER BY n_steps, confidence DESC, route_id) AS rn FROM i)
+SELECT compound, path, n_steps, confidence, route_id, n_routes FROM n WHERE rn <= 10""")
+def route_enumeration_top(spark, sf_dir):
+    """The ten best routes to each nation's product and the number of all: from each supplier's material and one of the intermediates of the region, made in two steps; or from the material alone."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
+    n = table(spark, sf_dir, "nation")
+    name = lambda prefix, key: F.concat(F.lit(prefix), key)
+    made = lambda t, reaction, product, confidence: t.select(reaction.alias("reaction"), product.alias("product"), F.lit(confidence).alias("confidence"))
+    uses = lambda t, reaction, compound: t.select(reaction.alias("reaction"), compound.alias("compound"))
+    x, w, y, z = name("x", "s_suppkey"), name("w", "s_suppkey"), name("y", "n_nationkey"), name("z", "n_nationkey")
+    material, short = name("S", "s_suppkey"), s.filter("s_acctbal < 0")
+    reactions = made(s, x, name("M", "s_nationkey"), 0.75).unionByName(made(short, w, name("M", "s_nationkey"), 0.125)).unionByName(made(n, y, name("P", "n_regionkey"), 0.5)).unionByName(made(n, z, name("Q", "n_nationkey"), 0.25))
+    inputs = uses(s, x, material).unionByName(uses(s, x, name("P", "n_regionkey"))).unionByName(uses(short, w, material)).unionByName(uses(n, y, name("Q", "n_nationkey"))).unionByName(uses(n, y, F.lit("S0"))).unionByName(uses(n, z, name("B", "n_nationkey")))
+    starting = s.select(material.alias("compound")).unionByName(n.select(name("B", "n_nationkey").alias("compound"))).unionByName(n.select(F.lit("S0").alias("compound")))
+    return costing.enumerate_routes(reactions, inputs, starting, s.select(name("M", "s_nationkey").alias("compound")))
+
+
 @query("""WITH p AS (SELECT a.l_orderkey, a.n AS hs, b.n AS bs, a.m AS hm, b.m AS bm, a.y AS hy, b.y AS by_, a.t AS t, a.n % 3 AS u FROM (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS m, max(l_discount) AS y, min(l_tax) AS t FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS m, max(l_discount) AS y FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b USING (l_orderkey)),
 d AS (SELECT *, (bs > hs)::INT + (bm > hm)::INT + (hy - by_ > 1e-9)::INT AS better, (bs < hs)::INT + (bm < hm)::INT + (by_ - hy > 1e-9)::INT AS worse, CASE WHEN t = 0 THEN 'rejected' WHEN t < 0.02 OR u = 2 THEN 'needs_validation' ELSE 'eligible' END AS gate FROM p)
 SELECT gate, CASE WHEN gate <> 'eligible' THEN 'blocked_validation' WHEN better > 0 AND worse = 0 THEN 'improved' WHEN worse > 0 AND better = 0 THEN 'not_improved' ELSE 'mixed' END AS verdict, count(*) AS n FROM d GROUP BY ALL""")

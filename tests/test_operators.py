@@ -140,3 +140,18 @@ def test_leaves_of_deep_routes(spark, depth):
     if depth == 12:
         with pytest.raises(ValueError):
             costing.leaf_requirements(*frames([*inputs, (f"s{depth - 1}", "c3", 1.0)]))
+
+
+def test_routes_of_six_steps_with_exclusions(spark):
+    made = [(f"R{i}", f"c{i}", 0.5) for i in range(6)] + [("Q", "c0", 0.25), ("H", "c0", 0.25), ("D", "c0", 0.125)]
+    used = [(f"R{i}", f"c{i + 1}") for i in range(6)] + [("R0", "s"), ("Q", "bad"), ("Q", "s"), ("H", "s"), ("D", "s"), ("D", "c6")]
+    reactions = spark.createDataFrame(made, "reaction string, product string, confidence double")
+    inputs = spark.createDataFrame(used, "reaction string, compound string")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "compound string")
+    run = lambda **k: {(r.path, r.n_routes) for r in costing.enumerate_routes(reactions, inputs, names("c6", "s", "bad"), names("c0"), **k).collect()}
+    deep = "R5>R4>R3>R2>R1>R0"
+    assert run() == {(p, 4) for p in (deep, "Q", "H", "D")}
+    assert {n for _, n in run(top=1)} == {4} and len(run(top=1)) == 1
+    toxic = spark.createDataFrame([("H", "fumes")], "reaction string, compound string")
+    assert run(excluded=names("bad", "c3"), hazardous=names("fumes"), participants=toxic) == {("D", 1)}
+    assert run(excluded=names("c0")) == set()
