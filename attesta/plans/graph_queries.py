@@ -36,6 +36,15 @@ def leakage_components(spark, sf_dir):
     return graph.components(e, "a", "b")
 
 
+@query()
+def leakage_components_all(spark, sf_dir):
+    """Components of all suppliers, by nation and, of the largest balances, by bucket."""
+    s = table(spark, sf_dir, "supplier")
+    node = F.concat(F.lit("s"), "s_suppkey").alias("a")
+    e = s.select(node, F.concat(F.lit("n"), "s_nationkey").alias("b")).unionByName(s.filter("s_acctbal > 9000").select(node, F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 500).cast("int")).alias("b")))
+    return graph.components(e, "a", "b")
+
+
 @query("SELECT p_partkey AS subject_id, f AS object_id, name, 0.7::DOUBLE AS score, 'normalized_name' AS method FROM (SELECT p_partkey, lower(p_name) AS name, min(p_partkey) OVER (PARTITION BY lower(p_name)) AS f FROM part) WHERE p_partkey <> f")
 def name_link_candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", S.normalize_name(F.col("p_name")).alias("name"), F.col("p_partkey").alias("seq"))
@@ -335,6 +344,13 @@ def insert_ignore(spark, sf_dir):
     return merge.insert_ignore(old, new, ["c_custkey"], "o_orderkey")
 
 
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT o_custkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')) WHERE n = 1")
+def insert_ignore_by_segment(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_mktsegment")
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderkey")
+    return merge.insert_ignore(old, new, ["c_custkey"], "o_orderkey")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A') UNION ALL SELECT l_orderkey, l_linenumber + 100, l_partkey FROM lineitem WHERE l_returnflag = 'A'")
 def delete_insert(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
@@ -398,6 +414,6 @@ def dedupe_first_ci(spark, sf_dir):
 
 @query()
 def manifest_listing(spark, sf_dir):
-    """Path, size and digest of the files of the small tables, and their media type."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load([f"{sf_dir}/{n}.parquet" for n in ("region", "nation", "supplier")])
+    """Path, size and digest of every file of the release, and its media type."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), S.media_type(F.col("path")).alias("media_type"))

@@ -63,3 +63,29 @@ def test_all_seeds_are_matched(spark):
     pairs = {(s, p, o) for s, k, b, z in parts if z <= 3 for p, k2, b2, z2 in parts if (k and k == k2) or (b, z) == (b2, z2) for o in sold.get(p, [])}
     assert {(r.seed_id, r.source_id, r.publication) for r in got} == pairs
     assert max(r.seed_id for r in got) > 400
+
+
+def test_manifest_lists_every_file(spark):
+    import hashlib
+    from pathlib import Path
+
+    want = {(f.name, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in Path(DATA).rglob("*") if f.is_file()}
+    assert {(r.file, r.size_bytes, r.sha256) for r in registry.QUERIES["manifest_listing"](spark, DATA).collect()} == want
+
+
+def test_components_of_all_suppliers(spark):
+    rows = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/supplier.parquet").collect()
+    links = [(f"s{r.s_suppkey}", f"n{r.s_nationkey}") for r in rows] + [(f"s{r.s_suppkey}", f"b{int(r.s_acctbal // 500)}") for r in rows if r.s_acctbal > 9000]
+    group = {x: {x} for e in links for x in e}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    out = registry.QUERIES["leakage_components_all"](spark, DATA.replace("sf0.001", "sf0.01")).collect()
+    assert {r.node: r.component for r in out} == {x: min(g) for x, g in group.items()}
+
+
+def test_insert_ignore_by_segment_inserts(spark):
+    out = registry.QUERIES["insert_ignore_by_segment"](spark, DATA)
+    assert out.filter("c_mktsegment like '%-%'").count() > 0
