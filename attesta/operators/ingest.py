@@ -131,6 +131,27 @@ def resolve_identities(records: DataFrame, existing: DataFrame) -> DataFrame:
     return own.select("seq", F.coalesce("owner", S.stable_id("drug", F.col("component"))).alias("drug_id"), F.coalesce("n_existing", F.lit(0)).alias("n_existing"))
 
 
+def route_identities(records: DataFrame, existing: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(seq, drug_id, n_existing, outcome, reason, candidates): resolve_identities, with the records held back that need an existing drug and share no identifier with one.
+
+    records have name and requires_existing_drug too; aliases (drug_id, name).
+    Such a record may also join the entity of an earlier record without the
+    flag.  Else it is excluded and gets no drug_id; candidates are the drugs
+    with its normalised name, among aliases and earlier accepted records.
+    """
+    flag = F.coalesce("requires_existing_drug", F.lit(False))
+    own = resolve_identities(records, existing).join(records.select("seq", S.normalize_name(F.col("name")).alias("name"), flag.alias("flag")), "seq")
+    made = own.filter("not flag").groupBy("drug_id").agg(F.min("seq").alias("made"))
+    own = own.join(made, "drug_id", "left").withColumn("held", F.col("flag") & (F.col("n_existing") == 0) & (F.col("made").isNull() | (F.col("made") > F.col("seq"))))
+    known = aliases.select("drug_id", S.normalize_name(F.col("name")).alias("name"), F.lit(None).cast("long").alias("since")).unionByName(own.filter("not held").select("drug_id", "name", F.col("seq").cast("long").alias("since")))
+    known = known.groupBy("name", F.col("drug_id").alias("hit")).agg(F.min(F.coalesce("since", F.lit(-(2**63)))).alias("since"))
+    hits = own.filter("held").select("seq", "name").join(known, "name").filter("since < seq").groupBy("seq").agg(F.array_sort(F.collect_set("hit")).alias("candidates"))
+    n = F.size("candidates")
+    reason = F.when(F.col("held"), F.when(n == 0, "unmatched_existing_drug").when(n == 1, "name_only_match_requires_review").otherwise("ambiguous_name_match"))
+    out = own.join(hits, "seq", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    return out.select("seq", F.when(~F.col("held"), F.col("drug_id")).alias("drug_id"), "n_existing", F.when(F.col("held"), "excluded").otherwise("accepted").alias("outcome"), reason.alias("reason"), "candidates")
+
+
 def patent_candidates(rows: DataFrame) -> DataFrame:
     """Candidates (drug_id, compound_id, publication_number, source_compound_id, field_id, match_type, country, family_id) with id, confidence, family and country; an error on an unknown match type."""
     known = F.when(F.col("match_type").isin(*S.CONFIDENCE), F.col("match_type")).otherwise(F.raise_error(F.concat(F.lit("unknown match type: "), F.coalesce("match_type", F.lit("null")))))

@@ -131,3 +131,15 @@ def test_candidates(spark):
     assert ingest.one_manifest(ok) == "a" * 64
     with pytest.raises(ValueError):
         ingest.one_manifest(ok.union(spark.createDataFrame([("b" * 64,)], "x string")))
+
+
+def test_records_that_require_an_existing_drug_are_held_back(spark):
+    rows = [(1, ["K:old"], "Other", True), (2, [], "Aspi-rin", True), (3, ["K:n"], "Twin", True), (4, ["K:m"], "Nobody", True), (5, ["K:new"], "Fresh", False), (6, ["K:new"], "Fresh salt", True), (7, [], "fresh", True), (8, ["K:late"], "Late", True), (9, ["K:late"], "Late", False), (10, [], "Aspirin", None)]
+    rec = spark.createDataFrame(rows, "seq long, keys array<string>, name string, requires_existing_drug boolean")
+    old = spark.createDataFrame([("drug:old", ["K:old"])], "drug_id string, keys array<string>")
+    names = spark.createDataFrame([("drug:a", "ASPI RIN"), ("drug:t1", "twin"), ("drug:t2", "Twin")], "drug_id string, name string")
+    out = {r.seq: r for r in ingest.route_identities(rec, old, names).collect()}
+    assert {k: (r.outcome, r.reason) for k, r in out.items() if r.reason} == {2: ("excluded", "name_only_match_requires_review"), 3: ("excluded", "ambiguous_name_match"), 4: ("excluded", "unmatched_existing_drug"), 7: ("excluded", "name_only_match_requires_review"), 8: ("excluded", "unmatched_existing_drug")}
+    assert out[2].candidates == ["drug:a"] and out[3].candidates == ["drug:t1", "drug:t2"] and out[4].candidates == [] and out[7].candidates == [out[5].drug_id]
+    assert out[1].drug_id == "drug:old" and out[6].drug_id == out[5].drug_id and out[9].drug_id and out[10].outcome == "accepted"
+    assert all(r.drug_id is None for r in out.values() if r.outcome == "excluded") and len(out) == 10
