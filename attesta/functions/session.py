@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; where it names none (tests, one machine) a temporary one is set."""
+    """The folder that the session names for checkpoints. In local mode (tests, one machine) a temporary one is set where none is named; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(base)
     return str(base).rstrip("/")
