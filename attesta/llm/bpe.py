@@ -14,10 +14,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import blocks, column
-from attesta.llm.token_cache import BYTE_CHUNKS, Encoder
+from attesta.llm.common import blocks, column, free_name, tidy
+from attesta.llm.token_cache import BYTE_CHUNKS, Encoder, kept_encoder
 
 _models: dict = {}
 
@@ -55,9 +56,7 @@ def library_model(path: str, pattern: str):
 
 
 def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _models:
-        _models[path, pattern] = Encoder(library_model(path, pattern), BYTE_CHUNKS)
-    return _models[path, pattern]
+    return kept_encoder((path, pattern), lambda: Encoder(library_model(path, pattern), BYTE_CHUNKS))
 
 
 def token_bytes(path: str) -> list[bytes]:
@@ -81,11 +80,19 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     """The ``keep`` columns, ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and, on request, ``starts``.
 
     ``starts`` are code-point offsets of the tokens.  A null text is an empty
-    one and has no ids.  Rows keep their partition and order; nothing shuffles.
+    one and has no ids.  Rows keep their partition and order; nothing shuffles,
+    so null and repeated ids are rows like others and an empty table gives an
+    empty result.  ``keep`` must not name one of the new columns: that is a
+    ValueError.
     """
+    if {c.lower() for c in keep} & {"ids", "n_tokens", "starts"}:
+        raise ValueError("ids, n_tokens and starts are columns of the result")
     fields = [docs.schema[c] for c in keep]
+    docs = docs.select(*keep, F.col(text_col).alias(free_name(list(keep), "__text")))
+    text_col = docs.columns[-1]
     schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())] + [T.StructField("starts", T.ArrayType(T.LongType()))] * offsets)
 
+    @tidy
     def run(batches):
         enc = _encoder(path, pattern)
         lengths = np.array([len(t) for t in token_bytes(path)], np.int64) if offsets else None
@@ -98,14 +105,15 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                     cols.append(pa.array([char_starts(np.frombuffer(i, "<u4"), t.encode(), lengths) for i, t in zip(ids, texts, strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """All columns and ``decoded`` (binary): the bytes of the ids. An id outside the vocabulary is an error; null ids decode to nothing.
+    """All columns and ``decoded`` (binary, in place of a column of that name): the bytes of the ids. An id outside the vocabulary is an error; null ids decode to nothing.
 
     Cast ``decoded`` to string only where it is valid UTF-8: a cut between ids may fall inside a character.
     """
+    encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):

@@ -7,8 +7,8 @@ of an executor and is not computed twice.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,21 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions.session import shared_folder
+
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Code points that separate words and lines, as in ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 #: Most rows of (id)-sized tables that are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Most bytes of tables with lists that are broadcast.
+BROADCAST_BYTES = 24_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="attesta-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{str(base).rstrip('/')}/attesta-{uuid.uuid4().hex}"
+    """A new folder in the shared folder of the session."""
+    return f"{shared_folder(spark)}/attesta-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -49,17 +49,97 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def range_bounds(df: DataFrame, col: str, n: int) -> list[int]:
-    """At most n-1 cut points of a bigint column, of about as many rows each; reads that column only."""
-    cuts = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, [i / n for i in range(1, n)], min(0.25 / n, 0.01)) if n > 1 else []
-    return sorted({int(c) for c in cuts})
+def small_lists(df: DataFrame, n_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The (staged) table with a broadcast hint if its lists, of ``n_bytes`` a row, and its rows are small together."""
+    total, n = df.agg(F.coalesce(F.sum(n_bytes), F.lit(0)), F.count(F.lit(1))).first()
+    return F.broadcast(df) if total + 64 * n <= limit else df
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from every taken one."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def one_text_a_key(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``docs`` with a bigint column ``key`` in the order of the ids, one text to a key.
+
+    Where no id is null or repeated, the id is the key.  Otherwise documents are
+    numbered by id (null last) and a hash of the text: rows that repeat both
+    share a key, different texts of an id and texts without one do not.
+    """
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
+    if not ids.groupBy("id").count().filter("id is null or count > 1").limit(1).count():
+        return docs.withColumn(key, F.col(id_col).cast("bigint"))
+    h = F.xxhash64(F.col(text_col))
+    order = [F.col("id").asc_nulls_last(), F.col("h").asc()]
+    numbers = docs.select(F.col(id_col).cast("bigint").alias("id"), h.alias("h")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = stage(numbers.withColumn(key, F.monotonically_increasing_id()))
+    a, b = free_name(docs.columns, "__id"), free_name(docs.columns, "__hash")
+    numbers = numbers.select(F.col("id").alias(a), F.col("h").alias(b), key)
+    same = docs[id_col].cast("bigint").eqNullSafe(numbers[a]) & (F.xxhash64(docs[text_col]) == numbers[b])
+    return docs.join(numbers, same).drop(a, b)
+
+
+def range_bounds(docs: DataFrame, col: str, weight: Column, n: int) -> list[int]:
+    """At most n-1 cut points of a bigint column, for ranges of about equal weight.
+
+    Four times as many quantiles are weighed and joined; a number for each of
+    them goes through the driver.
+    """
+    fine = 4 * n
+    ids = docs.select(F.col(col).cast("double").alias(col))
+    cuts = sorted({int(c) for c in ids.approxQuantile(col, [i / fine for i in range(1, fine)], min(0.25 / fine, 0.01))}) if n > 1 else []
+    if not cuts:
+        return []
+    weights = dict(docs.groupBy(range_key(F.col(col).cast("bigint"), cuts).alias("p")).agg(F.sum(weight)).collect())
+    share, total, out = sum(w or 0 for w in weights.values()) / n, 0, []
+    for p in range(len(cuts)):
+        total += weights.get(p) or 0
+        if total >= share:
+            out.append(cuts[p])
+            total = 0
+    return out
 
 
 def range_key(col: Column, bounds: list[int]) -> Column:
-    """Number of cut points that are at most the value: 0 for the lowest range and for null."""
+    """Number of cut points that are at most the value: 0 for the lowest range and for null. Found in two steps, of the square root of their number each."""
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= col)), F.lit(0))
+    step = max(1, int(len(bounds) ** 0.5))
+    lists = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= col))
+    coarse = upto(F.lit([x[0] for x in lists]).cast("array<bigint>"))
+    within = upto(F.element_at(F.array(*[F.lit(x).cast("array<bigint>") for x in lists]), coarse))
+    return F.coalesce(F.when(col.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + within), F.lit(0)).cast("int")
+
+
+# --- memory of Python workers ------------------------------------------------------------
+
+_caches: list = []
+
+
+def forgets(clear):
+    """Registers a function that empties a cache of the worker; ``tidy`` calls it."""
+    _caches.append(clear)
+    return clear
+
+
+def tidy(run):
+    """``run``, whose worker empties its caches and gives memory back to the system when a task ends: workers are used again, by other operators too."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for clear in _caches:
+                clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
 
 
 def sha256_hex(data: bytes) -> str:
@@ -69,8 +149,7 @@ def sha256_hex(data: bytes) -> str:
 # --- numpy over the bytes of a batch ---------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte; ``LOWER`` gives A-Z those of a-z.
 RAW = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,7 +157,8 @@ LOWER = RAW.copy()
 LOWER[65:91] = RAW[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+forgets(_powers.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,23 +171,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i modulo 2^64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        m = max(n, BLOCK_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(m, base, np.uint64)
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """B^i and B^-i modulo 2^64 for i < n, B being one of two odd numbers."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        both = []
+        for b in (_BASES[base], pow(_BASES[base], -1, 1 << 64)):
+            p = np.full(max(n, BLOCK_BYTES + 4096), b, np.uint64)
             p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _powers[base] = both[0], both[1]
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 class Spans:
     """Hashes of any spans of one byte buffer, from one running sum."""
 
-    def __init__(self, data: np.ndarray, table: np.ndarray = RAW):
+    def __init__(self, data: np.ndarray, table: np.ndarray = RAW, base: int = 0):
         n = len(data)
-        up, self.down = powers(n + 1)
+        up, self.down = powers(n + 1, base)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(table[data] * up[:n], out=self.sums[1:])
 

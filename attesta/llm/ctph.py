@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLOCK_BYTES, Spans, column, partitions, range_bounds, range_key, sha256_hex
+from attesta.llm.common import BLOCK_BYTES, Spans, column, partitions, range_bounds, range_key, sha256_hex, tidy
 
 #: Bytes that the rolling hash sees.
 WINDOW = 7
@@ -173,6 +173,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if full:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*full, strict=True), kinds, strict=True)], names=names)
 
+    @tidy
     def run(batches):
         rows, size = [], 0
         for batch in batches:

@@ -1,31 +1,34 @@
 """Removal of repeated and nearly repeated lines by deletion neighbourhoods.
 
 Lines are sequences of words, compared without regard to case and spacing.  A
-line goes if an earlier one, by document id and line number, is the same or at
-most one word away (a word more, less or other).  For the latter every line
-emits its variants with one word deleted as hashed keys: two lines a word apart
-share a variant, at the same place if a word differs, or one of them is the
-other's variant.  Groups of equal keys are reduced to their earliest line, so a
-line found everywhere never makes pairs; the word-level edit distance to that
-earliest line is then verified.
-
-Lines a word apart also share their first or last half.  Only lines that share
-a half with a different line emit variants; nothing is lost by that.
+line goes if an earlier one, by document and line number, is the same or at
+most ``edits`` words away (words more, less or other).  For the latter every
+line emits its variants with up to ``edits`` words deleted as hashed keys: two
+lines within the bound share one.  Where the words were deleted, told as gaps
+between those that are left, decides how far apart two lines with a common
+variant are: gap by gap the greater number of deleted words.  Lines with equal
+key and gaps are reduced to their earliest, and so are gaps with a common
+part: no key makes pairs.  The edit distance to the earliest line is verified.
+
+Lines one word apart also share their first or last half.  With ``edits`` = 1
+only lines that share a half with a different line emit variants; nothing is
+lost by that.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import LOWER, Spans, blocks, column, long_lists, longs, mix, powers, small, stage, word_spans
+from attesta.llm.common import LOWER, Spans, blocks, column, free_name, long_lists, longs, mix, one_text_a_key, powers, small_lists, stage, tidy, word_spans
 
-#: Lines of fewer words (either of a pair) go only if they are the same as an earlier one: one word of a short line is much of what it says.
-NEAR_WORDS = 5
-_LAST = (1 << 63) - 1
+#: Variants that one numpy step makes.
+STEP = 1 << 19
 
 
 class Lines:
@@ -55,15 +58,21 @@ class Sums:
     def run(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
 
-    def without(self, a: np.ndarray, i: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Equals ``run`` of the words a..b without word i."""
-        return mix((self.sums[i] - self.sums[a]) * self.down[a] + (self.sums[b] - self.sums[i + 1]) * self.down[a + 1] + (b - a - 1).astype(np.uint64))
+    def without(self, a: np.ndarray, cut: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Equals ``run`` of the words a..b without those at the columns of ``cut``, which ascend."""
+        total, start = np.zeros(len(a), np.uint64), a
+        for r in range(cut.shape[1]):
+            total += (self.sums[cut[:, r]] - self.sums[start]) * self.down[a + r]
+            start = cut[:, r] + 1
+        total += (self.sums[b] - self.sums[start]) * self.down[a + cut.shape[1]]
+        return mix(total + (b - a - cut.shape[1]).astype(np.uint64))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """Every line with words: its hash, place, number of words and, if long enough, the hashes of its halves (two lengths of each)."""
     names = ["h", "doc", "line", "n", "p0", "p1", "s0", "s1"]
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
@@ -83,6 +92,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, doc, line, words) of the wanted (doc, lines)."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
@@ -100,46 +110,75 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc").mapInArrow(run, "h bigint, doc bigint, line bigint, words array<bigint>")
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """(key, at, h, doc, line): each line's hash with at = -1 and its variants with one word deleted, with the place of that word."""
+def _cuts(n: np.ndarray, edits: int):
+    """(lines, places) by and by: for every line of n words each choice of 1 to ``edits`` words that leaves one at least, places counted in the line."""
+    for i in range(0, len(n), max(1, STEP // max(1, int(n.max(initial=1))))):
+        some = np.arange(i, min(len(n), i + max(1, STEP // max(1, int(n.max(initial=1))))))
+        owner = np.repeat(some, n[some])
+        yield owner, (np.arange(len(owner)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]))[:, None]
+    for j in range(2, edits + 1):
+        for m in np.unique(n[n >= j]).tolist():
+            own, choices = np.flatnonzero(n == m), combinations(range(m), j)
+            while some := list(islice(choices, STEP)):
+                places = np.array(some)
+                for i in range(0, len(own), max(1, STEP // len(places))):
+                    lines = own[i : i + max(1, STEP // len(places))]
+                    yield np.repeat(lines, len(places)), np.tile(places, (len(lines), 1))
+
+
+def _variants(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, gaps, h, doc, line): each line's hash without gaps, and its variants with up to ``edits`` words deleted: a gap is named by the number of words left before it, once for each word deleted there."""
+    names = ["key", "gaps", "h", "doc", "line"]
 
+    @tidy
     def run(batches):
         for batch in batches:
-            step = max(1, (1 << 19) * batch.num_rows // max(1, len(column(batch, "words").flatten())))
+            step = max(1, STEP * batch.num_rows // max(1, len(column(batch, "words").flatten())))
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
                 lists = column(part, "words")
                 words = np.ascontiguousarray(lists.flatten().to_numpy()).view(np.uint64)
-                cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                n = np.diff(cuts)
-                sums = Sums(words)
-                owner = np.repeat(np.arange(len(n)), n)
-                a, b = cuts[:-1][owner].astype(np.int64), cuts[1:][owner].astype(np.int64)
-                i = np.arange(len(words))
-                keys = np.concatenate((sums.run(cuts[:-1].astype(np.int64), cuts[1:].astype(np.int64)), sums.without(a, i, b)))
-                at = np.concatenate((np.full(len(n), -1), i - a))
-                who = np.concatenate((np.arange(len(n)), owner))
-                yield pa.RecordBatch.from_arrays([longs(keys), pa.array(at.astype(np.int32))] + [pa.array(column(part, c).to_numpy()[who]) for c in ("h", "doc", "line")], names=["key", "at", "h", "doc", "line"])
-
-    return lines.mapInArrow(run, "key bigint, at int, h bigint, doc bigint, line bigint")
-
-
-def one_word_apart(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the edit distance of two word sequences is 1 at most."""
-    n = min(len(a), len(b))
-    if abs(len(a) - len(b)) > 1:
+                cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+                sums, n = Sums(words), np.diff(cuts)
+                rest = [column(part, c) for c in ("h", "doc", "line")]
+                yield pa.RecordBatch.from_arrays([longs(sums.run(cuts[:-1], cuts[1:])), pa.array([[]] * len(n), pa.list_(pa.int32())), *rest], names=names)
+                for owner, places in _cuts(n, edits):
+                    j = places.shape[1]
+                    keys = sums.without(cuts[:-1][owner], cuts[:-1][owner][:, None] + places, cuts[1:][owner])
+                    gaps = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * j), pa.array((places - np.arange(j)).astype(np.int32).ravel()))
+                    yield pa.RecordBatch.from_arrays([longs(keys), gaps, *(r.take(pa.array(owner)) for r in rest)], names=names)
+
+    return lines.mapInArrow(run, "key bigint, gaps array<int>, h bigint, doc bigint, line bigint")
+
+
+def within(a: list[int], b: list[int], edits: int) -> bool:
+    """Whether the edit distance of two word sequences is at most ``edits``."""
+    if abs(len(a) - len(b)) > edits:
         return False
-    same = a[:n] == b[:n]
-    head = n if same.all() else int(np.argmin(same))
-    back = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
-    tail = n if back.all() else int(np.argmin(back))
-    return head + tail >= max(len(a), len(b)) - 1
-
-
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    head, n = 0, min(len(a), len(b))
+    while head < n and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b or edits < 2:
+        return max(len(a), len(b)) <= edits
+    far = edits + 1
+    row = {j: j for j in range(edits + 1)}
+    for i, x in enumerate(a, 1):  # cells further than ``edits`` from the diagonal cannot matter
+        new = {}
+        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            new[j] = i if not j else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+        row = new
+    return row.get(len(b), far) <= edits
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    @tidy
     def run(batches):
         for batch in batches:
-            ok = [one_word_apart(np.array(x), np.array(y)) for x, y in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True)]
+            ok = [within(x, y, edits) for x, y in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "h").filter(pa.array(ok, pa.bool_()))], names=["h"])
 
     a = lines.select("h", F.col("words").alias("a"))
@@ -147,54 +186,74 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(a, "h").join(b, "w").select("h", "a", "b").mapInArrow(run, "h bigint")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h) of the distinct lines that are one word away from an earlier one."""
-    halves = firsts.filter(F.col("n") >= NEAR_WORDS).select("h", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("half")
-    near = halves.join(shared.hint("merge"), "half").select("h").distinct()
-    wanted = firsts.join(near, "h", "left_semi").groupBy("doc").agg(F.collect_list("line").alias("lines"))
-    lines = stage(_words_of(docs, small(stage(wanted), 100_000)))
-
-    every = stage(_variants(lines))
-    keys = every.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("key")
-    met = stage(every.join(keys, "key"))
-    place = F.struct("doc", "line", F.col("h").alias("w"))
-    full, cut = met.filter("at < 0"), met.filter("at >= 0")
-    other = cut.join(cut.groupBy("key", "at").agg(F.min(place).alias("e")), ["key", "at"])
-    shorter = full.join(cut.groupBy("key").agg(F.min(place).alias("e")), "key")
-    longer = cut.join(full.groupBy("key").agg(F.min(place).alias("e")), "key")
-    earlier = other.select("h", "doc", "line", "e").unionByName(shorter.select("h", "doc", "line", "e")).unionByName(longer.select("h", "doc", "line", "e"))
-    pairs = earlier.filter((F.col("e.doc") < F.col("doc")) | ((F.col("e.doc") == F.col("doc")) & (F.col("e.line") < F.col("line")))).groupBy("h").agg(F.min("e").getField("w").alias("w"))
-    return _verified(pairs, lines).distinct()
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least_words: int) -> DataFrame:
+    """(h) of the distinct lines of ``least_words`` words or more that are at most ``edits`` words away from an earlier one of them."""
+    firsts = firsts.filter(F.col("n") >= least_words)
+    if edits == 1:
+        halves = firsts.select("h", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("half"))
+        shared = stage(halves.groupBy("half").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("half"))
+        near = halves.join(shared.hint("merge"), "half").select("h").distinct()
+        firsts = firsts.join(near, "h", "left_semi")
+    wanted = stage(firsts.groupBy("doc").agg(F.collect_list("line").alias("lines")))  # of one text: no more than its lines
+    lines = stage(_words_of(docs, small_lists(wanted, 8 * F.size("lines"))))
+
+    every = stage(_variants(lines, edits))
+    keys = stage(every.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("key"))
+    met = stage(every.join(keys.hint("merge"), "key"))
+    first = stage(met.groupBy("key", "gaps").agg(F.min(F.struct("doc", "line", F.col("h").alias("w"))).alias("e")))
+    # two gaps lie within the bound if their sizes less what they have in common do: of each key, common part and size only the earliest line counts
+    subsets = F.array_distinct(F.aggregate("gaps", F.array(F.array().cast("array<int>")), lambda t, x: F.concat(t, F.transform(t, lambda y: F.concat(y, F.array(x))))))
+    parts = first.withColumn("common", F.explode(subsets))
+    best = parts.groupBy("key", "common", F.size("gaps").alias("s")).agg(F.min("e").alias("e"))
+    reach = parts.select("key", "gaps", "common").join(best, ["key", "common"]).filter(F.size("gaps") + F.col("s") - F.size("common") <= edits).groupBy("key", "gaps").agg(F.min("e").alias("e"))
+    earlier = met.join(stage(reach).hint("merge"), ["key", "gaps"]).filter((F.col("e.doc") < F.col("doc")) | ((F.col("e.doc") == F.col("doc")) & (F.col("e.line") < F.col("line"))))
+    pairs = earlier.groupBy("h").agg(F.min("e").getField("w").alias("w"))
+    return _verified(pairs, lines, edits).distinct()
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, least_words: int = 5) -> DataFrame:
     """The rows of ``docs`` with repeated lines taken out of the text, and ``n_lines`` and ``n_removed``.
 
+    A line goes if it is the same as an earlier one, or, where both have
+    ``least_words`` words or more, at most ``edits`` words away from it: one
+    word of a shorter line is much of what it says.  Removed lines count as
+    earlier ones too.  Variants of a line of n words number n to the power of
+    ``edits``; 0 leaves only the same lines out.
+
     Lines end at line feeds.  Lines without words are no repetitions and stay.
-    A null text stays null and has no lines.  Null ids come last, as one
-    document; so do rows that repeat an id: only the places of their lines
-    count, and a line that is the first at its place stays in each of them.
-    All other columns pass through; an empty table gives an empty result.
+    A null text stays null and has no lines.  Documents come in the order of
+    their ids, null ids last; texts that share an id, or have none, come in the
+    order of a hash, and rows that repeat id and text are one document: a line
+    that is the first at its place stays in each of them.  All other columns
+    pass through, but for two of the new names, which are replaced; an empty
+    table gives an empty result.
     """
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
-    texts = docs.select(key.alias("doc"), F.col(text_col).alias("text"))
+    docs = docs.drop("n_lines", "n_removed")
+    key, drop_col = free_name(docs.columns, "__key"), free_name(docs.columns, "__drop")
+    keyed = one_text_a_key(docs, id_col, text_col, key)
+    texts = keyed.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))
     found = stage(_occurrences(texts))
     firsts = stage(found.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("e"), F.count(F.lit(1)).alias("m"), *[F.max(c).alias(c) for c in ("n", "p0", "p1", "s0", "s1")]).select("h", F.col("e.doc").alias("doc"), F.col("e.line").alias("line"), "m", "n", "p0", "p1", "s0", "s1"))
-    near = stage(near_lines(texts, firsts))
-    gone = firsts.select("h", F.col("doc").alias("d"), F.col("line").alias("l"), "m").join(near.withColumn("near", F.lit(True)), "h", "left").filter("m > 1 or near")
+    gone = firsts.select("h", F.col("doc").alias("d"), F.col("line").alias("l"), "m")
+    if edits:
+        near = stage(near_lines(texts, firsts, edits, least_words))
+        gone = gone.join(near.withColumn("near", F.lit(True)), "h", "left")
+    else:
+        gone = gone.withColumn("near", F.lit(None).cast("boolean"))
+    gone = stage(gone.filter("m > 1 or near"))
     out = found.select("h", "doc", "line").join(gone.hint("merge"), "h").filter(F.col("near").isNotNull() | (F.col("doc") != F.col("d")) | (F.col("line") != F.col("l")))
-    drop = stage(out.groupBy("doc").agg(F.collect_set("line").alias("__drop"))).withColumnRenamed("doc", "__key")
+    drop = stage(out.groupBy("doc").agg(F.collect_set("line").alias(drop_col))).withColumnRenamed("doc", key)
 
-    joined = docs.withColumn("__key", key).join(drop.hint("merge"), "__key", "left").drop("__key")
+    joined = keyed.join(small_lists(drop, 8 * F.size(drop_col)), key, "left").drop(key)
     names = [*docs.columns, "n_lines", "n_removed"]
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part, _, _ in blocks(batch, text_col):
                 texts, total, removed = [], [], []
-                for t, gone in zip(part.column(at).to_pylist(), column(part, "__drop").to_pylist(), strict=True):
+                for t, gone in zip(part.column(at).to_pylist(), column(part, drop_col).to_pylist(), strict=True):
                     own = t.split("\n") if t is not None else []
                     gone = set(gone or ()) if own else ()
                     texts.append("\n".join(x for i, x in enumerate(own) if i not in gone) if gone else t)
@@ -205,4 +264,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(run, schema)
+    return joined.select(*docs.columns, drop_col).mapInArrow(run, schema)

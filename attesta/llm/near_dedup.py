@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, Spans, blocks, column, long_lists, longs, mix, small, stage, word_spans
+from attesta.llm.common import LOWER, Spans, blocks, column, long_lists, longs, mix, small, stage, tidy, word_spans
 from attesta.llm.components import components
 
 #: Values in a band.
@@ -97,6 +97,7 @@ def most_bits(threshold: float, k: int) -> int:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands: int) -> DataFrame:
+    @tidy
     def run(batches):
         k = n_bands * ROWS
         for batch in batches:
@@ -120,6 +121,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    @tidy
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, text_col):

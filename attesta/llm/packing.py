@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.llm.common import blocks, column, partitions, stage
+from attesta.llm.common import blocks, column, partitions, stage, tidy
 from attesta.llm.token_cache import WORD_CHUNKS, encoder
 
 #: Fillings that one step may look at; the best found counts.
@@ -39,6 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
     A null text is empty: one piece with the end id.
     """
 
+    @tidy
     def run(batches):
         enc = encoder(vocabulary, WORD_CHUNKS)
         end = np.array([end_id], "<u4").tobytes()
@@ -210,6 +211,7 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
 
     names = parts.columns
 
+    @tidy
     def assign(batches):
         firsts = {x: [e[0] for e in rows] for x, rows in table.items()}
         for batch in batches:

@@ -3,20 +3,23 @@
 A byte goes if it lies in a string of LENGTH bytes that also starts earlier
 (smaller document id, or the same document further left).
 
-1. Every string of LENGTH bytes picks one anchor in it, its GRAM-byte gram of
-   least hash, so equal strings pick equal grams at the same place.  Only the
-   hashes of anchors are compared; those met once cannot belong to a repeat.
+1. Candidates are found by hashing, not by sorting: every string of LENGTH
+   bytes picks one anchor in it, its GRAM-byte gram of least hash, so equal
+   strings pick equal grams at the same place.  Only the hashes of anchors are
+   compared; those met once cannot belong to a repeat, and their strings are
+   never sorted.
 2. The strings of the other anchors, as one context for each anchor, are dealt
    to shards by the anchor's hash: equal strings meet in one shard.
 3. A shard's contexts are sorted by Larsson-Sadakane refinement, common
    prefixes follow by Kasai's recurrence, and in each run of suffixes with
    LENGTH common bytes all but the earliest are repeats.
-4. An anchor found everywhere makes a shard too large; such a shard is split,
-   each part is sorted by itself, and the parts' first occurrences are merged
-   by binary search in each other's sorted lists.
+4. A shard of more than SHARD_BYTES (an anchor found everywhere makes one) is
+   cut into parts of about that size; each is sorted by itself, and the parts'
+   first occurrences are merged by binary search in each other's sorted lists.
+   There a string stands for itself by two independent 64-bit hashes.
 
-Contexts that are the same as an earlier one of the same block of documents
-are repeats already and are not sent at all.
+Contexts that are byte for byte the same as an earlier one of the same block of
+documents are repeats already and are not sent at all.
 """
 
 from __future__ import annotations
@@ -27,16 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import RAW, Spans, blocks, column, mix, partitions, stage
+from attesta.llm.common import Spans, blocks, column, free_name, mix, one_text_a_key, partitions, small_lists, stage, tidy
 
 #: Bytes of a repeat, and of the grams that anchor it.
 LENGTH, GRAM = 100, 32
-#: Bytes of contexts that a suffix array is built over.
-SHARD_BYTES = 3_000_000
-#: Bytes of candidate lists or removal lists up to which they are broadcast.
-BROADCAST_BYTES = 24_000_000
-_LAST = (1 << 63) - 1
-_OTHER = mix(RAW + np.uint64(1))
+#: Bytes of contexts that a suffix array is built over; shards are meant to hold half as many.
+SHARD_BYTES = 4_000_000
+#: Bytes of text whose anchors meet in one group.
+RANGE_BYTES = 6_000_000
 _CHARS = 7  # of 9 bits in a word
 
 
@@ -87,9 +88,22 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _first_of_each(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each span is the first of its bytes, in the given order of the spans."""
+    seen, first = set(), np.zeros(len(order), bool)
+    raw, starts, ends = data.tobytes(), starts.tolist(), ends.tolist()
+    for i in order.tolist():
+        own = raw[starts[i] : ends[i]]
+        if own not in seen:
+            seen.add(own)
+            first[i] = True
+    return first
+
+
 def _shared_anchors(texts: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
     """(doc, numbers): packed numbers of the anchors of each document whose hash is met elsewhere; several rows for a document."""
 
+    @tidy
     def scan(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
@@ -219,9 +233,7 @@ class Contexts:
     def __init__(self, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, anchors: np.ndarray, data: np.ndarray, length: int, alone: bool = True):
         cuts = np.concatenate(([0], np.cumsum(counts + length - 1)))
         order = np.lexsort((starts, docs))
-        digest = mix(Spans(data).hash(cuts[:-1], cuts[1:]) ^ mix(Spans(data, _OTHER).hash(cuts[:-1], cuts[1:])))[order]
-        keep = np.zeros(len(order), bool)
-        keep[np.unique(digest, return_index=True)[1]] = True
+        keep = _first_of_each(data, cuts[:-1], cuts[1:], order)[order]
         late = order[~keep]
         self.again = docs[late], starts[late], starts[late] + counts[late] + length - 1
         order = order[keep]
@@ -273,6 +285,7 @@ def _pack_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int,
     """Contexts of the wanted anchors by shard, and (shard -1) runs that are repeats of the same block. Packed arrays of a block in each row."""
     names = ["shard", "n_bytes", "docs", "starts", "counts", "anchors", "data"]
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
@@ -285,11 +298,8 @@ def _pack_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int,
                 ids = column(part, "doc").to_numpy(zero_copy_only=False)
                 docs, first, last = ids[a.row[pick]], a.first[pick], a.last[pick]
                 starts, counts, end = first - offsets[a.row[pick]], last - first + 1, last + length
-                one, two = Spans(data).hash(first, end), Spans(data, _OTHER).hash(first, end)
-                order = np.lexsort((starts, docs, two, one))
-                new = np.ones(len(order), bool)
-                new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-                again, keep = order[~new], order[new]
+                new = _first_of_each(data, first, end, np.lexsort((starts, docs)))
+                again, keep = np.flatnonzero(~new), np.flatnonzero(new)
                 rows = []
                 if len(again):
                     rows.append((-1, 0, docs[again].astype("<i8").tobytes(), starts[again].astype("<i8").tobytes(), (counts[again] + length - 1).astype("<i8").tobytes(), b"", b""))
@@ -318,6 +328,7 @@ def _open(group: pa.Table, length: int, alone: bool) -> Contexts:
 def _ranges_of(shared: DataFrame) -> DataFrame:
     """(doc, numbers, m): each document's m anchor numbers as packed pairs (first, how many); numbers of a copied passage follow each other."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             out, m = [], []
@@ -334,15 +345,15 @@ def _ranges_of(shared: DataFrame) -> DataFrame:
 def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, a, b): byte ranges to remove, which may touch or overlap."""
     spark = texts.sparkSession
-    shared = _shared_anchors(texts, length, gram, 2 * partitions(spark))
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shared = _shared_anchors(texts, length, gram, max(partitions(spark), -(-total // RANGE_BYTES)))
     wanted = stage(_ranges_of(shared))
-    n_bytes, n, anchors = wanted.agg(F.coalesce(F.sum(F.length("numbers")), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    wanted = wanted.select("doc", "numbers")
-    if n_bytes + 50 * n <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    shards = max(partitions(spark), -(-anchors * (length + gram) // SHARD_BYTES))
+    anchors = wanted.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    wanted = small_lists(wanted.select("doc", "numbers"), F.length("numbers"))
+    shards = max(partitions(spark), -(-anchors * (length + gram) // (SHARD_BYTES // 2)))
     packed = stage(_pack_contexts(texts, wanted, length, gram, shards))
 
+    @tidy
     def unpack(batches):
         for batch in batches:
             for r in batch.select(["docs", "starts", "counts"]).to_pylist():
@@ -351,9 +362,8 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     local = packed.filter("shard < 0").select("docs", "starts", "counts").mapInArrow(unpack, _RUNS)
 
-    # parts of a shard: one, unless it is much larger than meant
-    parts = packed.filter("shard >= 0").groupBy("shard").agg(F.sum("n_bytes").alias("m")).select("shard", F.when(F.col("m") > 3 * SHARD_BYTES, F.ceil(F.col("m") / SHARD_BYTES)).otherwise(1).cast("int").alias("parts"))
-    dealt = packed.filter("shard >= 0").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("docs", "starts"), F.col("parts")))
+    parts = stage(packed.filter("shard >= 0").groupBy("shard").agg(F.ceil(F.sum("n_bytes") / SHARD_BYTES).cast("int").alias("parts")))
+    dealt = packed.filter("shard >= 0").join(small_lists(parts, F.lit(0)), "shard").withColumn("part", F.pmod(F.xxhash64("docs", "starts"), F.col("parts")))
 
     def sort_shard(group: pa.Table) -> pa.Table:
         parts = group.column("parts")[0].as_py()
@@ -365,7 +375,7 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         if parts > 1:  # first occurrences, in the order of their digests
             at = np.flatnonzero(own.is_start & ~marked)
             raw = np.maximum(own.text - 1, 0).astype(np.uint8)
-            one, two = Spans(raw).hash(at, at + length), Spans(raw, _OTHER).hash(at, at + length)
+            one, two = Spans(raw).hash(at, at + length), Spans(raw, base=1).hash(at, at + length)
             by = np.lexsort((two, one))
             at, one, two = at[by], one[by], two[by]
             lane = np.searchsorted(own.lanes, at, "right") - 1
@@ -380,36 +390,52 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     def merge(group: pa.Table) -> pa.Table:
         docs, a, b, part = (group.column(c).to_numpy() for c in ("doc", "a", "b", "part"))
         one, two = (group.column(c).to_numpy().view(np.uint64) for c in ("one", "two"))
-        key = mix(one ^ mix(two))
         late = np.zeros(len(docs), bool)
         lists = [np.flatnonzero(part == p) for p in np.unique(part)]
         order = np.lexsort((a, docs))
         age = np.empty(len(docs), np.int64)  # earlier strings have smaller numbers
         age[order] = np.arange(len(docs))
-        every = np.unique(key)
-        first = np.full(len(every), len(docs))
-        for own in lists:  # each part's sorted list finds its place in the merged one by binary search
-            np.minimum.at(first, np.searchsorted(every, key[own]), age[own])
+        by = np.lexsort((two, one))
+        new = np.ones(len(by), bool)
+        new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
+        every, second = one[by][new], two[by][new]  # the merged list
+        first, place = np.full(len(every), len(docs)), np.zeros(len(docs), np.int64)
+        for own in lists:  # each part's strings find their places in it by binary search: equal first hashes are a run, the second decides within it
+            low, high = np.searchsorted(every, one[own]), np.searchsorted(every, one[own], "right")
+            for k in range(int((high - low).max(initial=0))):
+                spot = np.minimum(low + k, high - 1)
+                hit = second[spot] == two[own]
+                place[own[hit]] = spot[hit]
+            np.minimum.at(first, place[own], age[own])
         for own in lists:
-            late[own] = age[own] > first[np.searchsorted(every, key[own])]
+            late[own] = age[own] > first[place[own]]
         return pa.table({"doc": docs[late], "a": a[late], "b": b[late]})
 
     across = found.filter("r >= 0").groupBy("shard", "r").applyInArrow(merge, _RUNS)
     return local.unionByName(found.filter("r < 0").select("doc", "a", "b")).unionByName(across)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", cut_text: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``kept`` (binary: the remaining bytes), ``n_bytes``, ``n_removed`` and ``spans`` (start, end of each removed run).
 
-    A null text is empty.  Null ids come last.  Rows that repeat an id are one
-    document: their strings have the same places, and each loses what repeats
-    elsewhere earlier.  All columns pass through; ``kept`` may end or begin
-    inside a character where a run does.  An empty table gives an empty result.
+    ``kept`` may end or begin inside a character where a run does.  With
+    ``cut_text`` the text itself is replaced by what is left of it and there is
+    no ``kept``: a character of which a run took some bytes goes whole, and
+    null texts stay null.
+
+    A null text is empty.  Documents come in the order of their ids, null ids
+    last; texts that share an id, or have none, come in the order of a hash,
+    and rows that repeat id and text are one document, which loses what repeats
+    elsewhere earlier.  All other columns pass through, but for those of the
+    new names, which are replaced.  An empty table gives an empty result.
     """
+    docs = docs.drop("kept", "n_bytes", "n_removed", "spans")
     gram = min(GRAM, max(1, length // 3))
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
-    texts = docs.select(key.alias("doc"), F.col(text_col).alias("text"))
+    key = free_name([*docs.columns, "spans"], "__key")
+    keyed = one_text_a_key(docs, id_col, text_col, key)
+    texts = keyed.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))
 
+    @tidy
     def unite(batches):
         for batch in batches:
             out = []
@@ -421,43 +447,36 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     else:
                         own.append([a, b])
                 out.append([{"start": a, "end": b} for a, b in own])
-            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["__key", "spans"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[key, "spans"])
 
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     ranges = repeated_runs(texts, length, gram).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    spans = stage(ranges.mapInArrow(unite, T.StructType([T.StructField("__key", T.LongType()), T.StructField("spans", spans_type)])))
-    n, m = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    joined = docs.withColumn("__key", key).join(F.broadcast(spans) if 50 * n + 40 * m <= BROADCAST_BYTES else spans, "__key", "left").drop("__key")
-    names = [*docs.columns, "kept", "n_bytes", "n_removed", "spans"]
+    spans = stage(ranges.mapInArrow(unite, T.StructType([T.StructField(key, T.LongType()), T.StructField("spans", spans_type)])))
+    joined = keyed.join(small_lists(spans, 40 * F.size("spans")), key, "left").select(*docs.columns, "spans")
+    more = [T.StructField("kept", T.BinaryType())] * (not cut_text) + [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", spans_type)]
+    schema = T.StructType([*docs.schema.fields, *more])
+    at = docs.columns.index(text_col)
 
+    @tidy
     def cut(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, text_col):
                 kept, gone = [], []
                 lists = [x or [] for x in column(part, "spans").to_pylist()]
                 for r, own in enumerate(lists):
-                    text, at, pieces = data[offsets[r] : offsets[r + 1]].tobytes(), 0, []
+                    text, to, pieces = data[offsets[r] : offsets[r + 1]].tobytes(), 0, []
                     for x in own:
-                        pieces.append(text[at : x["start"]])
-                        at = x["end"]
-                    kept.append(b"".join([*pieces, text[at:]]) if own else text)
+                        pieces.append(text[to : x["start"]])
+                        to = x["end"]
+                    kept.append(b"".join([*pieces, text[to:]]) if own else text)
                     gone.append(sum(x["end"] - x["start"] for x in own))
+                cols = part.columns[:-1]
+                if cut_text:
+                    null = part.column(at).is_null().to_pylist()
+                    cols[at] = pa.array([None if z else k.decode("utf-8", "ignore") for k, z in zip(kept, null, strict=True)], pa.string())
+                else:
+                    cols.append(pa.array(kept, pa.binary()))
                 last = pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), last], names=names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), last], names=schema.names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", spans_type)])
     return joined.mapInArrow(cut, schema)
-
-
-def kept_text(cut: DataFrame, text_col: str = "text") -> DataFrame:
-    """The result of ``suffix_dedup`` with ``kept`` as its text. A character of which a run took some bytes goes whole; null texts stay null."""
-
-    def run(batches):
-        for batch in batches:
-            at, kept = batch.schema.get_field_index(text_col), batch.schema.get_field_index("kept")
-            for part, _, _ in blocks(batch, "kept"):
-                was = part.column(at)
-                texts = [None if t is None else b.decode("utf-8", "ignore") for t, b in zip(was.to_pylist(), part.column(kept).to_pylist(), strict=True)]
-                yield part.set_column(at, part.schema.field(at), pa.array(texts, was.type))
-
-    return cut.mapInArrow(run, cut.schema)

@@ -3,8 +3,11 @@
 The pre-tokenizers of the vocabularies used here end a token wherever white
 space begins (but for one space before a word) and between a letter and an
 ASCII character that is none, so ids of a text are those of its chunks in a
-row.  Each Python worker keeps the ids of the chunks it has met lately, two
-generations of ``CACHE_CHUNKS``; the library encodes the others in batches.
+row.  A task keeps the ids of the chunks it has met lately, two generations of
+``CACHE_CHUNKS``; the library encodes the others in batches.
+
+Texts that hold the string of an added token are encoded as they are: the
+library takes that string for the token, wherever it stands.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import os
 import re
 from array import array
 
+from attesta.llm.common import forgets
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space of Unicode, fixed values (property White_Space).
@@ -33,15 +38,23 @@ WORD_CHUNKS = re.compile(f"[{LETTERS}]+{_STOP}|[^{WHITE}]+")
 _encoders: dict = {}
 
 
+@forgets
+def _forget() -> None:
+    for e in _encoders.values():
+        e.known, e.older = {}, {}
+
+
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, without special tokens."""
+    """Little-endian unsigned 32-bit ids of texts, as the library encodes them with ``add_special_tokens=False``."""
 
     def __init__(self, tokenizer, chunks: re.Pattern):
-        tokenizer.encode_special_tokens = True
         self.tokenizer, self.chunks, self.known, self.older = tokenizer, chunks, {}, {}
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks.findall(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if self.added.search(t)} if self.added else set()
+        parts = [() if i in whole else self.chunks.findall(t) for i, t in enumerate(texts)]
         wanted = set().union(*parts)
         if len(self.known) + len(wanted) > CACHE_CHUNKS:
             self.known, self.older = {}, self.known
@@ -57,6 +70,8 @@ class Encoder:
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[c] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for i in whole:
+            out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
         for c in new:
             if len(c) > CACHE_CHARS:
                 del known[c]
@@ -67,7 +82,11 @@ def encoder(path: str, chunks: re.Pattern = BYTE_CHUNKS) -> Encoder:
     """The worker's encoder of a vocabulary file of the tokenizers library."""
     from tokenizers import Tokenizer
 
-    key = (path, chunks.pattern)
+    return kept_encoder((path, chunks.pattern), lambda: Encoder(Tokenizer.from_file(path), chunks))
+
+
+def kept_encoder(key, make) -> Encoder:
+    """One encoder a worker for each key; what it has learnt of texts is forgotten when a task ends."""
     if key not in _encoders:
-        _encoders[key] = Encoder(Tokenizer.from_file(path), chunks)
+        _encoders[key] = make()
     return _encoders[key]

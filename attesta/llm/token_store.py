@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import blocks, column, mix, partitions, range_bounds, range_key
+from attesta.llm.common import blocks, column, mix, partitions, range_bounds, range_key, tidy
 from attesta.llm.token_cache import encoder
 
 #: Ids in a shard; a longer document is a shard of its own.
@@ -119,6 +119,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
     n = partitions(docs.sparkSession)
     bounds = range_bounds(docs, id_col, n)
 
+    @tidy
     def encode(batches):
         enc = encoder(vocabulary)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16
@@ -130,6 +131,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
                     ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
                 yield pa.RecordBatch.from_arrays([column(part, id_col).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([2 if narrow else 4] * len(ids), pa.int32())], names=["key", "ids", "width"])
 
+    @tidy
     def pack(batches):
         schema = pa.schema([(f.name, {"integer": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.dataType.typeName() if f.dataType.typeName() != "bigint" else "long"]) for f in SHARD.fields])
         at, total, width, keys, parts, size = None, 0, 4, [], [], 0
@@ -181,6 +183,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     order = sorted(totals)
     base = dict(zip(order, accumulate([0, *(totals[p] for p in order)]), strict=False))
 
+    @tidy
     def open_all(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -206,6 +209,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
         return spark.createDataFrame([], "key bigint, ids binary")
     near = F.exists(F.lit(wanted.tolist()).cast("array<bigint>"), lambda k: (F.col("first_key") <= k) & (F.col("last_key") >= k))
 
+    @tidy
     def probe(batches):
         for batch in batches:
             for row in batch.to_pylist():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, Spans, blocks, column, word_spans
+from attesta.llm.common import LOWER, Spans, blocks, column, tidy, word_spans
 
 #: Features are hashed to 2^BITS weights.
 BITS = 18
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [ids.filter(F.col("__y") == c).orderBy("__h", id_col).limit(MAX_PER_CLASS).select(id_col, "__y") for c in (0, 1)]
     bags = docs.select(id_col, text_col).join(F.broadcast(chosen[0].unionByName(chosen[1])), id_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, text_col):
@@ -158,6 +159,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
     names = [*keep, "score", "n_sentences", "offending"]
 
+    @tidy
     def run(batches):
         m = Model(weights, bias)
         for batch in batches:

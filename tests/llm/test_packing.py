@@ -66,7 +66,6 @@ def test_pack_edges(spark, monkeypatch):
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = {}
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids + [0]

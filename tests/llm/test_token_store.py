@@ -13,7 +13,6 @@ VOCAB = P.path("byte_bpe_50k.json")
 
 def plain():
     t = Tokenizer.from_file(VOCAB)
-    t.encode_special_tokens = True
     return t
 
 
