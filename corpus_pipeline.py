@@ -2,12 +2,15 @@
 
 Each stage works on all rows of the one before, which are written as Parquet
 and read again in between.  All but the last return the columns of
-``documents``; where a stage changes a text, ``n_chars`` follows it.
+``documents``; where a stage changes a text, ``n_chars`` follows it.  Null
+texts and null or repeated ids are rows like others, as the operators' own
+rules have it; other columns are left behind; an empty table goes through as an
+empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import line_dedup, near_dedup, packing, queries, suffix_dedup, toxicity
@@ -16,12 +19,20 @@ from attesta.llm.common import shared_dir, small, stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _changed(before: DataFrame) -> DataFrame:
-    """Rows with their new text, the old one being ``__old``; rows of which nothing but white space is left go, unless they had no more before."""
-    blank = lambda c: ~F.col(c).rlike(r"[^\x20\x09-\x0D]")
-    same = F.col("text").eqNullSafe(F.col("__old"))
-    length = F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("bigint")).alias("n_chars")
-    return before.filter(F.col("text").isNull() | ~blank("text") | blank("__old")).select("doc_id", "text", "lang", "source", length)
+def _blank(text) -> Column:
+    """Whether there is nothing but white space."""
+    return ~text.rlike(r"[^\x20\x09-\x0D]")
+
+
+def _changed(after: DataFrame) -> DataFrame:
+    """The columns of documents of rows with ``n_removed`` and ``was_blank``: a row that lost all but white space goes, one that had no more before stays."""
+    cut = F.col("n_removed") > 0
+    length = F.when(cut, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars")
+    return after.filter(~cut | F.col("was_blank") | ~_blank(F.col("text"))).select("doc_id", "text", "lang", "source", length)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.coalesce(_blank(F.col("text")), F.lit(True)).alias("was_blank"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, but for a word, go."""
-    return _changed(line_dedup.line_dedup(docs.select(*COLUMNS, F.col("text").alias("__old"))))
+    return _changed(line_dedup.line_dedup(_marked(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 100 bytes that also start earlier go."""
-    return _changed(suffix_dedup.kept_text(suffix_dedup.suffix_dedup(docs.select(*COLUMNS, F.col("text").alias("__old")))))
+    return _changed(suffix_dedup.suffix_dedup(_marked(docs), cut_text=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that stay, with their places in the sequences; each stage's rows are left in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, function in STAGES:
         path = shared_dir(spark)
