@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import blocks, column, free_name, tidy
+from attesta.llm.common import blocks, column, forgets, free_name, tidy
 from attesta.llm.token_cache import BYTE_CHUNKS, Encoder, kept_encoder
 
 _models: dict = {}
+forgets(_models.clear)
 
 
 @cache
@@ -116,6 +117,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
+    @tidy
     def run(batches):
         table = token_bytes(path)
         for batch in batches:

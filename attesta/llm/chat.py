@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLOCK_BYTES, column, partitions
+from attesta.llm.common import BLOCK_BYTES, column, partitions, tidy
 
 Messages = list[tuple[str, str]]
 Template = Callable[[Messages], str]
@@ -118,11 +118,11 @@ SCHEMA = "conv_id bigint, seq bigint, role string, piece string, start bigint, t
 _ARROW = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_()), ("rewrites", pa.bool_())])
 
 
-def _segments(rows):
-    """(conversation, number of its first turn, turns, last turn before) in order, of at most SEGMENT turns."""
+def _segments(rows, window):
+    """(conversation, number of its first turn, turns, last turn before) in order, of at most ``window`` turns; None is no limit."""
     at, seq, turns, last = None, 0, [], []
     for k, role, text in rows:
-        if turns and (k != at or len(turns) == SEGMENT):
+        if turns and (k != at or len(turns) == window):
             yield at, seq, turns, last
             seq, last, turns = seq + len(turns), turns[-2:], []
         if k != at or not (turns or seq):
@@ -132,10 +132,10 @@ def _segments(rows):
         yield at, seq, turns, last
 
 
-def _windows(rows, template):
+def _windows(rows, template, window):
     """(conversation, seq, role, piece, text start, text end, rewrites) of each turn, window by window."""
     at, rewrites = None, False
-    for k, seq, own, last in _segments(rows):
+    for k, seq, own, last in _segments(rows, window):
         rewrites = rewrites and seq > 0
         context = last[-1:]
         found = spans(own, template, context)
@@ -150,18 +150,18 @@ def _windows(rows, template):
         at = found[-1][0] if found else None
 
 
-def _whole(rows, template):
+def _whole(rows, template, window):
     """As _windows, a conversation at a time: beyond a window the output of all turns so far is compared with the joined pieces at each doubling and at the end."""
     for k, own in groupby(rows, key=itemgetter(0)):
         turns = [(role or "", text or "") for _, role, text in own]
-        done = list(_windows(((k, *t) for t in turns), template))
-        marks = [n for n in (SEGMENT << i for i in range(1, 64)) if n < len(turns)] + [len(turns)]
-        rewrites = any(r[-1] for r in done) or (len(turns) > SEGMENT and any(template(turns[:n]) != "".join(r[3] for r in done[:n]) for n in marks))
+        done = list(_windows(((k, *t) for t in turns), template, window))
+        marks = [n for n in (window << i for i in range(1, 64)) if n < len(turns)] + [len(turns)] if window else []
+        rewrites = any(r[-1] for r in done) or (bool(window) and len(turns) > window and any(template(turns[:n]) != "".join(r[3] for r in done[:n]) for n in marks))
         for i, r in enumerate(done):
             yield (*r[:3], template(turns) if i == len(turns) - 1 else None, -1, -1, True) if rewrites else r
 
 
-def format_chats(turns: DataFrame, template: Template = instruct_template, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chats(turns: DataFrame, template: Template = instruct_template, loss_roles: tuple[str, ...] = ("assistant",), window: int | None = SEGMENT) -> DataFrame:
     """One row per turn: its span of the formatted conversation and the code points of its text there.
 
     Columns: conv_id, seq (from 0), role, piece, start (in the whole output),
@@ -169,12 +169,13 @@ def format_chats(turns: DataFrame, template: Template = instruct_template, loss_
     rewrites.  The pieces of a conversation in a row are its output.  If the
     template rewrites history, its turns have no piece but the last one, which
     holds the whole output.  Rows are partitioned by conversation and sorted;
-    over SEGMENT turns a conversation is rendered in windows, which presumes
+    over ``window`` turns a conversation is rendered in windows, which presumes
     (and checks, at each boundary) that a turn's span depends on no turn but
-    the one before it.  The template of this module is read turn by turn, so
+    the one before it.  ``window`` None renders every prefix whole: exact for
+    any template, and quadratic in the length of a conversation.  The template of this module is read turn by turn, so
     that a conversation with a third of all turns needs no more memory than
     another.  Of other templates the pieces are compared with the output of all
-    turns so far at each doubling of SEGMENT and at the end, for which a task
+    turns so far at each doubling of ``window`` and at the end, for which a task
     holds one conversation; a template that rewrites between two of these
     lengths only, and beyond the window, is not seen.
 
@@ -184,13 +185,14 @@ def format_chats(turns: DataFrame, template: Template = instruct_template, loss_
 
     local = template is instruct_template
 
+    @tidy
     def run(batches):
         def rows():
             for batch in batches:
                 yield from zip(column(batch, "conv_id").to_pylist(), column(batch, "role").to_pylist(), column(batch, "text").to_pylist(), strict=True)
 
         out, size, total = [], 0, 0
-        for k, seq, role, piece, a, b, rewrites in _windows(rows(), template) if local else _whole(rows(), template):
+        for k, seq, role, piece, a, b, rewrites in _windows(rows(), template, window) if local and window else _whole(rows(), template, window):
             total = total if seq else 0
             out.append((k, seq, role, piece, total, a, b, role in loss_roles and a >= 0, rewrites))
             total += len(piece or "")
@@ -206,18 +208,34 @@ def format_chats(turns: DataFrame, template: Template = instruct_template, loss_
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from the rows of ``format_chats`` with its own template, in their partitions and order."""
+    """Per conversation, read back from the rows of ``format_chats`` with its own template, in their partitions and order.
+
+    A digest is one pass over the turns in order, so a conversation is one
+    task's work, a turn at a time in memory.  Null conv_ids are one conversation
+    and rows that repeat a turn are turns like others; a conversation whose
+    template rewrites history has null digests; an empty table gives an empty
+    result.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
+    @tidy
     def run(batches):
         open_, at, done = False, None, []
+        n, turns, chars, under, total, whole = 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True
+
+        def row():
+            return (at, n, turns.hexdigest() if whole else None, chars if whole else None, under.hexdigest() if whole else None, total)
+
         for batch in batches:
-            for k, seq, piece, a, b, loss in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "seq", "piece", "text_start", "text_end", "loss")), strict=True):
+            for k, seq, piece, a, b, loss, rewritten in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "seq", "piece", "text_start", "text_end", "loss", "rewrites")), strict=True):
                 if not seq:
                     if open_:
-                        done.append((at, n, turns.hexdigest(), chars, under.hexdigest(), total))
-                    open_, at, n, turns, chars, under, total = True, k, 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+                        done.append(row())
+                    open_, at, n, turns, chars, under, total, whole = True, k, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True
+                if piece is None or rewritten:
+                    whole, n, total = False, n + 1, total + len(piece or "")
+                    continue
                 role, text = read_turn(piece)
                 turns.update(f"{role}\n{text}\n".encode())
                 if loss:
@@ -229,7 +247,6 @@ def digests(formatted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
                 done = []
         if open_:
-            last = (at, n, turns.hexdigest(), chars, under.hexdigest(), total)
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row(), kinds, strict=True)], names=names)
 
-    return formatted.select("conv_id", "seq", "piece", "text_start", "text_end", "loss").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select("conv_id", "seq", "piece", "text_start", "text_end", "loss", "rewrites").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

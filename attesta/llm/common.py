@@ -126,18 +126,23 @@ def forgets(clear):
     return clear
 
 
+def give_back() -> None:
+    """Empties the worker's caches and gives free memory back to the system."""
+    for clear in _caches:
+        clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy(run):
-    """``run``, whose worker empties its caches and gives memory back to the system when a task ends: workers are used again, by other operators too."""
+    """``run``, whose worker gives memory back when a task ends: workers are used again, by other operators too."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            for clear in _caches:
-                clear()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back()
 
     return wrapped
 

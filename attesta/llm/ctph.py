@@ -22,6 +22,8 @@ WINDOW = 7
 #: Smallest block size is 2^LEAST; about SIGNATURE chunks at most are aimed at, and at least a quarter of that.
 LEAST, SIGNATURE = 2, 64
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+#: Bytes of text of a range of ids, which is a task's work.
+RANGE_BYTES = 8_000_000
 #: Pairs whose edit distances are computed side by side.
 PAIRS = 1000
 
@@ -136,19 +138,23 @@ def likeness(pairs: list[tuple[str, str]]) -> list[float]:
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(p, look, ord, id, text): rows dealt by ranges of ids and sorted downwards in each; the first row of the next range, or of all, follows with look = 1.
+    """(p, look, ord, id, text): rows dealt by ranges of ids, a range to a partition, and sorted downwards in each; the first row of the next range, or of all, follows with look = 1.
 
-    Ranges come from the ids alone; what goes through the driver is a number for each range.
+    Ranges hold about equal bytes of text, RANGE_BYTES at most, but for a longer
+    text and for rows that share an id (null too); what goes through the driver
+    is a few numbers for each range.
     """
-    n = partitions(docs.sparkSession)
-    ord_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    bounds = range_bounds(docs, id_col, n)
-    ranged = docs.select(range_key(ord_, bounds).alias("p"), ord_.alias("ord"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(partitions(docs.sparkSession), -(-total // RANGE_BYTES))
+    bounds = range_bounds(rows, "id", F.octet_length("text") + 64, n)
+    ord_ = F.coalesce("id", F.lit(-(1 << 63)))
+    ranged = rows.select(range_key(ord_, bounds).alias("p"), ord_.alias("ord"), "id", "text")
     tops = sorted(ranged.groupBy("p").agg(F.max("ord").alias("top")).collect())
     ahead = [(tops[i].top, tops[(i + 1) % len(tops)].p) for i in range(len(tops))]
     ahead = F.broadcast(docs.sparkSession.createDataFrame(ahead, "ord bigint, dest int"))
     both = ranged.join(ahead, "ord", "left").withColumn("to", F.explode(F.when(F.col("dest").isNull(), F.array(F.struct("p", F.lit(0).alias("look")))).otherwise(F.array(F.struct("p", F.lit(0).alias("look")), F.struct(F.col("dest").alias("p"), F.lit(1).alias("look"))))))
-    return both.select("to.p", "to.look", "ord", "id", "text").repartition(n, "p").sortWithinPartitions("p", "look", F.col("ord").desc(), "text")
+    return both.select("to.p", "to.look", "ord", "id", "text").repartitionById(len(bounds) + 1, F.col("p")).sortWithinPartitions("p", "look", F.col("ord").desc(), "text")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

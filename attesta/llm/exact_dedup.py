@@ -16,6 +16,8 @@ from attesta.llm.common import SPACES, small, stage
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 64
+#: Most repeated digests (about 150 bytes each) that are broadcast.
+GROUPS = 150_000
 
 
 def without_spaces(text: Column) -> Column:
@@ -52,6 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     best = F.struct((-F.col("n_chars")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"))
     groups = hashed.filter("deep").groupBy("sha").agg(F.min(best).getField("c").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # repeated digests are few; beyond the bound both sides shuffle as they are, so that Spark can split a digest with very many rows
+    groups = small(stage(groups), GROUPS)
     return hashed.join(groups, "sha", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),

@@ -69,8 +69,8 @@ class Sums:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with words: its hash, place, number of words and, if long enough, the hashes of its halves (two lengths of each)."""
-    names = ["h", "doc", "line", "n", "p0", "p1", "s0", "s1"]
+    """Every line with words: its hash and place.  The first of its document also has how often it occurs there, its number of words and the hashes of its halves (two lengths of each)."""
+    names = ["h", "doc", "line", "often", "n", "p0", "p1", "s0", "s1"]
 
     @tidy
     def run(batches):
@@ -79,18 +79,23 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 own = Lines(data, offsets)
                 sums = Sums(own.words)
                 a, b = own.cuts[:-1], own.cuts[1:]
-                n = b - a
+                n, h = b - a, sums.run(a, b)
+                order = np.lexsort((np.arange(len(h)), h, own.row))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (own.row[order][1:] != own.row[order][:-1])
+                often = np.zeros(len(h), np.int64)
+                often[order[new]] = np.diff(np.append(np.flatnonzero(new), len(h)))
                 lo, hi = (n - 1) // 2, (n + 1) // 2
                 ids = column(part, "doc").to_numpy(zero_copy_only=False)
                 # of n-1, n and n+1 words two lengths of a half differ; which half it is and its length are part of the key
-                cols = [sums.run(a, b), ids[own.row], own.number, n, sums.run(a, a + lo), sums.run(a, a + hi), ~sums.run(b - lo, b), ~sums.run(b - hi, b)]
+                cols = [h, ids[own.row], own.number, often, n, sums.run(a, a + lo), sums.run(a, a + hi), ~sums.run(b - lo, b), ~sums.run(b - hi, b)]
                 yield pa.RecordBatch.from_arrays([longs(c) if c.dtype == np.uint64 else pa.array(c.astype(np.int64)) for c in cols], names=names)
 
     return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, doc, line, words) of the wanted (doc, lines)."""
+    """(seq, h, words) of the wanted (doc, lines), numbered in the order of documents and lines."""
 
     @tidy
     def run(batches):
@@ -107,7 +112,9 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 flat = np.arange(cuts[-1]) - np.repeat(cuts[:-1] - a, b - a)
                 yield pa.RecordBatch.from_arrays([longs(sums.run(a, b)), pa.array(ids[own.row[pick]]), pa.array(own.number[pick]), long_lists(own.words[flat], cuts)], names=["h", "doc", "line", "words"])
 
-    return docs.join(wanted, "doc").mapInArrow(run, "h bigint, doc bigint, line bigint, words array<bigint>")
+    found = stage(docs.join(wanted, "doc").mapInArrow(run, "h bigint, doc bigint, line bigint, words array<bigint>"))
+    # rows that repeat id and text are one document
+    return found.repartitionByRange("doc", "line").dropDuplicates(["doc", "line"]).sortWithinPartitions("doc", "line").withColumn("seq", F.monotonically_increasing_id()).select("seq", "h", "words")
 
 
 def _cuts(n: np.ndarray, edits: int):
@@ -127,8 +134,8 @@ def _cuts(n: np.ndarray, edits: int):
 
 
 def _variants(lines: DataFrame, edits: int) -> DataFrame:
-    """(key, gaps, h, doc, line): each line's hash without gaps, and its variants with up to ``edits`` words deleted: a gap is named by the number of words left before it, once for each word deleted there."""
-    names = ["key", "gaps", "h", "doc", "line"]
+    """(key, gaps, seq): each line's hash without gaps, and its variants with up to ``edits`` words deleted: a gap is named by the number of words left before it, once for each word deleted there."""
+    names = ["key", "gaps", "seq"]
 
     @tidy
     def run(batches):
@@ -140,15 +147,15 @@ def _variants(lines: DataFrame, edits: int) -> DataFrame:
                 words = np.ascontiguousarray(lists.flatten().to_numpy()).view(np.uint64)
                 cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
                 sums, n = Sums(words), np.diff(cuts)
-                rest = [column(part, c) for c in ("h", "doc", "line")]
-                yield pa.RecordBatch.from_arrays([longs(sums.run(cuts[:-1], cuts[1:])), pa.array([[]] * len(n), pa.list_(pa.int32())), *rest], names=names)
+                seq = column(part, "seq")
+                yield pa.RecordBatch.from_arrays([longs(sums.run(cuts[:-1], cuts[1:])), pa.array([[]] * len(n), pa.list_(pa.int32())), seq], names=names)
                 for owner, places in _cuts(n, edits):
                     j = places.shape[1]
                     keys = sums.without(cuts[:-1][owner], cuts[:-1][owner][:, None] + places, cuts[1:][owner])
                     gaps = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * j), pa.array((places - np.arange(j)).astype(np.int32).ravel()))
-                    yield pa.RecordBatch.from_arrays([longs(keys), gaps, *(r.take(pa.array(owner)) for r in rest)], names=names)
+                    yield pa.RecordBatch.from_arrays([longs(keys), gaps, seq.take(pa.array(owner))], names=names)
 
-    return lines.mapInArrow(run, "key bigint, gaps array<int>, h bigint, doc bigint, line bigint")
+    return lines.mapInArrow(run, "key bigint, gaps array<int>, seq bigint")
 
 
 def within(a: list[int], b: list[int], edits: int) -> bool:
@@ -181,9 +188,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
             ok = [within(x, y, edits) for x, y in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "h").filter(pa.array(ok, pa.bool_()))], names=["h"])
 
-    a = lines.select("h", F.col("words").alias("a"))
-    b = lines.select(F.col("h").alias("w"), F.col("words").alias("b"))
-    return pairs.join(a, "h").join(b, "w").select("h", "a", "b").mapInArrow(run, "h bigint")
+    a = lines.select("seq", "h", F.col("words").alias("a"))
+    b = lines.select(F.col("seq").alias("e"), F.col("words").alias("b"))
+    return pairs.join(a, "seq").join(b, "e").select("h", "a", "b").mapInArrow(run, "h bigint")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least_words: int) -> DataFrame:
@@ -198,16 +205,15 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least_words: int)
     lines = stage(_words_of(docs, small_lists(wanted, 8 * F.size("lines"))))
 
     every = stage(_variants(lines, edits))
-    keys = stage(every.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("key"))
+    keys = stage(every.groupBy("key").agg(F.min("seq").alias("x"), F.max("seq").alias("y")).filter("x < y").select("key"))
     met = stage(every.join(keys.hint("merge"), "key"))
-    first = stage(met.groupBy("key", "gaps").agg(F.min(F.struct("doc", "line", F.col("h").alias("w"))).alias("e")))
+    first = stage(met.groupBy("key", "gaps").agg(F.min("seq").alias("e")))
     # two gaps lie within the bound if their sizes less what they have in common do: of each key, common part and size only the earliest line counts
     subsets = F.array_distinct(F.aggregate("gaps", F.array(F.array().cast("array<int>")), lambda t, x: F.concat(t, F.transform(t, lambda y: F.concat(y, F.array(x))))))
     parts = first.withColumn("common", F.explode(subsets))
     best = parts.groupBy("key", "common", F.size("gaps").alias("s")).agg(F.min("e").alias("e"))
     reach = parts.select("key", "gaps", "common").join(best, ["key", "common"]).filter(F.size("gaps") + F.col("s") - F.size("common") <= edits).groupBy("key", "gaps").agg(F.min("e").alias("e"))
-    earlier = met.join(stage(reach).hint("merge"), ["key", "gaps"]).filter((F.col("e.doc") < F.col("doc")) | ((F.col("e.doc") == F.col("doc")) & (F.col("e.line") < F.col("line"))))
-    pairs = earlier.groupBy("h").agg(F.min("e").getField("w").alias("w"))
+    pairs = met.join(stage(reach).hint("merge"), ["key", "gaps"]).filter("e < seq").groupBy("seq").agg(F.min("e").alias("e"))
     return _verified(pairs, lines, edits).distinct()
 
 
@@ -233,7 +239,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = one_text_a_key(docs, id_col, text_col, key)
     texts = keyed.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))
     found = stage(_occurrences(texts))
-    firsts = stage(found.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("e"), F.count(F.lit(1)).alias("m"), *[F.max(c).alias(c) for c in ("n", "p0", "p1", "s0", "s1")]).select("h", F.col("e.doc").alias("doc"), F.col("e.line").alias("line"), "m", "n", "p0", "p1", "s0", "s1"))
+    # a document has one first line for each hash, so that the least document tells its line
+    firsts = found.filter("often > 0").groupBy("h").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.sum("often").alias("m"), *[F.max(c).alias(c) for c in ("n", "p0", "p1", "s0", "s1")])
+    firsts = stage(firsts)
     gone = firsts.select("h", F.col("doc").alias("d"), F.col("line").alias("l"), "m")
     if edits:
         near = stage(near_lines(texts, firsts, edits, least_words))

@@ -33,6 +33,8 @@ MISS = 1e-6
 BITS = 512
 #: Members of a block when a bucket's components are compared with each other.
 BLOCK = 512
+#: Shingles of such a block, on an average.
+BLOCK_SHINGLES = 1_000_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -137,11 +139,31 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     ends = pairs.select(F.col("u").alias(id_col)).unionByName(pairs.select(F.col("v").alias(id_col))).distinct()
     ends = small(stage(ends))
     sets = stage(_sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(ends, id_col, "left_semi"), id_col, text_col, width))
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "u").join(b, "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return stage(both.withColumn("c", common).filter(F.lit(share[1]) * F.col("c") >= F.lit(share[0]) * (F.size("a") + F.size("b") - F.col("c"))).select("u", "v"))
+    # partners of a document are dealt to parts; its set goes once to each of them
+    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = stage(pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), "v"))
+    heads = dealt.select("u", "part").distinct().select("u", "part", F.lit(None).cast("bigint").alias("v"), F.col("u").alias("id"))
+    rows = heads.unionByName(dealt.withColumn("id", F.col("v"))).join(sets, "id").drop("id")
+
+    @tidy
+    def run(batches):
+        head = None
+        for batch in batches:
+            out = []
+            lists = column(batch, "shingles")
+            flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for r, (u, v) in enumerate(zip(column(batch, "u").to_pylist(), column(batch, "v").to_pylist(), strict=True)):
+                own = flat[cuts[r] : cuts[r + 1]]
+                if v is None:
+                    head = own.copy()
+                    continue
+                common = len(np.intersect1d(head, own, assume_unique=True))
+                if share[1] * common >= share[0] * (len(head) + len(own) - common):
+                    out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    ordered = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    return stage(ordered.mapInArrow(run, "u bigint, v bigint"))
 
 
 def _differ(a: str, b: str):
@@ -214,9 +236,10 @@ def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     every = stage(_signatures(docs, id_col, text_col, width, n_bands))
     signed = every.filter("id is not null and n_shingles > 0")
     classes = stage(signed.groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    own = stage(signed.select("id", "n_shingles", "s1", "s2", "keys", "sketch").join(classes.select("rep", "n_shingles", "s1", "s2"), ["n_shingles", "s1", "s2"]).filter("id = rep").select("id", "keys", "sketch"))
+    # by id, of which each has one row: a class with very many copies is no hot key
+    own = stage(signed.select("id", "n_shingles", "keys", "sketch").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
 
-    keyed = own.select("id", F.posexplode("keys").alias("band", "key"))
+    keyed = own.select("id", "n_shingles", F.posexplode("keys").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     crowded = stage(keyed.join(buckets, "key"))
     candidates = crowded.filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
@@ -228,12 +251,12 @@ def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     edges = _confirm(first, docs, id_col, text_col, width, share)
 
     label = components(edges)
-    member = crowded.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high")
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    apart = stage(member.join(split.select("key", "m"), "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    member = crowded.join(label, "id", "left").select("key", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("size")).filter("low < high")
+    n_blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    apart = stage(member.join(split.select("key", "m", "size"), "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     sets = _sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(small(stage(apart.select(F.col("id").alias(id_col)).distinct())), id_col, "left_semi"), id_col, text_col, width)
-    full = stage(own.join(sets, "id"))
+    full = stage(own.drop("n_shingles").join(sets, "id"))
     dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(full, "id")
 
     def across(group: pa.Table) -> pa.Table:
@@ -245,7 +268,7 @@ def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
 
     label = components(edges)
     # labels of representatives go to their copies
-    copies = signed.select("id", "n_shingles", "s1", "s2").join(classes.filter("copies > 1"), ["n_shingles", "s1", "s2"]).select("id", F.col("rep")).filter("id <> rep")
+    copies = signed.select("id", "n_shingles", "s1", "s2").join(small(stage(classes.filter("copies > 1").drop("copies")), 250_000), ["n_shingles", "s1", "s2"]).select("id", F.col("rep")).filter("id <> rep")
     copies = copies.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     # a representative that is alone is its own component
     final = label.select("id", "component").unionByName(copies)

@@ -2,33 +2,35 @@
 
 Lengths are integers up to the capacity, so all that a packing has to know is
 how many pieces there are of each length: a histogram of at most ``capacity``
-rows, however many documents there are.  Bin completion runs on it: for the
-largest length left it enumerates the undominated fillings of the room beside
-it, pruned by the waste of the best one so far (at first the best single fit),
-and takes the winner as often as the counts allow.  The last few dozen pieces
-are searched to the end by branch and bound.  Pieces then find their place by
-their rank among the pieces of their length, counted bucket by bucket.
+rows, however many documents there are.  Bin completion runs on it, depth
+first: for the largest length left it enumerates the undominated fillings of
+the room beside it, takes one as often as the counts allow, and on the way back
+less often, and then the next.  A branch ends where its waste is more than a
+packing with one bin less than the incumbent can have; the first incumbent is
+best fit.  The search stops at the lower bound, or after ``nodes`` steps; what
+it gives says whether fewer bins are impossible.  Pieces then find their place
+by their rank among the pieces of their length, counted bucket by bucket.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attesta.llm.common import blocks, column, partitions, stage, tidy
+from attesta.llm.common import blocks, column, free_name, partitions, stage, tidy
 from attesta.llm.token_cache import WORD_CHUNKS, encoder
 
-#: Fillings that one step may look at; the best found counts.
-NODES = 4_000
-#: Pieces left when the exhaustive search takes over, and its nodes.
-TAIL, TAIL_NODES = 40, 20_000
+#: Steps of the search, and of them those that one enumeration of fillings may take; None is no limit, and the plan then is optimal.
+NODES, LOOK = 400_000, 4_000
 #: Pieces of a bucket within which ranks are counted.
 BUCKET_ROWS = 50_000
 
@@ -58,55 +60,78 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(run, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def fillings(counts: list[int], room: int, nodes: int = NODES):
-    """Undominated fillings of ``room``, longest pieces first, each with less waste than those before it; the first is the best single fit.
+class Budget:
+    """Steps that are left."""
 
-    A filling to which a further piece could be added is dominated and not given.
+    def __init__(self, nodes: int | None):
+        self.left = float("inf") if nodes is None else nodes
+
+
+def fillings(counts: list[int], room: int, most_waste: int, budget: Budget, look: int | None = LOOK) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room``, longest pieces first, with at most ``most_waste`` left: first an exact one of one or two pieces, then what a short search finds best, then the others by their waste.
+
+    A filling to which a piece could be added, or in which one could be changed
+    for a longer one, is dominated.  ``look`` bounds the steps of each search.
     """
     lengths = [x for x in range(min(room, len(counts) - 1), 0, -1) if counts[x]]
-    best = room + 1
-    least = lengths[-1] if lengths else 0
-    chosen: list[int] = []
-
-    def search(i: int, left: int, taken: int):
-        nonlocal best, nodes
-        if not lengths or left < least:
-            if left < best:
-                best = left
-                yield tuple(chosen)
-            return
-        while i < len(lengths):
-            x = lengths[i]
-            if x > left or counts[x] <= (taken if chosen and chosen[-1] == x else 0):
-                i += 1
-                continue
-            nodes -= 1
-            if not best or nodes < 0:
-                return
-            same = taken + 1 if chosen and chosen[-1] == x else 1
-            chosen.append(x)
-            yield from search(i, left - x, same)
-            chosen.pop()
-            i += 1
-        if left < best and not any(counts[x] > chosen.count(x) for x in lengths if x <= left):
-            best = left
-            yield tuple(chosen)
-
     if not lengths:
-        yield ()
+        if room <= most_waste:
+            yield ()
         return
-    # room for one piece exactly, or for two: no search needed
-    if counts[room] if room < len(counts) else 0:
-        yield (room,)
+    given = set()
+
+    def give(f):
+        if f not in given:
+            given.add(f)
+            yield f
+
+    if room < len(counts) and counts[room]:
+        yield from give((room,))
+        # any other filling without waste is one of parts of this piece's length: dominated
         return
-    for x in lengths:
-        y = room - x
-        if x < y:
-            break
-        if y and counts[y] > (x == y):
-            yield (x, y)
-            return
-    yield from search(0, room, 0)
+    pair = next(((x, room - x) for x in lengths if 2 * x >= room and counts[room - x] > (2 * x == room)), None)
+    if pair:
+        yield from give(pair)
+    for first_only in (True, False):
+        found, chosen, best = [], [], [most_waste + 1]
+        steps = [budget.left if look is None else min(look, budget.left)]
+        at_start = steps[0]
+
+        def search(i: int, left: int, steps=steps, best=best, chosen=chosen, found=found, first_only=first_only) -> None:
+            """Adds lengths[i:] to ``chosen``, longest first."""
+            least = True
+            for j in range(i, len(lengths)):
+                x = lengths[j]
+                if x > left or counts[x] <= chosen.count(x):
+                    continue
+                least = False
+                steps[0] -= 1
+                if steps[0] < 0 or (first_only and not best[0]):
+                    return
+                chosen.append(x)
+                search(j, left - x)
+                chosen.pop()
+            if not least or left >= best[0] or (left and not _undominated(counts, chosen, left)):
+                return
+            if first_only:
+                best[0] = left
+            found.append((left, tuple(chosen)))
+
+        if first_only and pair:
+            continue  # nothing wastes less
+        search(0, room)
+        if at_start != float("inf"):
+            budget.left -= at_start - max(steps[0], 0)
+        found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
+        for _, f in found[:1] if first_only else found:
+            yield from give(f)
+
+
+def _undominated(counts: list[int], chosen: list[int], left: int) -> bool:
+    """Whether no piece fits in what is left, and none can take the place of a shorter one in it."""
+    if any(counts[x] > chosen.count(x) for x in range(1, min(left, len(counts) - 1) + 1)):
+        return False
+    return not any(counts[y] > chosen.count(y) for x in set(chosen) for y in range(x + 1, min(x + left, len(counts) - 1) + 1))
 
 
 def best_fit(counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -126,101 +151,117 @@ def best_fit(counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], in
     return out
 
 
-def search_tail(items: list[int], capacity: int, incumbent: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
-    """Bin completion to the end, with at most TAIL_NODES nodes; the incumbent if nothing is better."""
-    best, nodes = list(incumbent), TAIL_NODES
-    top = capacity + 1
-
-    def go(counts: list[int], total: int, bins: list[tuple[int, ...]]):
-        nonlocal best, nodes
-        nodes -= 1
-        if nodes < 0 or len(bins) + -(-total // capacity) >= len(best):
-            return
-        if not total:
-            best = list(bins)
-            return
-        big = max(x for x in range(1, top) if counts[x])
-        counts[big] -= 1
-        for f in sorted(fillings(counts, capacity - big, 200), key=lambda f: -sum(f)):
-            for x in f:
-                counts[x] -= 1
-            go(counts, total - big - sum(f), [*bins, (big, *f)])
-            for x in f:
-                counts[x] += 1
-        counts[big] += 1
-
-    counts = [0] * top
-    for x in items:
-        counts[x] += 1
-    go(counts, sum(items), [])
-    return best
-
-
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Bins as (lengths, how often), in as few bins as the search finds, never more than best fit."""
+class Plan(NamedTuple):
+    """Bins as (lengths, how often), their number, the least number that the lengths allow, and whether fewer are known to be impossible."""
+
+    bins: list[tuple[tuple[int, ...], int]]
+    size: int
+    bound: int
+    optimal: bool
+
+
+def plan(histogram: dict[int, int], capacity: int, nodes: int | None = NODES, look: int | None = LOOK) -> Plan:
+    """The packing of a histogram (length: pieces) that the search finds, never more bins than best fit. With ``nodes`` and ``look`` None the search goes on until the plan is optimal."""
     counts = [0] * (capacity + 1)
     for x, n in histogram.items():
         counts[x] = n
-    incumbent, out = best_fit(counts, capacity), []
-    left = sum(counts)
-    for big in range(capacity, 0, -1):
-        while counts[big]:
-            if left <= TAIL:
-                items = [x for x, n in enumerate(counts) for _ in range(n)]
-                tail = [t for t, n in best_fit(counts, capacity) for _ in range(n)]
-                out += [(t, 1) for t in search_tail(items, capacity, tail)]
-                counts = [0] * (capacity + 1)
-                break
-            counts[big] -= 1
-            *_, filling = fillings(counts, capacity - big)
-            counts[big] += 1
-            own = (big, *filling)
+    total = sum(x * n for x, n in enumerate(counts))
+    bound = max(-(-total // capacity), sum(counts[capacity // 2 + 1 :]))
+    best = best_fit(counts, capacity)
+    size = sum(n for _, n in best)
+    budget, complete = Budget(nodes), look is None
+
+    def choices(waste: int, top: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """(bin, how often) for the largest length left, at most ``waste`` in all."""
+        counts[top] -= 1
+        some = fillings(counts, capacity - top, waste, budget, look)
+        counts[top] += 1
+        while True:
+            counts[top] -= 1  # the search of the next filling has to see the bin's own piece taken
+            f = next(some, None)
+            counts[top] += 1
+            if f is None:
+                return
+            own = (top, *f)
+            lost = capacity - sum(own)
             often = min(counts[x] // own.count(x) for x in set(own))
+            for k in range(min(often, waste // lost) if lost else often, 0, -1):
+                budget.left -= 1
+                yield own, k
+
+    path: list[tuple[tuple[int, ...], int]] = []
+    stack, used, lost = [], 0, 0
+    top = max((x for x in range(capacity + 1) if counts[x]), default=0)
+    if size > bound and top:
+        stack.append(choices((size - 1) * capacity - total, top))
+    while stack and budget.left > 0 and size > bound:
+        if len(path) == len(stack):  # back from below: undo
+            own, k = path.pop()
+            used, lost = used - k, lost - k * (capacity - sum(own))
             for x in own:
-                counts[x] -= often
-            left -= often * len(own)
-            out.append((own, often))
-    return min(out, incumbent, key=lambda p: sum(n for _, n in p))
-
-
-def pack(parts: DataFrame, capacity: int) -> DataFrame:
+                counts[x] += k
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            continue
+        own, k = step
+        if lost + k * (capacity - sum(own)) > (size - 1) * capacity - total:
+            continue
+        path.append(step)
+        used, lost = used + k, lost + k * (capacity - sum(own))
+        for x in own:
+            counts[x] -= k
+        top = own[0]
+        while top and not counts[top]:
+            top -= 1
+        if top:
+            stack.append(choices((size - 1) * capacity - total - lost, top))
+        elif used < size:
+            best, size = list(path), used
+    return Plan(best, size, bound, size == bound or (complete and not stack and budget.left > 0))
+
+
+def pack(parts: DataFrame, capacity: int, nodes: int | None = NODES, look: int | None = LOOK) -> DataFrame:
     """Adds (sequence_id, offset) to rows with (id, piece, start, length). Lengths are 1 to ``capacity``; no sequence holds more than that, and it has no gaps.
 
-    Null ids and repeated rows are pieces like others.  An empty table gives an
-    empty result.
+    ``nodes`` and ``look`` bound the search, see ``plan``.  Null ids and
+    repeated rows are pieces like others; columns of the new names are
+    replaced.  An empty table gives an empty result.
     """
-    parts = stage(parts)
+    parts = stage(parts.drop("sequence_id", "offset"))
+    bucket, rank_col = free_name(parts.columns, "__bucket"), free_name(parts.columns, "__rank")
     n = parts.count()
     buckets = max(partitions(parts.sparkSession), -(-n // BUCKET_ROWS))
-    placed = parts.withColumn("__bucket", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(buckets)))
-    per = placed.groupBy("__bucket", "length").agg(F.count(F.lit(1)).alias("__n"))
-    per = stage(per)
-    histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most ``capacity`` rows
+    placed = parts.withColumn(bucket, F.pmod(F.xxhash64("id", "piece", "start"), F.lit(buckets)))
+    per = stage(placed.groupBy(bucket, "length").agg(F.count(F.lit(1)).alias("n")))
+    histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
 
     table: dict[int, list[tuple[int, int, int]]] = {}
     used, sequence = dict.fromkeys(histogram, 0), 0
-    for own, often in plan(histogram, capacity):
+    for own, often in plan(histogram, capacity, nodes, look).bins:
         for x, at in zip(own, accumulate((0, *own)), strict=False):
             table.setdefault(x, []).append((used[x], sequence, at))
             used[x] += often
         sequence += often
+    steps = {x: np.array(rows, np.int64).T for x, rows in table.items()}
 
-    before = per.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__bucket", "length", "__before")
-    rank = F.row_number().over(W.partitionBy("__bucket", "length").orderBy("id", "piece", "start", *[c for c in parts.columns if c not in ("id", "piece", "start", "length")]))
-    ranked = placed.join(before, ["__bucket", "length"]).withColumn("__rank", F.col("__before") + rank - 1).select(*parts.columns, "__rank")
-
+    before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = per.select(bucket, "length", before.alias("n_before")).hint("merge")  # grows with the buckets: never broadcast
+    rank = F.row_number().over(W.partitionBy(bucket, "length").orderBy("id", "piece", "start", *[c for c in parts.columns if c not in ("id", "piece", "start", "length")]))
     names = parts.columns
+    ranked = placed.withColumn(rank_col, rank).join(counted, [bucket, "length"]).withColumn(rank_col, F.col("n_before") + F.col(rank_col) - 1).select(*names, rank_col)
 
     @tidy
     def assign(batches):
-        firsts = {x: [e[0] for e in rows] for x, rows in table.items()}
         for batch in batches:
-            seq, off = [], []
-            for x, r in zip(column(batch, "length").to_pylist(), column(batch, "__rank").to_pylist(), strict=True):
-                first, s, at = table[x][bisect_right(firsts[x], r) - 1]
-                seq.append(s + r - first)
-                off.append(at)
-            yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=[*names, "sequence_id", "offset"])
-
-    schema = ", ".join(f"{c} {t}" for c, t in parts.dtypes)
-    return ranked.mapInArrow(assign, f"{schema}, sequence_id bigint, offset bigint")
+            length, ranks = column(batch, "length").to_numpy(), column(batch, rank_col).to_numpy()
+            seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            order = np.argsort(length, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+                first, s, at = steps[int(length[own[0]])]
+                k = np.searchsorted(first, ranks[own], "right") - 1
+                seq[own], off[own] = s[k] + ranks[own] - first[k], at[k]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+
+    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(assign, schema)

@@ -35,9 +35,9 @@ from attesta.llm.common import Spans, blocks, column, free_name, mix, one_text_a
 #: Bytes of a repeat, and of the grams that anchor it.
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that a suffix array is built over; shards are meant to hold half as many.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 #: Bytes of text whose anchors meet in one group.
-RANGE_BYTES = 6_000_000
+RANGE_BYTES = 4_000_000
 _CHARS = 7  # of 9 bits in a word
 
 

@@ -38,10 +38,7 @@ WORD_CHUNKS = re.compile(f"[{LETTERS}]+{_STOP}|[^{WHITE}]+")
 _encoders: dict = {}
 
 
-@forgets
-def _forget() -> None:
-    for e in _encoders.values():
-        e.known, e.older = {}, {}
+forgets(_encoders.clear)
 
 
 class Encoder:
@@ -79,14 +76,14 @@ class Encoder:
 
 
 def encoder(path: str, chunks: re.Pattern = BYTE_CHUNKS) -> Encoder:
-    """The worker's encoder of a vocabulary file of the tokenizers library."""
+    """The task's encoder of a vocabulary file of the tokenizers library."""
     from tokenizers import Tokenizer
 
     return kept_encoder((path, chunks.pattern), lambda: Encoder(Tokenizer.from_file(path), chunks))
 
 
 def kept_encoder(key, make) -> Encoder:
-    """One encoder a worker for each key; what it has learnt of texts is forgotten when a task ends."""
+    """One encoder a task for each key."""
     if key not in _encoders:
         _encoders[key] = make()
     return _encoders[key]

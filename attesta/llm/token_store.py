@@ -12,7 +12,6 @@ own committer, to any store that Spark can write to.
 
 from __future__ import annotations
 
-import zlib
 from itertools import accumulate
 
 import numpy as np
@@ -26,6 +25,8 @@ from attesta.llm.token_cache import encoder
 
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
+#: Bytes of text of a range of keys, which is a task's work.
+RANGE_BYTES = 16_000_000
 #: Bits of a level for each key that it is given.
 GAMMA = 1.6
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -114,10 +115,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
     Null texts are empty and hold the end id alone.  Rows that repeat a key all
     stay, in the order of their ids; the index leads to the first.  Rows with a
     null key come first and have no index entry.  Texts are encoded where they
-    lie; only ids are shuffled.
+    lie; only ids are shuffled, to ranges of keys of about equal bytes of text,
+    RANGE_BYTES at most but for rows that share a key.  An empty table writes a
+    folder without shards.  Other columns are left behind.
     """
-    n = partitions(docs.sparkSession)
-    bounds = range_bounds(docs, id_col, n)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bounds = range_bounds(docs, "key", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, max(partitions(docs.sparkSession), -(-total // RANGE_BYTES)))
 
     @tidy
     def encode(batches):
@@ -125,11 +129,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, _, _ in blocks(batch, text_col):
-                ids = [i + end for i in enc.ids([t or "" for t in column(part, text_col).to_pylist()])]
+            for part, _, _ in blocks(batch, "text"):
+                ids = [i + end for i in enc.ids([t or "" for t in column(part, "text").to_pylist()])]
                 if narrow:
                     ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays([column(part, id_col).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([2 if narrow else 4] * len(ids), pa.int32())], names=["key", "ids", "width"])
+                yield pa.RecordBatch.from_arrays([column(part, "key"), pa.array(ids, pa.binary()), pa.array([2 if narrow else 4] * len(ids), pa.int32())], names=["key", "ids", "width"])
 
     @tidy
     def pack(batches):
@@ -149,8 +153,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
         if keys:
             yield pa.RecordBatch.from_pylist([_shard(at, total, width, keys, parts)], schema)
 
-    encoded = docs.select(id_col, text_col).mapInArrow(encode, "key bigint, ids binary, width int")
-    ranged = encoded.withColumn("p", range_key(F.col("key"), bounds)).repartition(n, "p").sortWithinPartitions("p", F.col("key").asc_nulls_first(), "ids")
+    encoded = docs.mapInArrow(encode, "key bigint, ids binary, width int")
+    ranged = encoded.withColumn("p", range_key(F.col("key"), bounds)).repartitionById(len(bounds) + 1, F.col("p")).sortWithinPartitions("p", F.col("key").asc_nulls_first(), "ids")
     ranged.mapInArrow(pack, SHARD).write.option("compression", "zstd").parquet(path)
 
 
@@ -177,7 +181,7 @@ class Shard:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(key, start, n_tokens, ids): every document of the files, found through the index; ``start`` counts the ids of all before it."""
+    """(key, start, n_tokens, ids): every document of the files, found through the index; ``start`` counts the ids of all before it. No shards give no rows."""
     shards = spark.read.schema(SHARD).parquet(path)
     totals = dict(shards.groupBy("p").agg(F.sum("n_ids")).collect())  # a row for each range at most
     order = sorted(totals)
@@ -219,7 +223,3 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
                         yield pa.RecordBatch.from_pydict({"key": [k], "ids": [s.ids_of(o).astype("<u4").tobytes()]}, pa.schema([("key", pa.int64()), ("ids", pa.binary())]))
 
     return spark.read.schema(SHARD).parquet(path).filter(near & (F.col("first_key") <= int(wanted[-1])) & (F.col("last_key") >= int(wanted[0]))).mapInArrow(probe, "key bigint, ids binary")
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)

@@ -9,6 +9,7 @@ explain them, and the fitted sentence scores locate the offending ones.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,12 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for part, data, offsets in blocks(batch, text_col):
                 f, cuts, doc, _ = features(data, offsets)
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                own = [f[cuts[at[i]] : cuts[at[i + 1]]].tobytes() for i in range(part.num_rows)]
-                rel = [(cuts[at[i] : at[i + 1] + 1] - cuts[at[i]]).tobytes() for i in range(part.num_rows)]
+                own = [zlib.compress(f[cuts[at[i]] : cuts[at[i + 1]]].tobytes(), 1) for i in range(part.num_rows)]
+                rel = [zlib.compress((cuts[at[i] : at[i + 1] + 1] - cuts[at[i]]).tobytes(), 1) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "__y"), pa.array(own, pa.binary()), pa.array(rel, pa.binary())], names=["id", "y", "f", "c"])
 
     rows = bags.select(F.col(id_col).cast("bigint").alias("id"), "__y", text_col).mapInArrow(run, "id bigint, y int, f binary, c binary").collect()  # 2 * MAX_PER_CLASS at most
-    return train([(r.y, np.frombuffer(r.f, np.int32), np.frombuffer(r.c, np.int64)) for r in sorted({r.id: r for r in rows}.values())])
+    return train([(r.y, np.frombuffer(zlib.decompress(r.f), np.int32), np.frombuffer(zlib.decompress(r.c), np.int64)) for r in sorted({r.id: r for r in rows}.values())])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -152,8 +153,12 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     ``offending`` lists (start, end, score) of sentences of 0.5 or more, in
     bytes of the UTF-8 text.  Null and empty texts have one empty sentence and
-    the score of the bias.  Rows are neither moved nor dropped.
+    the score of the bias.  Rows are neither moved nor dropped: null and
+    repeated ids are rows like others, and an empty table gives an empty result.
+    ``keep`` must not name one of the new columns: that is a ValueError.
     """
+    if {c.lower() for c in keep} & {"score", "n_sentences", "offending"}:
+        raise ValueError("score, n_sentences and offending are columns of the result")
     weights, bias = model.weights.astype(np.float32), model.bias
     kept = [docs.schema[c] for c in keep]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])

@@ -28,7 +28,7 @@ def test_plan_is_whole_and_tight(seed):
     for _ in range(r.choice([1, 7, 60, 3000])):
         x = r.randint(1, cap)
         hist[x] = hist.get(x, 0) + r.choice([1, 1, 5, 1000])
-    bins = valid(hist, packing.plan(hist, cap), cap)
+    bins = valid(hist, packing.plan(hist, cap).bins, cap)
     total = sum(x * n for x, n in hist.items())
     fit = packing.best_fit([hist.get(x, 0) for x in range(cap + 1)], cap)
     assert -(-total // cap) <= bins <= valid(hist, fit, cap)
@@ -37,8 +37,8 @@ def test_plan_is_whole_and_tight(seed):
 def test_optimum_of_small_cases():
     # best fit needs 4 here, three suffice
     hist = {6: 1, 5: 2, 4: 1, 3: 2, 2: 2}
-    assert sum(n for _, n in packing.plan(hist, 10)) == 3
-    assert packing.plan({}, 10) == []
+    assert packing.plan(hist, 10).size == 3
+    assert packing.plan({}, 10).bins == []
 
 
 def check(rows, cap):
@@ -75,3 +75,49 @@ def test_query(spark):
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
     n = check(rows, 2048)
     assert n <= -(-sum(v[1] for v in want.values()) // 2048) + 2, n
+
+
+def fewest(items, cap):
+    """The least number of bins, by trying every place of every item."""
+
+    def go(rest, bins, best):
+        if len(bins) >= best:
+            return best
+        if not rest:
+            return len(bins)
+        for i in range(len(bins)):
+            if bins[i] + rest[0] <= cap:
+                best = go(rest[1:], [*bins[:i], bins[i] + rest[0], *bins[i + 1 :]], best)
+        return go(rest[1:], [*bins, rest[0]], best)
+
+    return go(sorted(items, reverse=True), [], len(items) + 1)
+
+
+@pytest.mark.parametrize("limits", [(None, None), (packing.NODES, packing.LOOK), (0, 0), (50, 3)])
+def test_small_cases_are_optimal_without_limits_and_whole_with_any(limits):
+    for seed in range(60):
+        r = random.Random(seed)
+        cap = r.choice([10, 20, 30])
+        items = [r.randrange(1, cap + 1) for _ in range(r.randrange(1, 9))]
+        hist = {x: items.count(x) for x in items}
+        got, least = packing.plan(hist, cap, *limits), fewest(items, cap)
+        assert got.size == valid(hist, got.bins, cap) >= least >= got.bound
+        assert not got.optimal or got.size == least
+        assert limits[0] is not None or got.optimal
+
+
+def test_planted_bins_and_equal_waste():
+    assert packing.plan({51: 1, 46: 2, 41: 1, 33: 1, 30: 1, 26: 1, 19: 1, 8: 1}, 100).size == 3
+    for parts in (4, 5):
+        r, hist = random.Random(parts), {}
+        for _ in range(300):
+            cuts = sorted(r.sample(range(1, 2048), parts - 1))
+            for a, b in zip([0, *cuts], [*cuts, 2048], strict=True):
+                hist[b - a] = hist.get(b - a, 0) + 1
+        assert packing.plan(hist, 2048).size <= 301
+
+
+def test_new_columns_replace_those_of_the_same_name(spark):
+    df = spark.createDataFrame([(1, 0, 0, 5, 7, 8, 9)], "id long, piece int, start long, length long, sequence_id int, __bucket int, __rank int")
+    out = packing.pack(df, 10)
+    assert out.columns == ["id", "piece", "start", "length", "__bucket", "__rank", "sequence_id", "offset"] and out.first()[4:] == (8, 9, 0, 0)
