@@ -6,8 +6,9 @@ and can be pushed below joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Grams in a mass unit, fixed values.
 GRAMS = {"ug": 1e-6, "mg": 1e-3, "g": 1.0, "kg": 1000.0}
@@ -58,11 +59,17 @@ def split_pair(text: Column, mark: str = ";") -> tuple[Column, Column]:
 
 
 def publication_dashed(text: Column) -> Column:
-    """``CC-NUMBER-KIND`` of a publication number in dashed or compact form, else null."""
-    t = F.upper(F.regexp_replace(text, r"\s+", ""))
-    pattern = "^([A-Z]{2})-?([0-9]+)-?([A-Z][0-9]?)$"
-    part = lambda i: F.regexp_extract(t, pattern, i)
-    return F.when(t.rlike(pattern), F.concat_ws("-", part(1), part(2), part(3)))
+    """``CC-NUMBER-KIND`` of a publication number, else null.
+
+    Spaces and slashes separate like dashes; numbers may begin with letters
+    (design and reissue numbers).  Without separators the kind needs its digit,
+    else it could not be told from the number.
+    """
+    t = F.regexp_replace(F.upper(clean(text)), r"[\s/-]+", "-")
+    whole, joined = "^([A-Z]{2})-([A-Z0-9]+)-([A-Z][0-9]?)$", "^([A-Z]{2})([A-Z0-9]+?)([A-Z][0-9])$"
+    close = F.replace(t, F.lit("-"), F.lit(""))
+    parts = lambda c, pattern: F.concat_ws("-", *[F.regexp_extract(c, pattern, i) for i in (1, 2, 3)])
+    return F.when(t.rlike(whole), parts(t, whole)).when(close.rlike(joined), parts(close, joined))
 
 
 def publication_compact(text: Column) -> Column:
@@ -76,8 +83,8 @@ def family_id(family: Column, publication: Column) -> Column:
 
 
 def marketing_status(text: Column) -> Column:
-    """withdrawn, discontinued, tentative, active or unknown; the first that the description fits."""
-    t = F.lower(F.trim(text))
+    """withdrawn, discontinued, tentative, active or unknown; the first that the description, as a normalised name, fits."""
+    t = normalize_name(text)
     return (
         F.when(t.contains("withdraw"), "withdrawn")
         .when(t.contains("discont") | (t == "discn"), "discontinued")
@@ -145,9 +152,22 @@ def finite(text: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def canonical_json(*named: tuple[str, Column]) -> Column:
-    """A JSON object with its keys in order."""
-    return F.to_json(F.struct(*[c.alias(n) for n, c in sorted(named, key=lambda x: x[0])]))
+def _sorted_fields(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_sorted_fields(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(c.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _sorted_fields(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(c))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], _sorted_fields(e["value"], kind.valueType))))
+    return c
+
+
+def canonical_json(rows: DataFrame, *names: str) -> Column:
+    """The named columns of ``rows`` as a JSON object with its keys in order on every level; nulls are written."""
+    fields = {f.name: f.dataType for f in rows.schema.fields}
+    return F.to_json(F.struct(*[_sorted_fields(F.col(n), fields[n]).alias(n) for n in sorted(names)]), {"ignoreNullFields": "false"})
 
 
 def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
@@ -158,6 +178,38 @@ def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
     return out
 
 
+def any_phrase(text: Column, phrases: Column, least: int = 5) -> Column:
+    """Whether a normalised text contains one of an array of normalised phrases of ``least`` characters or more as whole words."""
+    return F.exists(phrases, lambda p: has_phrase(text, p, least))
+
+
+def query_kind(text: Column) -> Column:
+    """What a search asks for: a structure if it has characters of one, an identifier key, else a name."""
+    key = F.upper(clean(text))
+    return F.when(key.rlike(KEY_PATTERN), "inchi_key").when(looks_like_structure(text), "structure").otherwise("name")
+
+
+def quote_found(source: Column, quote: Column) -> Column:
+    """Whether a quotation stands in its source, word for word; an empty one does not."""
+    return (F.length(quote) > 0) & (F.instr(source, quote) > 0)
+
+
+def release_label(path: Column) -> Column:
+    """Name of a candidate release: the folder that a file lies in and how it was made."""
+    folder = F.element_at(F.split(path, "/"), -2)
+    return F.concat(F.lit("surechembl-"), folder, F.when(folder.contains("large-chemical"), "-delta").otherwise("-ranked-local"))
+
+
+def synonym_value(row: dict[str, Column], *names: str) -> Column:
+    """The first of the named columns that is there and not blank; header names count in their normal form."""
+    import re
+
+    plain = lambda n: re.sub("[^a-z0-9]+", " ", n.lower()).strip()
+    have = {plain(n): c for n, c in row.items()}
+    found = [clean(have[plain(n)]) for n in names if plain(n) in have]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
 def has_phrase(text: Column, phrase: Column, least: int = 5) -> Column:
     """Whether a normalised text contains a normalised phrase of ``least`` characters or more as whole words."""
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))

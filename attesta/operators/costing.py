@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.functions.scalars import grams
 from attesta.functions.session import shared_folder
 
 
@@ -51,6 +52,49 @@ def leaf_requirements(steps: DataFrame, inputs: DataFrame, target: DataFrame, we
     return leaves.groupBy("route", "compound").agg(F.sum("mass_g").alias("mass_g"))
 
 
+def step_summary(steps: DataFrame, participants: DataFrame, hazards: DataFrame) -> DataFrame:
+    """Per route what its steps say: n_steps, cumulative_yield, evidence_share, max_scale_g, severity.
+
+    steps (route, reaction, yield_percent, publication, is_synthetic, scale_g),
+    participants (reaction, compound), hazards (compound, severity, status).
+    The yield is a product if every step has one, else 0.  The share of
+    evidence counts steps with a publication that are not synthetic.  Severity
+    is the average over accepted hazards of all participations, one that takes
+    part in two reactions counting twice; 0 without any.
+    """
+    known = F.col("yield_percent") > 0
+    complete = F.count(F.lit(1)) == F.count(F.when(known, 1))
+    own = steps.groupBy("route").agg(
+        F.count(F.lit(1)).alias("n_steps"),
+        F.when(complete, F.product(F.col("yield_percent") / 100)).otherwise(0.0).alias("cumulative_yield"),
+        F.avg(F.when(F.col("publication").isNotNull() & ~F.coalesce("is_synthetic", F.lit(False)), 1.0).otherwise(0.0)).alias("evidence_share"),
+        F.max("scale_g").alias("max_scale_g"),
+    )
+    # summed by reaction first: routes that share reactions do not repeat the join with the hazards
+    burden = participants.join(hazards.filter("status = 'accepted'"), "compound").groupBy("reaction").agg(F.sum("severity").alias("s"), F.count("severity").alias("m"))
+    severity = steps.select("route", "reaction").distinct().join(burden, "reaction").groupBy("route").agg((F.sum("s") / F.sum("m")).alias("severity"))
+    return own.join(severity, "route", "left").withColumn("severity", F.coalesce("severity", F.lit(0.0)))
+
+
+def convert_quotes(quotes: DataFrame, rates: DataFrame, currency: str, at: str) -> DataFrame:
+    """Accepted quotes with ``pack_g`` and ``rate`` into one currency; quotes without a mass or a rate go.
+
+    quotes (compound, quote_id, pack_value, pack_unit, price, currency,
+    status), rates (rate_date, base, quote, rate): of each pair the last rate
+    that is not after ``at`` counts.
+    """
+    last = rates.filter((F.col("quote") == currency) & (F.col("rate_date") <= F.lit(at).cast(rates.schema["rate_date"].dataType))).groupBy(F.col("base").alias("currency")).agg(F.max_by("rate", "rate_date").alias("fx"))
+    ok = quotes.filter("status = 'accepted'").withColumn("pack_g", grams(F.col("pack_value"), F.col("pack_unit"))).filter("pack_g > 0")
+    return ok.join(last, "currency", "left").withColumn("rate", F.when(F.col("currency") == currency, 1.0).otherwise(F.col("fx"))).filter("rate is not null").drop("fx")
+
+
+def priced_requirements(needs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Per route total_g, priced_g and cost of its leaf requirements (route, compound, mass_g) at the cheapest quotes (compound, quote_id, pack_g, price, rate)."""
+    line = needs.join(quotes, "compound").withColumn("need_g", F.col("mass_g")).withColumn("line", F.struct("route", "compound"))
+    best = cheapest_quotes(line, "line").select("line.*", "package_cost")
+    return needs.join(best, ["route", "compound"], "left").groupBy("route").agg(F.sum("mass_g").alias("total_g"), F.coalesce(F.sum(F.when(F.col("package_cost").isNotNull(), F.col("mass_g"))), F.lit(0.0)).alias("priced_g"), F.sum("package_cost").cast("double").alias("cost"))
+
+
 def evaluate(routes: DataFrame) -> DataFrame:
     """Indices and tier of routes with total_g, priced_g, target_g, cost, n_steps, cumulative_yield, evidence_share, max_scale_g, severity.
 
@@ -152,4 +196,5 @@ def compare(pairs: DataFrame) -> DataFrame:
         F.when(F.col("gate") != "eligible", "blocked_validation").when(F.col("n_deltas") == 0, "insufficient_data")
         .when((F.col("n_better") > 0) & (F.col("n_worse") == 0), "improved").when((F.col("n_worse") > 0) & (F.col("n_better") == 0), "not_improved").otherwise("mixed")
     )
-    return out.withColumn("gate", gate).withColumn("verdict", verdict)
+    named = lambda test: F.array_sort(F.array_compact(F.array(*[F.when(test(F.col(f"delta_{m}")), F.lit("cumulative_yield" if m == "yield" else m)) for m in delta])))
+    return out.withColumn("gate", gate).withColumns({"verdict": verdict, "improved_metrics": named(lambda d: d > 1e-9), "worsened_metrics": named(lambda d: d < -1e-9)})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +67,40 @@ def leaking_groups(members: DataFrame, group: str, split: str) -> DataFrame:
     return members.groupBy(group).agg(F.countDistinct(split).alias("n")).filter("n > 1")
 
 
-def reconcile(rows: DataFrame, outcome: str) -> DataFrame:
-    """One row: input, accepted, excluded and rejected rows, and whether they add up."""
+def reconcile(rows: DataFrame, outcome: str, strict: bool = False) -> DataFrame:
+    """One row: input, accepted, excluded and rejected rows, and whether they add up; with ``strict`` it is an error if they do not."""
     n = lambda v: F.count(F.when(F.col(outcome) == v, 1))
     counts = rows.agg(F.count(F.lit(1)).alias("input_rows"), n("accepted").alias("accepted_rows"), n("excluded").alias("excluded_rows"), n("rejected").alias("rejected_rows"))
-    return counts.withColumn("balanced", F.col("input_rows") == F.col("accepted_rows") + F.col("excluded_rows") + F.col("rejected_rows"))
+    balanced = F.col("input_rows") == F.col("accepted_rows") + F.col("excluded_rows") + F.col("rejected_rows")
+    if strict:
+        balanced = F.when(balanced, True).otherwise(F.raise_error(F.lit("rows do not add up")).cast("boolean"))
+    return counts.withColumn("balanced", balanced)
 
 
 def histogram(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows), a row for each table."""
+    return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, t in tables.items()])
+
+
+def batch_report(examples: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row for a batch: examples, valid ones, issues (a repeated id is one for each row after the first) and distinct ids that occur more than once."""
+    bad = issues.groupBy("example_id").agg(F.count(F.lit(1)).alias("n_issues"))
+    ids = examples.groupBy("example_id").agg(F.count(F.lit(1)).alias("n")).join(bad, "example_id", "left").na.fill(0, ["n_issues"])
+    return ids.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("examples"),
+        F.count(F.when((F.col("n_issues") == 0) & (F.col("n") == 1), 1)).alias("valid"),
+        F.coalesce(F.sum(F.col("n_issues") + F.col("n") - 1), F.lit(0)).alias("issues"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_ids"),
+    )
+
+
+def annotation_accounting(rows: DataFrame, structure: str, valid: Column) -> DataFrame:
+    """One row: compounds, those annotated, without and with an invalid structure; an error if they do not add up."""
+    s = F.nullif(F.col(structure), F.lit(""))
+    counts = rows.agg(F.count(F.lit(1)).alias("input"), F.count(F.when(s.isNotNull() & valid, 1)).alias("annotated"), F.count(F.when(s.isNull(), 1)).alias("missing_structure"), F.count(F.when(s.isNotNull() & ~F.coalesce(valid, F.lit(False)), 1)).alias("invalid_structure"))
+    whole = F.col("input") == F.col("annotated") + F.col("missing_structure") + F.col("invalid_structure")
+    return counts.filter(F.when(whole, True).otherwise(F.raise_error(F.lit("compounds do not add up")).cast("boolean")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
-from attesta.operators import merge
+from attesta.operators import graph, merge
 
 #: The nested record of an example.
 EXAMPLE = """schema_version string, example_id string, is_synthetic boolean,
@@ -122,5 +122,44 @@ def import_quotes(quotes: DataFrame, compounds: DataFrame, suppliers: DataFrame,
 
 def training_examples(steps: DataFrame) -> DataFrame:
     """Eligible steps as nested records, as JSON with its keys in order."""
-    fields = [(n, F.col(n)) for n in steps.columns]
-    return steps.select(S.canonical_json(*fields).alias("payload_json"))
+    return steps.select(S.canonical_json(steps, *steps.columns).alias("payload_json"))
+
+
+def mapped_reactions(participants: DataFrame, reaction: str) -> DataFrame:
+    """(reaction, mapped): whether a reaction consumes and produces something and all that takes part (role, has_structure) has a structure."""
+    role = F.col("role")
+    return participants.groupBy(reaction).agg((F.bool_or(role == "consumed") & F.bool_or(role == "produced") & F.bool_and(F.coalesce("has_structure", F.lit(False)))).alias("mapped"))
+
+
+def export_reason() -> Column:
+    """Why a step is not exported, the first of ten reasons; null if it is.
+
+    Columns: step_status, route_status, evidence_status, reaction_status (null
+    without a reaction), is_synthetic, mapped, basis_g, family_id,
+    publication_date, structure.
+    """
+    c = F.col
+    other = lambda n: ~F.coalesce(c(n) == "accepted", F.lit(False))
+    return S.first_reason(
+        ("step_not_accepted", other("step_status")),
+        ("route_not_accepted", other("route_status")),
+        ("evidence_not_accepted", other("evidence_status")),
+        ("reaction_not_accepted", other("reaction_status")),
+        ("synthetic_reaction", F.coalesce(c("is_synthetic"), F.lit(True))),
+        ("reaction_mapping_incomplete", ~F.coalesce(c("mapped"), F.lit(False))),
+        ("missing_mass_basis", F.coalesce(c("basis_g"), F.lit(0)) == 0),
+        ("missing_patent_family", S.clean(c("family_id")).isNull()),
+        ("missing_publication_date", c("publication_date").isNull()),
+        ("missing_validated_structure", ~F.coalesce(c("structure"), F.lit(False))),
+    )
+
+
+def assign_splits(examples: DataFrame, id_col: str, groups: list[str], seed: str) -> DataFrame:
+    """(id, leakage_group, split): examples that share a value of any group column, directly or in a chain, come into one split."""
+    node = F.concat(F.lit("e:"), F.col(id_col)).alias("a")
+    value = F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(g).cast("string")) for i, g in enumerate(groups)])))
+    label = graph.components(examples.select(node, value.alias("b")), "a", "b").filter(F.col("node").startswith("e:"))
+    own = examples.select(F.col(id_col).alias("node")).distinct()
+    label = own.join(label.select(F.substr("node", F.lit(3)).alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = graph.group_names(label, "node", "component")
+    return named.select(F.col("node").alias(id_col), "leakage_group", S.split_name(S.bucket(F.col("leakage_group"), seed)).alias("split"))

@@ -54,6 +54,53 @@ def backtrack(edge: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def evidence_backtrack(targets: DataFrame, produced: DataFrame, inputs: DataFrame, evidence: DataFrame, compounds: DataFrame, depth: int) -> dict[str, DataFrame]:
+    """How each drug's compounds are made, back to ``depth`` reactions: levels, edges and gaps, for all drugs at once.
+
+    targets (drug, compound), produced (reaction, compound), inputs (reaction,
+    compound, role), evidence (reaction, publication, relationship), compounds
+    (compound, has_structure).  levels has each (drug, compound) with the
+    fewest steps to it; edges are (drug, source_id, target_id, edge_type) of the
+    reactions expanded, their inputs and publications; gaps are compounds
+    without a record or a structure, and those above the depth that nothing
+    recorded makes.
+    """
+    shared_folder(targets.sparkSession)
+    seen = targets.select("drug", "compound").distinct().withColumn("level", F.lit(0)).checkpoint()
+    new = seen
+    for level in range(1, depth + 1):
+        down = new.join(produced, "compound").select("drug", "reaction").distinct().join(inputs, "reaction").select("drug", "compound").distinct()
+        new = down.join(seen, ["drug", "compound"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    open_ = seen.filter(F.col("level") < depth)
+    record = seen.join(compounds.select("compound", "has_structure", F.lit(True).alias("there")), "compound", "left")
+    made = open_.join(produced, "compound")
+    name = lambda kind, col: F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
+    edge = lambda d, a, b, t: d.select("drug", a.alias("source_id"), b.alias("target_id"), t.alias("edge_type")).distinct()
+    used = made.select("drug", "reaction").distinct()
+    edges = (
+        edge(targets, name("drug", "drug"), name("compound", "compound"), F.lit("active_moiety"))
+        .unionByName(edge(made, name("reaction", "reaction"), name("compound", "compound"), F.lit("produced")))
+        .unionByName(edge(used.join(inputs, "reaction"), name("compound", "compound"), name("reaction", "reaction"), F.col("role")))
+        .unionByName(edge(used.join(evidence, "reaction"), name("patent", "publication"), name("reaction", "reaction"), F.col("relationship")))
+    )
+    gap = lambda d, why: d.select("drug", "compound", F.lit(why).alias("reason"))
+    gaps = (
+        gap(record.filter("there is null"), "missing_compound_record")
+        .unionByName(gap(record.filter("there and not has_structure"), "structure_or_atom_counts_unavailable"))
+        .unionByName(gap(record.filter("there").filter(F.col("level") < depth).join(produced.select("compound"), "compound", "left_anti"), "no_evidence_backed_producing_reaction"))
+    )
+    return {"levels": seen, "edges": edges, "gaps": gaps}
+
+
+def group_names(label: DataFrame, node: str, component: str) -> DataFrame:
+    """(node, leakage_group): components named by a hash of their sorted members, so that the name does not depend on the walk."""
+    named = label.groupBy(component).agg(F.concat(F.lit("component:"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(node)), "|"), 256), 1, 24)).alias("leakage_group"))
+    return label.join(named, component).select(node, "leakage_group")
+
+
 def components(edge: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, by labels that spread and jump.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
-from attesta.operators import graph
+from attesta.operators import graph, merge
 
 #: Values that mean approval in a list export, fixed values; a blank passes too.
 APPROVED = ("1", "true", "yes", "approved", "authorised", "authorized")
@@ -114,6 +114,64 @@ def ema(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(why.isNotNull(), "excluded").when(bad.isNotNull(), "rejected").otherwise("accepted").alias("outcome"), F.coalesce(why, bad).alias("reason"), S.clean(F.col("name")).alias("trade_name"), S.clean(F.col("product_number")).alias("product_number"), F.explode_outer(S.split_list(F.col("substance"), "[|;]")).alias("substance"))
 
 
+def unichem(rows: DataFrame) -> DataFrame:
+    """Cross-references (name, inchi_key, source_id, source_compound_id, unichem_id) with outcome and reason, a row for each identifier: that of the source, and the register's own where there is one."""
+    c = lambda n: S.clean(F.col(n))
+    key = F.upper(c("inchi_key"))
+    bad = F.when(F.coalesce(*[F.when(c(n).isNull(), True) for n in ("name", "inchi_key", "source_id", "source_compound_id")]), "missing_field").when(F.length(key) != 27, "invalid_inchi_key")
+    own = F.struct(F.concat(F.lit("UNICHEM_SOURCE_"), S.namespace(c("source_id"))).alias("namespace"), c("source_compound_id").alias("value"))
+    also = F.struct(F.lit("UNICHEM").alias("namespace"), c("unichem_id").alias("value"))
+    ids = F.filter(F.array(own, also), lambda x: x["value"].isNotNull())
+    return rows.select(F.when(bad.isNotNull(), "rejected").otherwise("accepted").alias("outcome"), bad.alias("reason"), c("name").alias("preferred_name"), key.alias("inchi_key"), F.explode_outer(ids).alias("i")).select("outcome", "reason", "preferred_name", "inchi_key", "i.*")
+
+
+def large_chemicals(molecules: DataFrame, modalities: dict[str, str]) -> DataFrame:
+    """Molecules (chembl_id, molecule_type, parent_id, pref_name, smiles, inchi_key, synonyms array<string>) of the wanted types as catalogue records; other types are an error that names the molecule.
+
+    Synonyms are trimmed, and given once in any case, without the name itself.
+    """
+    c = F.col
+    kind = F.coalesce(*[F.when(c("molecule_type") == k, F.lit(v)) for k, v in modalities.items()], F.raise_error(F.concat(F.lit("no wanted modality: "), F.coalesce("chembl_id", F.lit("null")))).cast("string"))
+    parent, name = F.coalesce("parent_id", "chembl_id"), F.coalesce(S.clean(c("pref_name")), c("chembl_id"))
+    trimmed = F.filter(F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != F.lower(name)))
+    first = F.filter(trimmed, lambda x, i: F.array_position(F.transform(trimmed, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    form = F.when(c("chembl_id") == parent, "active_moiety").otherwise("salt_or_form")
+    return molecules.select(name.alias("preferred_name"), kind.alias("modality"), first.alias("aliases"), parent.alias("chembl_parent"), F.concat(F.lit("chembl-moiety:"), parent).alias("active_moiety_id"), c("chembl_id").alias("compound_id"), "smiles", S.clean(c("inchi_key")).alias("inchi_key"), form.alias("material_form"))
+
+
+def modality_report(records: DataFrame) -> DataFrame:
+    """(modality, n, missing_structures) of large_chemicals."""
+    return records.groupBy("modality").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("inchi_key").isNull(), 1)).alias("missing_structures"))
+
+
+def merge_candidates(rows: DataFrame, links: DataFrame, seq: str, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The four tables after a file of candidates: patent_family, patent_document, patent_family_member, patent_candidate.
+
+    rows as for patent_candidates, with publication_date, title, field_name and
+    ``seq`` (their order).  A candidate without a link (drug_id, compound_id) is
+    an error.  Families and members that are there stay; title and date of a
+    document are those of the last row that has them; of a candidate the name
+    of its field and the confidence are those of the last row, and the type of
+    its match that of the first.
+    """
+    stored = stored or {}
+    known = links.select("drug_id", "compound_id", F.lit(True).alias("__known")).distinct()
+    checked = rows.join(known, ["drug_id", "compound_id"], "left")
+    checked = checked.filter(F.when(F.col("__known"), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no link of"), "drug_id", "compound_id")).cast("boolean"))).drop("__known")
+    more = ["publication_date", "title", "field_name", seq]
+    c = patent_candidates(checked, *more)
+    family = c.select("family_id", F.lit("surechembl").alias("source"), F.lit(0.9).alias("confidence"), seq)
+    document = c.select("publication_number", "country_code", S.clean(F.col("publication_date")).alias("publication_date"), S.clean(F.col("title")).alias("title"), seq)
+    member = c.select("family_id", "publication_number", F.lit("member").alias("relationship"), seq)
+    candidate = c.select("candidate_id", "drug_id", "compound_id", "publication_number", "match_type", "confidence", "field_name", "review_status", seq)
+    keep, last = {"title": merge.NEW_UNLESS_NULL, "publication_date": merge.NEW_UNLESS_NULL}, {"field_name": merge.OVERWRITE, "confidence": merge.OVERWRITE}
+    out = {}
+    for name, new, key, policies in (("patent_family", family, ["family_id"], {}), ("patent_document", document, ["publication_number"], keep), ("patent_family_member", member, ["family_id", "publication_number"], {}), ("patent_candidate", candidate, ["candidate_id"], last)):
+        old = stored.get(name, new.drop(seq).limit(0))
+        out[name] = merge.upsert(old, new, key, policies, merge.FROZEN, seq)
+    return out
+
+
 def resolve_identities(records: DataFrame, existing: DataFrame) -> DataFrame:
     """(seq, drug_id, n_existing) of catalogue records: those that share an identifier, directly or in a chain, are one entity.
 
@@ -152,14 +210,14 @@ def route_identities(records: DataFrame, existing: DataFrame, aliases: DataFrame
     return out.select("seq", F.when(~F.col("held"), F.col("drug_id")).alias("drug_id"), "n_existing", F.when(F.col("held"), "excluded").otherwise("accepted").alias("outcome"), reason.alias("reason"), "candidates")
 
 
-def patent_candidates(rows: DataFrame) -> DataFrame:
+def patent_candidates(rows: DataFrame, *more: str) -> DataFrame:
     """Candidates (drug_id, compound_id, publication_number, source_compound_id, field_id, match_type, country, family_id) with id, confidence, family and country; an error on an unknown match type."""
     known = F.when(F.col("match_type").isin(*S.CONFIDENCE), F.col("match_type")).otherwise(F.raise_error(F.concat(F.lit("unknown match type: "), F.coalesce("match_type", F.lit("null")))))
     pub = S.publication_compact(F.col("publication_number"))
     return rows.select(
         S.stable_id("candidate", F.col("drug_id"), F.col("compound_id"), pub, F.col("source_compound_id"), F.col("field_id")).alias("candidate_id"),
         "drug_id", "compound_id", pub.alias("publication_number"), known.alias("match_type"), S.confidence(F.col("match_type")).alias("confidence"),
-        F.coalesce("country", F.substring(pub, 1, 2)).alias("country_code"), S.family_id(F.col("family_id"), pub).alias("family_id"), F.lit("needs_review").alias("review_status"),
+        F.coalesce("country", F.substring(pub, 1, 2)).alias("country_code"), S.family_id(F.col("family_id"), pub).alias("family_id"), F.lit("needs_review").alias("review_status"), *more,
     )
 
 

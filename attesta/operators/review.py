@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.scalars import term_hits
+from attesta.functions.scalars import any_phrase, term_hits
 from attesta.operators.top import top1
 
 #: Priority of the field in which a candidate was found and of its country, fixed values; others have 0.
-FIELD_PRIORITY = {"claims": 4, "description": 3, "abstract": 2, "title": 1}
+FIELD_PRIORITY = {"clms": 4, "claims": 4, "desc": 3, "description": 3, "abst": 2, "abstract": 2, "ttl": 1, "title": 1}
 COUNTRY_PRIORITY = {"WO": 4, "EP": 3, "US": 2}
 
 
@@ -18,11 +18,9 @@ def priority(col: Column, table: dict[str, int]) -> Column:
     return F.coalesce(*[F.when(col == k, F.lit(v)) for k, v in table.items()], F.lit(0))
 
 
-def queue_scores(title: Column, phrase: Column, negatives: tuple[str, ...], route_terms: tuple[str, ...], making: tuple[str, ...]) -> dict[str, Column]:
-    """The parts of a candidate's score that its title decides, each the higher the better."""
-    from attesta.functions.scalars import has_phrase
-
-    hit = has_phrase(title, phrase)
+def queue_scores(title: Column, names: Column, negatives: tuple[str, ...], route_terms: tuple[str, ...], making: tuple[str, ...]) -> dict[str, Column]:
+    """The parts of a candidate's score that its title decides, each the higher the better; names is an array of normalised aliases."""
+    hit = any_phrase(title, names)
     makes = term_hits(title, making) > 0
     return {"title_match": hit.cast("int"), "direct": (hit & makes).cast("int"), "negative_hits": -term_hits(title, negatives), "route_hits": term_hits(title, route_terms)}
 
@@ -68,8 +66,11 @@ def job_state(events: DataFrame, job: list[str], at: list[str], state: str, runn
     return events.groupBy(*job).agg(F.max_by(state, F.struct(*at)).alias("status"), attempts.alias("attempts"), F.count(F.lit(1)).alias("n_events"))
 
 
-def first_present(array_of: Column, *names: str) -> Column:
-    return F.coalesce(*[array_of.getField(n) for n in names])
+def evidence_chain(drugs: DataFrame, participants: DataFrame, links: DataFrame, spans: DataFrame) -> DataFrame:
+    """Distinct evidence of each drug: drugs (drug, compound), participants (reaction, compound, role) of which the produced ones count, links (reaction, relationship_type, evidence_span), spans (evidence_span, ...)."""
+    made = participants.filter("role = 'produced'").select("reaction", "compound").distinct()
+    reactions = drugs.join(made, "compound").select("drug", "reaction").distinct()
+    return reactions.join(links, "reaction").distinct().join(spans, "evidence_span")
 
 
 def convert(rows: DataFrame, rules: list[tuple[str, str, Column]], out: list[Column]) -> DataFrame:

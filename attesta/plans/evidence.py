@@ -77,7 +77,7 @@ def coverage_summary(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT doc_id, source, CASE WHEN v < 0.8 THEN 'train' WHEN v < 0.9 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, source, ('0x' || substr(sha256('s1|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS v FROM documents))
+WITH s AS (SELECT doc_id, source, lang, CASE WHEN v < 0.8 THEN 'train' WHEN v < 0.9 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, source, lang, ('0x' || substr(sha256('s1|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS v FROM documents))
 SELECT check_name, severity, affected_count, CASE WHEN affected_count = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
 SELECT 'orphan_family_members' AS check_name, 'critical' AS severity, count(*) AS affected_count FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
 UNION ALL SELECT 'orphan_process_evidence', 'critical', count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
@@ -86,12 +86,12 @@ UNION ALL SELECT 'scale_labels_without_mass_basis', 'critical', count(*) FROM pa
 UNION ALL SELECT 'stage_derived_from_scale', 'critical', count(*) FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'
 UNION ALL SELECT 'synthetic_examples_in_released_dataset', 'critical', count(*) FROM labels WHERE quality = 0 AND toxic = 1
 UNION ALL SELECT 'family_split_leakage', 'critical', count(*) FROM (SELECT source FROM s GROUP BY source HAVING count(DISTINCT split) > 1)
-UNION ALL SELECT 'active_moiety_split_leakage', 'high', count(*) FROM (SELECT source, split FROM (SELECT DISTINCT source, split FROM s) GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'active_moiety_split_leakage', 'high', count(*) FROM (SELECT lang FROM s GROUP BY lang HAVING count(DISTINCT split) > 1)
 UNION ALL SELECT 'catalogue_drugs_without_coverage', 'high', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
 UNION ALL SELECT 'exact_patent_matches_without_local_inchi_key', 'critical', count(*) FROM part WHERE p_name IS NULL)""")
 def quality_checks(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    docs = t("documents").select("doc_id", "source")
+    docs = t("documents").select("doc_id", "source", "lang")
     split = docs.withColumn("split", S.split_name(S.bucket(F.col("doc_id").cast("string"), "s1")))
     checks = [
         ("orphan_family_members", "critical", coverage.orphans(t("lineitem").select("l_orderkey"), t("orders"), "l_orderkey", "o_orderkey")),
@@ -101,7 +101,7 @@ def quality_checks(spark, sf_dir):
         ("stage_derived_from_scale", "critical", t("orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")),
         ("synthetic_examples_in_released_dataset", "critical", t("labels").filter("quality = 0 and toxic = 1")),
         ("family_split_leakage", "critical", coverage.leaking_groups(split, "source", "split")),
-        ("active_moiety_split_leakage", "high", split.select("source", "split").distinct().groupBy("source", "split").count().filter("count > 1")),
+        ("active_moiety_split_leakage", "high", coverage.leaking_groups(split, "lang", "split")),
         ("catalogue_drugs_without_coverage", "high", coverage.orphans(t("customer"), t("orders"), "c_custkey", "o_custkey")),
         ("exact_patent_matches_without_local_inchi_key", "critical", t("part").filter("p_name is null")),
     ]

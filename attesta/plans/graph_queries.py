@@ -70,7 +70,8 @@ def browsed(spark, sf_dir):
 @query(f"SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority), '') FROM orders WHERE o_custkey = c_custkey) AS priorities {_BROWSE} ORDER BY c_name, c_custkey LIMIT 50 OFFSET 20")
 def catalogue_browse(spark, sf_dir):
     page = browsed(spark, sf_dir).select("c_custkey", "c_name").orderBy("c_name", "c_custkey").offset(20).limit(50)  # a page of the catalogue
-    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("p"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").join(F.broadcast(page.select("c_custkey")), "c_custkey", "left_semi")  # 50 keys
+    counts = own.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("p"))
     return page.join(counts, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("p", F.lit("")).alias("priorities"))
 
 
@@ -154,7 +155,7 @@ def backtrack_graph(spark, sf_dir):
 def asof_rate(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     views = e.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("rate"))
-    return top.asof(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "ts", "rate", ["event_id"]).select("event_id", "user_id", "rate")
+    return top.asof(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "ts", "rate", ["event_id"], width=7 * 86400.0).select("event_id", "user_id", "rate")
 
 
 _QUOTES = """WITH q AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS quote_id, l_suppkey, ceil(1000 / l_quantity)::BIGINT AS packs, round((ceil(1000 / l_quantity) * l_extendedprice)::DECIMAL(20, 6), 4) AS package_cost, round((1000 / l_quantity * l_extendedprice)::DECIMAL(20, 6), 4) AS continuous_cost FROM lineitem WHERE l_returnflag = 'A')"""
@@ -276,7 +277,7 @@ SELECT entity, family, publication, tm AS title_match, neg AS negative_hits FROM
 def pilot_queue(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     title, phrase = S.normalize_name(F.concat_ws(" ", "p_type", "p_name")), S.normalize_name(F.col("p_name"))
-    scores = review.queue_scores(title, phrase, ("std", "eco"), ("synth", "process"), ("synth", "prepar"))
+    scores = review.queue_scores(title, F.array(phrase), ("std", "eco"), ("synth", "process"), ("synth", "prepar"))
     c = p.select(F.col("p_brand").alias("entity"), F.col("p_size").alias("family"), F.col("p_partkey").alias("publication"), "p_retailprice", *[v.alias(k) for k, v in scores.items()])
     order = [F.col(x).desc() for x in ("title_match", "direct", "negative_hits", "route_hits", "p_retailprice", "publication")]
     return review.pilot_queue(c, "entity", "family", order).select("entity", "family", "publication", "title_match", "negative_hits")

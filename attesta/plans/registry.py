@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from attesta.plans import evidence, graph_queries
+from attesta.plans import catalogue, evidence, graph_queries
 from attesta.streaming import jobs
 
-QUERIES = evidence.QUERIES | graph_queries.QUERIES | jobs.QUERIES
-ORACLES = evidence.ORACLES | graph_queries.ORACLES | jobs.ORACLES
+QUERIES = evidence.QUERIES | graph_queries.QUERIES | catalogue.QUERIES | jobs.QUERIES
+ORACLES = evidence.ORACLES | graph_queries.ORACLES | catalogue.ORACLES | jobs.ORACLES

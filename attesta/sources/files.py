@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.functions.scalars import canonical_json
+
 #: Rows of a batch that a file's reader gives out.
 ROWS = 5000
 #: Keys under which an envelope may hold its list, fixed values, in order.
@@ -113,13 +115,20 @@ def json_envelope(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A file with a header and comma, tab or semicolon between its columns, all of them text."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(20).collect())[: 16 << 10]
+    """A file with a header and comma, tab or semicolon between its columns, all of them text.
+
+    It is read in pieces, unless a quoted value holds a line break (a line then
+    has an odd number of quotation marks).
+    """
+    lines = spark.read.text(path)
+    head = "\n".join(r.value for r in lines.limit(400).collect())[: 16 << 10]
     try:
         sep = csv.Sniffer().sniff(head, ",\t;").delimiter
     except csv.Error:
         sep = "\t" if path.endswith((".tsv", ".txt")) else ","
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path, sep=sep)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = not lines.filter(quotes % 2 == 1).isEmpty()
+    return spark.read.option("header", True).option("multiLine", broken).option("escape", '"').csv(path, sep=sep)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -137,3 +146,30 @@ def changed_artifacts(registered: DataFrame, found: DataFrame) -> DataFrame:
 def write_sorted(df: DataFrame, path: str, *by: str) -> None:
     """Parquet with zstd, rows sorted within files by ranges of the keys."""
     df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_json(df: DataFrame, path: str, *names: str) -> None:
+    """JSON lines with keys in order, in one commit of Spark's writer."""
+    df.select(canonical_json(df, *(names or df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def output_report(spark: SparkSession, path: str) -> DataFrame:
+    """One row on a written folder: files, bytes and the SHA-256 of the sorted digests of its files."""
+    files = manifest(spark, path).filter(F.col("path").rlike("/part-[^/]*$"))
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256"))
+
+
+def unfetched(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What a fetch that was interrupted has still to bring: wanted keys without a row in the partial output, each once."""
+    return wanted.select(key).distinct().join(done.select(key), key, "left_anti")
+
+
+def ocr_results(spark: SparkSession, path: str, documents: DataFrame) -> DataFrame:
+    """Results of text recognition (``*/result.json`` with publication, status, text and pages) as jobs to review: an error without text makes a failed job, and an unknown publication a rejected one.  Nothing is accepted by it."""
+    schema = T.StructType([T.StructField(n, t) for n, t in (("publication", T.StringType()), ("status", T.StringType()), ("text", T.StringType()), ("pages", T.ArrayType(T.StringType())))])
+    found = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "result.json").option("recursiveFileLookup", True).json(path)
+    text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.nullif(F.array_join("pages", "\n\n"), F.lit("")))
+    known = documents.select("publication", F.lit(True).alias("known")).distinct()
+    state = F.when(F.col("known").isNull(), "rejected").when((F.col("status") != "ok") | F.col("text").isNull(), "failed").otherwise("needs_review")
+    out = found.withColumn("text", text).join(known, "publication", "left")
+    return out.select("publication", state.alias("review_status"), "text", F.sha2("text", 256).alias("text_sha256"), F.size(F.coalesce("pages", F.array().cast("array<string>"))).alias("n_pages"))
