@@ -66,6 +66,26 @@ def job_state(events: DataFrame, job: list[str], at: list[str], state: str, runn
     return events.groupBy(*job).agg(F.max_by(state, F.struct(*at)).alias("status"), attempts.alias("attempts"), F.count(F.lit(1)).alias("n_events"))
 
 
+def exceptions(states: DataFrame, job: list[str], bad: tuple[str, ...]) -> DataFrame:
+    """The jobs (of job_state) that need someone: those whose latest state is one of ``bad``."""
+    return states.filter(F.col("status").isin(*bad)).select(*job, "status", "attempts")
+
+
+def due(wanted: DataFrame, states: DataFrame, job: list[str], finished: tuple[str, ...]) -> DataFrame:
+    """Wanted jobs that have to run: those without a finished latest state."""
+    return wanted.select(*job).distinct().join(states.filter(F.col("status").isin(*finished)), job, "left_anti")
+
+
+def child_counts(parents: DataFrame, key: str, lists: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(key, list, n): of each parent and list (table with the key, column) its different values; 0 where it has none."""
+    counts = None
+    for name, (child, value) in lists.items():
+        own = child.groupBy(key).agg(F.countDistinct(value).alias("n"))
+        part = parents.select(key).join(own, key, "left").select(key, F.lit(name).alias("list"), F.coalesce("n", F.lit(0)).alias("n"))
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
+
+
 def evidence_chain(drugs: DataFrame, participants: DataFrame, links: DataFrame, spans: DataFrame) -> DataFrame:
     """Distinct evidence of each drug: drugs (drug, compound), participants (reaction, compound, role) of which the produced ones count, links (reaction, relationship_type, evidence_span), spans (evidence_span, ...)."""
     made = participants.filter("role = 'produced'").select("reaction", "compound").distinct()

@@ -21,11 +21,6 @@ def left_join_top1(left: DataFrame, right: DataFrame, key: list[str], order: lis
     return left.join(top1(right, key, order), key, "left")
 
 
-def latest(df: DataFrame, key: list[str], value: Column, order: Column) -> DataFrame:
-    """(key, value) at the greatest ``order``, by aggregation."""
-    return df.groupBy(*key).agg(F.max_by(value, order).alias("value"))
-
-
 def first_stage(candidates: DataFrame, key: list[str], stage: str, tie: list[Column]) -> DataFrame:
     """Of candidates from several stages, those of the first stage that has any, and of them the first by ``tie``."""
     return top1(candidates, key, [F.col(stage).asc(), *tie])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
+from attesta.functions.session import shared_folder
 from attesta.operators import costing, coverage, curation, graph, ingest, matching, review, top
 from attesta.plans.evidence import table
 from attesta.sources import files
@@ -464,3 +467,124 @@ def pilot_scores(spark, sf_dir):
     scores = review.queue_scores(title, aliases, ("tablet",), ("process", "prepar"), ("synth", "prepar")) | {"field_priority": review.priority(S.normalize_name(field), review.FIELD_PRIORITY), "country_priority": review.priority(country, review.COUNTRY_PRIORITY)}
     rows = p.select(c("p_brand").alias("entity"), c("p_size").alias("family"), k.alias("publication"), *[v.alias(n) for n, v in scores.items()])
     return review.pilot_queue(rows, "entity", "family", [c(n).desc() for n in (*scores, "publication")]).select("entity", "family", "publication", *scores)
+
+
+@query("SELECT user_id, status, attempts FROM (SELECT user_id, max_by(event_type, struct_pack(ts := ts, event_id := event_id)) AS status, count(*) FILTER (event_type = 'click') AS attempts FROM events GROUP BY user_id) WHERE status IN ('signup', 'error')")
+def job_exception_list(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return review.exceptions(review.job_state(e, ["user_id"], ["ts", "event_id"], "event_type", "click"), ["user_id"], ("signup", "error"))
+
+
+@query("SELECT o_custkey AS user_id FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT user_id FROM (SELECT user_id, max_by(event_type, struct_pack(ts := ts, event_id := event_id)) AS status FROM events GROUP BY user_id) WHERE status IN ('view', 'click'))")
+def jobs_due(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return review.due(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")), review.job_state(e, ["user_id"], ["ts", "event_id"], "event_type", "click"), ["user_id"], ("view", "click"))
+
+
+@query("""WITH o AS (SELECT * FROM orders), l AS (SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey), x AS (SELECT c_custkey, 'publications' AS list, (SELECT count(*) FROM o WHERE o_custkey = c_custkey) AS n FROM customer
+UNION ALL SELECT c_custkey, 'priorities', (SELECT count(DISTINCT o_orderpriority) FROM o WHERE o_custkey = c_custkey) FROM customer UNION ALL SELECT c_custkey, 'compounds', coalesce(n, 0) FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT l_partkey) AS n FROM l GROUP BY 1) ON o_custkey = c_custkey
+UNION ALL SELECT c_custkey, 'suppliers', coalesce(n, 0) FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT l_suppkey) AS n FROM l GROUP BY 1) ON o_custkey = c_custkey UNION ALL SELECT c_custkey, 'routes', coalesce(n, 0) FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT l_returnflag) AS n FROM l GROUP BY 1) ON o_custkey = c_custkey
+UNION ALL SELECT c_custkey, 'evidence', coalesce(n, 0) FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT doc_id) AS n FROM orders JOIN documents ON doc_id = o_orderkey GROUP BY 1) ON o_custkey = c_custkey) SELECT * FROM x""")
+def drug_children(spark, sf_dir):
+    """How many members each of the six lists of an entity's page has."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey", "l_returnflag").join(o.select("o_orderkey", "c_custkey"), "o_orderkey")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("o_orderkey"), "doc_id").join(o, "o_orderkey")
+    lists = {"publications": (o, "o_orderkey"), "priorities": (o, "o_orderpriority"), "compounds": (line, "l_partkey"), "suppliers": (line, "l_suppkey"), "routes": (line, "l_returnflag"), "evidence": (docs, "doc_id")}
+    return review.child_counts(table(spark, sf_dir, "customer"), "c_custkey", lists)
+
+
+_KINDS = """SELECT 'region:' || r_regionkey AS node_id, 'region' AS node_type, r_name AS label FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name FROM customer
+UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderpriority FROM orders UNION ALL SELECT 'part:' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 'document:' || doc_id, 'document', source FROM documents"""
+_LINKS = """SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'within' AS edge_type FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'based_in' FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'resident_in' FROM customer
+UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by' FROM orders UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'order:' || l_orderkey, 'consumed' FROM lineitem WHERE l_returnflag <> 'R' UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'order:' || l_orderkey, 'returned' FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies' FROM lineitem UNION ALL SELECT 'document:' || doc_id, 'order:' || o_orderkey, 'supports' FROM documents JOIN orders ON o_orderkey = doc_id"""
+
+
+def whole_graph(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    nodes = graph.nodes((t("region"), "region", "r_regionkey", "r_name"), (t("nation"), "nation", "n_nationkey", "n_name"), (t("supplier"), "supplier", "s_suppkey", "s_name"), (t("customer"), "customer", "c_custkey", "c_name"), (t("orders"), "order", "o_orderkey", "o_orderpriority"), (t("part"), "part", "p_partkey", "p_name"), (t("documents"), "document", "doc_id", "source"))
+    line = t("lineitem")
+    supplied = line.select("l_suppkey", "l_partkey").distinct()
+    part_of = lambda condition: line.filter(condition).select("l_partkey", "l_orderkey").distinct()
+    spoken = t("documents").select("doc_id").join(t("orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderkey"), "doc_id")
+    edges = graph.edges(
+        (t("nation"), "nation", "n_nationkey", "region", "n_regionkey", "within"), (t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "based_in"), (t("customer"), "customer", "c_custkey", "nation", "c_nationkey", "resident_in"), (t("orders"), "order", "o_orderkey", "customer", "o_custkey", "placed_by"),
+        (part_of("l_returnflag <> 'R'"), "part", "l_partkey", "order", "l_orderkey", "consumed"), (part_of("l_returnflag = 'R'"), "part", "l_partkey", "order", "l_orderkey", "returned"), (supplied, "supplier", "l_suppkey", "part", "l_partkey", "supplies"), (spoken, "document", "doc_id", "order", "o_orderkey", "supports"),
+    )
+    return nodes.select("node_id", "node_type", "label"), edges
+
+
+@query(f"SELECT node_type AS kind, count(*) AS n, count(DISTINCT label) AS n_labels FROM ({_KINDS}) GROUP BY 1 UNION ALL SELECT edge_type, count(*), count(DISTINCT target_id) FROM ({_LINKS}) GROUP BY 1")
+def graph_kinds(spark, sf_dir):
+    """The seven kinds of nodes and eight of edges of the whole graph."""
+    nodes, edges = whole_graph(spark, sf_dir)
+    kinds = lambda d, kind, of: d.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(of).alias("n_labels"))
+    return kinds(nodes, "node_type", "label").unionByName(kinds(edges, "edge_type", "target_id"))
+
+
+@query(f"""WITH RECURSIVE e AS ({_LINKS}), n AS ({_KINDS}), b AS (SELECT source_id AS x, target_id AS y FROM e UNION ALL SELECT target_id, source_id FROM e), w(node_id, level) AS (SELECT 'document:7', 1 UNION SELECT b.y, w.level + 1 FROM w JOIN b ON b.x = w.node_id WHERE w.level < 3), m AS (SELECT node_id, min(level)::INT AS level FROM w GROUP BY 1)
+SELECT source_id, target_id, edge_type, m.node_id AS traversed_from, level, s.label AS source_label, t.label AS target_label FROM m JOIN e ON m.node_id IN (source_id, target_id) LEFT JOIN n s ON s.node_id = source_id LEFT JOIN n t ON t.node_id = target_id""")
+def graph_traversal(spark, sf_dir):
+    """Edges up to three steps from a document, each with the node from which it was met."""
+    nodes, edges = whole_graph(spark, sf_dir)
+    return graph.traverse(edges, nodes, spark.createDataFrame([("document:7",)], "node_id string"), 3)
+
+
+@query("""WITH q AS (SELECT l_partkey, l_suppkey, 'Supplier  ' || l_suppkey AS s FROM lineitem), ok AS (SELECT * FROM q JOIN part ON p_partkey = l_partkey AND p_size > 10)
+SELECT 'supplier' AS table_name, count(*) AS n_rows FROM (SELECT DISTINCT l_suppkey FROM ok UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) UNION ALL SELECT 'material_quote', count(*) FROM ok UNION ALL SELECT 'rejected', (SELECT count(*) FROM q) - (SELECT count(*) FROM ok)""")
+def import_quotes(spark, sf_dir):
+    """Price lists: quotes of known compounds with their suppliers, new ones added, and the others rejected."""
+    quotes = table(spark, sf_dir, "lineitem").select(text("l_partkey").alias("compound_id"), name("Supplier  ", "l_suppkey").alias("supplier_name"), "l_orderkey")
+    compounds = table(spark, sf_dir, "part").filter("p_size > 10").select(text("p_partkey").alias("compound_id"))
+    known = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(S.stable_id("supplier", name("supplier ", "s_suppkey")).alias("supplier_id"), name("SUPPLIER ", "s_suppkey").alias("supplier_name"))
+    return coverage.table_counts(curation.import_quotes(quotes, compounds, known, "l_orderkey"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'needs_review' ELSE 'rejected' END AS st FROM orders), r AS (SELECT o_custkey, CASE WHEN bool_and(st = 'accepted') THEN 'accepted' ELSE 'needs_review' END AS st FROM s GROUP BY 1)
+SELECT 'process_step' AS table_name, st AS review_status, count(*) AS n FROM s GROUP BY 2 UNION ALL SELECT 'evidence_span', st, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'process_route', st, count(*) FROM r GROUP BY 2""")
+def approval_states(spark, sf_dir):
+    """Decisions on steps go to their spans, and to routes of which all steps are accepted."""
+    c = F.col
+    o = table(spark, sf_dir, "orders")
+    steps = o.select(c("o_orderkey").alias("step_id"), c("o_custkey").alias("route_id"), name("span", "o_orderkey").alias("evidence_span_id"), F.lit("needs_review").alias("review_status"))
+    spans = steps.select("evidence_span_id", "review_status")
+    routes = steps.select("route_id", "review_status").distinct()
+    decisions = o.filter("o_orderstatus <> 'O'").select(c("o_orderkey").alias("step_id"), F.when(c("o_orderstatus") == "F", "accepted").otherwise("rejected").alias("decision"))
+    out = None
+    for n, t in curation.approve(steps, spans, routes, decisions).items():
+        own = t.groupBy(F.lit(n).alias("table_name"), "review_status").agg(F.count(F.lit(1)).alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("SELECT source_id, unnest(list_filter([CASE WHEN source_id % 5 = 0 THEN 'required_license_code' END, CASE WHEN source_id % 7 = 0 THEN 'runtime_dependency' END], lambda x: x IS NOT NULL)) AS code FROM (SELECT n_nationkey AS source_id FROM nation) UNION ALL SELECT n_nationkey, 'duplicate_source' FROM nation WHERE n_nationkey < 3")
+def source_issues(spark, sf_dir):
+    """What is wrong with a registry of sources; three of them are there twice, the second time without a fault."""
+    k, word = F.col("n_nationkey"), F.lit("x")
+    n = table(spark, sf_dir, "nation")
+    named = lambda d, license, runtime: d.select(k.alias("source_id"), *[word.alias(c) for c in ("name", "authority", "role", "collection_mode", "redistribution")], license.alias("license_code"), runtime.alias("runtime_dependency"))
+    return curation.registry_issues(named(n, F.when(k % 5 != 0, word), k % 7 == 0).unionByName(named(n.filter("n_nationkey < 3"), word, F.lit(False))))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def json_round_trip(spark, sf_dir):
+    """Documents' ids written as JSON lines and read back."""
+    from pyspark.sql import types as T
+
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    files.write_json(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path)
+    return files.json_lines(spark, path, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType())]))
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'A'")
+def published_table(spark, sf_dir):
+    """A table sorted by its key, checked and written in one commit, and read back."""
+    from attesta.operators import merge
+
+    base = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    line = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select("l_orderkey", "l_partkey", "l_quantity")
+    files.write_sorted(line, f"{base}/sorted", "l_orderkey")
+    own = spark.read.parquet(f"{base}/sorted")
+    merge.publish(own, f"{base}/published", own.filter("l_quantity < 0"))
+    return spark.read.parquet(f"{base}/published")
