@@ -85,8 +85,9 @@ def one_text_a_key(docs: DataFrame, id_col: str, text_col: str, key: str) -> Dat
 def range_bounds(docs: DataFrame, col: str, weight: Column, n: int) -> list[int]:
     """At most n-1 cut points of a bigint column, for ranges of about equal weight.
 
-    Four times as many quantiles are weighed and joined; a number for each of
-    them goes through the driver.
+    Four times as many quantiles are weighed and joined, so a range is heavier
+    than its share by one of them at most; a number for each goes through the
+    driver.
     """
     fine = 4 * n
     ids = docs.select(F.col(col).cast("double").alias(col))
