@@ -33,6 +33,8 @@ MISS = 1e-6
 BITS = 512
 #: Members of a block when a bucket's components are compared with each other.
 BLOCK = 512
+#: Partners of a document whose sets one part of the confirmation compares with its own.
+PARTNERS = 64
 #: Shingles of such a block, on an average.
 BLOCK_SHINGLES = 1_000_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -140,7 +142,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     ends = small(stage(ends))
     sets = stage(_sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(ends, id_col, "left_semi"), id_col, text_col, width))
     # partners of a document are dealt to parts; its set goes once to each of them
-    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
     dealt = stage(pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), "v"))
     heads = dealt.select("u", "part").distinct().select("u", "part", F.lit(None).cast("bigint").alias("v"), F.col("u").alias("id"))
     rows = heads.unionByName(dealt.withColumn("id", F.col("v"))).join(sets, "id").drop("id")
