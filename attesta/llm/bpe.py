@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, forgets, free_name, tidy
-from attesta.llm.token_cache import BYTE_CHUNKS, Encoder, kept_encoder
+from attesta.llm.token_cache import BYTE_CHUNKS, VOCABULARY, Encoder, kept_encoder
 
 _models: dict = {}
-forgets(_models.clear)
+forgets(_models.clear, VOCABULARY)
 
 
 @cache
@@ -93,7 +93,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     text_col = docs.columns[-1]
     schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())] + [T.StructField("starts", T.ArrayType(T.LongType()))] * offsets)
 
-    @tidy
+    @tidy(keep=VOCABULARY)
     def run(batches):
         enc = _encoder(path, pattern)
         lengths = np.array([len(t) for t in token_bytes(path)], np.int64) if offsets else None
@@ -117,7 +117,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
-    @tidy
+    @tidy(keep=VOCABULARY)
     def run(batches):
         table = token_bytes(path)
         for batch in batches:

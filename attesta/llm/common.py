@@ -118,32 +118,35 @@ def range_key(col: Column, bounds: list[int]) -> Column:
 
 # --- memory of Python workers ------------------------------------------------------------
 
-_caches: list = []
+_caches: list[tuple[str, object]] = []
 
 
-def forgets(clear):
-    """Registers a function that empties a cache of the worker; ``tidy`` calls it."""
-    _caches.append(clear)
+def forgets(clear, kind: str = ""):
+    """Registers a function that empties a cache of the worker, of a kind that operators may ask ``tidy`` to keep."""
+    _caches.append((kind, clear))
     return clear
 
 
-def give_back() -> None:
-    """Empties the worker's caches and gives free memory back to the system."""
-    for clear in _caches:
-        clear()
+def give_back(keep: str = "") -> None:
+    """Empties the worker's caches, but for those of a kind, and gives free memory back to the system."""
+    for kind, clear in _caches:
+        if not kind or kind != keep:
+            clear()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
-def tidy(run):
-    """``run``, whose worker gives memory back when a task ends: workers are used again, by other operators too."""
+def tidy(run=None, *, keep: str = ""):
+    """``run``, whose worker gives memory back when a task ends: workers are used again, by other operators too. What is dear to load is kept for the next task by naming its kind; a task that does not name it drops it."""
+    if run is None:
+        return lambda f: tidy(f, keep=keep)
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            give_back()
+            give_back(keep)
 
     return wrapped
 

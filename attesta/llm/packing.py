@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, free_name, partitions, stage, tidy
-from attesta.llm.token_cache import WORD_CHUNKS, encoder
+from attesta.llm.token_cache import VOCABULARY, WORD_CHUNKS, encoder
 
 #: Steps of the search, and of them those that one enumeration of fillings may take; None is no limit, and the plan then is optimal.
 NODES, LOOK = 400_000, 4_000
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
     A null text is empty: one piece with the end id.
     """
 
-    @tidy
+    @tidy(keep=VOCABULARY)
     def run(batches):
         enc = encoder(vocabulary, WORD_CHUNKS)
         end = np.array([end_id], "<u4").tobytes()

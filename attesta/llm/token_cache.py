@@ -38,7 +38,15 @@ WORD_CHUNKS = re.compile(f"[{LETTERS}]+{_STOP}|[^{WHITE}]+")
 _encoders: dict = {}
 
 
-forgets(_encoders.clear)
+#: Kind of the caches that hold vocabularies: they take a second to load.
+VOCABULARY = "vocabulary"
+forgets(_encoders.clear, VOCABULARY)
+
+
+@forgets
+def _forget_chunks() -> None:
+    for e in _encoders.values():
+        e.known, e.older = {}, {}
 
 
 class Encoder:
@@ -76,14 +84,14 @@ class Encoder:
 
 
 def encoder(path: str, chunks: re.Pattern = BYTE_CHUNKS) -> Encoder:
-    """The task's encoder of a vocabulary file of the tokenizers library."""
+    """The worker's encoder of a vocabulary file of the tokenizers library."""
     from tokenizers import Tokenizer
 
     return kept_encoder((path, chunks.pattern), lambda: Encoder(Tokenizer.from_file(path), chunks))
 
 
 def kept_encoder(key, make) -> Encoder:
-    """One encoder a task for each key."""
+    """One encoder a worker for each key; what it has learnt of texts is forgotten when a task ends."""
     if key not in _encoders:
         _encoders[key] = make()
     return _encoders[key]

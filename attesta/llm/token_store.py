@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, mix, partitions, range_bounds, range_key, tidy
-from attesta.llm.token_cache import encoder
+from attesta.llm.token_cache import VOCABULARY, encoder
 
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
@@ -123,7 +123,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bounds = range_bounds(docs, "key", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, max(partitions(docs.sparkSession), -(-total // RANGE_BYTES)))
 
-    @tidy
+    @tidy(keep=VOCABULARY)
     def encode(batches):
         enc = encoder(vocabulary)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16
