@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, forgets, free_name, tidy
-from attesta.llm.token_cache import BYTE_CHUNKS, VOCABULARY, Encoder, kept_encoder
+from attesta.llm.token_cache import BYTE_CHUNKS, ENCODE_BYTES, VOCABULARY, Encoder, kept_encoder
 
 _models: dict = {}
 forgets(_models.clear, VOCABULARY)
@@ -98,7 +98,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
         enc = _encoder(path, pattern)
         lengths = np.array([len(t) for t in token_bytes(path)], np.int64) if offsets else None
         for batch in batches:
-            for part, _, _ in blocks(batch, text_col):
+            for part, _, _ in blocks(batch, text_col, ENCODE_BYTES):
                 texts = [t or "" for t in column(part, text_col).to_pylist()]
                 ids = enc.ids(texts)
                 cols = [column(part, c) for c in keep] + [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, free_name, partitions, stage, tidy
-from attesta.llm.token_cache import VOCABULARY, WORD_CHUNKS, encoder
+from attesta.llm.token_cache import ENCODE_BYTES, VOCABULARY, WORD_CHUNKS, encoder
 
 #: Steps of the search, and of them those that one enumeration of fillings may take; None is no limit, and the plan then is optimal.
 NODES, LOOK = 400_000, 4_000
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
         enc = encoder(vocabulary, WORD_CHUNKS)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, _, _ in blocks(batch, text_col):
+            for part, _, _ in blocks(batch, text_col, ENCODE_BYTES):
                 rows = []
                 for k, ids in zip(column(part, id_col).to_pylist(), enc.ids([t or "" for t in column(part, text_col).to_pylist()]), strict=True):
                     ids += end

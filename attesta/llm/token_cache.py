@@ -3,8 +3,9 @@
 The pre-tokenizers of the vocabularies used here end a token wherever white
 space begins (but for one space before a word) and between a letter and an
 ASCII character that is none, so ids of a text are those of its chunks in a
-row.  A task keeps the ids of the chunks it has met lately, two generations of
-``CACHE_CHUNKS``; the library encodes the others in batches.
+row.  A worker keeps the ids of the chunks it has met lately, two generations of
+``CACHE_CHUNKS``, until a task of another operator runs in it; the library
+encodes the others in batches.
 
 Texts that hold the string of an added token are encoded as they are: the
 library takes that string for the token, wherever it stands.
@@ -22,6 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space of Unicode, fixed values (property White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of text that are encoded together: each distinct chunk of them is looked at once.
+ENCODE_BYTES = 4 << 20
 #: Chunks of a generation (about 200 bytes each).
 CACHE_CHUNKS = 350_000
 #: Longest chunk, in code points, that is remembered.
@@ -38,17 +41,11 @@ WORD_CHUNKS = re.compile(f"[{LETTERS}]+{_STOP}|[^{WHITE}]+")
 _encoders: dict = {}
 
 
-#: Kind of the caches that hold vocabularies: they take a second to load.
+#: Kind of the caches that hold vocabularies and known chunks.
 VOCABULARY = "vocabulary"
 forgets(_encoders.clear, VOCABULARY)
 
 
-@forgets
-def _forget_chunks() -> None:
-    for e in _encoders.values():
-        e.known, e.older = {}, {}
-
-
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, as the library encodes them with ``add_special_tokens=False``."""
 
@@ -91,7 +88,7 @@ def encoder(path: str, chunks: re.Pattern = BYTE_CHUNKS) -> Encoder:
 
 
 def kept_encoder(key, make) -> Encoder:
-    """One encoder a worker for each key; what it has learnt of texts is forgotten when a task ends."""
+    """One encoder a worker for each key, until a task of another operator runs in it."""
     if key not in _encoders:
         _encoders[key] = make()
     return _encoders[key]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, mix, partitions, range_bounds, range_key, tidy
-from attesta.llm.token_cache import VOCABULARY, encoder
+from attesta.llm.token_cache import ENCODE_BYTES, VOCABULARY, encoder
 
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, _, _ in blocks(batch, "text"):
+            for part, _, _ in blocks(batch, "text", ENCODE_BYTES):
                 ids = [i + end for i in enc.ids([t or "" for t in column(part, "text").to_pylist()])]
                 if narrow:
                     ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
