@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLOCK_BYTES, Spans, column, partitions, range_bounds, range_key, sha256_hex, tidy
+from attesta.llm.common import Spans, column, partitions, range_bounds, range_key, sha256_hex, tidy
 
 #: Bytes that the rolling hash sees.
 WINDOW = 7
@@ -24,6 +24,8 @@ LEAST, SIGNATURE = 2, 64
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Bytes of text of a range of ids, which is a task's work.
 RANGE_BYTES = 8_000_000
+#: Code points of text that are fingerprinted together: the more, the fuller the tables of edit distances.
+RUN_CHARS = 2 << 20
 #: Pairs whose edit distances are computed side by side.
 PAIRS = 1000
 
@@ -186,7 +188,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for row in zip(*(column(batch, c).to_pylist() for c in ("p", "look", "id", "text")), strict=True):
                 rows.append(row)
                 size += len(row[3])
-                if size > BLOCK_BYTES:
+                if size > RUN_CHARS:
                     yield from measure(rows)
                     rows, size = rows[-1:], 0
         if len(rows) > 1:
