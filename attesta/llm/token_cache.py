@@ -3,8 +3,8 @@
 The pre-tokenizers of the vocabularies used here end a token wherever white
 space begins (but for one space before a word) and between a letter and an
 ASCII character that is none, so ids of a text are those of its chunks in a
-row.  A worker keeps the ids of the chunks it has met lately, two generations of
-``CACHE_CHUNKS``, until a task of another operator runs in it; the library
+row.  A worker keeps the ids of the chunks it has met lately, in two generations
+of bounded size, until a task of another operator runs in it; the library
 encodes the others in batches.
 
 Texts that hold the string of an added token are encoded as they are: the
@@ -25,8 +25,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of text that are encoded together: each distinct chunk of them is looked at once.
 ENCODE_BYTES = 4 << 20
-#: Chunks of a generation (about 200 bytes each).
-CACHE_CHUNKS = 350_000
+#: Chunks of a generation (about 200 bytes each), and those of a task that has one Python worker and no second one behind it.
+CACHE_CHUNKS, WIDE_CACHE = 350_000, 600_000
 #: Longest chunk, in code points, that is remembered.
 CACHE_CHARS = 64
 
@@ -49,7 +49,8 @@ forgets(_encoders.clear, VOCABULARY)
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, as the library encodes them with ``add_special_tokens=False``."""
 
-    def __init__(self, tokenizer, chunks: re.Pattern):
+    def __init__(self, tokenizer, chunks: re.Pattern, most: int = CACHE_CHUNKS):
+        self.most = most
         self.tokenizer, self.chunks, self.known, self.older = tokenizer, chunks, {}, {}
         added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
@@ -58,7 +59,7 @@ class Encoder:
         whole = {i for i, t in enumerate(texts) if self.added.search(t)} if self.added else set()
         parts = [() if i in whole else self.chunks.findall(t) for i, t in enumerate(texts)]
         wanted = set().union(*parts)
-        if len(self.known) + len(wanted) > CACHE_CHUNKS:
+        if len(self.known) + len(wanted) > self.most:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = []
@@ -84,7 +85,7 @@ def encoder(path: str, chunks: re.Pattern = BYTE_CHUNKS) -> Encoder:
     """The worker's encoder of a vocabulary file of the tokenizers library."""
     from tokenizers import Tokenizer
 
-    return kept_encoder((path, chunks.pattern), lambda: Encoder(Tokenizer.from_file(path), chunks))
+    return kept_encoder((path, chunks.pattern), lambda: Encoder(Tokenizer.from_file(path), chunks, WIDE_CACHE))
 
 
 def kept_encoder(key, make) -> Encoder:
