@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, ctph, exact_dedup, line_dedup, near_dedup, packing, suffix_dedup, token_store, toxicity
+from attesta.llm import bpe, chat, clustering, ctph, exact_dedup, line_dedup, near_dedup, packing, suffix_dedup, token_store, toxicity, url_filter, whitening
 from attesta.llm.common import shared_dir
 
 #: Folder of the vocabulary files.
@@ -108,6 +108,47 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint")).withColumnRenamed("id", "vec_id")
+
+
+#: Fixed rules of the contract: (verdict, host and path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    totals = {c: F.col(c).cast("bigint") for c in ("cluster_inertia", "inertia")}
+    return out.withColumns(totals).withColumnRenamed("id", "vec_id")
+
+
+def _lloyd_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """The rounds written out one after the other, every vector against every centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        "x AS MATERIALIZED (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS d FROM v)",
+        f"s AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, d, x FROM s JOIN x USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, q * {k} + c) AS c, min(q) AS q
+    FROM (SELECT x.vec_id, c.c, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS q FROM x JOIN c{r} c USING (d) GROUP BY 1, 2) GROUP BY 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.c, o.d, coalesce(floor_div, o.x) AS x FROM c{r} o
+    LEFT JOIN (SELECT c, d, ((s - (s % n + n) % n) // n)::BIGINT AS floor_div FROM (SELECT c, d, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (vec_id) GROUP BY 1, 2)) USING (c, d))""")
+    return f"""WITH {", ".join(parts)},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, c::INTEGER AS cluster, q AS distance, (sum(q) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(q) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c)"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -119,5 +160,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_store": op9_token_store,
     "op10_line_dedup": op10_line_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_url_filters": op12_url_filters,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op13_centroid_clustering": _lloyd_sql()}
