@@ -206,6 +206,88 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+#: A prime of which remainders fit in 61 bits: unlike modulo 2^64, no order of two words cancels out.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+#: Bases below the prime, one for each independent hash.
+_PRIME_BASES = (0x1F3A9C5D7B21E64F, 0x0C8E51D3A7F6942B)
+_PLACE = np.uint64(0x9FB21C651E98DF25)
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+forgets(_prime_powers.clear)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Remainders by the prime of any 64-bit numbers."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of remainders, again below the prime: by halves of 31 and 30 bits, 2^61 counting as 1."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _fold(_fold(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31))) + a0 * b0)
+
+
+def prime_powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """B^i and B^-i modulo the prime for i < n."""
+    if base not in _prime_powers or len(_prime_powers[base][0]) < n:
+        both, n_all = [], max(n, BLOCK_BYTES + 4096)
+        for b in (_PRIME_BASES[base], pow(_PRIME_BASES[base], -1, PRIME)):
+            out = np.ones(n_all, np.uint64)
+            have = 1
+            while have < n_all:
+                more = min(have, n_all - have)
+                out[have : have + more] = times(out[:more], np.full(more, pow(b, have, PRIME), np.uint64))
+                have += more
+            both.append(out)
+        _prime_powers[base] = both[0], both[1]
+    up, down = _prime_powers[base]
+    return up[:n], down[:n]
+
+
+class Runs:
+    """Hashes of any runs of a sequence of numbers below the prime, and of runs with some left out, from one running sum."""
+
+    def __init__(self, values: np.ndarray, base: int = 0):
+        up, self.down = prime_powers(len(values) + 2, base)
+        terms = times(values, up[: len(values)])
+        high, low = np.cumsum(terms >> np.uint64(31), dtype=np.uint64), np.cumsum(terms & _LOW31, dtype=np.uint64)
+        high = _fold(high)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        self.sums[1:] = _fold(_fold(low) + ((high & _LOW30) << np.uint64(31)) + (high >> np.uint64(30)))
+
+    def _between(self, a: np.ndarray, b: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Sum of the terms from a to b, moved down by ``shift`` places."""
+        return times(_fold(self.sums[b] + (_P - self.sums[a])), self.down[shift])
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(self._between(a, b, a) + mix((b - a).astype(np.uint64)))
+
+    def without(self, a: np.ndarray, cut: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Equals ``hash`` of the numbers a..b without those at the columns of ``cut``, which ascend."""
+        total, start = np.zeros(len(a), np.uint64), a
+        for r in range(cut.shape[1]):
+            total = _fold(total + self._between(start, cut[:, r], a + r))
+            start = cut[:, r] + 1
+        total = _fold(total + self._between(start, b, a + cut.shape[1]))
+        return mix(total + mix((b - a - cut.shape[1]).astype(np.uint64)))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number below the prime for each word (of one byte or more) of a byte buffer, A-Z counting as a-z.
+
+    A word is the sum of a random number for each byte and its place in the word, so that words of the same bytes in another order share nothing.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n = ends - starts
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    values = mix(LOWER[data[place + np.repeat(starts, n)]] + place.astype(np.uint64) * _PLACE)
+    return _fold(mix(np.add.reduceat(values, first) + n.astype(np.uint64)))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a batch of texts and the n+1 offsets of its rows; null is empty."""
     wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import LOWER, Spans, blocks, column, free_name, long_lists, longs, mix, one_text_a_key, powers, small_lists, stage, tidy, word_spans
+from attesta.llm.common import Runs, blocks, column, free_name, long_lists, longs, one_text_a_key, small_lists, stage, tidy, word_hashes, word_spans
 
 #: Variants that one numpy step makes.
 STEP = 1 << 19
@@ -36,7 +36,7 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, _ = word_spans(data, offsets)
-        self.words = Spans(data, LOWER).hash(starts, ends)
+        self.words = word_hashes(data, starts, ends)
         breaks = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int64)))
         row = np.searchsorted(offsets, starts, "right") - 1
         number = breaks[starts] - breaks[offsets[row]] if len(starts) else starts
@@ -47,62 +47,41 @@ class Lines:
         self.row, self.number = row[first], number[first]
 
 
-class Sums:
-    """Hashes of runs of words, and of runs with one word left out, from one running sum."""
-
-    def __init__(self, words: np.ndarray):
-        up, self.down = powers(len(words) + 2)
-        self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=self.sums[1:])
-
-    def run(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
-
-    def without(self, a: np.ndarray, cut: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Equals ``run`` of the words a..b without those at the columns of ``cut``, which ascend."""
-        total, start = np.zeros(len(a), np.uint64), a
-        for r in range(cut.shape[1]):
-            total += (self.sums[cut[:, r]] - self.sums[start]) * self.down[a + r]
-            start = cut[:, r] + 1
-        total += (self.sums[b] - self.sums[start]) * self.down[a + cut.shape[1]]
-        return mix(total + (b - a - cut.shape[1]).astype(np.uint64))
-
-
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with words: its hash and place.  The first of its document also has how often it occurs there, its number of words and the hashes of its halves (two lengths of each)."""
-    names = ["h", "doc", "line", "often", "n", "p0", "p1", "s0", "s1"]
+    """Every line with words: its hash, of two independent numbers, and its place.  The first of its document also has how often it occurs there, its number of words and the hashes of its halves (two lengths of each)."""
+    names = ["h", "g", "doc", "line", "often", "n", "p0", "p1", "s0", "s1"]
 
     @tidy
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 own = Lines(data, offsets)
-                sums = Sums(own.words)
+                sums = Runs(own.words)
                 a, b = own.cuts[:-1], own.cuts[1:]
-                n, h = b - a, sums.run(a, b)
-                order = np.lexsort((np.arange(len(h)), h, own.row))
+                n, h, g = b - a, sums.hash(a, b), Runs(own.words, 1).hash(a, b)
+                order = np.lexsort((np.arange(len(h)), g, h, own.row))
                 new = np.ones(len(h), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (own.row[order][1:] != own.row[order][:-1])
+                new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]) | (own.row[order][1:] != own.row[order][:-1])
                 often = np.zeros(len(h), np.int64)
                 often[order[new]] = np.diff(np.append(np.flatnonzero(new), len(h)))
                 lo, hi = (n - 1) // 2, (n + 1) // 2
                 ids = column(part, "doc").to_numpy(zero_copy_only=False)
                 # of n-1, n and n+1 words two lengths of a half differ; which half it is and its length are part of the key
-                cols = [h, ids[own.row], own.number, often, n, sums.run(a, a + lo), sums.run(a, a + hi), ~sums.run(b - lo, b), ~sums.run(b - hi, b)]
+                cols = [h, g, ids[own.row], own.number, often, n, sums.hash(a, a + lo), sums.hash(a, a + hi), ~sums.hash(b - lo, b), ~sums.hash(b - hi, b)]
                 yield pa.RecordBatch.from_arrays([longs(c) if c.dtype == np.uint64 else pa.array(c.astype(np.int64)) for c in cols], names=names)
 
     return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(seq, h, words) of the wanted (doc, lines), numbered in the order of documents and lines."""
+    """(seq, h, g, words) of the wanted (doc, lines), numbered in the order of documents and lines."""
 
     @tidy
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 own = Lines(data, offsets)
-                sums = Sums(own.words)
+                sums = Runs(own.words)
                 ids, lists = column(part, "doc").to_numpy(zero_copy_only=False), column(part, "lines").to_pylist()
                 at = np.searchsorted(own.row, np.arange(part.num_rows + 1))
                 pick = [at[r] + np.flatnonzero(np.isin(own.number[at[r] : at[r + 1]], lists[r])) for r in range(part.num_rows)]
@@ -110,11 +89,11 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 a, b = own.cuts[:-1][pick], own.cuts[1:][pick]
                 cuts = np.concatenate(([0], np.cumsum(b - a)))
                 flat = np.arange(cuts[-1]) - np.repeat(cuts[:-1] - a, b - a)
-                yield pa.RecordBatch.from_arrays([longs(sums.run(a, b)), pa.array(ids[own.row[pick]]), pa.array(own.number[pick]), long_lists(own.words[flat], cuts)], names=["h", "doc", "line", "words"])
+                yield pa.RecordBatch.from_arrays([longs(sums.hash(a, b)), longs(Runs(own.words, 1).hash(a, b)), pa.array(ids[own.row[pick]]), pa.array(own.number[pick]), long_lists(own.words[flat], cuts)], names=["h", "g", "doc", "line", "words"])
 
-    found = stage(docs.join(wanted, "doc").mapInArrow(run, "h bigint, doc bigint, line bigint, words array<bigint>"))
+    found = stage(docs.join(wanted, "doc").mapInArrow(run, "h bigint, g bigint, doc bigint, line bigint, words array<bigint>"))
     # rows that repeat id and text are one document
-    return found.repartitionByRange("doc", "line").dropDuplicates(["doc", "line"]).sortWithinPartitions("doc", "line").withColumn("seq", F.monotonically_increasing_id()).select("seq", "h", "words")
+    return found.repartitionByRange("doc", "line").dropDuplicates(["doc", "line"]).sortWithinPartitions("doc", "line").withColumn("seq", F.monotonically_increasing_id()).select("seq", "h", "g", "words")
 
 
 def _cuts(n: np.ndarray, edits: int):
@@ -146,9 +125,9 @@ def _variants(lines: DataFrame, edits: int) -> DataFrame:
                 lists = column(part, "words")
                 words = np.ascontiguousarray(lists.flatten().to_numpy()).view(np.uint64)
                 cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
-                sums, n = Sums(words), np.diff(cuts)
+                sums, n = Runs(words), np.diff(cuts)
                 seq = column(part, "seq")
-                yield pa.RecordBatch.from_arrays([longs(sums.run(cuts[:-1], cuts[1:])), pa.array([[]] * len(n), pa.list_(pa.int32())), seq], names=names)
+                yield pa.RecordBatch.from_arrays([longs(sums.hash(cuts[:-1], cuts[1:])), pa.array([[]] * len(n), pa.list_(pa.int32())), seq], names=names)
                 for owner, places in _cuts(n, edits):
                     j = places.shape[1]
                     keys = sums.without(cuts[:-1][owner], cuts[:-1][owner][:, None] + places, cuts[1:][owner])
@@ -185,22 +164,22 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     @tidy
     def run(batches):
         for batch in batches:
-            ok = [within(x, y, edits) for x, y in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "h").filter(pa.array(ok, pa.bool_()))], names=["h"])
+            ok = pa.array([within(x, y, edits) for x, y in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(batch, c).filter(ok) for c in ("h", "g")], names=["h", "g"])
 
-    a = lines.select("seq", "h", F.col("words").alias("a"))
+    a = lines.select("seq", "h", "g", F.col("words").alias("a"))
     b = lines.select(F.col("seq").alias("e"), F.col("words").alias("b"))
-    return pairs.join(a, "seq").join(b, "e").select("h", "a", "b").mapInArrow(run, "h bigint")
+    return pairs.join(a, "seq").join(b, "e").select("h", "g", "a", "b").mapInArrow(run, "h bigint, g bigint")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least_words: int) -> DataFrame:
-    """(h) of the distinct lines of ``least_words`` words or more that are at most ``edits`` words away from an earlier one of them."""
+    """(h, g) of the distinct lines of ``least_words`` words or more that are at most ``edits`` words away from an earlier one of them."""
     firsts = firsts.filter(F.col("n") >= least_words)
     if edits == 1:
-        halves = firsts.select("h", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("half"))
+        halves = firsts.select("h", "g", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("half"))
         shared = stage(halves.groupBy("half").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y").select("half"))
-        near = halves.join(shared.hint("merge"), "half").select("h").distinct()
-        firsts = firsts.join(near, "h", "left_semi")
+        near = halves.join(shared.hint("merge"), "half").select("h", "g").distinct()
+        firsts = firsts.join(near, ["h", "g"], "left_semi")
     wanted = stage(firsts.groupBy("doc").agg(F.collect_list("line").alias("lines")))  # of one text: no more than its lines
     lines = stage(_words_of(docs, small_lists(wanted, 8 * F.size("lines"))))
 
@@ -240,16 +219,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = keyed.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))
     found = stage(_occurrences(texts))
     # a document has one first line for each hash, so that the least document tells its line
-    firsts = found.filter("often > 0").groupBy("h").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.sum("often").alias("m"), *[F.max(c).alias(c) for c in ("n", "p0", "p1", "s0", "s1")])
+    firsts = found.filter("often > 0").groupBy("h", "g").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.sum("often").alias("m"), *[F.max(c).alias(c) for c in ("n", "p0", "p1", "s0", "s1")])
     firsts = stage(firsts)
-    gone = firsts.select("h", F.col("doc").alias("d"), F.col("line").alias("l"), "m")
+    gone = firsts.select("h", "g", F.col("doc").alias("d"), F.col("line").alias("l"), "m")
     if edits:
         near = stage(near_lines(texts, firsts, edits, least_words))
-        gone = gone.join(near.withColumn("near", F.lit(True)), "h", "left")
+        gone = gone.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left")
     else:
         gone = gone.withColumn("near", F.lit(None).cast("boolean"))
     gone = stage(gone.filter("m > 1 or near"))
-    out = found.select("h", "doc", "line").join(gone.hint("merge"), "h").filter(F.col("near").isNotNull() | (F.col("doc") != F.col("d")) | (F.col("line") != F.col("l")))
+    out = found.select("h", "g", "doc", "line").join(gone.hint("merge"), ["h", "g"]).filter(F.col("near").isNotNull() | (F.col("doc") != F.col("d")) | (F.col("line") != F.col("l")))
     drop = stage(out.groupBy("doc").agg(F.collect_set("line").alias(drop_col))).withColumnRenamed("doc", key)
 
     joined = keyed.join(small_lists(drop, 8 * F.size(drop_col)), key, "left").drop(key)

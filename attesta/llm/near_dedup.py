@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, Spans, blocks, column, long_lists, longs, mix, small, stage, tidy, word_spans
+from attesta.llm.common import blocks, column, long_lists, longs, mix, small, stage, tidy, word_hashes, word_spans
 from attesta.llm.components import components
 
 #: Values in a band.
@@ -48,7 +48,7 @@ def bands(threshold: float) -> int:
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the word shingles of each row, and n+1 offsets. Fewer words than ``width`` make one shingle, no words none."""
     starts, ends, words = word_spans(data, offsets)
-    h = Spans(data, LOWER).hash(starts, ends)
+    h = word_hashes(data, starts, ends)
     total = np.zeros(max(0, len(h) - width + 1), np.uint64)
     for k in range(width):
         total = mix(total * _K1 + h[k : k + len(total)] + _K2)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,14 @@ def test_windows_and_templates_that_rewrite(spark):
 
     got = chat.digests(chat.format_chats(df, forgets)).collect()
     assert sorted((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars) for r in got) == [(1, 9, None, None), (2, 9, None, None)]
+
+
+def test_numbers_below_the_prime():
+    r = np.random.default_rng(4)
+    p = common.PRIME
+    a, b = (np.concatenate((r.integers(0, p, 2000, dtype=np.uint64), np.array([0, 1, p - 1, p - 1], np.uint64))) for _ in range(2))
+    assert common.times(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b, strict=True)]
+    up, down = common.prime_powers(5000)
+    assert up[4999] == pow(common._PRIME_BASES[0], 4999, p) and all(common.times(up, down) == 1)
+    runs = common.Runs(np.tile(a[:40], 30))
+    assert len({int(runs.hash(np.array([i]), np.array([i + n]))[0]) for i in range(0, 1200, 40) for n in (7, 8)}) == 2

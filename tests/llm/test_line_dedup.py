@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from attesta.llm import common
 from attesta.llm import line_dedup as ld
 from attesta.llm.queries import op10_line_dedup
 
@@ -71,11 +72,11 @@ def test_within():
 
 
 def test_variants_equal_runs():
-    words = np.random.default_rng(0).integers(0, 1 << 63, 50, dtype=np.uint64)
-    sums = ld.Sums(words)
+    words = np.random.default_rng(0).integers(0, common.PRIME, 50, dtype=np.uint64)
+    sums = common.Runs(words)
     for cut in ([10], [29], [15], [10, 11], [12, 28], [11, 20, 29]):
-        short = ld.Sums(np.delete(words[10:30], [c - 10 for c in cut]))
-        assert sums.without(np.array([10]), np.array([cut]), np.array([30])) == short.run(np.array([0]), np.array([20 - len(cut)]))
+        short = common.Runs(np.delete(words[10:30], [c - 10 for c in cut]))
+        assert sums.without(np.array([10]), np.array([cut]), np.array([30])) == short.hash(np.array([0]), np.array([20 - len(cut)]))
 
 
 def test_edges(spark):
@@ -133,3 +134,11 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     out = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in op10_line_dedup(spark, d).collect()}
     assert out == brute(rows, all_pairs=False)
+
+
+def test_orders_of_two_words_are_told_apart(spark):
+    # sums of powers modulo 2^64 cancel out for these
+    for n in (1024, 4096):
+        order = [bin(i).count("1") % 2 for i in range(n)]
+        rows = [(0, " ".join("ab"[x] for x in order)), (1, " ".join("ba"[x] for x in order)), (2, " ".join("ab"[x] for x in order))]
+        assert {k: v[1] for k, v in got(ld.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))).items()} == {0: 0, 1: 0, 2: 1}

@@ -115,3 +115,11 @@ def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert got(op4_minhash_near_dedup(spark, d)) == brute(rows, 3, (85, 100))
+
+
+def test_long_words_of_two_letters_are_told_apart(spark):
+    for n in (1024, 4096):
+        order = [bin(i).count("1") % 2 for i in range(n)]
+        first, second = "".join("ab"[x] for x in order), "".join("ba"[x] for x in order)
+        rows = [(0, first), (1, second), (2, first.upper()), (3, f"{first} x y z"), (4, f"{second} x y z")]
+        assert got(nd.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, (85, 100))) == brute(rows, 3, (85, 100))
