@@ -93,45 +93,53 @@ def fillings(counts: list[int], room: int, most_waste: int, budget: Budget, look
     if pair:
         yield from give(pair)
     for first_only in (True, False):
-        found, chosen, best = [], [], [most_waste + 1]
-        steps = [budget.left if look is None else min(look, budget.left)]
-        at_start = steps[0]
-
-        def search(i: int, left: int, steps=steps, best=best, chosen=chosen, found=found, first_only=first_only) -> None:
-            """Adds lengths[i:] to ``chosen``, longest first."""
-            least = True
-            for j in range(i, len(lengths)):
-                x = lengths[j]
-                if x > left or counts[x] <= chosen.count(x):
-                    continue
-                least = False
-                steps[0] -= 1
-                if steps[0] < 0 or (first_only and not best[0]):
-                    return
-                chosen.append(x)
-                search(j, left - x)
-                chosen.pop()
-            if not least or left >= best[0] or (left and not _undominated(counts, chosen, left)):
-                return
-            if first_only:
-                best[0] = left
-            found.append((left, tuple(chosen)))
-
         if first_only and pair:
             continue  # nothing wastes less
-        search(0, room)
-        if at_start != float("inf"):
-            budget.left -= at_start - max(steps[0], 0)
-        found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
+        found = _search(counts, lengths, room, most_waste, first_only, budget, look)
         for _, f in found[:1] if first_only else found:
             yield from give(f)
 
 
-def _undominated(counts: list[int], chosen: list[int], left: int) -> bool:
+def _search(counts: list[int], lengths: list[int], room: int, most_waste: int, first_only: bool, budget: Budget, look: int | None) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, filling) of undominated fillings of ``lengths``, which fall, best first; if ``first_only``, of falling waste until none is left.
+
+    A length is taken as often as it fits, and on the way back once less often: a step is a length or a way back, however many copies it means.
+    """
+    found, best, n = [], most_waste + 1, len(lengths)
+    path: list[list[int]] = []
+    at_start = budget.left if look is None else min(look, budget.left)
+    steps, i, left = at_start, 0, room
+    while steps >= 0 and not (first_only and not best):
+        while i < n and left:
+            k = min(left // lengths[i], counts[lengths[i]])
+            if k:
+                path.append([i, k])
+                left -= k * lengths[i]
+                steps -= 1
+            i += 1
+        if left < best and (not left or _undominated(counts, {lengths[j]: k for j, k in path}, left)):
+            best = left if first_only else best
+            found.append((left, tuple(x for j, k in path for x in [lengths[j]] * k)))
+        if not path:
+            break
+        i, k = path.pop()
+        left += lengths[i]
+        steps -= 1
+        if k > 1:
+            path.append([i, k - 1])
+        i += 1
+    if at_start != float("inf"):
+        budget.left -= at_start - max(steps, 0)
+    found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
+    return found
+
+
+def _undominated(counts: list[int], chosen: dict[int, int], left: int) -> bool:
     """Whether no piece fits in what is left, and none can take the place of a shorter one in it."""
-    if any(counts[x] > chosen.count(x) for x in range(1, min(left, len(counts) - 1) + 1)):
+    more = lambda x: counts[x] > chosen.get(x, 0)
+    if any(more(x) for x in range(1, min(left, len(counts) - 1) + 1)):
         return False
-    return not any(counts[y] > chosen.count(y) for x in set(chosen) for y in range(x + 1, min(x + left, len(counts) - 1) + 1))
+    return not any(more(y) for x in chosen for y in range(x + 1, min(x + left, len(counts) - 1) + 1))
 
 
 def best_fit(counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

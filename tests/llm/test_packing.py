@@ -121,3 +121,15 @@ def test_new_columns_replace_those_of_the_same_name(spark):
     df = spark.createDataFrame([(1, 0, 0, 5, 7, 8, 9)], "id long, piece int, start long, length long, sequence_id int, __bucket int, __rank int")
     out = packing.pack(df, 10)
     assert out.columns == ["id", "piece", "start", "length", "__bucket", "__rank", "sequence_id", "offset"] and out.first()[4:] == (8, 9, 0, 0)
+
+
+def test_many_small_pieces_a_bin():
+    for histogram, capacity in (({3: 13_650_000}, 8192), ({5: 14_742_000}, 8192), ({2: 10_240_000}, 4097), ({1: 5_000_000, 7: 9_000, 4000: 600}, 8192)):
+        found = packing.plan(histogram, capacity)
+        used = {}
+        for own, often in found.bins:
+            assert sum(own) <= capacity
+            for x in own:
+                used[x] = used.get(x, 0) + often
+        assert used == histogram and found.size == sum(n for _, n in found.bins) and found.bound <= found.size
+        assert found.size == -(-sum(histogram.values()) // (capacity // min(histogram))) if len(histogram) == 1 else found.size == found.bound
