@@ -1,4 +1,4 @@
-"""Routes to a product: enumeration, mass balance, price, score and rank."""
+"""Routes to a product: mass balance, price, score and rank."""
 
 from __future__ import annotations
 
@@ -128,59 +128,6 @@ def rank(evaluated: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(whole.orderBy("tier", "rank_score", "route")))
 
 
-def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target: DataFrame, max_steps: int = 6, top: int = 10, excluded: DataFrame | None = None, hazardous: DataFrame | None = None, participants: DataFrame | None = None) -> DataFrame:
-    """Routes from starting materials to the targets: (compound, path, n_steps, confidence, route_id, n_routes), the best ``top`` of each target; n_routes counts them all.
-
-    reactions (reaction, product, confidence), inputs (reaction, compound),
-    starting (compound), target (compound).  Routes grow upwards: a reaction
-    joins the routes of all its inputs, in the order of their names.  A route
-    has ``max_steps`` reactions at most and makes no compound twice.  Reactions
-    without inputs are skipped; a target that is a starting material has the
-    route of no steps.  Compounds in excluded (compound) are neither bought nor
-    made; reactions with a compound in hazardous (compound) among their inputs,
-    product or other participants (reaction, compound) are not used.
-    """
-    if excluded is not None:
-        starting, reactions = starting.join(excluded, "compound", "left_anti"), reactions.join(excluded.select(F.col("compound").alias("product")), "product", "left_anti")
-    if hazardous is not None:
-        involved = inputs.select("reaction", "compound").unionByName(reactions.select("reaction", F.col("product").alias("compound")))
-        involved = involved if participants is None else involved.unionByName(participants.select("reaction", "compound"))
-        reactions = reactions.join(involved.join(hazardous, "compound", "left_semi"), "reaction", "left_anti")
-    shared_folder(reactions.sparkSession)
-    order = W.partitionBy("reaction").orderBy("compound")
-    wants = inputs.select("reaction", "compound").distinct().withColumn("k", F.row_number().over(order))
-    arity = wants.groupBy("reaction").agg(F.max("k").alias("arity"))
-    most = arity.agg(F.coalesce(F.max("arity"), F.lit(0))).first()[0]
-    base = starting.select("compound").distinct().select("compound", F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("makes"))
-    # a starting material is bought and not made, unless it is asked for as a target of no steps
-    makers = reactions.join(arity, "reaction").join(starting.select(F.col("compound").alias("product")).distinct(), "product", "left_anti")
-    routes = base.checkpoint()
-    for _ in range(max_steps):
-        partial = makers.select("reaction", "product", "arity", F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("makes"))
-        done = None
-        for k in range(1, most + 1):
-            nxt = wants.filter(F.col("k") == k).select("reaction", "compound").join(routes.select("compound", F.col("steps").alias("s2"), F.col("makes").alias("m2")), "compound")
-            partial = partial.join(nxt, "reaction").filter(~F.array_contains("m2", F.col("product")))
-            partial = partial.select("reaction", "product", "arity", F.array_distinct(F.concat("steps", "s2")).alias("steps"), F.array_distinct(F.concat("makes", "m2")).alias("makes")).filter(F.size("steps") < max_steps).distinct()
-            full = partial.filter(F.col("arity") == k)
-            done = full if done is None else done.unionByName(full)
-        if done is None:
-            break
-        grown = done.select(F.col("product").alias("compound"), F.concat("steps", F.array("reaction")).alias("steps"), F.concat("makes", F.array("product")).alias("makes")).filter(F.size("steps") == F.size("makes"))
-        after = base.unionByName(grown).distinct().checkpoint()
-        if after.count() == routes.count():
-            routes = after
-            break
-        routes = after
-    found = routes.join(target.select("compound").distinct(), "compound")
-    scored = found.withColumn("key", F.concat_ws(">", "steps")).select("compound", "steps", "key", F.explode_outer("steps").alias("reaction")).join(reactions.select("reaction", "confidence"), "reaction", "left")
-    scored = scored.groupBy("compound", "key").agg(F.first("steps").alias("steps"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("confidence"))
-    scored = scored.select("compound", F.col("key").alias("path"), F.size("steps").alias("n_steps"), "confidence", F.concat(F.lit("route:"), F.substring(F.sha2(F.concat_ws("|", "compound", "key"), 256), 1, 24)).alias("route_id"))
-    w = W.partitionBy("compound").orderBy("n_steps", F.col("confidence").desc(), "route_id")
-    best = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top).drop("rn")
-    return best.join(scored.groupBy("compound").agg(F.count(F.lit(1)).alias("n_routes")), "compound")
-
-
 def compare(pairs: DataFrame) -> DataFrame:
     """Verdict on a hypothesis against a baseline: pairs has hyp_ and base_ columns of the metrics, and ``checks`` (array of nullable booleans) and ``unsupported`` (steps without a precedent).
 

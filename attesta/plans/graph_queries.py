@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
-from attesta.operators import costing, graph, matching, merge, review, top
+from attesta.operators import costing, graph, matching, merge, review, routes, top
 from attesta.plans.evidence import table
 
 QUERIES: dict = {}
@@ -228,7 +228,7 @@ def route_enumeration(spark, sf_dir):
     reactions = s.select(F.concat(F.lit("x"), "s_suppkey").alias("reaction"), F.concat(F.lit("M"), "s_nationkey").alias("product"), F.lit(0.9).alias("confidence"))
     inputs = s.select(F.concat(F.lit("x"), "s_suppkey").alias("reaction"), F.concat(F.lit("S"), "s_suppkey").alias("compound"))
     starting, target = inputs.select("compound"), reactions.select(F.col("product").alias("compound")).distinct()
-    return costing.enumerate_routes(reactions, inputs, starting, target, top=1 << 30).groupBy("compound", "n_steps").agg(F.count(F.lit(1)).alias("n"))
+    return routes.enumerate_routes(reactions, inputs, starting, target, top=1 << 30).groupBy("compound", "n_steps").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH y AS (SELECT n_regionkey AS r, 'z' || n_nationkey || '>y' || n_nationkey AS path FROM nation),
@@ -249,7 +249,7 @@ def route_enumeration_top(spark, sf_dir):
     reactions = made(s, x, name("M", "s_nationkey"), 0.75).unionByName(made(short, w, name("M", "s_nationkey"), 0.125)).unionByName(made(n, y, name("P", "n_regionkey"), 0.5)).unionByName(made(n, z, name("Q", "n_nationkey"), 0.25))
     inputs = uses(s, x, material).unionByName(uses(s, x, name("P", "n_regionkey"))).unionByName(uses(short, w, material)).unionByName(uses(n, y, name("Q", "n_nationkey"))).unionByName(uses(n, y, F.lit("S0"))).unionByName(uses(n, z, name("B", "n_nationkey")))
     starting = s.select(material.alias("compound")).unionByName(n.select(name("B", "n_nationkey").alias("compound"))).unionByName(n.select(F.lit("S0").alias("compound")))
-    return costing.enumerate_routes(reactions, inputs, starting, s.select(name("M", "s_nationkey").alias("compound")))
+    return routes.enumerate_routes(reactions, inputs, starting, s.select(name("M", "s_nationkey").alias("compound")))
 
 
 @query("""WITH p AS (SELECT a.l_orderkey, a.n AS hs, b.n AS bs, a.m AS hm, b.m AS bm, a.y AS hy, b.y AS by_, a.t AS t, a.n % 3 AS u FROM (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS m, max(l_discount) AS y, min(l_tax) AS t FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS m, max(l_discount) AS y FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b USING (l_orderkey)),

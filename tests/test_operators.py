@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from attesta.functions import scalars as S
-from attesta.operators import costing, curation, graph, matching, merge, review, top
+from attesta.operators import costing, curation, graph, matching, merge, review, routes, top
 
 
 def example(i, value, unit, band, text="2 g were made", status="accepted"):
@@ -90,10 +90,10 @@ def test_routes(spark):
     inputs = spark.createDataFrame([("A", "s1"), ("A", "s3"), ("B", "s2"), ("B", "s3"), ("C", "I"), ("X", "s1"), ("L", "T")], "reaction string, compound string")
     start = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "compound string")
     target = spark.createDataFrame([("T",), ("s1",)], "compound string")
-    out = costing.enumerate_routes(reactions, inputs, start, target).collect()
+    out = routes.enumerate_routes(reactions, inputs, start, target).collect()
     assert {(r.compound, r.path) for r in out} == {("T", "A"), ("T", "B"), ("T", "X>C"), ("s1", "")}
     assert [r.path for r in sorted((r for r in out if r.compound == "T"), key=lambda r: (r.n_steps, -r.confidence))][0] == "A"
-    none = costing.enumerate_routes(reactions.filter("reaction not in ('A', 'B', 'C')"), inputs, start, target.filter("compound = 'T'"))
+    none = routes.enumerate_routes(reactions.filter("reaction not in ('A', 'B', 'C')"), inputs, start, target.filter("compound = 'T'"))
     assert none.count() == 0
     q = spark.createDataFrame([("s1", "q1", 1000.0, 18.0, 1.0, 1500.0), ("s1", "q2", 2000.0, 36.0, 1.0, 1500.0)], "k string, quote_id string, pack_g double, price double, rate double, need_g double")
     r = costing.cheapest_quotes(q, "k").collect()[0]
@@ -148,7 +148,7 @@ def test_routes_of_six_steps_with_exclusions(spark):
     reactions = spark.createDataFrame(made, "reaction string, product string, confidence double")
     inputs = spark.createDataFrame(used, "reaction string, compound string")
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "compound string")
-    run = lambda **k: {(r.path, r.n_routes) for r in costing.enumerate_routes(reactions, inputs, names("c6", "s", "bad"), names("c0"), **k).collect()}
+    run = lambda **k: {(r.path, r.n_routes) for r in routes.enumerate_routes(reactions, inputs, names("c6", "s", "bad"), names("c0"), **k).collect()}
     deep = "R5>R4>R3>R2>R1>R0"
     assert run() == {(p, 4) for p in (deep, "Q", "H", "D")}
     assert {n for _, n in run(top=1)} == {4} and len(run(top=1)) == 1
