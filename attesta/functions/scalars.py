@@ -22,9 +22,14 @@ CONFIDENCE = {"exact_structure": 0.98, "same_connectivity": 0.85}
 KEY_PATTERN, CONNECTIVITY_PATTERN, HASH_PATTERN = "^[A-Z]{14}-[A-Z]{10}-[A-Z]$", "^[A-Z]{14}$", "^[0-9a-f]{64}$"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean(text: Column) -> Column:
     """Without white space at the ends; null where nothing is left."""
-    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(strip(text), F.lit(""))
 
 
 def normalize_name(text: Column) -> Column:
@@ -49,7 +54,7 @@ def zfill(text: Column, width: int) -> Column:
 
 def split_list(text: Column, pattern: str = ";") -> Column:
     """Trimmed parts that are not blank."""
-    return F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), strip), lambda x: x != "")
 
 
 def split_pair(text: Column, mark: str = ";") -> tuple[Column, Column]:
@@ -78,8 +83,8 @@ def publication_compact(text: Column) -> Column:
 
 def family_id(family: Column, publication: Column) -> Column:
     """Family of a snapshot; a missing one (null, blank, -1) falls back on the publication."""
-    f = F.trim(family.cast("string"))
-    return F.when(f.isNull() | f.isin("", "-1"), F.concat(F.lit("surechembl-publication:"), publication)).otherwise(F.concat(F.lit("surechembl:"), f))
+    f = clean(family.cast("string"))
+    return F.when(f.isNull() | (f == "-1"), F.concat(F.lit("surechembl-publication:"), publication)).otherwise(F.concat(F.lit("surechembl:"), f))
 
 
 def marketing_status(text: Column) -> Column:

@@ -13,43 +13,55 @@ from attesta.functions.session import shared_folder
 def cheapest_quotes(quotes: DataFrame, key: str) -> DataFrame:
     """Of quotes (key, quote_id, pack_g, price, rate, need_g): the cheapest by whole packs for each key.
 
-    packs = need / pack rounded up; ties go to the smaller quote id.
+    packs = need / pack rounded up; ties go to the smaller quote id.  A pack
+    without a mass is no offer.
     """
     packs = F.ceil(F.col("need_g") / F.col("pack_g"))
     package = F.round((packs * F.col("price") * F.col("rate")).cast("decimal(20,6)"), 4)
     continuous = F.round((F.col("need_g") / F.col("pack_g") * F.col("price") * F.col("rate")).cast("decimal(20,6)"), 4)
-    q = quotes.withColumns({"packs": packs, "package_cost": package, "continuous_cost": continuous})
+    q = quotes.filter("pack_g > 0").withColumns({"packs": packs, "package_cost": package, "continuous_cost": continuous})
     best = q.groupBy(key).agg(F.min_by(F.struct("quote_id", "packs", "package_cost", "continuous_cost"), F.struct("package_cost", "quote_id")).alias("b"))
     return best.select(key, "b.*")
 
 
 def leaf_requirements(steps: DataFrame, inputs: DataFrame, target: DataFrame, weights: DataFrame) -> DataFrame:
-    """(route, compound, mass_g): what each route needs of its starting materials.
+    """(route, compound, mass_g): the leaves of ``mass_balance``."""
+    return mass_balance(steps, inputs, target, weights)[0]
+
+
+def mass_balance(steps: DataFrame, inputs: DataFrame, target: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each route needs of its starting materials (route, compound, mass_g), and warnings (route, step, compound, reason) about what it cannot tell.
 
     steps (route, step, product, yield_percent), inputs (step, compound,
     stoichiometry), target (route, compound, mass_g), weights (compound, mw).
     Masses go down the tree level by level to its leaves, however deep; a cycle
-    raises ValueError.  A branch without weight, yield or stoichiometry is
-    dropped.  Of several steps for a product the last counts.
+    raises ValueError.  Of several steps for a product the last counts.  A step
+    whose product has no weight above 0 or which has no yield above 0 is left
+    out with a warning (without a compound), as is an input without weight or
+    stoichiometry; one for each time that they are met.
     """
     shared_folder(steps.sparkSession)
     last = steps.groupBy("route", "product").agg(F.max_by(F.struct("step", "yield_percent"), F.col("step")).alias("s")).select("route", F.col("product").alias("compound"), "s.*")
-    mw = weights.select("compound", "mw")
+    mw = weights.filter("mw > 0").select("compound", "mw")
+    warn = lambda d, compound, reason: d.select("route", "step", compound.alias("compound"), F.lit(reason).alias("reason"))
     need = target.select("route", "compound", "mass_g").checkpoint()
-    leaves = need.limit(0)
+    leaves, warnings = need.limit(0), None
     # a path without a cycle makes each product of its route once, and has a leaf below
     deepest = last.groupBy("route").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     for _ in range(deepest + 1):
         leaves = leaves.unionByName(need.join(last.select("route", "compound"), ["route", "compound"], "left_anti"))
-        made = need.join(last, ["route", "compound"]).join(mw, "compound").withColumnRenamed("mw", "out_mw")
-        moles = F.col("mass_g") / F.col("out_mw")
-        down = made.select("route", "step", "yield_percent", moles.alias("moles")).join(inputs, "step").join(mw, "compound")
-        need = down.filter("yield_percent > 0").select("route", "compound", (F.col("moles") * F.col("stoichiometry") / (F.col("yield_percent") / 100) * F.col("mw")).alias("mass_g")).filter("mass_g is not null").checkpoint()
+        made = need.join(last, ["route", "compound"]).join(mw, "compound", "left").withColumn("ok", F.coalesce(F.col("mw").isNotNull() & (F.col("yield_percent") > 0), F.lit(False)))
+        moles = F.col("mass_g") / F.col("mw") / (F.col("yield_percent") / 100)
+        down = made.filter("ok").select("route", "step", moles.alias("moles")).join(inputs.select("step", "compound", "stoichiometry"), "step").join(mw, "compound", "left")
+        down = down.withColumn("mass_g", F.when(F.col("stoichiometry") != 0, F.col("moles") * F.col("stoichiometry") * F.col("mw"))).checkpoint()
+        told = warn(made.filter("not ok"), F.lit(None).cast("string"), "missing molecular weight or yield").unionByName(warn(down.filter("mass_g is null"), F.col("compound"), "missing molecular weight or stoichiometry"))
+        warnings = told if warnings is None else warnings.unionByName(told)
+        need = down.filter("mass_g is not null").select("route", "compound", "mass_g")
         if need.isEmpty():
             break
     else:
         raise ValueError("a route needs its own product to make it")
-    return leaves.groupBy("route", "compound").agg(F.sum("mass_g").alias("mass_g"))
+    return leaves.groupBy("route", "compound").agg(F.sum("mass_g").alias("mass_g")), warnings
 
 
 def step_summary(steps: DataFrame, participants: DataFrame, hazards: DataFrame) -> DataFrame:
@@ -102,10 +114,10 @@ def evaluate(routes: DataFrame) -> DataFrame:
     """
     c = F.col
     coverage = F.coalesce(F.try_divide(c("priced_g"), c("total_g")), F.lit(0.0))
-    intensity = c("total_g") / c("target_g")
+    intensity = F.try_divide(c("total_g"), c("target_g"))
     length = F.least(c("n_steps") / 12, F.lit(1.0))
     hazard = F.coalesce(c("severity"), F.lit(0.0)) * 100
-    scale = F.least(F.lit(1.0), F.coalesce(c("max_scale_g") / c("target_g"), F.lit(0.0)))
+    scale = F.least(F.lit(1.0), F.coalesce(F.try_divide(c("max_scale_g"), c("target_g")), F.lit(0.0)))
     relative = 100 * (0.30 * F.least(intensity / 5, F.lit(1.0)) + 0.25 * (1 - c("cumulative_yield")) + 0.15 * length + 0.10 * hazard / 100 + 0.05 * (1 - c("evidence_share")))
     feasible = 100 * (0.25 * c("cumulative_yield") + 0.15 * (1 - length) + 0.20 * (1 - hazard / 100) + 0.15 + 0.15 * scale + 0.10 * c("evidence_share"))
     out = routes.withColumns({"coverage": coverage, "relative_cost_index": relative, "feasibility_score": feasible})

@@ -23,6 +23,8 @@ review struct<status: string, reviewer_id: string, reviewed_at: string, rational
 REVIEW = ("unreviewed", "needs_review", "accepted", "rejected")
 EVIDENCE = ("performed", "historical", "prophetic", "claimed", "unknown")
 BANDS = ("unknown", *[name for _, name in S.BANDS])
+#: A site that is not to be read by machine, a fixed value.
+CLOSED_SITE = "wipo_patentscope_public"
 
 
 def largest_basis(quantities: Column) -> Column:
@@ -74,15 +76,33 @@ def duplicate_ids(examples: DataFrame) -> DataFrame:
 
 
 def registry_issues(sources: DataFrame) -> DataFrame:
-    """(source_id, code): missing fields, repeated ids and sources that would be needed while the engine runs."""
+    """(source_id, code, severity): missing fields, repeated ids, sources that are not known to be dispensable while the engine runs, and forbidden or doubtful acquisition.
+
+    A source without ``runtime_dependency`` or, for the site named below,
+    without ``automated_acquisition_allowed`` has not ruled it out: an error.
+    """
     c = F.col
-    rules = [(f"required_{n}", S.clean(c(n)).isNull()) for n in ("source_id", "name", "authority", "role", "collection_mode", "redistribution", "license_code")]
-    rules.append(("runtime_dependency", F.coalesce(c("runtime_dependency"), F.lit(False))))
-    found = sources.select("source_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules]))).alias("code"))
-    twice = sources.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source_id", F.lit("duplicate_source").alias("code"))
+    rules = [(f"required_{n}", F.coalesce(c(n), F.lit("")) == "", "error") for n in ("name", "authority", "role", "collection_mode", "license_code")]
+    rules += [
+        ("required_source_id", F.coalesce(c("source_id").cast("string"), F.lit("")) == "", "error"),
+        ("runtime_dependency", F.coalesce(c("runtime_dependency"), F.lit(True)), "error"),
+        ("wipo_terms", (c("source_id").cast("string") == CLOSED_SITE) & F.coalesce(c("automated_acquisition_allowed"), F.lit(True)), "error"),
+        ("restricted_acquisition", (c("redistribution") == "restricted") & c("automated_acquisition_allowed"), "warning"),
+    ]
+    each = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, bad, severity in rules]))
+    found = sources.select("source_id", F.explode(each).alias("i")).select("source_id", "i.*")
+    twice = sources.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source_id", F.lit("duplicate_source").alias("code"), F.lit("error").alias("severity"))
     return found.unionByName(twice)
 
 
+def register_sources(stored: DataFrame, registry: DataFrame) -> DataFrame:
+    """The stored sources after a registry without errors was merged in: what it says of a source replaces what was known. With an error in it reading the result fails and names one."""
+    bad = registry_issues(registry).filter("severity = 'error'").agg(F.min(F.concat_ws(" ", F.coalesce(F.col("source_id").cast("string"), F.lit("null")), "code")).alias("bad"))
+    guard = F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("registry: "), "bad")).cast("boolean")).otherwise(True)
+    checked = registry.join(F.broadcast(bad.select(guard.alias("__ok"))), F.lit(True)).filter("__ok").drop("__ok")  # one row
+    return merge.upsert(stored, checked, ["source_id"])
+
+
 def tables(examples: DataFrame) -> dict[str, DataFrame]:
     """The examples as rows of the stored tables, one plan for each; nothing is accepted by it that was not accepted before."""
     e, c = examples, F.col

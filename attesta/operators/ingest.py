@@ -93,7 +93,7 @@ def chemical_dictionary(molecules: DataFrame, structures: DataFrame, hierarchy:
 
 def pubchem(rows: DataFrame) -> DataFrame:
     """List export (cid, title, inchi_key, smiles, approved, molecule_type) with outcome and reason; the last of equal (cid, key) counts."""
-    approved, kind = F.lower(F.trim(F.coalesce("approved", F.lit("")))), F.lower(F.trim(F.coalesce("molecule_type", F.lit(""))))
+    approved, kind = F.lower(S.strip(F.coalesce("approved", F.lit("")))), F.lower(S.strip(F.coalesce("molecule_type", F.lit(""))))
     key = F.upper(S.clean(F.col("inchi_key")))
     why = F.coalesce(
         F.when(~approved.isin("", *APPROVED), F.struct(F.lit("excluded").alias("outcome"), F.lit("not_approved").alias("reason"))),
@@ -107,7 +107,7 @@ def pubchem(rows: DataFrame) -> DataFrame:
 
 def ema(rows: DataFrame) -> DataFrame:
     """Medicines (name, substance, product_number, status, category, kind, biologic) with outcome and reason, a row for each active substance."""
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    low = lambda c: F.lower(S.strip(F.coalesce(c, F.lit(""))))
     biologic = low("biologic").isin("1", "true", "yes") | low("kind").rlike("biologic|vaccine|cell therapy|gene therapy")
     why = F.when(~low("category").isin("", "human"), "not_human_medicine").when(~low("status").isin("authorised", "authorized"), "not_authorised").when(biologic, "biologic_or_advanced_therapy")
     bad = _missing(name=F.col("name"), active_substance=F.col("substance"))
@@ -133,7 +133,7 @@ def large_chemicals(molecules: DataFrame, modalities: dict[str, str]) -> DataFra
     c = F.col
     kind = F.coalesce(*[F.when(c("molecule_type") == k, F.lit(v)) for k, v in modalities.items()], F.raise_error(F.concat(F.lit("no wanted modality: "), F.coalesce("chembl_id", F.lit("null")))).cast("string"))
     parent, name = F.coalesce("parent_id", "chembl_id"), F.coalesce(S.clean(c("pref_name")), c("chembl_id"))
-    trimmed = F.filter(F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != F.lower(name)))
+    trimmed = F.filter(F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), S.strip), lambda x: (x != "") & (F.lower(x) != F.lower(name)))
     first = F.filter(trimmed, lambda x, i: F.array_position(F.transform(trimmed, lambda y: F.lower(y)), F.lower(x)) == i + 1)
     form = F.when(c("chembl_id") == parent, "active_moiety").otherwise("salt_or_form")
     return molecules.select(name.alias("preferred_name"), kind.alias("modality"), first.alias("aliases"), parent.alias("chembl_parent"), F.concat(F.lit("chembl-moiety:"), parent).alias("active_moiety_id"), c("chembl_id").alias("compound_id"), "smiles", S.clean(c("inchi_key")).alias("inchi_key"), form.alias("material_form"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.scalars import any_phrase, term_hits
+from attesta.functions.scalars import any_phrase, strip, term_hits
 from attesta.operators.top import top1
 
 #: Priority of the field in which a candidate was found and of its country, fixed values; others have 0.
@@ -52,9 +52,16 @@ def page_offsets(pages: DataFrame, doc: str, page: str, text: str, separator: in
     return lengths.select(doc, page, start.alias("char_start"), (start + F.col("n")).alias("char_end"))
 
 
-def pdf_routing(pages: DataFrame, doc: str, text: str) -> DataFrame:
-    """Per document: text_extraction if its pages have enough text, else ocr."""
-    n = F.length(F.trim(F.coalesce(F.col(text), F.lit(""))))
+def pdf_routing(pages: DataFrame, doc: str, text: str, documents: DataFrame | None = None) -> DataFrame:
+    """Per document: text_extraction if its pages have enough text besides white space, else ocr.
+
+    With ``documents`` (the same id column) one that has no page is an error that names it.
+    """
+    n = F.length(strip(F.coalesce(F.col(text), F.lit(""))))
+    if documents is not None:
+        bare = documents.select(doc).distinct().join(pages.select(doc), doc, "left_anti").select(doc, F.lit(None).cast("string").alias(text), F.lit(True).alias("__bare"))
+        pages = pages.select(doc, text, F.lit(False).alias("__bare")).unionByName(bare)
+        n = F.when(F.col("__bare"), F.raise_error(F.concat(F.lit("no pages: "), F.col(doc).cast("string"))).cast("int")).otherwise(n)
     out = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("n_pages"), F.sum(n).alias("n_text"), F.count(F.when(n > 0, 1)).alias("n_with_text"))
     enough = (F.col("n_text") >= F.greatest(F.lit(1000), 100 * F.col("n_pages"))) & (F.col("n_with_text") * 10 >= 8 * F.col("n_pages"))
     return out.withColumn("route", F.when(enough, "text_extraction").otherwise("ocr"))

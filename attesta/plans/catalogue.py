@@ -558,13 +558,36 @@ def approval_states(spark, sf_dir):
     return out
 
 
-@query("SELECT source_id, unnest(list_filter([CASE WHEN source_id % 5 = 0 THEN 'required_license_code' END, CASE WHEN source_id % 7 = 0 THEN 'runtime_dependency' END], lambda x: x IS NOT NULL)) AS code FROM (SELECT n_nationkey AS source_id FROM nation) UNION ALL SELECT n_nationkey, 'duplicate_source' FROM nation WHERE n_nationkey < 3")
+_REGISTRY = "SELECT CASE WHEN s_suppkey = 6 THEN 'wipo_patentscope_public' ELSE 'source-' || s_suppkey END AS source_id, s_suppkey AS k FROM supplier"
+
+
+def registered(spark, sf_dir):
+    """Suppliers as a registry of sources, and (source_id, k)."""
+    c, k, word = F.col, F.col("s_suppkey"), F.lit("x")
+    fields = {n: word for n in ("name", "authority", "role", "collection_mode")} | {"redistribution": F.when(k % 2 == 0, "restricted").otherwise("open"), "license_code": F.when(k % 5 != 0, word)}
+    fields |= {"runtime_dependency": F.when(k % 7 == 1, True).when(k % 7 > 1, False), "automated_acquisition_allowed": F.when(k % 3 == 1, True).when(k % 3 == 2, False)}
+    return table(spark, sf_dir, "supplier").select(F.when(k == 6, curation.CLOSED_SITE).otherwise(F.concat(F.lit("source-"), k)).alias("source_id"), *[v.alias(n) for n, v in fields.items()]), c
+
+
+@query(f"""WITH r AS ({_REGISTRY}) SELECT source_id, code, CASE code WHEN 'restricted_acquisition' THEN 'warning' ELSE 'error' END AS severity FROM (
+SELECT source_id, unnest(list_filter([CASE WHEN k % 5 = 0 THEN 'required_license_code' END, CASE WHEN k % 7 <= 1 THEN 'runtime_dependency' END, CASE WHEN k = 6 THEN 'wipo_terms' END, CASE WHEN k % 2 = 0 AND k % 3 = 1 THEN 'restricted_acquisition' END], lambda x: x IS NOT NULL)) AS code FROM r
+UNION ALL SELECT source_id, 'duplicate_source' FROM r WHERE k % 11 = 3)""")
 def source_issues(spark, sf_dir):
-    """What is wrong with a registry of sources; three of them are there twice, the second time without a fault."""
-    k, word = F.col("n_nationkey"), F.lit("x")
-    n = table(spark, sf_dir, "nation")
-    named = lambda d, license, runtime: d.select(k.alias("source_id"), *[word.alias(c) for c in ("name", "authority", "role", "collection_mode", "redistribution")], license.alias("license_code"), runtime.alias("runtime_dependency"))
-    return curation.registry_issues(named(n, F.when(k % 5 != 0, word), k % 7 == 0).unionByName(named(n.filter("n_nationkey < 3"), word, F.lit(False))))
+    """What is wrong with a registry of sources, some of them without a word on what is forbidden; every eleventh is there twice, the second time without a fault."""
+    rows, _ = registered(spark, sf_dir)
+    again = table(spark, sf_dir, "supplier").filter("s_suppkey % 11 = 3").select(F.concat(F.lit("source-"), "s_suppkey").alias("source_id"))
+    sound = {n: F.lit("x") for n in ("name", "authority", "role", "collection_mode", "redistribution", "license_code")} | {n: F.lit(False) for n in ("runtime_dependency", "automated_acquisition_allowed")}
+    return curation.registry_issues(rows.unionByName(again.withColumns(sound)))
+
+
+@query(f"WITH r AS ({_REGISTRY}) SELECT source_id, CASE WHEN k % 5 > 0 AND k % 7 > 1 AND k <> 6 THEN 'x' ELSE 'before' END AS name FROM r WHERE k % 4 > 0 OR (k % 5 > 0 AND k % 7 > 1 AND k <> 6)")
+def registered_sources(spark, sf_dir):
+    """Three of four sources are stored under another name; those of the registry that are sound are merged in."""
+    rows, c = registered(spark, sf_dir)
+    key = F.when(c("source_id") == curation.CLOSED_SITE, F.lit(6)).otherwise(F.substr("source_id", F.lit(8)).cast("bigint"))
+    stored = rows.filter(key % 4 > 0).withColumn("name", F.lit("before"))
+    sound = rows.join(curation.registry_issues(rows).filter("severity = 'error'").select("source_id"), "source_id", "left_anti")
+    return curation.register_sources(stored, sound).select("source_id", "name")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents")

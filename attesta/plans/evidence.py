@@ -203,9 +203,9 @@ def marketing_status(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.marketing_status(t).alias("status"))
 
 
-@query("SELECT p_partkey, trim(x) AS ingredient FROM (SELECT p_partkey, unnest(string_split(replace(p_type, ' ', ' ; ') || ' ;; ', ';')) AS x FROM part) WHERE trim(x) <> ''")
+@query("SELECT p_partkey, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS ingredient FROM (SELECT p_partkey, unnest(string_split(replace(p_type, ' ', chr(9) || '; ') || ' ;' || chr(10) || ' ; ', ';')) AS x FROM part) WHERE NOT regexp_full_match(x, '\\s*')")
 def split_ingredients(spark, sf_dir):
-    t = F.concat(F.replace(F.col("p_type"), F.lit(" "), F.lit(" ; ")), F.lit(" ;; "))
+    t = F.concat(F.replace(F.col("p_type"), F.lit(" "), F.lit("\t; ")), F.lit(" ;\n ; "))
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(S.split_list(t)).alias("ingredient"))
 
 

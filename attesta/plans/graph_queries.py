@@ -173,21 +173,30 @@ def package_cost(spark, sf_dir):
     return best.groupBy((F.col("l_partkey") % 50).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum("package_cost").alias("package_cost"))
 
 
-def _leaf_tables(spark, sf_dir):
-    """Suppliers as routes: 1000 g of R<k> are made from A<k> in one step and that from B<k> and C."""
+def _leaf_tables(spark, sf_dir, least=1):
+    """Suppliers as routes: 1000 g of R<k> are made from A<k> in one step and that from B<k>, of a weight of ``least`` or more, and C."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("r"), "s_suppkey").alias("route"))
     k = F.col("s_suppkey").cast("string")
     name = lambda p: F.concat(F.lit(p), k)
     steps = s.select("route", name("1-").alias("step"), name("R").alias("product"), F.lit(80.0).alias("yield_percent")).unionByName(s.select("route", name("2-").alias("step"), name("A").alias("product"), F.lit(50.0).alias("yield_percent")))
     inputs = s.select(name("1-").alias("step"), name("A").alias("compound"), F.lit(1.0).alias("stoichiometry")).unionByName(s.select(name("2-").alias("step"), name("B").alias("compound"), F.lit(2.0).alias("stoichiometry"))).unionByName(s.select(name("2-").alias("step"), F.lit("C").alias("compound"), F.lit(1.0).alias("stoichiometry")))
     target = s.select("route", name("R").alias("compound"), F.lit(1000.0).alias("mass_g"))
-    weights = s.select(name("R").alias("compound"), F.lit(200.0).alias("mw")).unionByName(s.select(name("A").alias("compound"), F.lit(100.0).alias("mw"))).unionByName(s.select(name("B").alias("compound"), (F.col("s_suppkey") % 8 + 1).cast("double").alias("mw"))).unionByName(spark.createDataFrame([("C", 16.0)], "compound string, mw double"))
+    weights = s.select(name("R").alias("compound"), F.lit(200.0).alias("mw")).unionByName(s.select(name("A").alias("compound"), F.lit(100.0).alias("mw"))).unionByName(s.select(name("B").alias("compound"), (F.col("s_suppkey") % 8 + least).cast("double").alias("mw"))).unionByName(spark.createDataFrame([("C", 16.0)], "compound string, mw double"))
     return steps, inputs, target, weights
 
 
-@query("SELECT 'r' || s_suppkey AS route, 'B' || s_suppkey AS compound, 1000.0 / 200 / 0.8 / 0.5 * 2 * (s_suppkey % 8 + 1) AS mass_g FROM supplier UNION ALL SELECT 'r' || s_suppkey, 'C', 1000.0 / 200 / 0.8 / 0.5 * 16 FROM supplier")
+@query("SELECT 'r' || s_suppkey AS route, 'B' || s_suppkey AS compound, 1000.0 / 200 / 0.8 / 0.5 * 2 * (s_suppkey % 8) AS mass_g FROM supplier WHERE s_suppkey % 8 > 0 UNION ALL SELECT 'r' || s_suppkey, 'C', 1000.0 / 200 / 0.8 / 0.5 * 16 FROM supplier")
 def leaf_requirements(spark, sf_dir):
-    return costing.leaf_requirements(*_leaf_tables(spark, sf_dir))
+    return costing.leaf_requirements(*_leaf_tables(spark, sf_dir, 0))
+
+
+@query("""SELECT 'r' || s_suppkey AS route, '1-' || s_suppkey AS step, NULL::VARCHAR AS compound, 'missing molecular weight or yield' AS reason FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'r' || s_suppkey, '2-' || s_suppkey, 'B' || s_suppkey, 'missing molecular weight or stoichiometry' FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 8 = 0""")
+def leaf_warnings(spark, sf_dir):
+    """What the mass balance of the suppliers' routes cannot tell: every fifth first step has a yield of 0, every eighth B a weight of 0."""
+    steps, inputs, target, weights = _leaf_tables(spark, sf_dir, 0)
+    lost = F.col("step").startswith("1-") & (F.substr("step", F.lit(3)).cast("bigint") % 5 == 0)
+    return costing.mass_balance(steps.withColumn("yield_percent", F.when(lost, 0.0).otherwise(F.col("yield_percent"))), inputs, target, weights)[1]
 
 
 _ROUTES = """WITH r AS (SELECT l_orderkey AS target, l_orderkey || '-' || l_returnflag AS route, count(*) AS n_steps, sum(l_quantity) AS total_g, sum(CASE WHEN l_discount >= 0.02 THEN l_quantity ELSE 0 END) AS priced_g, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS cost, max(l_quantity) AS max_scale_g, avg(l_linenumber) / 10 AS severity, CASE WHEN min(l_tax) = 0 THEN 0.0 ELSE 0.5 END AS cumulative_yield,
@@ -291,9 +300,12 @@ def page_offsets(spark, sf_dir):
     return review.page_offsets(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("SELECT *, CASE WHEN n_text >= greatest(1000, 100 * n_pages) AND n_with_text * 10 >= 8 * n_pages THEN 'text_extraction' ELSE 'ocr' END AS route FROM (SELECT conv_id, count(*) AS n_pages, sum(length(trim(text)))::BIGINT AS n_text, count(*) FILTER (length(trim(text)) > 0) AS n_with_text FROM conversations GROUP BY conv_id)")
+@query("SELECT *, CASE WHEN n_text >= greatest(1000, 100 * n_pages) AND n_with_text * 10 >= 8 * n_pages THEN 'text_extraction' ELSE 'ocr' END AS route FROM (SELECT conv_id, count(*) AS n_pages, sum(length(t))::BIGINT AS n_text, count(*) FILTER (length(t) > 0) AS n_with_text FROM (SELECT conv_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations UNION ALL SELECT conv_id, '' FROM conversations WHERE turn % 2 = 0) GROUP BY conv_id)")
 def pdf_routing(spark, sf_dir):
-    return review.pdf_routing(table(spark, sf_dir, "conversations"), "conv_id", "text")
+    """Conversations as documents and turns as pages, every other one followed by a page of white space."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    blank = pages.filter("turn % 2 = 0").select("conv_id", F.lit("\n\t \r\n").alias("text"))
+    return review.pdf_routing(pages.select("conv_id", "text").unionByName(blank), "conv_id", "text", pages)
 
 
 @query("SELECT user_id, max_by(event_type, struct_pack(ts := ts, event_id := event_id)) AS status, count(*) FILTER (event_type = 'click') AS attempts, count(*) AS n_events FROM events GROUP BY user_id")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.functions.scalars import canonical_json
+from attesta.functions.scalars import canonical_json, clean
 
 #: Rows of a batch that a file's reader gives out.
 ROWS = 5000
@@ -168,7 +168,7 @@ def ocr_results(spark: SparkSession, path: str, documents: DataFrame) -> DataFra
     """Results of text recognition (``*/result.json`` with publication, status, text and pages) as jobs to review: an error without text makes a failed job, and an unknown publication a rejected one.  Nothing is accepted by it."""
     schema = T.StructType([T.StructField(n, t) for n, t in (("publication", T.StringType()), ("status", T.StringType()), ("text", T.StringType()), ("pages", T.ArrayType(T.StringType())))])
     found = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "result.json").option("recursiveFileLookup", True).json(path)
-    text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.nullif(F.array_join("pages", "\n\n"), F.lit("")))
+    text = F.coalesce(clean(F.col("text")), F.nullif(F.array_join("pages", "\n\n"), F.lit("")))
     known = documents.select("publication", F.lit(True).alias("known")).distinct()
     state = F.when(F.col("known").isNull(), "rejected").when((F.col("status") != "ok") | F.col("text").isNull(), "failed").otherwise("needs_review")
     out = found.withColumn("text", text).join(known, "publication", "left")
