@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions.session import shared_folder
 
@@ -111,9 +116,38 @@ def evidence_backtrack(targets: DataFrame, produced: DataFrame, inputs: DataFram
 
 
 def group_names(label: DataFrame, node: str, component: str) -> DataFrame:
-    """(node, leakage_group): components named by a hash of their sorted members, so that the name does not depend on the walk."""
-    named = label.groupBy(component).agg(F.concat(F.lit("component:"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(node)), "|"), 256), 1, 24)).alias("leakage_group"))
-    return label.join(named, component).select(node, "leakage_group")
+    """(node, leakage_group): components named by a hash of their sorted members joined by ``|``, so that the name does not depend on the walk.
+
+    The digest runs over the sorted members as they come by; no component is
+    held as a whole.
+    """
+    spark, key = label.sparkSession, T.StructField("key", T.StringType())
+
+    def run(batches):
+        own, digest = None, None
+        name = lambda: f"component:{digest.hexdigest()[:24]}"
+        for batch in batches:
+            keys, nodes, done = batch.column(0), batch.column(1).to_pylist(), []
+            ends = [*(np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(keys)]
+            start = 0
+            for end in ends if len(keys) else []:
+                if (found := keys[start].as_py()) != own:
+                    if digest:
+                        done.append((own, name()))
+                    own, digest = found, hashlib.sha256()
+                    digest.update("|".join(nodes[start:end]).encode())
+                else:
+                    digest.update(("|" + "|".join(nodes[start:end])).encode())
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in (0, 1)], names=["key", "leakage_group"])
+        if digest:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (own, name())], names=["key", "leakage_group"])
+
+    text = lambda c: F.col(c).cast("string")
+    members = label.select(text(component).alias("key"), text(node).alias("member")).filter("key is not null and member is not null").distinct()
+    ordered = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "member")
+    named = ordered.mapInArrow(run, T.StructType([key, T.StructField("leakage_group", T.StringType())]))
+    return label.join(named, text(component) == named["key"]).select(node, "leakage_group")
 
 
 def components(edge: DataFrame, a: str, b: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from attesta.plans import catalogue, evidence, graph_queries
-from attesta.streaming import jobs
+from attesta.streaming import jobs, runner
 
-QUERIES = evidence.QUERIES | graph_queries.QUERIES | catalogue.QUERIES | jobs.QUERIES
-ORACLES = evidence.ORACLES | graph_queries.ORACLES | catalogue.ORACLES | jobs.ORACLES
+QUERIES = evidence.QUERIES | graph_queries.QUERIES | catalogue.QUERIES | jobs.QUERIES | runner.QUERIES
+ORACLES = evidence.ORACLES | graph_queries.ORACLES | catalogue.ORACLES | jobs.ORACLES | runner.ORACLES

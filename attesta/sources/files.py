@@ -14,6 +14,7 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,11 +90,43 @@ def sqlite_table(spark: SparkSession, path: str, table: str, columns: list[str],
     return _columns(_binary(spark, path).mapInArrow(run, _ROW), columns)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Objects of a file of JSON lines. Blank lines are skipped; reading a line that is not JSON is an error that names it."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    checked = lines.withColumn("r", parsed).withColumn("r", F.when(F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit("invalid JSON line: "), F.substring("value", 1, 200))).cast(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]))).otherwise(F.col("r")))
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, at, value): lines that are not blank; ``split`` is where in the file its piece begins, ``at`` ascends by one within a piece."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    return read.filter(clean(F.col("value")).isNotNull()).withColumn("at", F.monotonically_increasing_id())
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines that are not blank, numbered from 1 in each file.
+
+    Pieces of a file are read apart: their lines are counted first, a row for
+    each piece, and sums of these counts give every piece its first number.
+    """
+    found = lines(spark, path)
+    pieces = found.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "split", "first", "before")
+    return found.join(pieces, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType, check: bool = True) -> DataFrame:
+    """Objects of files of JSON lines, blank lines skipped.
+
+    A line that is not a JSON object of the schema is an error.  With ``check``
+    the files are gone over at once, and the ValueError names the first one as
+    ``file:line``, blank lines not counted; without, reading the rows fails and
+    tells file and text.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = lines(spark, path).withColumn("r", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    wrong = F.col("r._bad").isNotNull()
+    if check and (bad := parsed.filter(wrong).select("file", "split", "at", "value").orderBy("file", "split", "at").first()):
+        # only now lines are counted: those of the file's earlier pieces, and of its own those before
+        same = lines(spark, path).filter(F.col("file") == bad.file)
+        n = same.filter((F.col("split") < bad.split) | ((F.col("split") == bad.split) & (F.col("at") <= bad.at))).count()
+        raise ValueError(f"invalid JSON line {bad.file}:{n}: {bad.value[:200]}")
+    error = F.raise_error(F.concat(F.lit("invalid JSON line in "), "file", F.lit(": "), F.substring("value", 1, 200))).cast(whole)
+    checked = parsed.withColumn("r", F.when(wrong, error).otherwise(F.col("r")))
     return checked.select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
 
 

@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from attesta.operators import ingest
+from attesta.operators import graph, ingest, matching
 from attesta.operators.coverage import reconcile
 from attesta.sources import files
 
@@ -143,3 +143,50 @@ def test_records_that_require_an_existing_drug_are_held_back(spark):
     assert out[2].candidates == ["drug:a"] and out[3].candidates == ["drug:t1", "drug:t2"] and out[4].candidates == [] and out[7].candidates == [out[5].drug_id]
     assert out[1].drug_id == "drug:old" and out[6].drug_id == out[5].drug_id and out[9].drug_id and out[10].outcome == "accepted"
     assert all(r.drug_id is None for r in out.values() if r.outcome == "excluded") and len(out) == 10
+
+
+def test_errors_name_file_and_line(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from attesta.sources import files
+
+    path, schema = tmp_path / "rows.jsonl", T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    good = [f'{{"a": {i}, "b": "é{"x" * (i % 50)}"}}' for i in range(400)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        text = lambda rows: "\n \t\n".join(rows) + "\r\n\n"
+        path.write_text(text(good))
+        assert len({r.split for r in files.lines(spark, str(path)).select("split").distinct().collect()}) > 3
+        assert sorted((r.line, r.value.strip()) for r in files.numbered_lines(spark, str(path)).collect()) == list(enumerate(good, 1))
+        assert [r.a for r in files.json_lines(spark, str(path), schema).orderBy("a").collect()] == list(range(400))
+        for at in (0, 150, 260, 399):
+            path.write_text(text([*good[:at], '{"a": 1', *good[at + 1 :]]))
+            with pytest.raises(ValueError, match=rf"rows\.jsonl:{at + 1}: "):
+                files.json_lines(spark, str(path), schema)
+        with pytest.raises(Exception, match="invalid JSON line in"):
+            files.json_lines(spark, str(path), schema, check=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_component_names_are_digests_of_sorted_members(spark):
+    import hashlib
+
+    groups = {"a": [f"n{i:05d}" for i in range(25_000)], "b": ["x"], "c": ["é", "z", "A"]}
+    rows = [(n, k) for k, own in groups.items() for n in own] + [("x", "b"), (None, "b")]
+    label = spark.createDataFrame(rows, "node string, component string").repartition(5)
+    got = {r.node: r.leakage_group for r in graph.group_names(label, "node", "component").collect() if r.node}
+    want = {k: "component:" + hashlib.sha256("|".join(sorted(own)).encode()).hexdigest()[:24] for k, own in groups.items()}
+    assert got == {n: want[k] for k, own in groups.items() for n in own}
+
+
+def test_owners_of_a_key_are_not_gathered(spark):
+    ids = spark.createDataFrame([(1, "k1"), (1, "k2"), (2, "k2"), (3, "k3"), (4, "k9"), (5, "k4"), (5, "k5")], "r int, k string")
+    own = spark.createDataFrame([("k1", 7), ("k2", 7), ("k2", 7), ("k4", 1), ("k5", 2), ("k2", None), *[("k3", i) for i in range(5000)]], "k string, o int")
+    out = {r.r: r for r in matching.identity_conflicts(ids, "r", ["k"], own, "o").collect()}
+    assert {(r.r, r.least_owner, r.greatest_owner) for r in out.values()} == {(3, 0, 4999), (5, 1, 2)}
+    assert abs(out[3].about_owners - 5000) < 1000 and out[5].about_owners == 2
+    plan = matching.identity_conflicts(ids, "r", ["k"], own, "o")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect" not in plan
