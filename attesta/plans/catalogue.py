@@ -160,6 +160,40 @@ def catalogue_routing(spark, sf_dir):
     return ingest.route_identities(records, existing, aliases).select("seq", "drug_id", "n_existing", "outcome", "reason", F.size("candidates").alias("n_candidates"))
 
 
+@query("""WITH r AS (SELECT c_custkey AS seq, c_custkey // 2 AS j, 'seg ' || (c_custkey % 60) AS name, c_custkey % 3 = 0 AS flag, (c_custkey // 2) % 5 = 0 AS owned FROM customer),
+m AS (SELECT *, min(CASE WHEN NOT flag THEN seq END) OVER (PARTITION BY j) AS made FROM r), a AS (SELECT *, coalesce(owned OR NOT flag OR made < seq, FALSE) AS ok FROM m),
+d AS (SELECT *, CASE WHEN owned THEN 'd' || j ELSE 'drug:' || substr(sha256('src|seg ' || (made % 60)), 1, 24) END AS drug, NOT owned AND seq = made AS fresh FROM a WHERE ok),
+o AS (SELECT DISTINCT 'd' || j AS drug, 'seg ' || (j % 60) AS name FROM r WHERE owned),
+k AS (SELECT name, drug, min(since) AS since FROM (SELECT name, drug, -1 AS since FROM o UNION ALL SELECT name, drug, seq FROM d) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY since, drug) AS n FROM k),
+f AS (SELECT DISTINCT d.drug, CASE WHEN x.drug <> d.drug THEN CASE WHEN x.since < d.seq THEN x.drug END WHEN y.since < d.seq THEN y.drug END AS object FROM d JOIN t x ON x.name = d.name AND x.n = 1 LEFT JOIN t y ON y.name = d.name AND y.n = 2 WHERE d.fresh),
+l AS (SELECT DISTINCT a.name, k.drug FROM a JOIN k ON k.name = a.name AND k.since < a.seq WHERE NOT ok),
+u AS (SELECT drug, 1 AS alias, 0 AS ids, 0 AS held, 0 AS linked FROM (SELECT DISTINCT drug, name FROM d) UNION ALL SELECT drug, 1, 1, 0, 0 FROM o UNION ALL SELECT drug, 0, 1, 0, 0 FROM (SELECT DISTINCT drug, j FROM d) UNION ALL SELECT drug, 0, 0, 1, 0 FROM l UNION ALL SELECT drug, 0, 0, 0, 1 FROM f WHERE object IS NOT NULL)
+SELECT drug AS drug_id, sum(alias)::BIGINT AS n_aliases, sum(ids)::BIGINT AS n_identifiers, sum(held)::BIGINT AS n_candidate_for, sum(linked)::BIGINT AS n_links FROM u GROUP BY drug""")
+def catalogue_tables(spark, sf_dir):
+    """A whole catalogue merged into the stored tables: names, identifiers and review links of every drug."""
+    k = F.col("c_custkey")
+    j = F.floor(k / 2)
+    c = table(spark, sf_dir, "customer")
+    own = lambda d, key: F.create_map(F.lit("K"), F.array(key.cast("string")))
+    records = c.select(k.alias("seq"), name("Seg-", k % 60).alias("preferred_name"), F.lit(None).cast("string").alias("modality"), (k % 3 == 0).alias("requires_existing_drug"), F.lit(None).cast("string").alias("active_moiety_id"), own(c, j).alias("identifiers"))
+    fields = {f.name: f.dataType for f in spark.createDataFrame([], ingest.RECORD).schema.fields}
+    records = records.select(*[F.col(f) if f in records.columns else F.lit(None).cast(t).alias(f) for f, t in fields.items()])
+    d = c.select(j.alias("j")).distinct().filter("j % 5 = 0").select(name("d", "j").alias("drug_id"), "j", name("seg ", F.col("j") % 60).alias("normal"))
+    new, old = F.lit("unreviewed").alias("review_status"), F.lit("old").alias("source_id")
+    stored = {
+        "drug_entity": d.select("drug_id", F.col("normal").alias("preferred_name"), F.lit(None).cast("string").alias("active_moiety_id"), F.lit("small_molecule").alias("modality"), new),
+        "drug_alias": d.select("drug_id", F.col("normal").alias("normalized_alias"), F.lit("preferred_name").alias("alias_type"), old, F.col("normal").alias("alias")),
+        "drug_identifier": d.select(F.lit("K").alias("namespace"), text("j").alias("identifier_value"), old, "drug_id"),
+    }
+    out = ingest.ingest_catalogue(records, stored, "src", "1")
+    count = lambda t, by, kind, n: out[t].filter(kind).groupBy(F.col(by).alias("drug_id")).agg(F.count(F.lit(1)).alias(n))
+    parts = [count("drug_alias", "drug_id", F.lit(True), "n_aliases"), count("drug_identifier", "drug_id", F.lit(True), "n_identifiers"), count("link_candidate", "object_id", F.col("subject_type") == "source_record", "n_candidate_for"), count("link_candidate", "subject_id", F.col("subject_type") == "drug_entity", "n_links")]
+    found = out["drug_entity"].select("drug_id")
+    for p in parts:
+        found = found.join(p, "drug_id", "left")
+    return found.na.fill(0)
+
+
 @query("WITH k AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_retailprice > 905 AND p_size > 20), n AS (SELECT p_type, count(*) AS known_keys FROM k GROUP BY 1) SELECT p_partkey AS seq, known_keys::INT AS known_keys FROM part JOIN n USING (p_type) WHERE p_size > 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.p_type = part.p_type AND k.p_brand = part.p_brand)")
 def name_structure_conflicts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
