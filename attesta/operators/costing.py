@@ -114,7 +114,7 @@ def evaluate(routes: DataFrame) -> DataFrame:
     """
     c = F.col
     coverage = F.coalesce(F.try_divide(c("priced_g"), c("total_g")), F.lit(0.0))
-    intensity = F.try_divide(c("total_g"), c("target_g"))
+    intensity = F.coalesce(F.try_divide(c("total_g"), c("target_g")), F.lit(0.0))
     length = F.least(c("n_steps") / 12, F.lit(1.0))
     hazard = F.coalesce(c("severity"), F.lit(0.0)) * 100
     scale = F.least(F.lit(1.0), F.coalesce(F.try_divide(c("max_scale_g"), c("target_g")), F.lit(0.0)))

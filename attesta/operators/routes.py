@@ -15,12 +15,12 @@ Otherwise all routes within the limit are grown and counted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.session import shared_folder
-from attesta.operators import graph
+from attesta.operators import costing, graph, release
 
 _NAMES = "array<string>"
 #: Confidences are added as decimals, so that sums do not depend on their order.
@@ -114,20 +114,8 @@ def _count(makers: DataFrame, wants: DataFrame, starting: DataFrame, max_steps:
     return known
 
 
-def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target: DataFrame, max_steps: int = 6, top: int = 10, excluded: DataFrame | None = None, hazardous: DataFrame | None = None, participants: DataFrame | None = None) -> DataFrame:
-    """Routes from starting materials to the targets: (compound, path, n_steps, confidence, route_id, n_routes), the best ``top`` of each target; n_routes counts them all.
-
-    reactions (reaction, product, confidence), inputs (reaction, compound),
-    starting (compound), target (compound).  A route takes one reaction for each
-    compound that it makes, ``max_steps`` in all at most, and uses what it has
-    made as often as it is needed; its path names the inputs' steps in the order
-    of the inputs' names, then the reaction.  Fewer steps come first, then
-    higher confidence (the sum over the steps), then the id.  Reactions without
-    inputs are skipped; a target that is a starting material has the route of no
-    steps.  Compounds in excluded (compound) are neither bought nor made;
-    reactions with a compound in hazardous (compound) among their inputs,
-    product or other participants (reaction, compound) are not used.
-    """
+def search(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target: DataFrame, max_steps: int = 6, top: int = 10, excluded: DataFrame | None = None, hazardous: DataFrame | None = None, participants: DataFrame | None = None) -> DataFrame:
+    """``enumerate_routes`` with the array of its ``steps`` besides the path."""
     if excluded is not None:
         starting, reactions = starting.join(excluded, "compound", "left_anti"), reactions.join(excluded.select(F.col("compound").alias("product")), "product", "left_anti")
     if hazardous is not None:
@@ -158,11 +146,100 @@ def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFram
         each = makers.select("reaction", F.col("confidence").alias("c")).distinct()
         found = found.select("compound", "steps", F.explode_outer("steps").alias("reaction")).join(each, "reaction", "left").groupBy("compound", "steps").agg(F.coalesce(F.sum("c"), F.lit(0)).cast(_EXACT).alias("confidence"))
     key = F.concat_ws(">", "steps")
-    scored = found.select("compound", key.alias("path"), F.size("steps").alias("n_steps"), F.col("confidence").cast("double").alias("confidence"), F.concat(F.lit("route:"), F.substring(F.sha2(F.concat_ws("|", "compound", key), 256), 1, 24)).alias("route_id"))
+    scored = found.select("compound", "steps", key.alias("path"), F.size("steps").alias("n_steps"), F.col("confidence").cast("double").alias("confidence"), F.concat(F.lit("route:"), F.substring(F.sha2(F.concat_ws("|", "compound", key), 256), 1, 24)).alias("route_id"))
     if apart:
         tally = _count(makers, wants, buy, max_steps, most).join(target, "compound").groupBy("compound").agg(F.sum("ways").cast("bigint").alias("n_routes"))
     else:
         tally = scored.groupBy("compound").agg(F.count(F.lit(1)).alias("n_routes"))
     w = W.partitionBy("compound").orderBy("n_steps", F.col("confidence").desc(), "route_id")
     best = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top).drop("rn")
-    return best.join(tally, "compound").select("compound", "path", "n_steps", "confidence", "route_id", "n_routes")
+    return best.join(tally, "compound").select("compound", "path", "n_steps", "confidence", "route_id", "n_routes", "steps")
+
+
+def enumerate_routes(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target: DataFrame, max_steps: int = 6, top: int = 10, excluded: DataFrame | None = None, hazardous: DataFrame | None = None, participants: DataFrame | None = None) -> DataFrame:
+    """Routes from starting materials to the targets: (compound, path, n_steps, confidence, route_id, n_routes), the best ``top`` of each target; n_routes counts them all.
+
+    reactions (reaction, product, confidence), inputs (reaction, compound),
+    starting (compound), target (compound).  A route takes one reaction for each
+    compound that it makes, ``max_steps`` in all at most, and uses what it has
+    made as often as it is needed; its path names the inputs' steps in the order
+    of the inputs' names, then the reaction.  Fewer steps come first, then
+    higher confidence (the sum over the steps), then the id.  Reactions without
+    inputs are skipped; a target that is a starting material has the route of no
+    steps.  Compounds in excluded (compound) are neither bought nor made;
+    reactions with a compound in hazardous (compound) among their inputs,
+    product or other participants (reaction, compound) are not used.
+    """
+    return search(reactions, inputs, starting, target, max_steps, top, excluded, hazardous, participants).drop("steps")
+
+
+#: Name under which routes of this search are stored.
+ALGORITHM = "backward-by-size-1"
+
+
+def request(network: dict[str, DataFrame], target: DataFrame, currency: str, at: str | None = None, **options) -> dict[str, DataFrame]:
+    """Routes to the wanted compounds (compound, mass_g), found, priced, scored and ranked: the tables route_candidate, route_step, route_evaluation, route_warning and gap.
+
+    network: reactions (reaction, product, confidence, yield_percent,
+    publication, is_synthetic, scale_g), inputs (reaction, compound,
+    stoichiometry), starting (compound), weights (compound, mw), quotes and
+    rates as for ``costing.convert_quotes``, participants (reaction, compound)
+    and hazards (compound, severity, status).  ``options`` are those of the
+    search.  Without ``at`` the last rates count.  A route's id depends on its
+    steps, mass, currency and date.  A route of no steps is the compound bought
+    as it is.  Targets without a route are in gap (compound).
+    """
+    n, c = network, F.col
+    found = search(n["reactions"].select("reaction", "product", "confidence"), n["inputs"], n["starting"], target, participants=n["participants"], **options)
+    mass = target.select("compound", c("mass_g").cast("double").alias("target_g"))
+    basis = F.concat_ws("|", "route_id", c("target_g").cast("string"), F.lit(currency), F.lit(at or "latest"))
+    found = found.join(mass, "compound").withColumn("route", F.concat(F.lit("route-"), F.substring(F.sha2(basis, 256), 1, 16))).checkpoint()
+    steps = found.select("route", F.posexplode("steps").alias("step_order", "reaction")).join(n["reactions"], "reaction").checkpoint()
+    step = steps.select("route", c("reaction").alias("step"), "product", "yield_percent")
+    leaves, warnings = costing.mass_balance(step, n["inputs"].select(c("reaction").alias("step"), "compound", "stoichiometry"), found.select("route", "compound", c("target_g").alias("mass_g")), n["weights"])
+    priced = costing.priced_requirements(leaves, costing.convert_quotes(n["quotes"], n["rates"], currency, at or "9999-12-31"))
+    summary = costing.step_summary(steps, n["participants"], n["hazards"])
+    whole = found.select("route", "compound", "target_g").join(priced, "route", "left").join(summary, "route", "left")
+    # nothing is lost on the way of a route without steps, and nothing speaks for it
+    whole = whole.fillna({"n_steps": 0, "cumulative_yield": 1.0, "evidence_share": 0.0, "severity": 0.0, "total_g": 0.0, "priced_g": 0.0})
+    ranked = costing.rank(costing.evaluate(whole), ["compound"])
+    return {
+        "route_candidate": found.select("route", "compound", "target_g", F.lit(currency).alias("base_currency"), F.lit(at).cast("string").alias("fx_date"), "path", "n_steps", "confidence", F.lit(ALGORITHM).alias("algorithm")),
+        "route_step": steps.select("route", "step_order", "reaction", "product", "yield_percent", "scale_g", "confidence", "publication", "is_synthetic"),
+        "route_evaluation": ranked.select("route", "coverage", "actual_cost", "relative_cost_index", "feasibility_score", "rank_score", "rank", "tier"),
+        "route_warning": warnings.select("route", "step", "compound", "reason") if warnings is not None else found.select("route", *[F.lit(None).cast("string").alias(x) for x in ("step", "compound", "reason")]).limit(0),
+        "gap": target.select("compound").distinct().join(found, "compound", "left_anti"),
+    }
+
+
+def _faults(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    routes, evaluations = tables["route_candidate"].select("route"), tables["route_evaluation"].select("route")
+    return {
+        "repeated routes": tables["route_candidate"].groupBy("route").count().filter("count > 1"),
+        "routes without an evaluation": routes.join(evaluations, "route", "left_anti"),
+        "evaluations or steps without a route": evaluations.unionByName(tables["route_step"].select("route")).join(routes, "route", "left_anti"),
+    }
+
+
+def store(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+    """Publishes the routes of a request with those stored before, as one release; routes of the same id are replaced."""
+    names = ("route_candidate", "route_step", "route_evaluation", "route_warning")
+    old = release.tables_of(spark, root) if release.versions(spark, root) else {}
+    new = tables["route_candidate"].select("route").checkpoint()
+    merged = {}
+    for t in names:
+        merged[t] = tables[t]
+        if t in old:
+            merged[t] = release.read(spark, root, t).join(new, "route", "left_anti").unionByName(tables[t])
+    return release.publish(spark, root, merged, _faults)
+
+
+def stored(spark: SparkSession, root: str, *ids: str) -> DataFrame:
+    """Stored routes by their ids, in the rank that they have among each other: route, compound, path, tier, scores, ``rank`` and their steps in order; ValueError names the ids that are not there."""
+    wanted = spark.createDataFrame([(i,) for i in ids], "route string").distinct()
+    own = lambda t: release.read(spark, root, t).join(F.broadcast(wanted), "route", "left_semi")
+    found = own("route_candidate").join(own("route_evaluation").drop("rank", "rank_score"), "route")
+    if lost := sorted(set(ids) - {r.route for r in found.select("route").collect()}):
+        raise ValueError(f"no stored route {', '.join(lost)}")
+    steps = own("route_step").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("step_order", "reaction", "product", "yield_percent"))).alias("steps"))
+    return costing.rank(found.withColumn("all", F.lit(1)), ["all"]).drop("all").join(steps, "route", "left")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
-from attesta.operators import costing, graph, matching, merge, review, routes, top
+from attesta.functions.session import shared_folder
+from attesta.operators import costing, graph, matching, merge, release, review, routes, top
 from attesta.plans.evidence import table
 
 QUERIES: dict = {}
@@ -225,8 +229,6 @@ def route_evaluation(spark, sf_dir):
 s AS (SELECT *, round((CASE WHEN tier = 'cost_complete' THEN 0.5 * (CASE WHEN hi > lo THEN 100 * (actual_cost - lo) / (hi - lo) ELSE 0 END) + 0.5 * (100 - feasibility_score) ELSE 100 - feasibility_score END)::DECIMAL(18, 6), 4) AS score FROM w)
 SELECT target, route, tier, score, row_number() OVER (PARTITION BY target ORDER BY tier, score, route) AS rank FROM s""")
 def route_rank(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     out = costing.rank(routes_evaluated(spark, sf_dir), ["target"]).withColumn("score", F.round(F.col("rank_score").cast("decimal(18,6)"), 4))
     return out.select("target", "route", "tier", "score", F.row_number().over(W.partitionBy("target").orderBy("tier", "score", "route")).alias("rank"))
 
@@ -248,6 +250,11 @@ n AS (SELECT *, count(*) OVER (PARTITION BY compound) AS n_routes, row_number()
 SELECT compound, path, n_steps, confidence, route_id, n_routes FROM n WHERE rn <= 10""")
 def route_enumeration_top(spark, sf_dir):
     """The ten best routes to each nation's product and the number of all: from each supplier's material and one of the intermediates of the region, made in two steps; or from the material alone."""
+    return routes.enumerate_routes(*_network(spark, sf_dir))
+
+
+def _network(spark, sf_dir):
+    """Reactions, inputs, starting materials and targets of ``route_enumeration_top``."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
     n = table(spark, sf_dir, "nation")
     name = lambda prefix, key: F.concat(F.lit(prefix), key)
@@ -258,7 +265,45 @@ def route_enumeration_top(spark, sf_dir):
     reactions = made(s, x, name("M", "s_nationkey"), 0.75).unionByName(made(short, w, name("M", "s_nationkey"), 0.125)).unionByName(made(n, y, name("P", "n_regionkey"), 0.5)).unionByName(made(n, z, name("Q", "n_nationkey"), 0.25))
     inputs = uses(s, x, material).unionByName(uses(s, x, name("P", "n_regionkey"))).unionByName(uses(short, w, material)).unionByName(uses(n, y, name("Q", "n_nationkey"))).unionByName(uses(n, y, F.lit("S0"))).unionByName(uses(n, z, name("B", "n_nationkey")))
     starting = s.select(material.alias("compound")).unionByName(n.select(name("B", "n_nationkey").alias("compound"))).unionByName(n.select(F.lit("S0").alias("compound")))
-    return routes.enumerate_routes(reactions, inputs, starting, s.select(name("M", "s_nationkey").alias("compound")))
+    return reactions, inputs, starting, s.select(name("M", "s_nationkey").alias("compound"))
+
+
+@query("""WITH y AS (SELECT n_regionkey AS r, n_nationkey AS n, 'z' || n_nationkey || '>y' || n_nationkey AS path FROM nation),
+a AS (SELECT 'M' || s_nationkey AS compound, path || '>x' || s_suppkey AS path, 3 AS n_steps, 1.5::DOUBLE AS confidence, s_suppkey AS k, y.n AS b FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN y ON r = n_regionkey
+      UNION ALL SELECT 'M' || s_nationkey, 'w' || s_suppkey, 1, 0.125, s_suppkey, NULL FROM supplier WHERE s_acctbal < 0),
+i AS (SELECT *, 'route:' || substr(sha256(compound || '|' || path), 1, 24) AS route_id FROM a), t AS (SELECT *, row_number() OVER (PARTITION BY compound ORDER BY n_steps, confidence DESC, route_id) AS rn FROM i),
+q AS (SELECT compound, path, n_steps, 'route-' || substr(sha256(route_id || '|1000.0|USD|2024-05-01'), 1, 16) AS route, k, b, CASE n_steps WHEN 3 THEN 1000 / 0.8 ELSE 1000 / 0.6 END AS need_s, CASE n_steps WHEN 3 THEN 1000 / 0.8 / 0.5 / 0.9 ELSE 0 END AS need_b, CASE n_steps WHEN 3 THEN 1000 / 0.8 / 0.5 ELSE 0 END AS need_0,
+ CASE n_steps WHEN 3 THEN 0.36 ELSE 0.6 END AS yield, CASE n_steps WHEN 3 THEN 1.0 ELSE 0.1 END AS scale, CASE WHEN n_steps = 1 THEN 0.0 WHEN k % 4 = 0 THEN 2 / 3.0 ELSE 1.0 END AS evidence FROM t WHERE rn <= 10),
+p AS (SELECT *, need_s + need_b + need_0 AS total, ceil(need_s / 1000) * (10 + k % 7) + CASE WHEN n_steps = 3 THEN ceil(need_0 / 1000) * 5 ELSE 0 END + CASE WHEN b % 5 > 0 THEN ceil(need_b / 100) * 2 ELSE 0 END AS cost FROM q),
+e AS (SELECT *, (total - CASE WHEN b % 5 = 0 THEN need_b ELSE 0 END) / total AS coverage, 100 * (0.25 * yield + 0.15 * (1 - n_steps / 12.0) + 0.20 + 0.15 + 0.15 * scale + 0.10 * evidence) AS f FROM p),
+c AS (SELECT *, CASE WHEN coverage >= 0.8 THEN cost END AS actual FROM e), w AS (SELECT *, min(actual) OVER (PARTITION BY compound) AS lo, max(actual) OVER (PARTITION BY compound) AS hi FROM c),
+z AS (SELECT *, CASE WHEN actual IS NULL THEN 100 - f ELSE 0.5 * CASE WHEN hi > lo THEN 100 * (actual - lo) / (hi - lo) ELSE 0 END + 0.5 * (100 - f) END AS score FROM w)
+SELECT compound, path, route, n_steps, CASE WHEN actual IS NULL THEN 'cost_incomplete' ELSE 'cost_complete' END AS tier, round(coverage::DECIMAL(18, 9), 4) AS coverage, round(actual::DECIMAL(18, 6), 4) AS actual_cost, round(score::DECIMAL(18, 9), 4) AS rank_score, row_number() OVER (PARTITION BY compound ORDER BY actual IS NULL, round(score, 6), route) AS rank FROM z""")
+def route_generation(spark, sf_dir):
+    """1000 g of each nation's product: routes found, priced, scored, ranked, published and read back."""
+    reactions, inputs, starting, target = _network(spark, sf_dir)
+    c = F.col
+    kind, k = F.substring("reaction", 1, 1), F.substr("reaction", F.lit(2)).cast("bigint")
+    pick = lambda **v: F.coalesce(*[F.when(kind == n, F.lit(x)) for n, x in v.items()])
+    paper = F.when((kind == "x") & (k % 4 != 0), "US-1-A1").when(kind.isin("y", "z"), "US-2-A1")
+    reactions = reactions.withColumns({"yield_percent": pick(x=80.0, w=60.0, y=50.0, z=90.0), "scale_g": pick(x=500.0, w=100.0, y=2000.0), "publication": paper, "is_synthetic": F.lit(False)})
+    material, j = F.substring("compound", 1, 1), F.substr("compound", F.lit(2)).cast("bigint")
+    price = F.when(c("compound") == "S0", 5.0).when(material == "S", 10.0 + j % 7).when(j % 5 > 0, 2.0)
+    quotes = starting.distinct().select("compound", F.concat(F.lit("q"), "compound").alias("quote_id"), F.lit(1.0).alias("pack_value"), F.when(material == "B", "hg").otherwise("kg").alias("pack_unit"), price.alias("price"), F.lit("USD").alias("currency"), F.lit("accepted").alias("status")).filter("price is not null")
+    quotes = quotes.withColumns({"pack_value": F.when(c("pack_unit") == "hg", 100.0).otherwise(1.0), "pack_unit": F.when(c("pack_unit") == "hg", "g").otherwise("kg")})
+    compounds = inputs.select("compound").unionByName(reactions.select(c("product").alias("compound"))).distinct()
+    none = lambda schema: spark.createDataFrame([], schema)
+    network = {
+        "reactions": reactions, "inputs": inputs.withColumn("stoichiometry", F.lit(1.0)), "starting": starting, "weights": compounds.withColumn("mw", F.lit(100.0)), "quotes": quotes,
+        "rates": none("rate_date string, base string, quote string, rate double"), "participants": inputs, "hazards": none("compound string, severity double, status string"),
+    }
+    out = routes.request(network, target.distinct().withColumn("mass_g", F.lit(1000.0)), "USD", "2024-05-01")
+    root = f"{shared_folder(spark)}/routes-{uuid.uuid4().hex}"
+    routes.store(spark, root, out)
+    found = release.read(spark, root, "route_candidate").join(release.read(spark, root, "route_evaluation"), "route")
+    four = lambda n, d=9: F.round(c(n).cast(f"decimal(18,{d})"), 4).alias(n)
+    by = W.partitionBy("compound").orderBy("tier", F.round("rank_score", 6), "route")
+    return found.select("compound", "path", "route", "n_steps", "tier", four("coverage"), four("actual_cost", 6), four("rank_score"), F.row_number().over(by).alias("rank"))
 
 
 @query("""WITH p AS (SELECT a.l_orderkey, a.n AS hs, b.n AS bs, a.m AS hm, b.m AS bm, a.y AS hy, b.y AS by_, a.t AS t, a.n % 3 AS u FROM (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS m, max(l_discount) AS y, min(l_tax) AS t FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS m, max(l_discount) AS y FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b USING (l_orderkey)),
