@@ -1,8 +1,9 @@
 """Readers of released files: tables in ZIPs, JSON lines and envelopes, CSV of unknown dialect, SQLite and manifests.
 
-Files are listed and opened by Spark, so they may lie in any store it can
-read.  A ZIP or SQLite file is one task's work, as its format cannot be split;
-its rows leave the task in batches.
+Files are listed by Spark and opened where they lie (``streams``), or else read
+by Spark, so they may be in any store it knows.  A ZIP file is one task's work,
+as its format cannot be split; its rows leave the task in batches.  Tables of a
+mounted SQLite file are read in ranges of row ids.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions.scalars import canonical_json, clean
+from attesta.sources import streams
 
 #: Rows of a batch that a file's reader gives out.
 ROWS = 5000
@@ -39,10 +41,6 @@ def _batches(rows):
         yield pa.RecordBatch.from_pylist(some, _ARROW)
 
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
-
-
 def _columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("seq", *[F.col("fields").getItem(c).alias(c) for c in columns])
 
@@ -53,41 +51,43 @@ def zip_table(spark: SparkSession, path: str, suffix: str, columns: list[str], s
     A byte order mark is skipped, bad bytes are replaced, and missing columns are null.  Without such a member: an error, or no rows if ``optional``.
     """
 
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = sorted((n for n in z.namelist() if n.casefold().endswith(suffix.casefold())), key=lambda n: (len(n), n))
-                    if not names:
-                        if optional:
-                            continue
-                        raise ValueError(f"no member ends with {suffix}")
-                    with z.open(names[0]) as f:
-                        reader = csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", errors="replace", newline=""), delimiter=sep)
-                        yield from _batches({k.strip(): v for k, v in r.items() if k is not None and isinstance(v, str)} for r in reader)
+    def run(file, uri):
+        with zipfile.ZipFile(file) as z:
+            names = sorted((n for n in z.namelist() if n.casefold().endswith(suffix.casefold())), key=lambda n: (len(n), n))
+            if not names:
+                if optional:
+                    return
+                raise ValueError(f"no member ends with {suffix}")
+            with z.open(names[0]) as f:
+                reader = csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", errors="replace", newline=""), delimiter=sep)
+                yield from _batches({k.strip(): v for k, v in r.items() if k is not None and isinstance(v, str)} for r in reader)
 
-    return _columns(_binary(spark, path).mapInArrow(run, _ROW), columns)
+    return _columns(streams.each_file(spark, path, run, _ROW), columns)
 
 
 def sqlite_table(spark: SparkSession, path: str, table: str, columns: list[str], required: tuple[str, ...] = ()) -> DataFrame:
-    """Columns of a table of an SQLite file as text, in a task of its own; an error if one of the required tables is missing."""
+    """Columns of a table of an SQLite file as text; an error if one of the required tables is missing.
+
+    A mounted file is read in ranges of row ids.  One in another store is a
+    task's work and ends at 2 GB, as SQLite cannot read it in pieces.
+    """
+    if streams.local(path):
+        return streams.sqlite_ranges(spark, path, table, columns, required)
 
-    def run(batches):
+    def run(file, uri):
         import sqlite3
 
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                db = sqlite3.connect(":memory:")
-                db.deserialize(content)
-                have = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
-                if lacking := sorted({table, *required} - have):
-                    raise ValueError(f"tables are missing: {', '.join(lacking)}")
-                names = ", ".join(f'"{c}"' for c in columns)
-                rows = db.execute(f'SELECT {names} FROM "{table}"')
-                yield from _batches({c: None if v is None else str(v) for c, v in zip(columns, r, strict=True)} for r in rows)
-                db.close()
+        db = sqlite3.connect(":memory:")
+        db.deserialize(file.read())
+        have = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
+        if lacking := sorted({table, *required} - have):
+            raise ValueError(f"tables are missing: {', '.join(lacking)}")
+        names = ", ".join(f'"{c}"' for c in columns)
+        rows = db.execute(f'SELECT {names} FROM "{table}"')
+        yield from _batches({c: None if v is None else str(v) for c, v in zip(columns, r, strict=True)} for r in rows)
+        db.close()
 
-    return _columns(_binary(spark, path).mapInArrow(run, _ROW), columns)
+    return _columns(streams.each_file(spark, path, run, _ROW), columns).drop("seq")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -133,18 +133,16 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, check: bool
 def json_envelope(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Objects of a JSON file that is a list, or an object with a list under one of the known keys."""
 
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                found = json.loads(content.decode("utf-8-sig"))
-                if isinstance(found, dict):
-                    found = next((found[k] for k in ENVELOPE if isinstance(found.get(k), list)), None)
-                if not isinstance(found, list):
-                    raise ValueError("the file holds no list of records")
-                for i in range(0, len(found), ROWS):
-                    yield pa.RecordBatch.from_pydict({"value": [json.dumps(x, ensure_ascii=False) for x in found[i : i + ROWS]]}, pa.schema([("value", pa.string())]))
+    def run(file, uri):
+        found = json.loads(file.read().decode("utf-8-sig"))
+        if isinstance(found, dict):
+            found = next((found[k] for k in ENVELOPE if isinstance(found.get(k), list)), None)
+        if not isinstance(found, list):
+            raise ValueError("the file holds no list of records")
+        for i in range(0, len(found), ROWS):
+            yield pa.RecordBatch.from_pydict({"value": [json.dumps(x, ensure_ascii=False) for x in found[i : i + ROWS]]}, pa.schema([("value", pa.string())]))
 
-    return _binary(spark, path).mapInArrow(run, "value string").select(F.from_json("value", schema).alias("r")).select("r.*")
+    return streams.each_file(spark, path, run, "value string").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -166,8 +164,7 @@ def delimited(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and SHA-256 of all files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return streams.digests(spark, path)
 
 
 def changed_artifacts(registered: DataFrame, found: DataFrame) -> DataFrame:
