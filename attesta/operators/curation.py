@@ -103,12 +103,24 @@ def register_sources(stored: DataFrame, registry: DataFrame) -> DataFrame:
     return merge.upsert(stored, checked, ["source_id"])
 
 
-def tables(examples: DataFrame) -> dict[str, DataFrame]:
-    """The examples as rows of the stored tables, one plan for each; nothing is accepted by it that was not accepted before."""
+def tables(examples: DataFrame, version: str = "working", policy: str = "1.0.0", path: str = "examples.jsonl") -> dict[str, DataFrame]:
+    """The examples as rows of the stored tables, one plan for each; nothing is accepted by it that was not accepted before.
+
+    They belong to the dataset ``version``.  Of a release, artifact or family
+    that several examples name, the one of the least id tells the details.
+    """
     e, c = examples, F.col
+    release = F.concat("evidence.source_id", F.lit(":fixture-release"))
+    first = lambda d, key, **cols: d.groupBy(key).agg(F.min_by(F.struct(*[v.alias(n) for n, v in cols.items()]), "example_id").alias("r")).select(key, "r.*")
+    released = e.withColumns({"release_id": release, "artifact_id": F.concat(release, F.lit(":"), F.substring("evidence.source_artifact_sha256", 1, 16)), "family_id": c("patent.family_id")})
     span = S.stable_id("span", c("patent.publication_number"), c("evidence.char_start"), c("evidence.char_end"), c("evidence.span_sha256"))
     q = e.select(c("route.step_id").alias("step_id"), F.posexplode("quantities").alias("at", "q"))
     return {
+        "dataset_version": e.sparkSession.createDataFrame([(version, "working", policy)], "dataset_version_id string, status string, policy_version string"),
+        "source_release": first(released.filter("release_id is not null"), "release_id", source_id=c("evidence.source_id"), released_on=c("patent.publication_date"), schema_version=c("schema_version")),
+        "artifact": first(released.filter("artifact_id is not null"), "artifact_id", release_id=c("release_id"), relative_path=F.lit(path), sha256=c("evidence.source_artifact_sha256"), size_bytes=F.octet_length("evidence.text").cast("bigint"), media_type=F.lit("application/x-ndjson")),
+        "patent_family": first(released.filter("family_id is not null"), "family_id", source_id=c("evidence.source_id"), confidence=c("linkage.confidence")),
+        "dataset_example": e.groupBy("example_id").agg(F.max_by(F.struct(c("route.step_id").alias("step_id"), c("patent.family_id").alias("family_id"), c("compound.active_moiety_id").alias("active_moiety_id"), c("labels.scale_band").alias("scale_band"), c("is_synthetic").alias("is_synthetic"), S.canonical_json(e, *e.columns).alias("payload_json")), c("route.step_id")).alias("r")).select(F.lit(version).alias("dataset_version_id"), "example_id", "r.*"),
         "patent_document": e.select(c("patent.publication_number").alias("publication_number"), F.substring("patent.publication_number", 1, 2).alias("country_code"), c("patent.publication_date").alias("publication_date"), c("patent.title").alias("title"), c("evidence.source_id").alias("source_id")).distinct(),
         "patent_family_member": e.filter(c("patent.family_id").isNotNull()).select(c("patent.family_id").alias("family_id"), c("patent.publication_number").alias("publication_number"), F.lit("member").alias("relationship")).distinct(),
         "active_moiety": e.filter(c("compound.active_moiety_id").isNotNull()).groupBy(c("compound.active_moiety_id").alias("active_moiety_id")).agg(F.min("compound.active_moiety_name").alias("preferred_name")),
@@ -145,6 +157,52 @@ def training_examples(steps: DataFrame) -> DataFrame:
     return steps.select(S.canonical_json(steps, *steps.columns).alias("payload_json"))
 
 
+#: Fields of a step that make up each part of an exported example, under the part's own names.
+_PARTS = {
+    "patent": "publication_number family_id publication_date title",
+    "compound": "compound_id=target_compound_id preferred_name active_moiety_id material_form smiles inchi_key",
+    "route": "route_id step_id step_order transformation_key operation_summary",
+    "evidence": "source_id source_artifact_sha256=artifact_sha256 paragraph_id section_type char_start char_end text=evidence_text span_sha256=text_sha256 status=evidence_status extraction_method extractor_version source_url retrieved_at license=license_code redistribution_class",
+}
+
+
+def nested_examples(steps: DataFrame, participants: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Eligible steps as nested records of the exchange format, an example each.
+
+    steps have the fields of _PARTS and reaction_id, basis_kind, basis_value_g,
+    scale_band, scale_confidence, yield_percent, reaction_confidence,
+    reviewer_id, decided_at and rationale; participants (reaction_id, role,
+    stoichiometry, compound_id, smiles, inchi_key) and conditions (reaction_id,
+    condition_id, condition_type, value_text, numeric_value, unit) come in the
+    order of role and compound, and of their ids.
+    """
+    c = F.col
+    listed = lambda d, order, fields, name: d.groupBy("reaction_id").agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v")))).alias("l")).select("reaction_id", F.transform("l", lambda x: x["v"]).alias(name))
+    who = listed(participants, ["role", "compound_id"], ["role", "stoichiometry", "compound_id", "smiles", "inchi_key"], "participants")
+    how = listed(conditions, ["condition_id"], ["condition_type", "value_text", "numeric_value", "unit"], "conditions")
+    s = steps.join(who, "reaction_id", "left").join(how, "reaction_id", "left")
+    none = lambda name: F.array().cast(s.schema[name].dataType)
+    field = lambda f: c(f.rpartition("=")[2]).alias(f.partition("=")[0])
+    part = {name: F.struct(*[field(f) for f in fields.split()]) for name, fields in _PARTS.items()}
+    part["reaction"] = F.struct("reaction_id", F.coalesce("participants", none("participants")).alias("participants"), F.coalesce("conditions", none("conditions")).alias("conditions"))
+    part["quantities"] = F.array(F.struct(F.coalesce("basis_kind", F.lit("product_mass")).alias("kind"), c("basis_value_g").alias("value"), F.lit("g").alias("unit"), c("scale_confidence").alias("confidence")))
+    part["outcome"] = F.struct("yield_percent", F.lit("reported").alias("outcome_type"), c("reaction_confidence").alias("confidence"))
+    part["labels"] = F.struct("scale_band", F.lit("unknown").alias("development_stage"), F.lit(None).cast("string").alias("development_stage_basis"), c("scale_confidence").alias("confidence"))
+    part["linkage"] = F.struct(F.lit("exact_structure").alias("match_type"), F.lit(1).alias("confidence"))
+    part["review"] = F.struct(F.lit("accepted").alias("status"), "reviewer_id", c("decided_at").alias("reviewed_at"), "rationale")
+    return s.select(F.lit("1.0.0").alias("schema_version"), F.concat(F.lit("reviewed:"), c("step_id").cast("string")).alias("example_id"), F.lit(False).alias("is_synthetic"), *[v.alias(n) for n, v in part.items()])
+
+
+def export_report(reasons: DataFrame, assignments: DataFrame) -> DataFrame:
+    """One row on an export: candidate_steps, eligible_examples, how many were excluded for each reason, and how many are in each split. reasons (reason, null if eligible), assignments (split)."""
+    counted = lambda d, col: d.groupBy(col).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(col, "n")))).alias("m"))
+    left = counted(reasons.filter("reason is not null"), "reason").select(F.col("m").alias("excluded"))
+    splits = counted(assignments, "split").select(F.col("m").alias("split_counts"))
+    whole = reasons.agg(F.count(F.lit(1)).alias("candidate_steps"), F.count(F.when(F.col("reason").isNull(), 1)).alias("eligible_examples"))
+    one = F.lit(True)  # three tables of one row
+    return whole.join(F.broadcast(left), one).join(F.broadcast(splits), one)
+
+
 def mapped_reactions(participants: DataFrame, reaction: str) -> DataFrame:
     """(reaction, mapped): whether a reaction consumes and produces something and all that takes part (role, has_structure) has a structure."""
     role = F.col("role")

@@ -74,14 +74,15 @@ def traverse(edge: DataFrame, node: DataFrame, start: DataFrame, depth: int) ->
     return met.select("source_id", "target_id", "edge_type", "traversed_from", "level", "source_label", "target_label")
 
 
-def evidence_backtrack(targets: DataFrame, produced: DataFrame, inputs: DataFrame, evidence: DataFrame, compounds: DataFrame, depth: int) -> dict[str, DataFrame]:
+def evidence_backtrack(targets: DataFrame, produced: DataFrame, inputs: DataFrame, evidence: DataFrame, compounds: DataFrame, depth: int, elements: DataFrame | None = None) -> dict[str, DataFrame]:
     """How each drug's compounds are made, back to ``depth`` reactions: levels, edges and gaps, for all drugs at once.
 
     targets (drug, compound), produced (reaction, compound), inputs (reaction,
     compound, role), evidence (reaction, publication, relationship), compounds
     (compound, has_structure).  levels has each (drug, compound) with the
     fewest steps to it; edges are (drug, source_id, target_id, edge_type) of the
-    reactions expanded, their inputs and publications; gaps are compounds
+    reactions expanded, their inputs and publications, and, with elements
+    (compound, element_id), of the elements of all compounds; gaps are compounds
     without a record or a structure, and those above the depth that nothing
     recorded makes.
     """
@@ -106,6 +107,8 @@ def evidence_backtrack(targets: DataFrame, produced: DataFrame, inputs: DataFram
         .unionByName(edge(used.join(inputs, "reaction"), name("compound", "compound"), name("reaction", "reaction"), F.col("role")))
         .unionByName(edge(used.join(evidence, "reaction"), name("patent", "publication"), name("reaction", "reaction"), F.col("relationship")))
     )
+    if elements is not None:
+        edges = edges.unionByName(edge(seen.join(elements, "compound"), name("compound", "compound"), name("element", "element_id"), F.lit("contains_element")))
     gap = lambda d, why: d.select("drug", "compound", F.lit(why).alias("reason"))
     gaps = (
         gap(record.filter("there is null"), "missing_compound_record")

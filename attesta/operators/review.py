@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.scalars import any_phrase, strip, term_hits
+from attesta.functions.scalars import any_phrase, canonical_json, strip, term_hits
 from attesta.operators.top import top1
 
 #: Priority of the field in which a candidate was found and of its country, fixed values; others have 0.
@@ -73,9 +73,12 @@ def job_state(events: DataFrame, job: list[str], at: list[str], state: str, runn
     return events.groupBy(*job).agg(F.max_by(state, F.struct(*at)).alias("status"), attempts.alias("attempts"), F.count(F.lit(1)).alias("n_events"))
 
 
-def exceptions(states: DataFrame, job: list[str], bad: tuple[str, ...]) -> DataFrame:
-    """The jobs (of job_state) that need someone: those whose latest state is one of ``bad``."""
-    return states.filter(F.col("status").isin(*bad)).select(*job, "status", "attempts")
+def exceptions(states: DataFrame, job: list[str], bad: tuple[str, ...], at: str | None = None, limit: int = 100) -> DataFrame:
+    """The jobs (of job_state) that need someone: those whose latest state is one of ``bad``. With ``at`` a page of the report: the ``limit`` that ended last, in that order."""
+    found = states.filter(F.col("status").isin(*bad))
+    if at is None:
+        return found.select(*job, "status", "attempts")
+    return found.select(*job, "status", "attempts", at).orderBy(F.col(at).desc_nulls_last(), *job).limit(limit)
 
 
 def due(wanted: DataFrame, states: DataFrame, job: list[str], finished: tuple[str, ...]) -> DataFrame:
@@ -93,6 +96,24 @@ def child_counts(parents: DataFrame, key: str, lists: dict[str, tuple[DataFrame,
     return counts
 
 
+def child_lists(parents: DataFrame, key: str, lists: dict[str, tuple[DataFrame, list[Column], int | None]]) -> DataFrame:
+    """(key, list, place, item): the members of each parent's lists in order, from 1 on, as JSON objects.
+
+    A list is a table with the key, the order of its rows and how many of them
+    a page shows (None: all).  Members stay rows, so that a parent with very
+    many is nobody's array; where a list is limited, Spark limits a parent's
+    rows in every partition before it shuffles them.
+    """
+    out = None
+    for name, (child, order, limit) in lists.items():
+        fields = [c for c in child.columns if c != key]
+        own = child.join(parents.select(key).distinct(), key, "left_semi").withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+        own = own if limit is None else own.filter(F.col("place") <= limit)
+        part = own.select(key, F.lit(name).alias("list"), "place", canonical_json(own, *fields).alias("item"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def evidence_chain(drugs: DataFrame, participants: DataFrame, links: DataFrame, spans: DataFrame) -> DataFrame:
     """Distinct evidence of each drug: drugs (drug, compound), participants (reaction, compound, role) of which the produced ones count, links (reaction, relationship_type, evidence_span), spans (evidence_span, ...)."""
     made = participants.filter("role = 'produced'").select("reaction", "compound").distinct()

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
+from attesta.functions import structures
 from attesta.functions.session import shared_folder
 from attesta.operators import costing, coverage, curation, graph, ingest, matching, review, top
 from attesta.plans.evidence import table
@@ -297,7 +298,8 @@ def example_issues(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'bad' ELSE 'US-D' || (doc_id % 50) || '-S1' END AS pub, doc_id % 10 AS k FROM documents)
 SELECT 'patent_document' AS table_name, count(*) AS n_rows FROM (SELECT DISTINCT pub, k = 2, k = 9 FROM d) UNION ALL SELECT 'patent_family_member', count(*) FROM (SELECT DISTINCT doc_id % 25, pub FROM d WHERE k <> 2) UNION ALL SELECT 'active_moiety', count(DISTINCT doc_id % 5) FROM d UNION ALL SELECT 'compound', count(DISTINCT doc_id % 20) FROM d
-UNION ALL SELECT 'evidence_span', count(*) FILTER (k <> 4) + count(DISTINCT CASE WHEN k = 4 THEN pub END) FROM d UNION ALL SELECT 'process_route', count(*) FROM (SELECT DISTINCT doc_id // 2, doc_id % 5, doc_id % 20 FROM d) UNION ALL SELECT 'process_step', count(*) FROM d UNION ALL SELECT 'quantity_observation', 2 * count(*) FROM d UNION ALL SELECT 'outcome_observation', count(*) FROM d UNION ALL SELECT 'scale_label', count(*) FROM d UNION ALL SELECT 'curation_decision', count(*) FROM d""")
+UNION ALL SELECT 'evidence_span', count(*) FILTER (k <> 4) + count(DISTINCT CASE WHEN k = 4 THEN pub END) FROM d UNION ALL SELECT 'process_route', count(*) FROM (SELECT DISTINCT doc_id // 2, doc_id % 5, doc_id % 20 FROM d) UNION ALL SELECT 'process_step', count(*) FROM d UNION ALL SELECT 'quantity_observation', 2 * count(*) FROM d UNION ALL SELECT 'outcome_observation', count(*) FROM d UNION ALL SELECT 'scale_label', count(*) FROM d UNION ALL SELECT 'curation_decision', count(*) FROM d
+UNION ALL SELECT 'dataset_version', 1 UNION ALL SELECT 'source_release', count(DISTINCT 'src') FROM d UNION ALL SELECT 'artifact', count(DISTINCT k = 3) FROM d UNION ALL SELECT 'patent_family', count(DISTINCT doc_id % 25) FROM d WHERE k <> 2 UNION ALL SELECT 'dataset_example', count(DISTINCT doc_id) FROM d""")
 def curation_tables(spark, sf_dir):
     """Rows of each table that the examples of all documents make."""
     return coverage.table_counts(curation.tables(curated(spark, sf_dir)))
@@ -348,6 +350,19 @@ def training_assignments(spark, sf_dir):
     return curation.assign_splits(ok, "example_id", ["family_id", "active_moiety_id"], "data-v1")
 
 
+@query(_EXPORT + """, g AS (SELECT o_orderkey, CASE WHEN bool_or(o_orderkey % 8 = 0) OVER (PARTITION BY o_orderkey // 8) THEN 'm' || (o_orderkey // 32) ELSE 'f' || (o_orderkey // 8) END AS g FROM e WHERE reason IS NULL),
+n AS (SELECT count(*) AS m, 'component:' || substr(sha256(string_agg('reviewed:' || o_orderkey, '|' ORDER BY 'reviewed:' || o_orderkey)), 1, 24) AS leakage_group FROM g GROUP BY g), v AS (SELECT m, ('0x' || substr(sha256('data-v1|' || leakage_group), 1, 13))::BIGINT / 4503599627370496.0 AS v FROM n)
+SELECT 'candidate_steps' AS part, '' AS name, count(*) AS n FROM e UNION ALL SELECT 'eligible_examples', '', count(*) FILTER (reason IS NULL) FROM e UNION ALL SELECT 'excluded', reason, count(*) FROM e WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'split', CASE WHEN v < 0.8 THEN 'train' WHEN v < 0.9 THEN 'validation' ELSE 'test' END, sum(m)::BIGINT FROM v GROUP BY 2""")
+def training_report(spark, sf_dir):
+    """The report of an export: candidates, eligible ones, reasons and splits."""
+    steps = exported(spark, sf_dir).select("reason", name("reviewed:", "o_orderkey").alias("example_id"), "family_id", "active_moiety_id")
+    report = curation.export_report(steps, curation.assign_splits(steps.filter("reason is null"), "example_id", ["family_id", "active_moiety_id"], "data-v1"))
+    both = F.array(*[F.struct(F.lit(p).alias("part"), F.lit("").alias("name"), F.col(p).alias("n")) for p in ("candidate_steps", "eligible_examples")])
+    entries = lambda col, p: F.transform(F.map_entries(col), lambda x: F.struct(F.lit(p).alias("part"), x["key"].alias("name"), x["value"].alias("n")))
+    return report.select(F.explode(F.concat(both, entries("excluded", "excluded"), entries("split_counts", "split"))).alias("r")).select("r.*")
+
+
 @query("SELECT doc_id, '{\"a\":{\"x\":null,\"y\":' || doc_id || '},\"b\":[{\"k\":\"' || lang || '\",\"z\":1}],\"c\":null}' AS payload FROM documents")
 def canonical_payload(spark, sf_dir):
     """Records as JSON with keys in order on every level."""
@@ -528,6 +543,37 @@ def drug_children(spark, sf_dir):
     return review.child_counts(table(spark, sf_dir, "customer"), "c_custkey", lists)
 
 
+@query("""WITH o AS (SELECT o_custkey AS c_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey) AS place FROM orders), l AS (SELECT o_custkey AS c_custkey, l_partkey, l_linenumber, l_returnflag, l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY l_returnflag, l_orderkey, l_linenumber, l_partkey) AS place FROM l)
+SELECT c_custkey, 'patents' AS list, place::INT AS place, '{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}' AS item FROM o JOIN customer USING (c_custkey) WHERE place <= 10 UNION ALL SELECT c_custkey, 'products', place::INT, '{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '"}' FROM p JOIN customer USING (c_custkey) WHERE place <= 50
+UNION ALL SELECT c_custkey, 'aliases', row_number() OVER (PARTITION BY c_custkey ORDER BY k, alias)::INT, '{"alias":"' || alias || '","alias_type":"' || k || '"}' FROM (SELECT c_custkey, c_name AS alias, 'preferred_name' AS k FROM customer UNION ALL SELECT c_custkey, c_mktsegment, 'synonym' FROM customer) UNION ALL SELECT c_custkey, 'identifiers', 1, '{"c_nationkey":' || c_nationkey || '}' FROM customer
+UNION ALL SELECT c_custkey, 'compounds', row_number() OVER (PARTITION BY c_custkey ORDER BY l_partkey)::INT, '{"l_partkey":' || l_partkey || '}' FROM (SELECT DISTINCT c_custkey, l_partkey FROM l JOIN customer USING (c_custkey)) UNION ALL SELECT o_custkey, 'evidence', row_number() OVER (PARTITION BY o_custkey ORDER BY doc_id)::INT, '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' FROM orders JOIN documents ON doc_id = o_orderkey JOIN customer ON c_custkey = o_custkey""")
+def drug_lists(spark, sf_dir):
+    """The six lists of every entity's page, each in its own order, two of them limited."""
+    c = F.col
+    parents, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    o = orders.select("c_custkey", "o_orderkey", "o_orderpriority")
+    line = table(spark, sf_dir, "lineitem").select(c("l_orderkey"), "l_partkey", "l_linenumber", "l_returnflag").join(o.select("c_custkey", c("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(o.select("c_custkey", c("o_orderkey").alias("doc_id")), "doc_id")
+    kinds = parents.select("c_custkey", c("c_name").alias("alias"), F.lit("preferred_name").alias("alias_type")).unionByName(parents.select("c_custkey", c("c_mktsegment").alias("alias"), F.lit("synonym").alias("alias_type")))
+    lists = {
+        "patents": (o, [c("o_orderpriority").desc(), c("o_orderkey").asc()], 10), "products": (line, [c("l_returnflag").asc(), c("l_orderkey").asc(), c("l_linenumber").asc(), c("l_partkey").asc()], 50), "aliases": (kinds, [c("alias_type").asc(), c("alias").asc()], None),
+        "identifiers": (parents.select("c_custkey", "c_nationkey"), [c("c_nationkey").asc()], None), "compounds": (line.select("c_custkey", "l_partkey").distinct(), [c("l_partkey").asc()], None), "evidence": (docs, [c("doc_id").asc()], None),
+    }
+    return review.child_lists(parents, "c_custkey", lists)
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(regexp_extract_all(f, '[A-Z][a-z]?[0-9]*')) AS t FROM (SELECT p_partkey, 'C' || p_size || 'H' || (p_size * 2 + 2) || CASE WHEN p_partkey % 3 = 0 THEN 'Cl' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN 'O2' ELSE 'OH' END AS f FROM part WHERE p_partkey % 7 > 0)),
+s AS (SELECT p_partkey, regexp_extract(t, '^([A-Z][a-z]?)', 1) AS symbol, coalesce(nullif(regexp_extract(t, '([0-9]+)$', 1), ''), '1')::BIGINT AS n FROM t)
+SELECT p_partkey, CASE symbol WHEN 'H' THEN 1 WHEN 'C' THEN 6 WHEN 'O' THEN 8 ELSE 17 END AS element_id, symbol, sum(n)::BIGINT AS atom_count FROM s GROUP BY 1, 3 UNION ALL SELECT p_partkey, unnest([6, 7, 1]), unnest(['C', 'N', 'H']), unnest([4, 1, 1]) FROM part WHERE p_partkey % 7 = 0""")
+def compound_elements(spark, sf_dir):
+    """Atom counts of made-up formulas of all parts; every seventh has none that can be read, but the SMILES of pyrrole."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    formula = F.concat(F.lit("C"), size, F.lit("H"), (F.col("p_size") * 2 + 2).cast("string"), F.when(k % 3 == 0, "Cl").otherwise(""), F.when(k % 2 == 0, "O2").otherwise("OH"), F.when(k % 5 == 0, "+").otherwise(""))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 7 > 0, formula).otherwise("(C4)").alias("f"), F.lit("c1cc[nH]c1").alias("s"))
+    return structures.compound_elements(p, "p_partkey", "f", "s")
+
+
 _KINDS = """SELECT 'region:' || r_regionkey AS node_id, 'region' AS node_type, r_name AS label FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name FROM customer
 UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderpriority FROM orders UNION ALL SELECT 'part:' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 'document:' || doc_id, 'document', source FROM documents"""
 _LINKS = """SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'within' AS edge_type FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'based_in' FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'resident_in' FROM customer
