@@ -113,15 +113,16 @@ def quality_checks(spark, sf_dir):
 
 
 _MATCH = """
-WITH seed AS (SELECT p_partkey AS seed_id, nullif(p_name, '') AS k, p_brand || ':' || p_size AS c FROM part WHERE p_size <= 3),
-m AS (SELECT seed_id, p_partkey AS source_id, CASE WHEN k = nullif(p_name, '') THEN 'exact_structure' ELSE 'same_connectivity' END AS match_type
-      FROM seed JOIN part ON k = nullif(p_name, '') OR c = p_brand || ':' || p_size)
+WITH p AS (SELECT p_partkey, p_brand || ':' || p_size || ':' || p_type AS c, p_brand || ':' || p_size || ':' || p_type || '-' || nullif(p_name, '') AS k FROM part),
+m AS (SELECT a.p_partkey AS seed_id, b.p_partkey AS source_id, CASE WHEN a.k = b.k THEN 'exact_structure' ELSE 'same_connectivity' END AS match_type FROM p a JOIN p b ON a.k = b.k OR a.c = b.c)
 """
 
 
 def matched(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_name"), F.lit("")).alias("k"), F.concat_ws(":", "p_brand", F.col("p_size").cast("string")).alias("c"), "p_size")
-    pairs = matching.match_either(part.filter("p_size <= 3").select(F.col("p_partkey").alias("seed_id"), "k", "c"), part.select("p_partkey", "k", "c"), "k", "c")
+    """Every part against every other by the whole key, or by what the key begins with."""
+    start = F.concat(F.col("p_brand"), F.lit(":"), F.col("p_size").cast("string"), F.lit(":"), F.col("p_type"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(start, F.lit("-"), F.nullif(F.col("p_name"), F.lit(""))).alias("k"), start.alias("c"))
+    pairs = matching.match_either(part.select(F.col("p_partkey").alias("seed_id"), "k", "c"), part, "k", "c")
     return pairs.select("seed_id", F.col("s_p_partkey").alias("source_id"), "match_type", "confidence")
 
 
@@ -132,7 +133,7 @@ def candidate_match_or_join(spark, sf_dir):
     return candidate_match_all_seeds(spark, sf_dir)
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size, nullif(p_name, '') AS k, p_brand || ':' || p_size AS c FROM part), seed AS (SELECT p_partkey AS seed_id, k, c FROM p WHERE p_size <= 3),
+@query("""WITH p AS (SELECT p_partkey, p_brand || ':' || p_size || ':' || p_type AS c, p_brand || ':' || p_size || ':' || p_type || '-' || nullif(p_name, '') AS k FROM part), seed AS (SELECT p_partkey AS seed_id, k, c FROM p),
 m AS (SELECT seed_id, p_partkey AS source_id, 'exact_structure' AS match_type, 0.98::DOUBLE AS confidence FROM seed JOIN p ON seed.k = p.k
       UNION ALL SELECT seed_id, p_partkey, 'same_connectivity', 0.85::DOUBLE FROM seed JOIN p ON seed.c = p.c WHERE coalesce(seed.k <> p.k, true))
 SELECT seed_id, source_id, match_type, confidence, l_orderkey AS publication, o_orderdate AS publication_date

@@ -334,10 +334,12 @@ def pilot_queue(spark, sf_dir):
     return review.pilot_queue(c, "entity", "family", order).select("entity", "family", "publication", "title_match", "negative_hits")
 
 
-@query("WITH b AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= 10), a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 10 AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT 100 - count(*) FROM b)) SELECT * FROM b UNION ALL SELECT * FROM a")
+@query("WITH b AS (SELECT min_by(o_orderkey, struct_pack(p := o_totalprice, k := o_orderkey)) AS o_orderkey, min(o_totalprice) AS o_totalprice FROM orders GROUP BY o_orderpriority), a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b) AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT 100 - count(*) FROM b)) SELECT * FROM b UNION ALL SELECT * FROM a")
 def review_batch(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return review.batch(o.filter("o_orderkey <= 10").drop("o_orderstatus"), o.filter("o_orderstatus = 'F'").drop("o_orderstatus"), 100, "o_orderkey", [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()])
+    """A batch of 100: the cheapest order of each priority is fixed, and the dearest finished ones fill it."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    fixed = o.groupBy("o_orderpriority").agg(F.min(F.struct("o_totalprice", "o_orderkey")).alias("r")).select("r.o_orderkey", "r.o_totalprice")
+    return review.batch(fixed, o.filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), 100, "o_orderkey", [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()])
 
 
 @query("SELECT conv_id, turn, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start, (coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text))::BIGINT AS char_end FROM conversations")
