@@ -73,8 +73,9 @@ def publication_dashed(text: Column) -> Column:
     t = F.regexp_replace(F.upper(clean(text)), r"[\s/-]+", "-")
     whole, joined = "^([A-Z]{2})-([A-Z0-9]+)-([A-Z][0-9]?)$", "^([A-Z]{2})([A-Z0-9]+?)([A-Z][0-9])$"
     close = F.replace(t, F.lit("-"), F.lit(""))
-    parts = lambda c, pattern: F.concat_ws("-", *[F.regexp_extract(c, pattern, i) for i in (1, 2, 3)])
-    return F.when(t.rlike(whole), parts(t, whole)).when(close.rlike(joined), parts(close, joined))
+    # what matches is rewritten whole, what does not stays as it is
+    dashed = F.regexp_replace(close, joined, "$1-$2-$3")
+    return F.when(t.rlike(whole), t).when(dashed.contains("-"), dashed)
 
 
 def publication_compact(text: Column) -> Column:

@@ -20,8 +20,11 @@ labels struct<scale_band: string, development_stage: string, development_stage_b
 linkage struct<match_type: string, confidence: double>,
 review struct<status: string, reviewer_id: string, reviewed_at: string, rationale: string>"""
 #: Values that a field may have, fixed values.
-REVIEW = ("unreviewed", "needs_review", "accepted", "rejected")
-EVIDENCE = ("performed", "historical", "prophetic", "claimed", "unknown")
+REVIEW = ("accepted", "rejected", "needs_review")
+EVIDENCE = ("performed", "historical", "prophetic", "generic", "ambiguous")
+STAGES = ("discovery", "preclinical", "phase_1", "phase_2", "phase_3", "approved", "post_approval", "unknown")
+LINKS = ("exact_structure", "same_connectivity", "active_moiety", "regulatory_patent", "family_only", "name_only", "analogue")
+WEAK_LINKS = ("name_only", "family_only", "analogue")
 BANDS = ("unknown", *[name for _, name in S.BANDS])
 #: A site that is not to be read by machine, a fixed value.
 CLOSED_SITE = "wipo_patentscope_public"
@@ -33,42 +36,63 @@ def largest_basis(quantities: Column) -> Column:
     return F.array_max(F.filter(usable, lambda x: x["r"].isNotNull() & x["g"].isNotNull())).getField("g")
 
 
+def _iso(text: Column) -> Column:
+    """Whether a text is a date, with or without a time in UTC; null is none."""
+    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}(T.*Z)?$") & F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull() & (~text.contains("T") | F.try_to_timestamp(text).isNotNull()), F.lit(False))
+
+
 def validation_issues(examples: DataFrame, sources: DataFrame) -> DataFrame:
-    """(example_id, code, path) of everything that is wrong with an example; ``sources`` (source_id) is the registry."""
+    """(example_id, code, path, severity) of everything that is wrong with an example; ``sources`` (source_id) is the registry. Quantities are told by their number, from 0."""
     c = F.col
-    rules: list[tuple[str, str, Column]] = []
-    for path in ("schema_version", "example_id", "patent.publication_number", "patent.title", "compound.compound_id", "compound.preferred_name", "route.route_id", "route.step_id", "evidence.text", "evidence.span_sha256", "evidence.source_id"):
-        rules.append(("required", path, S.clean(c(path)).isNull()))
-    rules.append(("required_boolean", "is_synthetic", c("is_synthetic").isNull()))
-    some = lambda path, bad: c(path).isNotNull() & bad
+    blank = lambda x: S.clean(x).isNull()
+    outside = lambda x, low, high: F.coalesce(~x.between(low, high), F.lit(False))
+    one_of = lambda x, values: F.coalesce(x.isin(*values), F.lit(False))
+    is_hash = lambda x: F.coalesce(x.rlike("^[A-Fa-f0-9]{64}$"), F.lit(False))
+    some = lambda x, bad: x.isNotNull() & (x != "") & bad
+    required = ("schema_version", "example_id", "patent.family_id", "compound.compound_id", "compound.active_moiety_id", "route.route_id", "route.step_id", "evidence.source_id", "evidence.paragraph_id", "evidence.text", "evidence.extraction_method", "evidence.license", "evidence.redistribution_class", "review.reviewer_id")
+    rules = [("required", path, blank(c(path))) for path in required]
+    band, stage, basis = c("labels.scale_band"), c("labels.development_stage"), c("labels.development_stage_basis")
     rules += [
-        ("patent_number", "patent.publication_number", some("patent.publication_number", S.publication_dashed(c("patent.publication_number")).isNull())),
-        ("date", "patent.publication_date", some("patent.publication_date", ~F.coalesce(S.is_iso_date(c("patent.publication_date")), F.lit(False)))),
-        ("inchi_key", "compound.inchi_key", some("compound.inchi_key", ~c("compound.inchi_key").rlike(S.KEY_PATTERN))),
-        ("connectivity_key", "compound.connectivity_key", some("compound.connectivity_key", ~c("compound.connectivity_key").rlike(S.CONNECTIVITY_PATTERN))),
-        ("unknown_source", "evidence.source_id", some("evidence.source_id", ~c("__known"))),
-        ("sha256", "evidence.source_artifact_sha256", ~F.coalesce(c("evidence.source_artifact_sha256").rlike(S.HASH_PATTERN), F.lit(False))),
-        ("span_hash_mismatch", "evidence.span_sha256", c("evidence.span_sha256") != F.sha2("evidence.text", 256)),
-        ("offset", "evidence.char_start", ~F.coalesce((c("evidence.char_start") >= 0) & (c("evidence.char_end") >= c("evidence.char_start")), F.lit(False))),
-        ("evidence_status", "evidence.status", ~F.coalesce(c("evidence.status").isin(*EVIDENCE), F.lit(False))),
+        ("required_boolean", "is_synthetic", c("is_synthetic").isNull()),
+        ("patent_number", "patent.publication_number", S.publication_dashed(c("patent.publication_number")).isNull()),
+        ("date", "patent.publication_date", some(c("patent.publication_date"), ~_iso(c("patent.publication_date")))),
+        ("inchi_key", "compound.inchi_key", some(c("compound.inchi_key"), ~c("compound.inchi_key").rlike(S.KEY_PATTERN))),
+        ("connectivity_key", "compound.connectivity_key", some(c("compound.connectivity_key"), ~c("compound.connectivity_key").rlike(S.CONNECTIVITY_PATTERN))),
+        ("unknown_source", "evidence.source_id", ~c("__known")),
+        ("sha256", "evidence.source_artifact_sha256", ~is_hash(c("evidence.source_artifact_sha256"))),
+        ("sha256", "evidence.span_sha256", ~is_hash(c("evidence.span_sha256"))),
+        ("span_hash_mismatch", "evidence.span_sha256", is_hash(c("evidence.span_sha256")) & (c("evidence.span_sha256") != F.sha2("evidence.text", 256))),
+        ("offset", "evidence.char_start", ~F.coalesce(c("evidence.char_start") >= 0, F.lit(False))),
+        ("offset", "evidence.char_end", c("evidence.char_end").isNull() | F.coalesce(c("evidence.char_end") < c("evidence.char_start"), F.lit(False))),
+        ("evidence_status", "evidence.status", ~one_of(c("evidence.status"), EVIDENCE)),
+        ("date", "evidence.retrieved_at", ~_iso(c("evidence.retrieved_at"))),
         ("quantities", "quantities", c("quantities").isNull()),
-        ("quantity_value", "quantities", F.exists("quantities", lambda q: F.coalesce(q["value"] < 0, F.lit(True)))),
-        ("confidence", "quantities", F.exists("quantities", lambda q: ~F.coalesce(q["confidence"].between(0, 1), F.lit(False)))),
-        ("confidence", "labels.confidence", ~F.coalesce(c("labels.confidence").between(0, 1), F.lit(False))),
+        ("scale_band", "labels.scale_band", ~one_of(band, BANDS)),
+        ("scale_mismatch", "labels.scale_band", one_of(band, BANDS) & (band != F.coalesce(S.scale_band(largest_basis(c("quantities"))), F.lit("unknown")))),
+        ("development_stage", "labels.development_stage", ~one_of(stage, STAGES)),
+        ("stage_basis", "labels.development_stage_basis", (F.coalesce(stage, F.lit("")) != "unknown") & (F.coalesce(basis, F.lit("")) == "")),
+        ("stage_from_scale", "labels.development_stage_basis", basis == "scale"),
+        ("yield", "outcome.yield_percent", outside(c("outcome.yield_percent"), 0, 105)),
+        ("purity", "outcome.purity_percent", outside(c("outcome.purity_percent"), 0, 100)),
+        ("link_type", "linkage.match_type", ~one_of(c("linkage.match_type"), LINKS)),
         ("confidence", "linkage.confidence", ~F.coalesce(c("linkage.confidence").between(0, 1), F.lit(False))),
-        ("scale_band", "labels.scale_band", ~F.coalesce(c("labels.scale_band").isin(*BANDS), F.lit(False))),
-        ("scale_mismatch", "labels.scale_band", c("labels.scale_band") != S.scale_band(largest_basis(c("quantities")))),
-        ("stage_basis", "labels.development_stage_basis", (c("labels.development_stage") != "unknown") & S.clean(c("labels.development_stage_basis")).isNull()),
-        ("stage_from_scale", "labels.development_stage_basis", F.lower("labels.development_stage_basis").contains("scale")),
-        ("yield", "outcome.yield_percent", some("outcome.yield_percent", ~c("outcome.yield_percent").between(0, 105))),
-        ("purity", "outcome.purity_percent", some("outcome.purity_percent", ~c("outcome.purity_percent").between(0, 100))),
-        ("review_status", "review.status", ~F.coalesce(c("review.status").isin(*REVIEW), F.lit(False))),
-        ("training_evidence_status", "evidence.status", ~c("is_synthetic") & (c("review.status") == "accepted") & ~c("evidence.status").isin("performed", "historical")),
+        ("review_status", "review.status", ~one_of(c("review.status"), REVIEW)),
+        ("date", "review.reviewed_at", ~_iso(c("review.reviewed_at"))),
+        ("training_evidence_status", "evidence.status", ~F.coalesce(c("is_synthetic"), F.lit(False)) & (c("review.status") == "accepted") & ~one_of(c("evidence.status"), ("performed", "historical"))),
     ]
+    weak = ("weak_identity", "linkage.match_type", one_of(c("linkage.match_type"), WEAK_LINKS) & (c("review.status") == "accepted"))
+    told = lambda code, path, severity="error": F.struct(F.lit(code).alias("code"), path.alias("path"), F.lit(severity).alias("severity"))
+
+    def of_quantity(q: Column, i: Column) -> Column:
+        at = lambda field: F.concat(F.lit("quantities["), i.cast("string"), F.lit(f"].{field}"))
+        bad = [("required", "kind", blank(q["kind"])), ("required", "unit", blank(q["unit"])), ("quantity_value", "value", F.coalesce(F.isnan(q["value"]) | (q["value"] < 0), F.lit(True))), ("confidence", "confidence", outside(q["confidence"], 0, 1))]
+        return F.array_compact(F.array(*[F.when(wrong, told(code, at(field))) for code, field, wrong in bad]))
+
     known = sources.select(F.col("source_id").alias("__id"), F.lit(True).alias("__k")).distinct()
     with_known = examples.join(known, F.col("evidence.source_id") == F.col("__id"), "left").withColumn("__known", F.coalesce("__k", F.lit(False)))
-    found = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))) for code, path, bad in rules]))
-    return with_known.select("example_id", F.explode(found).alias("i")).select("example_id", "i.*")
+    fixed = F.array_compact(F.array(*[F.when(bad, told(code, F.lit(path))) for code, path, bad in rules], F.when(weak[2], told(weak[0], F.lit(weak[1]), "warning"))))
+    each = F.flatten(F.transform(F.coalesce("quantities", F.array().cast(examples.schema["quantities"].dataType)), of_quantity))
+    return with_known.select("example_id", F.explode(F.concat(fixed, each)).alias("i")).select("example_id", "i.*")
 
 
 def duplicate_ids(examples: DataFrame) -> DataFrame:
@@ -112,7 +136,7 @@ def tables(examples: DataFrame, version: str = "working", policy: str = "1.0.0",
     e, c = examples, F.col
     release = F.concat("evidence.source_id", F.lit(":fixture-release"))
     first = lambda d, key, **cols: d.groupBy(key).agg(F.min_by(F.struct(*[v.alias(n) for n, v in cols.items()]), "example_id").alias("r")).select(key, "r.*")
-    released = e.withColumns({"release_id": release, "artifact_id": F.concat(release, F.lit(":"), F.substring("evidence.source_artifact_sha256", 1, 16)), "family_id": c("patent.family_id")})
+    released = e.withColumns({"release_id": release, "artifact_id": F.concat(release, F.lit(":"), F.substring("evidence.source_artifact_sha256", 1, 16)), "family_id": S.clean(c("patent.family_id"))})
     span = S.stable_id("span", c("patent.publication_number"), c("evidence.char_start"), c("evidence.char_end"), c("evidence.span_sha256"))
     q = e.select(c("route.step_id").alias("step_id"), F.posexplode("quantities").alias("at", "q"))
     return {
@@ -122,7 +146,7 @@ def tables(examples: DataFrame, version: str = "working", policy: str = "1.0.0",
         "patent_family": first(released.filter("family_id is not null"), "family_id", source_id=c("evidence.source_id"), confidence=c("linkage.confidence")),
         "dataset_example": e.groupBy("example_id").agg(F.max_by(F.struct(c("route.step_id").alias("step_id"), c("patent.family_id").alias("family_id"), c("compound.active_moiety_id").alias("active_moiety_id"), c("labels.scale_band").alias("scale_band"), c("is_synthetic").alias("is_synthetic"), S.canonical_json(e, *e.columns).alias("payload_json")), c("route.step_id")).alias("r")).select(F.lit(version).alias("dataset_version_id"), "example_id", "r.*"),
         "patent_document": e.select(c("patent.publication_number").alias("publication_number"), F.substring("patent.publication_number", 1, 2).alias("country_code"), c("patent.publication_date").alias("publication_date"), c("patent.title").alias("title"), c("evidence.source_id").alias("source_id")).distinct(),
-        "patent_family_member": e.filter(c("patent.family_id").isNotNull()).select(c("patent.family_id").alias("family_id"), c("patent.publication_number").alias("publication_number"), F.lit("member").alias("relationship")).distinct(),
+        "patent_family_member": e.filter(S.clean(c("patent.family_id")).isNotNull()).select(c("patent.family_id").alias("family_id"), c("patent.publication_number").alias("publication_number"), F.lit("member").alias("relationship")).distinct(),
         "active_moiety": e.filter(c("compound.active_moiety_id").isNotNull()).groupBy(c("compound.active_moiety_id").alias("active_moiety_id")).agg(F.min("compound.active_moiety_name").alias("preferred_name")),
         "compound": e.groupBy(c("compound.compound_id").alias("compound_id")).agg(F.min(F.struct("compound.preferred_name", "compound.active_moiety_id", "compound.material_form")).alias("r")).select("compound_id", "r.*"),
         "evidence_span": e.select(span.alias("evidence_span_id"), c("patent.publication_number").alias("publication_number"), c("evidence.char_start").alias("char_start"), c("evidence.char_end").alias("char_end"), c("evidence.text").alias("evidence_text"), c("evidence.span_sha256").alias("text_sha256"), c("evidence.status").alias("evidence_status"), c("review.status").alias("review_status")).dropDuplicates(["evidence_span_id"]),

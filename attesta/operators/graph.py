@@ -63,14 +63,21 @@ def traverse(edge: DataFrame, node: DataFrame, start: DataFrame, depth: int) ->
     """Edges met on a walk from the start nodes in both directions: (source_id, target_id, edge_type, traversed_from, level) with the labels of both ends.
 
     A node is expanded once, at the fewest steps from a start; an edge between
-    two expanded nodes is met from each of them.
+    two expanded nodes is met from each of them.  Edges are written out once, so
+    that no level reads their tables again; labels are looked up for nodes that
+    are met.
     """
+    shared_folder(edge.sparkSession)
+    edge = edge.checkpoint()
     both = edge.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("next")).unionByName(edge.select(F.col("target_id").alias("node_id"), F.col("source_id").alias("next")))
     reached = backtrack(both.select(F.col("next").alias("source_id"), F.col("node_id").alias("target_id")), start, depth - 1)
     at = reached.select(F.col("node_id").alias("traversed_from"), (F.col("level") + 1).alias("level"))
     met = edge.join(at, edge["source_id"] == at["traversed_from"]).unionByName(edge.join(at, (edge["target_id"] == at["traversed_from"]) & (edge["source_id"] != edge["target_id"])))
+    met = met.checkpoint()
+    ends = met.select(F.col("source_id").alias("node_id")).unionByName(met.select(F.col("target_id").alias("node_id"))).distinct()
+    named = node.join(ends, "node_id", "left_semi").select("node_id", "label").checkpoint()
     for end in ("source", "target"):
-        met = met.join(node.select(F.col("node_id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label")), f"{end}_id", "left")
+        met = met.join(named.select(F.col("node_id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label")), f"{end}_id", "left")
     return met.select("source_id", "target_id", "edge_type", "traversed_from", "level", "source_label", "target_label")
 
 

@@ -86,6 +86,34 @@ def due(wanted: DataFrame, states: DataFrame, job: list[str], finished: tuple[st
     return wanted.select(*job).distinct().join(states.filter(F.col("status").isin(*finished)), job, "left_anti")
 
 
+def extraction_jobs(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """The log of extraction requests after their responses: what came back, whether it may be reviewed, and why not.
+
+    requests (extraction_job_id, provider, model, prompt, source_text,
+    source_url, created_at), responses (extraction_job_id, content, error,
+    usage, completed_at): the last of a job counts.  A job without a response is
+    queued.  A response needs review if it is an object with lists of compounds
+    and reactions and every quotation of a reaction stands in the source, word
+    for word; else the job has failed, with an error.  Nothing is accepted by it.
+    """
+    c, digest = F.col, lambda x: F.sha2(x, 256)
+    last = responses.groupBy("extraction_job_id").agg(F.max_by(F.struct("content", "error", "usage", "completed_at"), "completed_at").alias("r")).select("extraction_job_id", "r.*")
+    listed = lambda name: F.get_json_object("content", f"$.{name}").startswith("[")
+    quotes = F.from_json(F.get_json_object("content", "$.reactions"), "array<struct<evidence_quote: string>>")
+    absent = F.exists(quotes, lambda q: (F.coalesce(q["evidence_quote"], F.lit("")) != "") & ~c("source_text").contains(q["evidence_quote"]))
+    why = F.coalesce(
+        c("error"),
+        F.when(~F.coalesce(listed("compounds") & listed("reactions"), F.lit(False)), "provider output does not match the extraction schema"),
+        F.when(F.coalesce(absent, F.lit(False)), "provider returned an evidence quote absent from the source text"),
+    )
+    joined = requests.join(last.withColumn("__there", F.lit(True)), "extraction_job_id", "left").withColumn("error", F.when(c("__there"), why))
+    fine = c("__there") & c("error").isNull()
+    return joined.select(
+        "extraction_job_id", "provider", "model", digest(c("prompt")).alias("prompt_sha256"), digest(c("source_text")).alias("input_sha256"), F.when(fine, digest(c("content"))).alias("response_sha256"), "source_url",
+        F.when(c("__there").isNull(), "queued").when(fine, "needs_review").otherwise("failed").alias("status"), F.when(fine, "needs_review").otherwise("unreviewed").alias("review_status"), "error", F.when(fine, c("usage")).alias("token_cost_json"), "created_at", "completed_at",
+    )
+
+
 def child_counts(parents: DataFrame, key: str, lists: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(key, list, n): of each parent and list (table with the key, column) its different values; 0 where it has none."""
     counts = None

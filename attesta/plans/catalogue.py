@@ -278,22 +278,25 @@ def curated(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
     return d.select(
         F.lit("1.0.0").alias("schema_version"), name("e", "doc_id").alias("example_id"), F.lit(False).alias("is_synthetic"),
-        n(("publication_number", F.when(k == 1, "bad").otherwise(F.concat(F.lit("US-D"), (c("doc_id") % 50).cast("string"), F.lit("-S1")))), ("family_id", F.when(k != 2, name("f", c("doc_id") % 25))), ("publication_date", F.when(k == 2, "2024-13-01").otherwise("2024-02-29")), ("title", F.when(k == 9, " ").otherwise("title"))).alias("patent"),
+        n(("publication_number", F.when(k == 1, "bad").otherwise(F.concat(F.lit("US-D"), (c("doc_id") % 50).cast("string"), F.lit("-S1")))), ("family_id", F.when(k != 2, name("f", c("doc_id") % 25)).otherwise(" ")), ("publication_date", F.when(k == 2, "2024-13-01").otherwise("2024-02-29")), ("title", F.lit("title"))).alias("patent"),
         n(("compound_id", name("c", c("doc_id") % 20)), ("preferred_name", F.lit("name")), ("active_moiety_id", name("m", c("doc_id") % 5)), ("active_moiety_name", F.lit("moiety")), ("material_form", F.lit("active_moiety")), ("inchi_key", none), ("connectivity_key", none)).alias("compound"),
         n(("route_id", name("r", F.floor(c("doc_id") / 2))), ("step_id", name("s", "doc_id")), ("step_order", F.lit(1).cast("bigint")), ("transformation_key", F.lit("t")), ("operation_summary", F.lit("o"))).alias("route"),
-        n(("source_id", F.lit("src")), ("source_artifact_sha256", F.when(k == 3, "xyz").otherwise(F.sha2(F.lit("a"), 256))), ("paragraph_id", F.lit("p")), ("section_type", F.lit("s")), ("char_start", F.lit(5).cast("bigint")), ("char_end", F.when(k == 5, 4).otherwise(9).cast("bigint")), ("text", span), ("span_sha256", F.sha2(F.when(k == 4, "other").otherwise(span), 256)), ("status", F.when(k == 6, "rumoured").otherwise("performed")), ("extraction_method", F.lit("m")), ("extractor_version", F.lit("1")), ("retrieved_at", F.lit("2024")), ("license", F.lit("l")), ("redistribution_class", F.lit("r"))).alias("evidence"),
-        F.array(n(("kind", F.lit("product_mass")), ("value", F.lit(5.0)), ("unit", F.lit("g")), ("confidence", one)), n(("kind", F.lit("input_mass")), ("value", F.lit(7.0)), ("unit", F.lit("kg")), ("confidence", one))).alias("quantities"),
+        n(("source_id", F.lit("src")), ("source_artifact_sha256", F.when(k == 3, "xyz").otherwise(F.sha2(F.lit("a"), 256))), ("paragraph_id", F.when(k == 9, "\t").otherwise("p")), ("section_type", F.lit("s")), ("char_start", F.lit(5).cast("bigint")), ("char_end", F.when(k == 5, 4).otherwise(9).cast("bigint")), ("text", span), ("span_sha256", F.sha2(F.when(k == 4, "other").otherwise(span), 256)), ("status", F.when(k == 6, "rumoured").otherwise("performed")), ("extraction_method", F.lit("m")), ("extractor_version", F.lit("1")), ("retrieved_at", F.when(c("doc_id") % 7 == 0, "2024").otherwise("2024-02-29T10:00:00Z")), ("license", F.lit("l")), ("redistribution_class", F.lit("r"))).alias("evidence"),
+        F.array(n(("kind", F.when(c("doc_id") % 11 == 0, " ").otherwise("product_mass")), ("value", F.lit(5.0)), ("unit", F.lit("g")), ("confidence", one)), n(("kind", F.lit("input_mass")), ("value", F.lit(7.0)), ("unit", F.lit("kg")), ("confidence", one))).alias("quantities"),
         n(("yield_percent", F.when(k == 8, 120.0).otherwise(80.0)), ("purity_percent", F.lit(99.0)), ("outcome_type", F.lit("reported")), ("confidence", one)).alias("outcome"),
         n(("scale_band", F.when(k == 7, "kilo_lab").otherwise("laboratory")), ("development_stage", F.lit("unknown")), ("development_stage_basis", none), ("confidence", one)).alias("labels"),
         n(("match_type", F.lit("exact_structure")), ("confidence", one)).alias("linkage"),
-        n(("status", F.lit("needs_review")), ("reviewer_id", F.lit("x")), ("reviewed_at", F.lit("2024")), ("rationale", F.lit("y"))).alias("review"),
+        n(("status", F.lit("needs_review")), ("reviewer_id", F.lit("x")), ("reviewed_at", F.lit("2024-03-01")), ("rationale", F.lit("y"))).alias("review"),
     )
 
 
-@query("SELECT code, path, count(*) AS n, min('e' || doc_id) AS first_example FROM (SELECT doc_id, ['patent_number', 'date', 'sha256', 'span_hash_mismatch', 'offset', 'evidence_status', 'scale_mismatch', 'yield', 'required'][doc_id % 10] AS code, ['patent.publication_number', 'patent.publication_date', 'evidence.source_artifact_sha256', 'evidence.span_sha256', 'evidence.char_start', 'evidence.status', 'labels.scale_band', 'outcome.yield_percent', 'patent.title'][doc_id % 10] AS path FROM documents WHERE doc_id % 10 <> 0) GROUP BY ALL")
+@query("""WITH d AS (SELECT doc_id, doc_id % 10 AS k FROM documents)
+SELECT code, path, severity, count(*) AS n, min('e' || doc_id) AS first_example FROM (SELECT doc_id, 'error' AS severity, ['patent_number', 'date', 'sha256', 'span_hash_mismatch', 'offset', 'evidence_status', NULL, 'yield', 'required'][k] AS code, ['patent.publication_number', 'patent.publication_date', 'evidence.source_artifact_sha256', 'evidence.span_sha256', 'evidence.char_end', 'evidence.status', NULL, 'outcome.yield_percent', 'evidence.paragraph_id'][k] AS path FROM d WHERE k NOT IN (0, 7)
+UNION ALL SELECT doc_id, 'error', 'required', 'patent.family_id' FROM d WHERE k = 2 UNION ALL SELECT doc_id, 'error', 'date', 'evidence.retrieved_at' FROM d WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'error', 'required', 'quantities[0].kind' FROM d WHERE doc_id % 11 = 0
+UNION ALL SELECT doc_id, 'error', 'scale_mismatch', 'labels.scale_band' FROM d WHERE (k = 7) <> (doc_id % 11 = 0)) GROUP BY ALL""")
 def example_issues(spark, sf_dir):
     sources = spark.createDataFrame([("src",)], "source_id string")
-    return curation.validation_issues(curated(spark, sf_dir), sources).groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"), F.min("example_id").alias("first_example"))
+    return curation.validation_issues(curated(spark, sf_dir), sources).groupBy("code", "path", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("example_id").alias("first_example"))
 
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'bad' ELSE 'US-D' || (doc_id % 50) || '-S1' END AS pub, doc_id % 10 AS k FROM documents)
@@ -563,6 +566,40 @@ def drug_lists(spark, sf_dir):
     return review.child_lists(parents, "c_custkey", lists)
 
 
+@query("""WITH p AS (SELECT p_partkey, 'p' || p_partkey AS id, p_name || ' ' || p_partkey AS name, lower(p_type) || ' x' AS alias, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS other FROM part),
+q AS (SELECT s_suppkey AS request, s_suppkey % 5 AS k, s_suppkey AS v FROM supplier),
+h AS (SELECT request, 1 AS stage, id AS compound_id, 0 AS r FROM q JOIN p ON p_partkey = v WHERE k IN (0, 1) UNION ALL SELECT request, 2, id, other FROM q JOIN p ON alias = 'large x' WHERE k = 2 UNION ALL SELECT request, 3, id, length(name) FROM q JOIN p ON contains(lower(name), 't ' || (v % 10)) WHERE k = 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY stage, r, compound_id) AS n FROM h), m AS (SELECT 'p' || l_partkey AS compound_id, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
+SELECT request, CASE k WHEN 4 THEN 'structure' ELSE 'name' END AS kind, stage, b.compound_id, CASE WHEN b.compound_id IS NOT NULL THEN coalesce(m.n, 0) END AS reviewed_producing_reactions FROM q LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (request) LEFT JOIN m ON m.compound_id = b.compound_id""")
+def target_lookup(spark, sf_dir):
+    """Requests of all suppliers: by id, by name, by alias, by a part of a name, and structures that nothing has."""
+    c, k = F.col, F.col("s_suppkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", name("p", "p_partkey").alias("compound_id"), F.concat("p_name", F.lit(" "), text("p_partkey")).alias("preferred_name"), "p_type")
+    by_name = table(spark, sf_dir, "supplier").filter(k % 5 == 1).join(p.select(c("p_partkey").alias("s_suppkey"), F.concat(F.lit(" "), F.upper("preferred_name")).alias("text")), "s_suppkey", "left").select(k.alias("request"), F.coalesce("text", F.lit("zz zz")).alias("text"))
+    others = table(spark, sf_dir, "supplier").filter(k % 5 != 1).select(k.alias("request"), pick(k % 5, k0=F.concat(F.lit("P"), text("s_suppkey")), k2=F.lit("Large-X"), k3=F.concat(F.lit("T  "), (k % 10).cast("string")), k4=F.lit("CC(=O)O")).alias("text"))
+    aliases = p.select(name("d", "p_partkey").alias("drug_id"), F.concat(F.lower("p_type"), F.lit(" x")).alias("normalized_alias"))
+    links = p.select(name("d", "p_partkey").alias("drug_id"), "compound_id", F.when(c("p_partkey") % 3 == 0, "salt").otherwise("active_moiety").alias("relationship_type"))
+    produced = table(spark, sf_dir, "lineitem").select(name("p", "l_partkey").alias("compound_id"), F.when(c("l_returnflag") == "R", "rejected").otherwise("accepted").alias("review_status"))
+    return matching.resolve(by_name.unionByName(others), p.withColumn("standardized_smiles", F.lit("C")), aliases, links, produced)
+
+
+@query("""WITH j AS (SELECT doc_id, text, doc_id % 6 AS k, text[1:20] AS quote FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS extraction_job_id, sha256(text) AS input_sha256, CASE k WHEN 0 THEN 'queued' WHEN 1 THEN 'needs_review' ELSE 'failed' END AS status, CASE k WHEN 1 THEN 'needs_review' ELSE 'unreviewed' END AS review_status,
+ CASE k WHEN 2 THEN 'timeout' WHEN 3 THEN 'provider output does not match the extraction schema' WHEN 4 THEN 'provider returned an evidence quote absent from the source text' WHEN 5 THEN 'provider output does not match the extraction schema' END AS error FROM j""")
+def extraction_log(spark, sf_dir):
+    """Extractions from all documents: one in six without an answer, one fine, the others failed in four ways, one of them after a fine first answer."""
+    c, k = F.col, F.col("doc_id") % 6
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    requests = d.select(c("doc_id").alias("extraction_job_id"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("prompt").alias("prompt"), c("text").alias("source_text"), F.lit(None).cast("string").alias("source_url"), F.lit(1).alias("created_at"))
+    answer = lambda quote: F.to_json(F.struct(F.array(F.lit("c")).alias("compounds"), F.array(F.struct(quote.alias("evidence_quote")), F.struct(F.lit("").alias("evidence_quote"))).alias("reactions")))
+    good = answer(F.substring("text", 1, 20))
+    content = pick(k, k1=good, k3=F.lit('{"compounds": {}, "reactions": []}'), k4=answer(F.concat(F.lit("\u0001"), F.substring("text", 1, 20))), k5=F.lit("no JSON"))
+    row = lambda body, error, at: d.filter(k > 0).select(c("doc_id").alias("extraction_job_id"), body.alias("content"), error.alias("error"), F.lit("{}").alias("usage"), F.lit(at).alias("completed_at"), k.alias("k"))
+    none = F.lit(None).cast("string")
+    responses = row(content, F.when(k == 2, "timeout"), 9).unionByName(row(good, none, 5).filter("k = 4")).drop("k")
+    return review.extraction_jobs(requests, responses).select("extraction_job_id", "input_sha256", "status", "review_status", "error")
+
+
 @query("""WITH t AS (SELECT p_partkey, unnest(regexp_extract_all(f, '[A-Z][a-z]?[0-9]*')) AS t FROM (SELECT p_partkey, 'C' || p_size || 'H' || (p_size * 2 + 2) || CASE WHEN p_partkey % 3 = 0 THEN 'Cl' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN 'O2' ELSE 'OH' END AS f FROM part WHERE p_partkey % 7 > 0)),
 s AS (SELECT p_partkey, regexp_extract(t, '^([A-Z][a-z]?)', 1) AS symbol, coalesce(nullif(regexp_extract(t, '([0-9]+)$', 1), ''), '1')::BIGINT AS n FROM t)
 SELECT p_partkey, CASE symbol WHEN 'H' THEN 1 WHEN 'C' THEN 6 WHEN 'O' THEN 8 ELSE 17 END AS element_id, symbol, sum(n)::BIGINT AS atom_count FROM s GROUP BY 1, 3 UNION ALL SELECT p_partkey, unnest([6, 7, 1]), unnest(['C', 'N', 'H']), unnest([4, 1, 1]) FROM part WHERE p_partkey % 7 = 0""")
