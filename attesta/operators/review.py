@@ -114,6 +114,57 @@ def extraction_jobs(requests: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+#: Steps of the coverage ladder by which a page may be filtered, fixed values.
+STEPS = ("identified", "patents_found", "examples_extracted", "routes_under_review", "complete_reviewed_route", "price_complete", "cost_comparison_ready", "public_evidence_unavailable")
+
+
+def all_of(rows: DataFrame, *conditions: Column | None) -> DataFrame:
+    """Rows that fit all of the conditions that are given."""
+    for condition in conditions:
+        rows = rows if condition is None else rows.filter(condition)
+    return rows
+
+
+def catalogue_page(drugs: DataFrame, coverage: DataFrame, aliases: DataFrame, compounds: DataFrame, products: DataFrame, query: str = "", status: str | None = None, limit: int = 50, offset: int = 0) -> dict[str, DataFrame]:
+    """A page of the catalogue: ``items`` in the order of name and id, ``total`` of all that fit, and ``status_counts`` of the whole catalogue.
+
+    drugs (drug_id, preferred_name, ...), coverage (drug_id, status and the
+    flags of STEPS), aliases (drug_id, alias), compounds (drug_id, compound_id),
+    products (drug_id, regulatory_product_id, marketing_status).  ``query`` is
+    looked for in names and aliases in any case, ``%`` and ``_`` being
+    wildcards; ``status`` is one of STEPS.  An item has its numbers of compounds
+    and products and its different marketing states in order, which are counted
+    for the page alone.
+    """
+    if status is not None and status not in STEPS:
+        raise ValueError(f"unknown coverage status: {status}")
+    if not 1 <= limit <= 250 or offset < 0:
+        raise ValueError("a page has 1 to 250 items and begins at 0 or later")
+    pattern = f"%{query.strip().lower()}%"
+    whole = drugs.join(coverage, "drug_id")
+    if query.strip():
+        named = aliases.filter(F.lower("alias").like(pattern)).select("drug_id", F.lit(True).alias("__named")).distinct()
+        whole = whole.join(named, "drug_id", "left")
+    fits = all_of(whole, F.col("status") == status if status else None, (F.lower("preferred_name").like(pattern) | F.col("__named").isNotNull()) if query.strip() else None).drop("__named")
+    page = fits.orderBy("preferred_name", "drug_id").offset(offset).limit(limit)
+    keys = F.broadcast(page.select("drug_id"))  # 250 at most
+    n_compounds = compounds.join(keys, "drug_id", "left_semi").groupBy("drug_id").agg(F.count(F.lit(1)).alias("compound_count"))
+    sold = products.join(keys, "drug_id", "left_semi").groupBy("drug_id").agg(F.count(F.lit(1)).alias("product_count"), F.array_sort(F.collect_set("marketing_status")).alias("marketing_statuses"))
+    items = page.join(n_compounds, "drug_id", "left").join(sold, "drug_id", "left").withColumn("marketing_statuses", F.coalesce("marketing_statuses", F.array().cast("array<string>"))).na.fill(0, ["compound_count", "product_count"]).orderBy("preferred_name", "drug_id")
+    counts = coverage.agg(*[F.coalesce(F.sum(F.col(s).cast("bigint")), F.lit(0)).alias(s) for s in STEPS])
+    return {"items": items, "total": fits.agg(F.count(F.lit(1)).alias("total")), "status_counts": counts}
+
+
+def status_report(tables: dict[str, DataFrame], jobs: DataFrame, stamps: list[str], tie: str, limit: int = 25) -> dict[str, DataFrame]:
+    """The state of an installation: rows of each table, jobs (with ``status``) by state, the latest jobs, and those that need someone."""
+    counts = None
+    for name, t in tables.items():
+        own = t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        counts = own if counts is None else counts.unionByName(own)
+    latest = jobs.withColumn("latest", F.coalesce(*stamps)).orderBy(F.col("latest").desc_nulls_last(), F.col(tie)).limit(limit)
+    return {"tables": counts, "job_statuses": jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "recent": latest, "exceptions": exceptions(jobs, [tie], ("failed", "blocked"), stamps[0])}
+
+
 def child_counts(parents: DataFrame, key: str, lists: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(key, list, n): of each parent and list (table with the key, column) its different values; 0 where it has none."""
     counts = None

@@ -566,6 +566,35 @@ def drug_lists(spark, sf_dir):
     return review.child_lists(parents, "c_custkey", lists)
 
 
+@query("""WITH f AS (SELECT c_custkey AS drug_id, c_name AS preferred_name FROM customer WHERE (lower(c_name) LIKE '%1_%' OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND lower(o_orderpriority) LIKE '%1_%')) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY 2, 1 LIMIT 100 OFFSET 10),
+o AS (SELECT o_custkey AS drug_id, count(*) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS s FROM orders GROUP BY 1), l AS (SELECT o_custkey AS drug_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT drug_id, preferred_name, coalesce(l.n, 0) AS compound_count, coalesce(o.n, 0) AS product_count, coalesce(o.s, '') AS marketing_statuses FROM f LEFT JOIN o USING (drug_id) LEFT JOIN l USING (drug_id)""")
+def catalogue_request(spark, sf_dir):
+    """A page of customers as drugs that have patents, by name or alias."""
+    drugs, coverage, aliases, compounds, products = _browsable(spark, sf_dir)
+    page = review.catalogue_page(drugs, coverage, aliases, compounds, products, " 1_ ", "patents_found", 100, 10)["items"]
+    return page.select("drug_id", "preferred_name", "compound_count", "product_count", F.array_join("marketing_statuses", ",").alias("marketing_statuses"))
+
+
+def _browsable(spark, sf_dir):
+    c = F.col
+    o = table(spark, sf_dir, "orders").select(c("o_custkey").alias("drug_id"), "o_orderkey", "o_orderpriority", "o_orderstatus")
+    drugs = table(spark, sf_dir, "customer").select(c("c_custkey").alias("drug_id"), c("c_name").alias("preferred_name"))
+    found = drugs.select("drug_id").join(o.select("drug_id", F.lit(1).alias("n")).distinct(), "drug_id", "left")
+    flags = {s: F.lit(0) for s in review.STEPS} | {"identified": F.lit(1), "patents_found": F.coalesce("n", F.lit(0))}
+    coverage = found.select("drug_id", F.when(c("n") == 1, "patents_found").otherwise("identified").alias("status"), *[v.alias(s) for s, v in flags.items()])
+    line = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("o_orderkey"), c("l_partkey").alias("compound_id")).join(o.select("o_orderkey", "drug_id"), "o_orderkey").select("drug_id", "compound_id")
+    return drugs, coverage, o.select("drug_id", c("o_orderpriority").alias("alias")), line, o.select("drug_id", c("o_orderkey").alias("regulatory_product_id"), c("o_orderstatus").alias("marketing_status"))
+
+
+@query("""SELECT 'total' AS name, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT 'identified', count(*) FROM customer UNION ALL SELECT 'patents_found', count(*) FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+def catalogue_counts(spark, sf_dir):
+    """How many fit a filter, and how many of the whole catalogue are on each step."""
+    out = review.catalogue_page(*_browsable(spark, sf_dir), status="patents_found")
+    steps = out["status_counts"].select(F.explode(F.create_map(*[x for s in review.STEPS for x in (F.lit(s), F.col(s))])).alias("name", "n")).filter("n > 0")
+    return out["total"].select(F.lit("total").alias("name"), F.col("total").alias("n")).unionByName(steps)
+
+
 @query("""WITH p AS (SELECT p_partkey, 'p' || p_partkey AS id, p_name || ' ' || p_partkey AS name, lower(p_type) || ' x' AS alias, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS other FROM part),
 q AS (SELECT s_suppkey AS request, s_suppkey % 5 AS k, s_suppkey AS v FROM supplier),
 h AS (SELECT request, 1 AS stage, id AS compound_id, 0 AS r FROM q JOIN p ON p_partkey = v WHERE k IN (0, 1) UNION ALL SELECT request, 2, id, other FROM q JOIN p ON alias = 'large x' WHERE k = 2 UNION ALL SELECT request, 3, id, length(name) FROM q JOIN p ON contains(lower(name), 't ' || (v % 10)) WHERE k = 3),

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import structures
@@ -75,3 +76,36 @@ def test_lists_and_exceptions_have_their_order_and_limit(spark):
     states = spark.createDataFrame([(f"j{i}", "failed" if i % 2 else "succeeded", 1, None if i == 1 else i) for i in range(250)], "job string, status string, attempts int, ended int")
     page = review.exceptions(states, ["job"], ("failed", "blocked"), "ended").collect()
     assert [r.ended for r in page] == list(range(249, 49, -2)) and len(page) == 100
+
+
+def test_pages_of_the_catalogue_and_reports(spark):
+    f = spark.createDataFrame
+    drugs = f([(i, f"Drug {i:03d}") for i in range(300)], "drug_id int, preferred_name string")
+    steps = ", ".join(f"{s} int" for s in review.STEPS)
+    coverage = f([(i, review.STEPS[i % 3], *[int(i % 3 >= k) for k in range(3)], 0, 0, 0, 0, 0) for i in range(300)], f"drug_id int, status string, {steps}")
+    aliases, compounds = f([(7, "Ålias"), (8, "alias 50%")], "drug_id int, alias string"), f([(7, "a"), (7, "b")], "drug_id int, compound_id string")
+    products = f([(7, "x", "rx"), (7, "y", "otc"), (7, "z", "rx")], "drug_id int, regulatory_product_id string, marketing_status string")
+    page = lambda **k: review.catalogue_page(drugs, coverage, aliases, compounds, products, **k)
+    assert [r.drug_id for r in page(limit=3, offset=298)["items"].collect()] == [298, 299] and page()["items"].count() == 50 and page()["total"].first().total == 300
+    one = page(query="LIAS")["items"].collect()
+    assert [(r.drug_id, r.compound_count, r.product_count, r.marketing_statuses) for r in one] == [(7, 2, 3, ["otc", "rx"]), (8, 0, 0, [])]
+    assert page(query="drug 01", status="patents_found")["total"].first().total == 4 and page(query="none")["items"].count() == 0
+    assert page(query="x", status="identified")["status_counts"].first()[:3] == (300, 200, 100)
+    for wrong in ({"status": "unknown"}, {"limit": 251}, {"limit": 0}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            page(**wrong)
+    jobs = f([("a", "failed", 5, 1), ("b", "succeeded", None, 9), ("c", "blocked", 7, 2)], "job string, status string, ended int, started int").withColumn("attempts", F.lit(1))
+    out = review.status_report({"drugs": drugs, "none": drugs.limit(0)}, jobs, ["ended", "started"], "job", 2)
+    assert {r.table_name: r.n_rows for r in out["tables"].collect()} == {"drugs": 300, "none": 0} and {r.status: r.n for r in out["job_statuses"].collect()} == {"failed": 1, "succeeded": 1, "blocked": 1}
+    assert [r.job for r in out["recent"].collect()] == ["b", "c"] and [r.job for r in out["exceptions"].collect()] == ["c", "a"]
+
+
+def test_extractions_need_review_or_fail(spark):
+    f = spark.createDataFrame
+    requests = f([(i, "p", "m", "prompt", "made from salt", None, 1) for i in range(7)], "extraction_job_id int, provider string, model string, prompt string, source_text string, source_url string, created_at int")
+    good = '{"compounds": [], "reactions": [{"evidence_quote": "from salt"}, {}]}'
+    rows = [(0, good, None, "{}", 2), (1, good.replace("salt", "sand"), None, "{}", 2), (2, '{"compounds": []}', None, "{}", 2), (3, None, "timeout", None, 2), (4, good, None, "{}", 2), (4, None, "late", None, 3), (5, "[1", None, "{}", 2)]
+    out = {r.extraction_job_id: r for r in review.extraction_jobs(requests, f(rows, "extraction_job_id int, content string, error string, usage string, completed_at int")).collect()}
+    assert {k: r.status for k, r in out.items()} == {0: "needs_review", 1: "failed", 2: "failed", 3: "failed", 4: "failed", 5: "failed", 6: "queued"}
+    assert out[0].error is None and "absent" in out[1].error and "schema" in out[2].error and out[3].error == "timeout" and out[4].error == "late" and "schema" in out[5].error
+    assert out[0].response_sha256 and not out[1].response_sha256 and {r.review_status for k, r in out.items() if k} == {"unreviewed"}
