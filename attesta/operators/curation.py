@@ -168,6 +168,65 @@ def approve(steps: DataFrame, spans: DataFrame, routes: DataFrame, decisions: Da
     return {"process_step": steps, "evidence_span": merge.update_where(spans, by_span, ["evidence_span_id"], ["review_status"]), "process_route": merge.update_where(routes, whole, ["route_id"], ["review_status"])}
 
 
+#: An example that was extracted from a publication.
+EXTRACTED = """seq bigint, example_id string, publication_number string, target_compound_id string, active_moiety_id string, route_id string, step_id string, reaction_id string, name string, text string, paragraph_id string, source_url string, transformation_key string, yield_percent double, scale_g double, confidence double,
+participants array<struct<compound_id: string, role: string, stoichiometry: double>>, conditions array<struct<condition_type: string, numeric_value: double, unit: string>>"""
+
+
+def ingest_extracted(examples: DataFrame, stored: dict[str, DataFrame] | None = None, source: str = "surechembl_bulk", status: str = "unreviewed", method: str = "llm_assisted_review", version: str = "review-v1") -> dict[str, DataFrame]:
+    """The tables evidence_span, process_route, process_step, reaction_instance, reaction_participant and reaction_condition after extracted examples (EXTRACTED) were merged into the stored ones.
+
+    What an example says of its span, route, step and reaction replaces what was
+    stored, its review state included; of two in a file the later (``seq``)
+    counts.  Participants and conditions of its reaction are replaced as a
+    whole.  Nothing is accepted by it unless ``status`` says so.
+    """
+    c, state = F.col, F.lit(status).alias("review_status")
+    e = examples.withColumns({"text": F.coalesce("text", F.lit("")), "hash": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    one = {
+        "evidence_span": (["evidence_span_id"], e.select("seq", c("example_id").alias("evidence_span_id"), "publication_number", F.lit(source).alias("source_id"), c("hash").alias("artifact_sha256"), F.lit("example").alias("section_type"), "paragraph_id", F.lit(0).cast("bigint").alias("char_start"), F.length("text").cast("bigint").alias("char_end"), c("text").alias("evidence_text"), c("hash").alias("text_sha256"), F.lit("performed").alias("evidence_status"), F.lit(method).alias("extraction_method"), F.lit(version).alias("extractor_version"), state, "source_url")),
+        "process_route": (["route_id"], e.select("seq", "route_id", "active_moiety_id", "target_compound_id", F.substring("hash", 1, 16).alias("route_fingerprint"), state)),
+        "process_step": (["step_id"], e.select("seq", "step_id", "route_id", c("example_id").alias("evidence_span_id"), F.lit(1).cast("bigint").alias("step_order"), "transformation_key", c("target_compound_id").alias("product_compound_id"), c("name").alias("operation_summary"), F.lit("performed").alias("evidence_status"), state)),
+        "reaction_instance": (["reaction_id"], e.select("seq", "reaction_id", c("name").alias("reaction_name"), "transformation_key", c("example_id").alias("evidence_span_id"), "yield_percent", c("scale_g").alias("demonstrated_scale_g"), "confidence", state, F.lit(False).alias("is_synthetic"))),
+    }
+    last = e.groupBy("reaction_id").agg(F.max_by(F.struct("example_id", "participants", "conditions"), "seq").alias("r")).select("reaction_id", "r.*")
+    who = last.select("reaction_id", F.explode("participants").alias("p")).select("reaction_id", "p.*")
+    how = last.select("reaction_id", "example_id", F.explode("conditions").alias("c")).select(F.concat_ws("-", "reaction_id", "c.condition_type").alias("condition_id"), "reaction_id", "c.*", c("example_id").alias("evidence_span_id"))
+    stored, out = stored or {}, {}
+    for name, (key, rows) in one.items():
+        out[name] = merge.upsert(stored.get(name, rows.drop("seq").limit(0)), rows, key, order="seq")
+    for name, rows in (("reaction_participant", who), ("reaction_condition", how)):
+        old = stored.get(name, rows.limit(0))
+        # an example without any leaves none
+        out[name] = old.join(last.select("reaction_id"), "reaction_id", "left_anti").select(rows.columns).unionByName(rows)
+    return out
+
+
+def approve_publications(stored: dict[str, DataFrame], approvals: DataFrame) -> dict[str, DataFrame]:
+    """The tables after reviewers accepted what publications say of drugs: approvals (publication_number, drug_id, reviewer_id, rationale, decided_at).
+
+    By the candidate (patent_candidate) an approval reaches the spans of its
+    publication, their steps, routes and reactions: all become accepted, the
+    candidate too, and each route gets a link_candidate and a curation_decision.
+    An approval without a candidate does nothing.
+    """
+    c, t = F.col, stored
+    known = approvals.join(t["patent_candidate"].select("publication_number", "drug_id").distinct(), ["publication_number", "drug_id"])
+    spans = known.join(t["evidence_span"].select("publication_number", "evidence_span_id"), "publication_number")
+    reached = spans.join(t["process_step"].select("evidence_span_id", "step_id", "route_id"), "evidence_span_id").join(t["reaction_instance"].select("evidence_span_id", "reaction_id"), "evidence_span_id").join(t["process_route"].select("route_id", "target_compound_id"), "route_id")
+    accepted = lambda key: reached.select(key).distinct().withColumn("review_status", F.lit("accepted"))
+    out = dict(t)
+    for name, key in (("evidence_span", "evidence_span_id"), ("process_step", "step_id"), ("process_route", "route_id"), ("reaction_instance", "reaction_id")):
+        out[name] = merge.update_where(t[name], accepted(key), [key], ["review_status"])
+    out["patent_candidate"] = merge.update_where(t["patent_candidate"], known.select("publication_number", "drug_id").distinct().withColumn("review_status", F.lit("accepted")), ["publication_number", "drug_id"], ["review_status"])
+    route = reached.groupBy("route_id").agg(F.max_by(F.struct("target_compound_id", "reviewer_id", "rationale", "decided_at"), F.struct("decided_at", "reviewer_id")).alias("r")).select("route_id", "r.*").withColumn("candidate_id", F.concat(F.lit("link-candidate:"), "route_id"))
+    links = route.select("candidate_id", F.lit("process_route").alias("subject_type"), c("route_id").alias("subject_id"), F.lit("compound").alias("object_type"), c("target_compound_id").alias("object_id"), F.lit("synthesis_route").alias("relationship_type"), F.lit(1.0).alias("score"))
+    decisions = route.select(F.concat_ws(":", F.lit("decision"), "route_id", F.substring(c("decided_at").cast("string"), 1, 19)).alias("decision_id"), "candidate_id", F.lit("process_route").alias("object_type"), c("route_id").alias("object_id"), F.lit("accepted").alias("decision"), "reviewer_id", "rationale", "decided_at")
+    for name, key, rows in (("link_candidate", "candidate_id", links), ("curation_decision", "decision_id", decisions)):
+        out[name] = merge.upsert(t.get(name, rows.limit(0)), rows, [key])
+    return out
+
+
 def import_quotes(quotes: DataFrame, compounds: DataFrame, suppliers: DataFrame, order: str) -> dict[str, DataFrame]:
     """Suppliers with the new ones, quotes of known compounds, and the rejected others."""
     known = compounds.select("compound_id").distinct()

@@ -566,6 +566,27 @@ def drug_lists(spark, sf_dir):
     return review.child_lists(parents, "c_custkey", lists)
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id % 40 AS pub, doc_id // 2 AS route, doc_id % 40 < 10 AS ok FROM documents), r AS (SELECT route, bool_or(ok) AS ok FROM d GROUP BY 1)
+SELECT 'evidence_span' AS table_name, CASE WHEN ok THEN 'accepted' ELSE 'unreviewed' END AS state, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'process_step', CASE WHEN ok THEN 'accepted' ELSE 'unreviewed' END, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'reaction_instance', CASE WHEN ok THEN 'accepted' ELSE 'unreviewed' END, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'process_route', CASE WHEN ok THEN 'accepted' ELSE 'unreviewed' END, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'patent_candidate', CASE WHEN pub < 10 THEN 'accepted' ELSE 'needs_review' END, count(*) FROM (SELECT DISTINCT pub FROM d) GROUP BY 2
+UNION ALL SELECT 'reaction_participant', 'rows', 2 * count(*) FROM d UNION ALL SELECT 'reaction_condition', 'rows', count(*) FROM d UNION ALL SELECT 'link_candidate', 'rows', count(*) FROM r WHERE ok UNION ALL SELECT 'curation_decision', 'rows', count(*) FROM r WHERE ok""")
+def extracted_examples(spark, sf_dir):
+    """An example from each document, two of them to a route; ten of forty publications are approved."""
+    c = F.col
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fields = {"example_id": name("e", "doc_id"), "publication_number": name("US", c("doc_id") % 40), "target_compound_id": F.lit("T"), "active_moiety_id": F.lit("m"), "route_id": name("r", F.floor(c("doc_id") / 2)), "step_id": name("s", "doc_id"), "reaction_id": name("x", "doc_id"), "name": F.lit("n"), "paragraph_id": F.lit("p"), "source_url": F.lit("u"), "transformation_key": F.lit("k")}
+    part = lambda compound, role: F.struct(F.lit(compound).alias("compound_id"), F.lit(role).alias("role"), F.lit(1.0).alias("stoichiometry"))
+    examples = d.select(c("doc_id").alias("seq"), "text", *[v.alias(n) for n, v in fields.items()], F.lit(80.0).alias("yield_percent"), F.lit(100.0).alias("scale_g"), F.lit(0.95).alias("confidence"), F.array(part("a", "consumed"), part("T", "produced")).alias("participants"), F.array(F.struct(F.lit("temperature").alias("condition_type"), F.lit(20.0).alias("numeric_value"), F.lit("degC").alias("unit"))).alias("conditions"))
+    first = curation.ingest_extracted(examples)
+    stored = curation.ingest_extracted(examples, first) | {"patent_candidate": examples.select("publication_number", F.lit("drug").alias("drug_id"), F.lit("needs_review").alias("review_status")).distinct()}  # a second time nothing is added
+    approvals = spark.range(20).select(name("US", "id").alias("publication_number"), F.when(c("id") < 10, "drug").otherwise("other").alias("drug_id"), F.lit("w").alias("reviewer_id"), F.lit("ok").alias("rationale"), F.lit("2024-05-01T00:00:00").alias("decided_at"))
+    out = None
+    for n, t in curation.approve_publications(stored, approvals).items():
+        own = t.groupBy((c("review_status") if "review_status" in t.columns else F.lit("rows")).alias("state")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "state", "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("""WITH f AS (SELECT c_custkey AS drug_id, c_name AS preferred_name FROM customer WHERE (lower(c_name) LIKE '%1_%' OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND lower(o_orderpriority) LIKE '%1_%')) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY 2, 1 LIMIT 100 OFFSET 10),
 o AS (SELECT o_custkey AS drug_id, count(*) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS s FROM orders GROUP BY 1), l AS (SELECT o_custkey AS drug_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
 SELECT drug_id, preferred_name, coalesce(l.n, 0) AS compound_count, coalesce(o.n, 0) AS product_count, coalesce(o.s, '') AS marketing_statuses FROM f LEFT JOIN o USING (drug_id) LEFT JOIN l USING (drug_id)""")

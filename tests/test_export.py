@@ -109,3 +109,24 @@ def test_extractions_need_review_or_fail(spark):
     assert {k: r.status for k, r in out.items()} == {0: "needs_review", 1: "failed", 2: "failed", 3: "failed", 4: "failed", 5: "failed", 6: "queued"}
     assert out[0].error is None and "absent" in out[1].error and "schema" in out[2].error and out[3].error == "timeout" and out[4].error == "late" and "schema" in out[5].error
     assert out[0].response_sha256 and not out[1].response_sha256 and {r.review_status for k, r in out.items() if k} == {"unreviewed"}
+
+
+def test_extracted_examples_replace_what_they_said_before(spark):
+    def row(seq, i, text, who, how=(), route="r"):
+        return (seq, f"e{i}", "US1", "T", "m", route, f"s{i}", f"x{i}", f"name {seq}", text, "p", None, "k", 80.0, 100.0, 0.95, [(c, r, 1.0) for c, r in who], [(t, 1.0, "h") for t in how])
+
+    frame = lambda *rows: spark.createDataFrame(list(rows), curation.EXTRACTED)
+    first = curation.ingest_extracted(frame(row(1, 1, "old", [("a", "consumed"), ("T", "produced")], ["time"]), row(2, 2, "two", [("b", "consumed")])))
+    candidates = {"patent_candidate": spark.createDataFrame([("US1", "d", "needs_review"), ("US2", "d", "needs_review")], "publication_number string, drug_id string, review_status string")}
+    approval = spark.createDataFrame([("US1", "d", "w", "ok", "2024-05-01T10:00:00Z"), ("US2", "other", "w", "no", "2024")], "publication_number string, drug_id string, reviewer_id string, rationale string, decided_at string")
+    done = curation.approve_publications(first | candidates, approval)
+    assert {r.review_status for t in ("evidence_span", "process_step", "process_route", "reaction_instance") for r in done[t].collect()} == {"accepted"}
+    assert {r.publication_number: r.review_status for r in done["patent_candidate"].collect()} == {"US1": "accepted", "US2": "needs_review"}
+    assert [r.decision_id for r in done["curation_decision"].collect()] == ["decision:r:2024-05-01T10:00:00"] and [r.subject_id for r in done["link_candidate"].collect()] == ["r"]
+    # the same example again, later in the file once more: its last text counts, it waits for review, and the other stays accepted
+    again = curation.ingest_extracted(frame(row(1, 1, "new", [("z", "consumed")]), row(2, 1, "newest é", [("c", "consumed")], ["temperature", "time"])), done)
+    spans = {r.evidence_span_id: r for r in again["evidence_span"].collect()}
+    assert (spans["e1"].evidence_text, spans["e1"].char_end, spans["e1"].review_status, spans["e2"].review_status) == ("newest é", 8, "unreviewed", "accepted")
+    assert {(r.reaction_id, r.compound_id) for r in again["reaction_participant"].collect()} == {("x1", "c"), ("x2", "b")}
+    assert {r.condition_id for r in again["reaction_condition"].collect()} == {"x1-temperature", "x1-time"}
+    assert curation.approve_publications(done, approval)["curation_decision"].count() == 1
