@@ -24,6 +24,8 @@ BLOCK_BYTES = 1 << 20
 SPACES = " \t\n\x0b\x0c\r"
 #: Most rows of (id)-sized tables that are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Most ranges of keys for each shuffle partition.
+RANGES = 8
 #: Most bytes of tables with lists that are broadcast.
 BROADCAST_BYTES = 24_000_000
 
@@ -44,6 +46,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(spark: SparkSession, total: int, each: int) -> int:
+    """How many ranges ``total`` bytes are cut into: of ``each`` bytes or so, but RANGES for a shuffle partition at most, so that neither plan nor driver grow with the data; larger ranges are sorted by Spark and read as a stream."""
+    n = partitions(spark)
+    return max(n, min(-(-total // each), RANGES * n))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The (narrow, staged) table with a broadcast hint if it has at most ``limit`` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

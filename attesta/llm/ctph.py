@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Spans, column, partitions, range_bounds, range_key, sha256_hex, tidy
+from attesta.llm.common import Spans, column, range_bounds, range_key, ranges, sha256_hex, tidy
 
 #: Bytes that the rolling hash sees.
 WINDOW = 7
@@ -142,14 +142,14 @@ def likeness(pairs: list[tuple[str, str]]) -> list[float]:
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(p, look, ord, id, text): rows dealt by ranges of ids, a range to a partition, and sorted downwards in each; the first row of the next range, or of all, follows with look = 1.
 
-    Ranges hold about equal bytes of text, RANGE_BYTES at most, but for a longer
-    text and for rows that share an id (null too); what goes through the driver
-    is a few numbers for each range.
+    Ranges hold about equal bytes of text, RANGE_BYTES or so while there are no
+    more than RANGES of them for a shuffle partition, but for a longer text and
+    for rows that share an id (null too); a few numbers for each range go
+    through the driver.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(partitions(docs.sparkSession), -(-total // RANGE_BYTES))
-    bounds = range_bounds(rows, "id", F.octet_length("text") + 64, n)
+    bounds = range_bounds(rows, "id", F.octet_length("text") + 64, ranges(docs.sparkSession, total, RANGE_BYTES))
     ord_ = F.coalesce("id", F.lit(-(1 << 63)))
     ranged = rows.select(range_key(ord_, bounds).alias("p"), ord_.alias("ord"), "id", "text")
     tops = sorted(ranged.groupBy("p").agg(F.max("ord").alias("top")).collect())

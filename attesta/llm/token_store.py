@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import blocks, column, mix, partitions, range_bounds, range_key, tidy
+from attesta.llm.common import blocks, column, mix, range_bounds, range_key, ranges, tidy
 from attesta.llm.token_cache import ENCODE_BYTES, VOCABULARY, encoder
 
 #: Ids in a shard; a longer document is a shard of its own.
@@ -116,12 +116,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
     stay, in the order of their ids; the index leads to the first.  Rows with a
     null key come first and have no index entry.  Texts are encoded where they
     lie; only ids are shuffled, to ranges of keys of about equal bytes of text,
-    RANGE_BYTES at most but for rows that share a key.  An empty table writes a
-    folder without shards.  Other columns are left behind.
+    RANGE_BYTES or so while there are no more than RANGES of them for a shuffle
+    partition.  An empty table writes a folder without shards.  Other columns are left behind.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bounds = range_bounds(docs, "key", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, max(partitions(docs.sparkSession), -(-total // RANGE_BYTES)))
+    bounds = range_bounds(docs, "key", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, ranges(docs.sparkSession, total, RANGE_BYTES))
 
     @tidy(keep=VOCABULARY)
     def encode(batches):

@@ -91,3 +91,9 @@ def test_numbers_below_the_prime():
     assert up[4999] == pow(common._PRIME_BASES[0], 4999, p) and all(common.times(up, down) == 1)
     runs = common.Runs(np.tile(a[:40], 30))
     assert len({int(runs.hash(np.array([i]), np.array([i + n]))[0]) for i in range(0, 1200, 40) for n in (7, 8)}) == 2
+
+
+def test_ranges_do_not_grow_without_bound(spark):
+    n = common.partitions(spark)
+    assert common.ranges(spark, 0, 100) == n and common.ranges(spark, 100 * (n + 1), 100) == n + 1
+    assert common.ranges(spark, 10**18, 1 << 23) == n * common.RANGES
