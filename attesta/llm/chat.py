@@ -180,7 +180,8 @@ def format_chats(turns: DataFrame, template: Template = instruct_template, loss_
     lengths only, and beyond the window, is not seen.
 
     Turns come in the order of ``turn``, then role and text; null turns first.
-    Null texts and roles are empty.  Null conv_ids form one conversation.
+    Null texts and roles are empty.  Null conv_ids form one conversation.  Other
+    columns are left behind and may have any name.
     """
 
     local = template is instruct_template

@@ -165,7 +165,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The edited form has the last third replaced by the beginning of the next
     document in descending order of ids (after the last: the first).  Null
     texts are empty; null ids come last; rows that repeat an id follow each
-    other in the order of their texts.  An empty table gives an empty result.
+    other in the order of their texts.  An empty table gives an empty result;
+    other columns are left behind and may have any name, but the id column must
+    not have that of a result.
     """
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -226,7 +226,7 @@ def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     ``component_id`` is the smallest id reachable, and that row stays.  Rows
     with a null id link with nothing and stay; rows that repeat an id are one
     document, of the largest of their texts.  An empty table gives an empty
-    result.
+    result; other columns are left behind and may have any name.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col)
     docs = rows

@@ -38,7 +38,10 @@ BUCKET_ROWS = 50_000
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and an end id, cut into pieces of at most ``capacity``.
 
-    A null text is empty: one piece with the end id.
+    A null or empty text is one piece with the end id; a null id is an id like
+    others, and rows that repeat an id have their pieces each by themselves.  An
+    empty table gives an empty result; other columns are left behind and may have
+    any name.
     """
 
     @tidy(keep=VOCABULARY)

@@ -181,7 +181,7 @@ class Shard:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(key, start, n_tokens, ids): every document of the files, found through the index; ``start`` counts the ids of all before it. No shards give no rows."""
+    """(key, start, n_tokens, ids): every document of the files, found through the index; ``start`` counts the ids of all before it. Rows of a null or repeated key are all given, in the order of the files. No shards give no rows."""
     shards = spark.read.schema(SHARD).parquet(path)
     totals = dict(shards.groupBy("p").agg(F.sum("n_ids")).collect())  # a row for each range at most
     order = sorted(totals)
@@ -207,7 +207,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """(key, ids) of some keys: shards are pruned by their key range, then each key costs one probe. Absent keys give no row."""
+    """(key, ids) of some keys: shards are pruned by their key range, then each key costs one probe. Absent keys give no row; a repeated key gives its first document, and null is no key."""
     wanted = np.array(sorted(set(keys)), np.int64)
     if not len(wanted):
         return spark.createDataFrame([], "key bigint, ids binary")
