@@ -120,11 +120,10 @@ def registry_issues(sources: DataFrame) -> DataFrame:
 
 
 def register_sources(stored: DataFrame, registry: DataFrame) -> DataFrame:
-    """The stored sources after a registry without errors was merged in: what it says of a source replaces what was known. With an error in it reading the result fails and names one."""
-    bad = registry_issues(registry).filter("severity = 'error'").agg(F.min(F.concat_ws(" ", F.coalesce(F.col("source_id").cast("string"), F.lit("null")), "code")).alias("bad"))
-    guard = F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("registry: "), "bad")).cast("boolean")).otherwise(True)
-    checked = registry.join(F.broadcast(bad.select(guard.alias("__ok"))), F.lit(True)).filter("__ok").drop("__ok")  # one row
-    return merge.upsert(stored, checked, ["source_id"])
+    """The stored sources after a registry without errors was merged in: what it says of a source replaces what was known. An error in it is a ValueError that names one."""
+    if bad := registry_issues(registry).filter("severity = 'error'").orderBy("source_id", "code").first():
+        raise ValueError(f"registry: {bad.source_id} {bad.code}")
+    return merge.upsert(stored, registry, ["source_id"])
 
 
 def tables(examples: DataFrame, version: str = "working", policy: str = "1.0.0", path: str = "examples.jsonl") -> dict[str, DataFrame]:
@@ -278,12 +277,13 @@ def nested_examples(steps: DataFrame, participants: DataFrame, conditions: DataF
 
 def export_report(reasons: DataFrame, assignments: DataFrame) -> DataFrame:
     """One row on an export: candidate_steps, eligible_examples, how many were excluded for each reason, and how many are in each split. reasons (reason, null if eligible), assignments (split)."""
-    counted = lambda d, col: d.groupBy(col).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(col, "n")))).alias("m"))
-    left = counted(reasons.filter("reason is not null"), "reason").select(F.col("m").alias("excluded"))
-    splits = counted(assignments, "split").select(F.col("m").alias("split_counts"))
-    whole = reasons.agg(F.count(F.lit(1)).alias("candidate_steps"), F.count(F.when(F.col("reason").isNull(), 1)).alias("eligible_examples"))
-    one = F.lit(True)  # three tables of one row
-    return whole.join(F.broadcast(left), one).join(F.broadcast(splits), one)
+    kind = F.when(F.col("reason").isNull(), "eligible").otherwise("excluded")
+    counts = reasons.groupBy(kind.alias("kind"), F.col("reason").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.unionByName(assignments.groupBy(F.lit("split").alias("kind"), F.col("split").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    named = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("name", "n")))))
+    # ten reasons and three splits at most
+    return counts.agg(total(F.col("kind") != "split").alias("candidate_steps"), total(F.col("kind") == "eligible").alias("eligible_examples"), named("excluded").alias("excluded"), named("split").alias("split_counts"))
 
 
 def mapped_reactions(participants: DataFrame, reaction: str) -> DataFrame:

@@ -147,3 +147,18 @@ def test_a_job_that_is_announced_again_is_skipped(spark, tmp_path):
     jobs.consume(spark, f"{tmp_path}/in", lambda s: jobs.once(s, ["job"], "ts", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/cp")
     jobs.consume(spark, f"{tmp_path}/in", lambda s: jobs.once(s, ["job"], "ts", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert sorted(r.job for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["j", "k"]
+
+
+def test_registries_with_errors_are_not_registered(spark):
+    schema = "source_id string, name string, authority string, role string, collection_mode string, redistribution string, license_code string, runtime_dependency boolean, automated_acquisition_allowed boolean"
+    sound = ("a", "n", "x", "r", "m", "open", "l", False, None)
+    stored = spark.createDataFrame([("a", "before", "x", "r", "m", "open", "l", False, None), ("b", "kept", "x", "r", "m", "open", "l", False, None)], schema)
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert {r.source_id: r.name for r in curation.register_sources(stored, frame(sound)).collect()} == {"a": "n", "b": "kept"}
+    issues = lambda *rows: {(r.code, r.severity) for r in curation.registry_issues(frame(*rows)).collect()}
+    assert issues(sound) == set() and issues(sound, sound) == {("duplicate_source", "error")}
+    assert issues((*sound[:7], None, None)) == {("runtime_dependency", "error")} and issues((*sound[:6], "", False, False)) == {("required_license_code", "error")}
+    assert issues(("wipo_patentscope_public", *sound[1:])) == {("wipo_terms", "error")} and issues(("wipo_patentscope_public", *sound[1:8], False)) == set()
+    assert issues((*sound[:5], "restricted", "l", False, True)) == {("restricted_acquisition", "warning")}
+    with pytest.raises(ValueError, match="registry: a runtime_dependency"):
+        curation.register_sources(stored, frame((*sound[:7], True, None)))
