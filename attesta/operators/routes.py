@@ -48,25 +48,26 @@ def _network(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, targe
     return makers.join(arity, "reaction").checkpoint(), wants
 
 
-def _separable(makers: DataFrame, wants: DataFrame, max_steps: int) -> bool:
-    """Whether no compound is needed to make itself, and no two inputs of a reaction need a common compound (as far as ``max_steps`` tell; if in doubt, not)."""
-    down = makers.join(wants.filter("made"), "reaction").select(F.col("product").alias("node"), F.col("compound").alias("below")).distinct().checkpoint()
+def _separable(makers: DataFrame, wants: DataFrame, max_steps: int) -> int | None:
+    """How many reactions follow each other at most, if no compound is needed to make itself and no two inputs of a reaction need a common compound (as far as ``max_steps`` tell; if in doubt, None)."""
+    depth, down = 1, makers.join(wants.filter("made"), "reaction").select(F.col("product").alias("node"), F.col("compound").alias("below")).distinct().checkpoint()
     left = down
     for _ in range(max_steps):  # what needs nothing made goes; a cycle never does
         if left.isEmpty():
             break
+        depth += 1
         left = left.join(left.select(F.col("node").alias("below")).distinct(), "below", "left_semi").select("node", "below").checkpoint()
     else:
         if not left.isEmpty():
-            return False
+            return None
     two = makers.filter("made > 1").select("reaction").join(wants.filter("made"), "reaction").select("reaction", F.col("compound").alias("input"), F.col("compound").alias("node")).checkpoint()
     seen = two
     while not two.isEmpty():
         if not seen.groupBy("reaction", "node").agg(F.countDistinct("input").alias("n")).filter("n > 1").isEmpty():
-            return False
+            return None
         two = two.join(down, "node").select("reaction", "input", F.col("below").alias("node")).distinct().checkpoint()
         seen = seen.unionByName(two).distinct()
-    return True
+    return depth
 
 
 def _grow(makers: DataFrame, wants: DataFrame, routes: DataFrame, n: int, most: int, apart: bool) -> DataFrame:
@@ -93,11 +94,11 @@ def _grow(makers: DataFrame, wants: DataFrame, routes: DataFrame, n: int, most:
     return grown.dropDuplicates(["compound", "steps"])
 
 
-def _count(makers: DataFrame, wants: DataFrame, starting: DataFrame, max_steps: int, most: int) -> DataFrame:
-    """(compound, n, ways): how many routes of n steps there are, where routes are separable."""
+def _count(makers: DataFrame, wants: DataFrame, starting: DataFrame, depth: int, most: int) -> DataFrame:
+    """(compound, n, ways): how many routes of n steps there are, where routes are separable and ``depth`` reactions follow each other at most."""
     base = starting.select("compound").distinct().select("compound", F.lit(0).alias("n"), F.lit(1).cast("decimal(38,0)").alias("ways"))
-    known = base.checkpoint()
-    for _ in range(max_steps):  # by depth; a product is known when its inputs are
+    known = base
+    for _ in range(depth):  # a product is known when its inputs are
         partial = makers.select("reaction", "product", "arity", "room", F.lit(1).alias("n"), F.lit(1).cast("decimal(38,0)").alias("ways"))
         out = None
         for k in range(1, most + 1):
@@ -107,10 +108,7 @@ def _count(makers: DataFrame, wants: DataFrame, starting: DataFrame, max_steps:
             full = partial.filter(F.col("arity") == k).select(F.col("product").alias("compound"), "n", "ways")
             out = full if out is None else out.unionByName(full)
             partial = partial.filter(F.col("arity") > k)
-        after = base.unionByName(out.groupBy("compound", "n").agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))).checkpoint()
-        if after.exceptAll(known).isEmpty():
-            break
-        known = after
+        known = base.unionByName(out.groupBy("compound", "n").agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))).checkpoint()
     return known
 
 
@@ -130,7 +128,8 @@ def search(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target:
     buy = starting.select("compound").distinct().join(needed, "compound", "left_semi").checkpoint()
     none = F.array().cast(_NAMES)
     routes = buy.select("compound", none.alias("steps"), none.alias("makes"), F.lit(0).cast(_EXACT).alias("confidence")).checkpoint()
-    apart = most > 0 and _separable(makers, wants, max_steps)
+    depth = _separable(makers, wants, max_steps) if most else None
+    apart = depth is not None
     first = W.partitionBy("compound").orderBy(F.size("steps"), F.col("confidence").desc())
     for n in range(1, max_steps + 1 if most else 1):
         routes = routes.unionByName(_grow(makers, wants, routes, n, most, apart))
@@ -148,7 +147,7 @@ def search(reactions: DataFrame, inputs: DataFrame, starting: DataFrame, target:
     key = F.concat_ws(">", "steps")
     scored = found.select("compound", "steps", key.alias("path"), F.size("steps").alias("n_steps"), F.col("confidence").cast("double").alias("confidence"), F.concat(F.lit("route:"), F.substring(F.sha2(F.concat_ws("|", "compound", key), 256), 1, 24)).alias("route_id"))
     if apart:
-        tally = _count(makers, wants, buy, max_steps, most).join(target, "compound").groupBy("compound").agg(F.sum("ways").cast("bigint").alias("n_routes"))
+        tally = _count(makers, wants, buy, depth, most).join(target, "compound").groupBy("compound").agg(F.sum("ways").cast("bigint").alias("n_routes"))
     else:
         tally = scored.groupBy("compound").agg(F.count(F.lit(1)).alias("n_routes"))
     w = W.partitionBy("compound").orderBy("n_steps", F.col("confidence").desc(), "route_id")
