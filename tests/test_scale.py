@@ -1,5 +1,6 @@
 """Work that grows with the rows and not with pairs of them."""
 
+from attesta.operators import matching
 from attesta.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -13,3 +14,14 @@ def test_no_pair_of_candidates_is_joined_again(spark):
     for name in ("candidate_match_all_seeds", "candidate_match_or_join"):
         p = plan(registry.QUERIES[name](spark, DATA))
         assert p.index("Union") < p.index("Join")
+
+
+def test_pairs_are_counted_without_the_pairs(spark):
+    rows = [(i, "A" if i % 3 else None, "p") for i in range(20000)] + [(1, "A", "p"), (-1, "B", None), (-2, None, None), (-3, "C", "q"), (None, "C", "r")]
+    part = spark.createDataFrame(rows, "id long, k string, c string")
+    got = {r.match_type: tuple(r)[1:] for r in matching.match_counts(part, part, "k", "c", "id", "id").collect()}
+    k, none = 13334, 6667  # rows of A and of no key under p
+    assert got == {"exact_structure": (k * k + 1 + 4, 13333 + 2, 13333 + 2), "same_connectivity": (2 * k * none + none * none, 20000, 20000)}
+    few = spark.createDataFrame([(7, "A", "p"), (8, "B", "z")], "id long, k string, c string")
+    got = {r.match_type: tuple(r)[1:] for r in matching.match_counts(few, part, "k", "c", "id", "id").collect()}
+    assert got == {"exact_structure": (k + 1, 2, 13334), "same_connectivity": (none, 1, none)}
