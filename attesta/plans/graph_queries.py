@@ -52,7 +52,7 @@ def name_link_candidates(spark, sf_dir):
     return matching.name_links(p, "p_partkey", "name", "seq")
 
 
-@query("SELECT l_orderkey, min(c_custkey) AS least_owner, max(c_custkey) AS greatest_owner FROM (SELECT DISTINCT l_orderkey, l_suppkey % 25 AS ns, l_linenumber AS v FROM lineitem) JOIN customer ON c_nationkey = ns AND c_custkey % 7 + 1 = v GROUP BY l_orderkey HAVING count(DISTINCT c_custkey) > 1")
+@query("SELECT l_orderkey, count(DISTINCT c_custkey) AS n_owners, min(c_custkey) AS least_owner, max(c_custkey) AS greatest_owner FROM (SELECT DISTINCT l_orderkey, l_suppkey % 25 AS ns, l_linenumber AS v FROM lineitem) JOIN customer ON c_nationkey = ns AND c_custkey % 7 + 1 = v GROUP BY l_orderkey HAVING count(DISTINCT c_custkey) > 1")
 def identity_conflicts(spark, sf_dir):
     ids = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 25).alias("ns"), F.col("l_linenumber").cast("bigint").alias("v")).distinct()
     own = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("ns"), (F.col("c_custkey") % 7 + 1).alias("v"))

@@ -25,3 +25,14 @@ def test_pairs_are_counted_without_the_pairs(spark):
     few = spark.createDataFrame([(7, "A", "p"), (8, "B", "z")], "id long, k string, c string")
     got = {r.match_type: tuple(r)[1:] for r in matching.match_counts(few, part, "k", "c", "id", "id").collect()}
     assert got == {"exact_structure": (k + 1, 2, 13334), "same_connectivity": (none, 1, none)}
+
+
+def test_owners_are_counted_exactly(spark):
+    ids = [(1, "a", 1), (1, "a", 1), (1, "a", 2), (2, "b", 1), (3, "a", 2), (3, "c", 1), (4, "d", 9), (5, "c", 2), (5, None, 1), (None, "a", 1)]
+    own = [*((f"x{i}", "a", 1) for i in range(3000)), *((f"y{i}", ns, v) for i in range(500) for ns, v in (("a", 1), ("a", 2), ("c", 1))), ("z", "b", 1), ("z", "a", 2), ("y0", "a", 1), (None, "b", 1), ("w", "c", 2), ("v", "c", 2), ("w", None, 1)]
+    got = matching.identity_conflicts(spark.createDataFrame(ids, "r long, ns string, v long"), "r", ["ns", "v"], spark.createDataFrame(own, "o string, ns string, v long"), "o")
+    want = {}
+    for r, *k in ids:
+        want.setdefault(r, set()).update(o for o, *k2 in own if o and None not in k and k == k2)
+    assert {x.r: (x.n_owners, x.least_owner, x.greatest_owner) for x in got.collect()} == {r: (len(o), min(o), max(o)) for r, o in want.items() if len(o) > 1}
+    assert "n_owners" in registry.QUERIES["identity_conflicts"](spark, DATA).columns
