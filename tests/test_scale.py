@@ -36,3 +36,21 @@ def test_owners_are_counted_exactly(spark):
         want.setdefault(r, set()).update(o for o, *k2 in own if o and None not in k and k == k2)
     assert {x.r: (x.n_owners, x.least_owner, x.greatest_owner) for x in got.collect()} == {r: (len(o), min(o), max(o)) for r, o in want.items() if len(o) > 1}
     assert "n_owners" in registry.QUERIES["identity_conflicts"](spark, DATA).columns
+
+
+def test_requests_of_one_text_are_looked_up_once(spark, monkeypatch):
+    names = [("c1", "Alpha Beta"), ("c2", "alpha"), ("c3", "beta x"), ("C4", None), ("c5", "beta y")]
+    compounds = spark.createDataFrame([(i, n, "CC" if i == "c3" else None) for i, n in names], "compound_id string, preferred_name string, standardized_smiles string")
+    aliases = spark.createDataFrame([("d1", "common"), ("d2", "common"), ("d3", "common")], "drug_id string, normalized_alias string")
+    links = spark.createDataFrame([("d1", "c1", "salt"), ("d2", "c2", "active_moiety"), ("d3", "gone", "active_moiety")], "drug_id string, compound_id string, relationship_type string")
+    made = spark.createDataFrame([("c2", "accepted"), ("c2", "accepted"), ("c2", "rejected")], "compound_id string, review_status string")
+    texts = ["common", "ALPHA ", "c4", "eta", "beta", "a b", "b", "zz", " ", None]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 50)], "request long, text string")
+    want = [(2, "c2"), (1, "c2"), (1, "C4"), (3, "c3"), (3, "c3"), (3, "c1"), (3, "c3"), (None, None), (None, None), (None, None)] * 50
+    for page in (1000, 2):  # few open texts, and more than a page of them
+        monkeypatch.setattr(matching, "PAGE", page)
+        df = matching.resolve(asked, compounds, aliases, links, made)
+        got = df.collect()
+        assert [(r.stage, r.compound_id) for r in sorted(got)] == want
+        assert {r.reviewed_producing_reactions for r in got} == {2, 0, None}
+        assert ("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()) == (page == 1000)
