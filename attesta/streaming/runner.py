@@ -1,11 +1,13 @@
 """A job runner over a log of requests: what each job's state is, kept by a stream.
 
-Requests are runs with their outcome, retries and gates.  A stream with state
-for each job applies them in their order: a job that has succeeded is skipped,
+Requests are runs with their outcome, retries and gates.  A stream applies them
+to the state of each job in their order: a job that has succeeded is skipped,
 any other run is an attempt more, a retry queues what has failed or is blocked,
 and a gate blocks a job or lets it pass.  What a batch has changed is written
 under the batch's number, so that a batch that is run again after a failure
-replaces what it had written.
+replaces what it had written.  A batch's folder also holds what some batches
+just before it have changed, so that the states before a batch are in as many
+folders as its number has ones in binary.
 """
 
 from __future__ import annotations
@@ -13,10 +15,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from attesta.functions.session import shared_folder
 
@@ -43,15 +43,27 @@ def apply(state: tuple, kind: str, ok: bool | None, detail: str | None, at) -> t
     return state
 
 
-def _step(key, frames, group):
-    rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-    state = group.get if group.exists else (None, 0, 0, None, None)
-    none = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
-    for at, kind, ok, detail in zip(rows["at"], rows["kind"], rows["ok"], rows["detail"], strict=True):
-        state = apply(state, kind, bool(none(ok)), none(detail), at.to_pydatetime())
-    if state[0] is not None:
-        group.update(state)
-        yield pd.DataFrame([(*key, *state)], columns=["job_type", "identity", "status", "attempts", "skipped", "error", "completed_at"]).astype({"completed_at": "datetime64[ns]"})
+def _applied(state: Column, r: Column) -> Column:
+    """As ``apply``, on columns."""
+    names = ("status", "attempts", "skipped", "error", "completed_at")
+    status, attempts, skipped, error, completed = (state[n] for n in names)
+    none, text = F.lit(None).cast("string"), F.substring(r["detail"], 1, ERROR_TEXT)
+    ok, run, gate = F.coalesce(r["ok"], F.lit(False)), r["kind"] == "run", r["kind"] == "gate"
+    new = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+    return (
+        F.when(run & F.coalesce(status == "succeeded", F.lit(False)), new(status, attempts, skipped + 1, error, completed))
+        .when(run & ok, new(F.lit("succeeded"), attempts + 1, skipped, none, r["at"]))
+        .when(run, new(F.lit("failed"), attempts + 1, skipped, text, r["at"]))
+        .when(gate & ok, new(F.lit("succeeded"), attempts, skipped, none, r["at"]))
+        .when(gate, new(F.lit("blocked"), attempts, skipped, text, r["at"]))
+        .when((r["kind"] == "retry") & status.isin("failed", "blocked"), new(F.lit("queued"), attempts, skipped, none, completed))
+        .otherwise(state)
+    )
+
+
+def _folders(n: int) -> list[int]:
+    """The folders that hold the states after the first n batches: folder m - 1 has those of as many batches as the lowest one of m in binary says."""
+    return [n - 1, *_folders(n & (n - 1))] if n else []
 
 
 def run_jobs(spark: SparkSession, source: str, requests: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files: int | None = None) -> None:
@@ -63,12 +75,22 @@ def run_jobs(spark: SparkSession, source: str, requests: Callable[[DataFrame], D
     """
     stream = spark.readStream.schema(spark.read.parquet(source).schema)
     stream = (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(source)
-    states = requests(stream).select(*REQUEST).groupBy("job_type", "identity").applyInPandasWithState(_step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    struct = "struct<status: string, attempts: bigint, skipped: bigint, error: string, completed_at: timestamp>"
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/run-{n:09d}")
-
-    states.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        own = F.struct(F.col("at").isNull(), "at", "seq", "kind", "ok", "detail").alias("r")
+        rows = batch.select("job_type", "identity", own, F.lit(None).cast("int").alias("batch"), F.lit(None).cast(struct).alias("s"))
+        if n:
+            before = batch.sparkSession.read.schema(f"{_OUT}, batch int").parquet(*[f"{out}/run-{i:09d}" for i in _folders(n)])
+            state = F.struct("status", "attempts", "skipped", "error", "completed_at").cast(struct).alias("s")
+            rows = rows.unionByName(before.select("job_type", "identity", F.lit(None).cast(rows.schema["r"].dataType).alias("r"), "batch", state))
+        jobs = rows.groupBy("job_type", "identity").agg(F.array_sort(F.collect_list("r")).alias("r"), F.max_by("s", "batch").alias("s"), F.max("batch").alias("batch"))
+        start = F.coalesce("s", F.struct(F.lit(None).alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("skipped"), F.lit(None).alias("error"), F.lit(None).alias("completed_at")).cast(struct))
+        after = jobs.select("job_type", "identity", F.aggregate("r", start, lambda s, r: _applied(s, r).cast(struct)).alias("s"), F.when(F.size("r") > 0, F.lit(n)).otherwise(F.col("batch")).alias("batch"))
+        held = after.filter((F.col("batch") >= (n & (n + 1))) & F.col("s.status").isNotNull())
+        held.select("job_type", "identity", "s.*", "batch").write.mode("overwrite").parquet(f"{out}/run-{n:09d}")
+
+    requests(stream).select(*REQUEST).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def job_states(spark: SparkSession, out: str) -> DataFrame:

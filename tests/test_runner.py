@@ -47,3 +47,15 @@ def test_a_batch_that_is_run_again_replaces_what_it_wrote(spark, tmp_path):
     for again in range(2):  # a lost checkpoint: the same batch comes a second time
         runner.run_jobs(spark, log, lambda d: d, out, str(tmp_path / f"c{again}"))
         assert states(spark, out) == want
+
+
+def test_many_batches_without_python_workers(spark, tmp_path):
+    log, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
+    t, kinds = datetime(2024, 1, 1), (("run", False), ("gate", False), ("retry", None), ("run", True), ("run", None), ("gate", True))
+    schema = "job_type string, identity string, at timestamp, seq bigint, kind string, ok boolean, detail string"
+    rows = [("x" if i % 2 else None, str(i * i % 11), t + timedelta(hours=i), i, *kinds[i * 7 % 13 % 6], f"d{i}") for i in range(140)]
+    for i in range(7):
+        spark.createDataFrame(rows[20 * i : 20 * i + 20], schema).coalesce(1).write.parquet(f"{log}/{i}")
+        runner.run_jobs(spark, f"{log}/*", lambda d: d, out, checkpoint, 1)
+        assert states(spark, out) == brute(spark.createDataFrame(rows[: 20 * i + 20], schema).collect())
+    assert runner._folders(7) == [6, 5, 3] and runner._folders(8) == [7]
