@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
+from attesta.functions.session import shared_folder
 from attesta.operators import graph, merge
 
 #: The nested record of an example.
@@ -317,10 +319,12 @@ def export_reason() -> Column:
 
 def assign_splits(examples: DataFrame, id_col: str, groups: list[str], seed: str) -> DataFrame:
     """(id, leakage_group, split): examples that share a value of any group column, directly or in a chain, come into one split."""
-    node = F.concat(F.lit("e:"), F.col(id_col)).alias("a")
-    value = F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(g).cast("string")) for i, g in enumerate(groups)])))
-    label = graph.components(examples.select(node, value.alias("b")), "a", "b").filter(F.col("node").startswith("e:"))
-    own = examples.select(F.col(id_col).alias("node")).distinct()
-    label = own.join(label.select(F.substr("node", F.lit(3)).alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # an example stands for its least value, and only values that examples have together are linked
+    value = F.explode_outer(F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(g).cast("string")) for i, g in enumerate(groups)])))
+    shared_folder(examples.sparkSession)
+    own = examples.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node"), value.alias("value")).withColumn("least", F.min("value").over(W.partitionBy("node"))).checkpoint()
+    label = graph.components(own.filter("value <> least").select("least", "value").distinct(), "least", "value").withColumnRenamed("node", "least")
+    first = own.groupBy("node").agg(F.min("least").alias("least"))
+    label = first.join(label, "least", "left").select("node", F.coalesce("component", "least", F.concat(F.lit("e:"), F.col("node").cast("string"))).alias("component"))
     named = graph.group_names(label, "node", "component")
     return named.select(F.col("node").alias(id_col), "leakage_group", S.split_name(S.bucket(F.col("leakage_group"), seed)).alias("split"))
