@@ -1,6 +1,8 @@
 """Work that grows with the rows and not with pairs of them."""
 
-from attesta.operators import matching
+import hashlib
+
+from attesta.operators import curation, graph, matching
 from attesta.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +56,22 @@ def test_requests_of_one_text_are_looked_up_once(spark, monkeypatch):
         assert [(r.stage, r.compound_id) for r in sorted(got)] == want
         assert {r.reviewed_producing_reactions for r in got} == {2, 0, None}
         assert ("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()) == (page == 1000)
+
+
+def test_only_values_that_examples_share_are_linked(spark, monkeypatch):
+    rows = [(f"a{i}", f"f{i // 8}", f"m{i // 32}" if i % 8 == 0 and i % 24 else None) for i in range(400)] + [("x", None, None), ("y", "f1", None), ("y", "g", None), ("z", "g", "m9"), (None, "f1", "g")]
+    links, plain = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e, a, b: links.append(e.count()) or plain(e, a, b))
+    got = curation.assign_splits(spark.createDataFrame(rows, "id string, f string, m string"), "id", ["f", "m"], "s").collect()
+    group = {}
+    for i, *values in rows:
+        for v in [("id", i), *((k, v) for k, v in enumerate(values) if v)] if i else []:
+            a, b = (group.setdefault(x, {x}) for x in (("id", i), v))
+            if a is not b:
+                a |= b
+                group.update({x: a for x in b})
+    ids = {i for i, *_ in rows if i}
+    own = {i: frozenset(x for k, x in group[("id", i)] if k == "id") for i in ids}
+    name = {i: "component:" + hashlib.sha256("|".join(sorted(own[i])).encode()).hexdigest()[:24] for i in ids}
+    assert sorted((r.id, r.leakage_group) for r in got) == sorted(name.items())
+    assert links == [sum(1 for _, f, m in rows[:400] if m) + 2]  # no link for an example of one value
