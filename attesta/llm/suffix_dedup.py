@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import Spans, blocks, column, free_name, mix, one_text_a_key, partitions, small_lists, stage, tidy
+from attesta.llm.common import Spans, blocks, column, free_name, longs, mix, one_text_a_key, partitions, small_lists, stage, text_buffers, tidy
 
 #: Bytes of a repeat, and of the grams that anchor it.
 LENGTH, GRAM = 100, 32
@@ -38,6 +38,8 @@ LENGTH, GRAM = 100, 32
 SHARD_BYTES = 2_000_000
 #: Bytes of text whose anchors meet in one group.
 RANGE_BYTES = 4_000_000
+#: Bytes of contexts that leave a task together.
+BATCH_BYTES = 32_000_000
 _CHARS = 7  # of 9 bits in a word
 
 
@@ -281,9 +283,12 @@ class Contexts:
         return tuple(np.concatenate(x) for x in zip(own, self.again, strict=True))
 
 
-def _pack_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
-    """Contexts of the wanted anchors by shard, and (shard -1) runs that are repeats of the same block. Packed arrays of a block in each row."""
-    names = ["shard", "n_bytes", "docs", "starts", "counts", "anchors", "data"]
+def _contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
+    """A row for each context of the wanted anchors, with its shard; contexts that repeat one of the same block have shard -1 and no bytes.
+
+    Rows are as many as contexts; a row for each block and shard would be as many as blocks times shards.
+    """
+    names = ["shard", "doc", "start", "count", "anchor", "data"]
 
     @tidy
     def run(batches):
@@ -299,30 +304,28 @@ def _pack_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int,
                 docs, first, last = ids[a.row[pick]], a.first[pick], a.last[pick]
                 starts, counts, end = first - offsets[a.row[pick]], last - first + 1, last + length
                 new = _first_of_each(data, first, end, np.lexsort((starts, docs)))
-                again, keep = np.flatnonzero(~new), np.flatnonzero(new)
-                rows = []
-                if len(again):
-                    rows.append((-1, 0, docs[again].astype("<i8").tobytes(), starts[again].astype("<i8").tobytes(), (counts[again] + length - 1).astype("<i8").tobytes(), b"", b""))
-                shard = (a.hash[pick[keep]] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-                by, begin = _groups(shard)
-                for s in np.split(by, begin[1:]) if len(by) else []:
-                    k = keep[s]
-                    text = b"".join(data[x:y].tobytes() for x, y in zip(first[k].tolist(), end[k].tolist(), strict=True))
-                    rows.append((int(shard[s[0]]), len(text), docs[k].astype("<i8").tobytes(), starts[k].astype("<i8").tobytes(), counts[k].astype("<i8").tobytes(), a.hash[pick[k]].astype("<u8").tobytes(), pa.compress(text, "zstd", asbytes=True)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=names)
-
-    return texts.join(wanted, "doc").mapInArrow(run, "shard bigint, n_bytes bigint, docs binary, starts binary, counts binary, anchors binary, data binary")
+                shard = np.where(new, (a.hash[pick] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.uint64(0)).astype(np.int64) - ~new
+                sizes = np.where(new, end - first, 0)
+                total = np.concatenate(([0], np.cumsum(sizes)))
+                i = 0
+                while i < len(pick):
+                    j = max(i + 1, int(np.searchsorted(total, total[i] + BATCH_BYTES, "right")) - 1)
+                    own, at = sizes[i:j], total[i : j + 1] - total[i]
+                    flat = np.arange(int(at[-1])) + np.repeat(first[i:j] - at[:-1], own)
+                    text = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[flat]))])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[i:j]) for x in (shard, docs, starts, counts)), longs(a.hash[pick[i:j]]), text], names=names)
+                    i = j
+
+    return texts.join(wanted, "doc").mapInArrow(run, "shard bigint, doc bigint, start bigint, count bigint, anchor bigint, data binary")
 
 
 _RUNS = "doc bigint, a bigint, b bigint"
 
 
 def _open(group: pa.Table, length: int, alone: bool) -> Contexts:
-    join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-    sizes = group.column("n_bytes").to_pylist()
-    data = b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(group.column("data").to_pylist(), sizes, strict=True))
-    return Contexts(join("docs", "<i8"), join("starts", "<i8"), join("counts", "<i8"), join("anchors", "<u8"), np.frombuffer(data, np.uint8), length, alone)
+    docs, starts, counts, anchors = (group.column(c).to_numpy() for c in ("doc", "start", "count", "anchor"))
+    data, _ = text_buffers(group.column("data").combine_chunks())
+    return Contexts(docs, starts, counts, anchors, data, length, alone)
 
 
 def _ranges_of(shared: DataFrame) -> DataFrame:
@@ -351,19 +354,13 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     anchors = wanted.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     wanted = small_lists(wanted.select("doc", "numbers"), F.length("numbers"))
     shards = max(partitions(spark), -(-anchors * (length + gram) // (SHARD_BYTES // 2)))
-    packed = stage(_pack_contexts(texts, wanted, length, gram, shards))
-
-    @tidy
-    def unpack(batches):
-        for batch in batches:
-            for r in batch.select(["docs", "starts", "counts"]).to_pylist():
-                docs, a, n = (np.frombuffer(r[c], "<i8") for c in ("docs", "starts", "counts"))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(a), pa.array(a + n)], names=["doc", "a", "b"])
-
-    local = packed.filter("shard < 0").select("docs", "starts", "counts").mapInArrow(unpack, _RUNS)
+    found = stage(_contexts(texts, wanted, length, gram, shards))
+    local = found.filter("shard < 0").select("doc", F.col("start").alias("a"), (F.col("start") + F.col("count") + (length - 1)).alias("b"))
 
-    parts = stage(packed.filter("shard >= 0").groupBy("shard").agg(F.ceil(F.sum("n_bytes") / SHARD_BYTES).cast("int").alias("parts")))
-    dealt = packed.filter("shard >= 0").join(small_lists(parts, F.lit(0)), "shard").withColumn("part", F.pmod(F.xxhash64("docs", "starts"), F.col("parts")))
+    # only shards that are cut are listed
+    n_bytes = F.sum(F.col("count") + (length - 1))
+    parts = stage(found.filter("shard >= 0").groupBy("shard").agg(F.ceil(n_bytes / SHARD_BYTES).cast("int").alias("parts")).filter("parts > 1"))
+    dealt = found.filter("shard >= 0").join(small_lists(parts, F.lit(0)), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc", "start"), F.col("parts")))
 
     def sort_shard(group: pa.Table) -> pa.Table:
         parts = group.column("parts")[0].as_py()
@@ -385,7 +382,7 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         shard = group.column("shard")[0].as_py()
         return pa.table({"shard": np.full(len(table["doc"]), shard), "part": np.full(len(table["doc"]), group.column("part")[0].as_py()), **table})
 
-    found = stage(dealt.groupBy("shard", "part").applyInArrow(sort_shard, "shard bigint, part bigint, doc bigint, a bigint, b bigint, r bigint, one bigint, two bigint"))
+    sorted_ = stage(dealt.groupBy("shard", "part").applyInArrow(sort_shard, "shard bigint, part bigint, doc bigint, a bigint, b bigint, r bigint, one bigint, two bigint"))
 
     def merge(group: pa.Table) -> pa.Table:
         docs, a, b, part = (group.column(c).to_numpy() for c in ("doc", "a", "b", "part"))
@@ -411,8 +408,8 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             late[own] = age[own] > first[place[own]]
         return pa.table({"doc": docs[late], "a": a[late], "b": b[late]})
 
-    across = found.filter("r >= 0").groupBy("shard", "r").applyInArrow(merge, _RUNS)
-    return local.unionByName(found.filter("r < 0").select("doc", "a", "b")).unionByName(across)
+    across = sorted_.filter("r >= 0").groupBy("shard", "r").applyInArrow(merge, _RUNS)
+    return local.unionByName(sorted_.filter("r < 0").select("doc", "a", "b")).unionByName(across)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", cut_text: bool = False) -> DataFrame:

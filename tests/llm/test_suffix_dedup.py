@@ -87,3 +87,19 @@ def test_query(spark):
     out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op8_suffix_dedup(spark, d).collect()}
     want = brute(rows, 100)
     assert out == want, [(k, want[k], out.get(k)) for k in want if want[k] != out.get(k)][:4]
+
+
+def test_contexts_are_as_many_however_the_rows_lie(spark, monkeypatch):
+    counts = []
+
+    def counting(df, stage=sd.stage):
+        out = stage(df)
+        if {"shard", "data"} <= set(out.columns):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(sd, "stage", counting)
+    df = spark.createDataFrame(make(2), "doc_id long, text string")
+    out = [got(sd.suffix_dedup(df.repartition(n, "doc_id"))) for n in (1, 24)]
+    assert out[0] == out[1]
+    assert len(counts) == 2 and counts[0] == counts[1] > 0
