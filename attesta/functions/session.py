@@ -1,11 +1,16 @@
-"""The shared folder of a session."""
+"""The shared folder of a session, and tables written to it."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of narrow tables that are broadcast; beyond it joins shuffle.
+FEW = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(base)
     return str(base).rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table as Parquet files in the shared folder: it is computed once, and Spark knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """The (narrow, written) table with a broadcast hint if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.functions.session import shared_folder
+from attesta.functions.session import few, shared_folder, written
 
 
 def node_id(kind: str, col: str):
@@ -32,6 +32,11 @@ def edges(*parts: tuple[DataFrame, str, str, str, str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(node_id(a, x).alias("source_id"), node_id(b, y).alias("target_id"), F.lit(e).alias("edge_type")) for t, a, x, b, y, e in parts])
 
 
+def edges_by_kind(*parts: tuple[DataFrame, str, str, str, str, str]) -> list[tuple[str, str, DataFrame]]:
+    """The tables of ``edges`` one by one, each with the kinds of its sources and targets."""
+    return [(p[1], p[3], edges(p)) for p in parts]
+
+
 def neighbours(edge: DataFrame, node: str, direction: str = "both", limit: int = 100) -> DataFrame:
     """Edges of a node in order, ``limit`` at most (a page of the report), and whether there are more."""
     out, into = F.col("source_id") == node, F.col("target_id") == node
@@ -59,23 +64,46 @@ def backtrack(edge: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def traverse(edge: DataFrame, node: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+def _among(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    return rows.join(ids.select(F.col("node_id").alias(col)), col, "left_semi")
+
+
+def traverse(edge: DataFrame | list[tuple[str, str, DataFrame]], node: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Edges met on a walk from the start nodes in both directions: (source_id, target_id, edge_type, traversed_from, level) with the labels of both ends.
 
     A node is expanded once, at the fewest steps from a start; an edge between
-    two expanded nodes is met from each of them.  Edges are written out once, so
-    that no level reads their tables again; labels are looked up for nodes that
-    are met.
+    two expanded nodes is met from each of them.  Every level filters the edges
+    for its nodes, which Spark does where the tables are read, and writes out
+    what it meets; nothing is made of the other edges.  Edges may be given by
+    the kinds of their ends (``edges_by_kind``): those whose kinds a level has
+    no node of are not read for it.  Labels are looked up for nodes that are met.
     """
-    shared_folder(edge.sparkSession)
-    edge = edge.checkpoint()
-    both = edge.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("next")).unionByName(edge.select(F.col("target_id").alias("node_id"), F.col("source_id").alias("next")))
-    reached = backtrack(both.select(F.col("next").alias("source_id"), F.col("node_id").alias("target_id")), start, depth - 1)
-    at = reached.select(F.col("node_id").alias("traversed_from"), (F.col("level") + 1).alias("level"))
-    met = edge.join(at, edge["source_id"] == at["traversed_from"]).unionByName(edge.join(at, (edge["target_id"] == at["traversed_from"]) & (edge["source_id"] != edge["target_id"])))
-    met = met.checkpoint()
-    ends = met.select(F.col("source_id").alias("node_id")).unionByName(met.select(F.col("target_id").alias("node_id"))).distinct()
-    named = node.join(ends, "node_id", "left_semi").select("node_id", "label").checkpoint()
+    parts = edge if isinstance(edge, list) else [(None, None, edge)]
+    kinds = sorted({k for a, b, _ in parts for k in (a, b) if k})
+    new = seen = written(start.select("node_id").filter("node_id is not null").distinct())
+    levels = []
+    for level in range(1, depth + 1):
+        front = few(new)
+        here = {r.kind for r in new.select(F.substring_index("node_id", ":", 1).alias("kind")).filter(F.col("kind").isin(kinds)).distinct().collect()} if kinds else set()
+        met = []
+        for a, b, e in parts:
+            e = e.select("source_id", "target_id", "edge_type")
+            if a is None or a in here:
+                met.append(_among(e, "source_id", front).withColumn("traversed_from", F.col("source_id")))
+            if b is None or b in here:
+                met.append(_among(e.filter("not (source_id <=> target_id)"), "target_id", front).withColumn("traversed_from", F.col("target_id")))
+        met = met or [parts[0][2].filter("false").withColumn("traversed_from", F.col("source_id"))]
+        levels.append(written(reduce(DataFrame.unionByName, [m.select("source_id", "target_id", "edge_type", "traversed_from") for m in met]).withColumn("level", F.lit(level))))
+        if level == depth:
+            break
+        other = F.when(F.col("traversed_from") == F.col("source_id"), F.col("target_id")).otherwise(F.col("source_id"))
+        new = written(levels[-1].select(other.alias("node_id")).filter("node_id is not null").distinct().join(few(seen), "node_id", "left_anti"))
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    met = reduce(DataFrame.unionByName, levels)
+    ends = few(written(met.select(F.col("source_id").alias("node_id")).unionByName(met.select(F.col("target_id").alias("node_id"))).distinct()))
+    named = few(written(_among(node, "node_id", ends).select("node_id", "label")))
     for end in ("source", "target"):
         met = met.join(named.select(F.col("node_id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label")), f"{end}_id", "left")
     return met.select("source_id", "target_id", "edge_type", "traversed_from", "level", "source_label", "target_label")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars as S
@@ -669,13 +671,14 @@ UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'suppl
 
 
 def whole_graph(spark, sf_dir):
+    """Nodes, and the edges by the kinds of their ends."""
     t = lambda n: table(spark, sf_dir, n)
     nodes = graph.nodes((t("region"), "region", "r_regionkey", "r_name"), (t("nation"), "nation", "n_nationkey", "n_name"), (t("supplier"), "supplier", "s_suppkey", "s_name"), (t("customer"), "customer", "c_custkey", "c_name"), (t("orders"), "order", "o_orderkey", "o_orderpriority"), (t("part"), "part", "p_partkey", "p_name"), (t("documents"), "document", "doc_id", "source"))
     line = t("lineitem")
     supplied = line.select("l_suppkey", "l_partkey").distinct()
     part_of = lambda condition: line.filter(condition).select("l_partkey", "l_orderkey").distinct()
     spoken = t("documents").select("doc_id").join(t("orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderkey"), "doc_id")
-    edges = graph.edges(
+    edges = graph.edges_by_kind(
         (t("nation"), "nation", "n_nationkey", "region", "n_regionkey", "within"), (t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "based_in"), (t("customer"), "customer", "c_custkey", "nation", "c_nationkey", "resident_in"), (t("orders"), "order", "o_orderkey", "customer", "o_custkey", "placed_by"),
         (part_of("l_returnflag <> 'R'"), "part", "l_partkey", "order", "l_orderkey", "consumed"), (part_of("l_returnflag = 'R'"), "part", "l_partkey", "order", "l_orderkey", "returned"), (supplied, "supplier", "l_suppkey", "part", "l_partkey", "supplies"), (spoken, "document", "doc_id", "order", "o_orderkey", "supports"),
     )
@@ -686,6 +689,7 @@ def whole_graph(spark, sf_dir):
 def graph_kinds(spark, sf_dir):
     """The seven kinds of nodes and eight of edges of the whole graph."""
     nodes, edges = whole_graph(spark, sf_dir)
+    edges = reduce(DataFrame.unionByName, [e for _, _, e in edges])
     kinds = lambda d, kind, of: d.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(of).alias("n_labels"))
     return kinds(nodes, "node_type", "label").unionByName(kinds(edges, "edge_type", "target_id"))
 

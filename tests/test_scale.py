@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from attesta.operators import curation, graph, matching
 from attesta.plans import registry
 
@@ -75,3 +77,18 @@ def test_only_values_that_examples_share_are_linked(spark, monkeypatch):
     name = {i: "component:" + hashlib.sha256("|".join(sorted(own[i])).encode()).hexdigest()[:24] for i in ids}
     assert sorted((r.id, r.leakage_group) for r in got) == sorted(name.items())
     assert links == [sum(1 for _, f, m in rows[:400] if m) + 2]  # no link for an example of one value
+
+
+def test_a_walk_reads_only_edges_of_kinds_it_has_met(spark):
+    f = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    unread = f([("1", "2")]).select(F.raise_error(F.lit("read")).cast("string").alias("a"), "b")
+    parts = graph.edges_by_kind((f([("1", "1"), ("1", "2"), ("3", "2"), (None, "2")]), "x", "a", "y", "b", "e"), (f([("2", "9"), ("7", "8"), ("9", "9")]), "y", "a", "y", "b", "f"), (unread, "z", "a", "w", "b", "g"))
+    node = spark.createDataFrame([(i, i.upper()) for i in ("x:1", "x:3", "y:2", "y:9")], "node_id string, label string")
+    start = spark.createDataFrame([("x:1",), (None,)], "node_id string")
+    got = lambda edge, depth: sorted(map(tuple, graph.traverse(edge, node, start, depth).na.fill("-").collect()))
+    one = [("x:1", "y:1", "e", "x:1", 1, "X:1", "-"), ("x:1", "y:2", "e", "x:1", 1, "X:1", "Y:2")]
+    two = [("-", "y:2", "e", "y:2", 2, "-", "Y:2"), ("x:1", "y:1", "e", "y:1", 2, "X:1", "-"), ("x:1", "y:2", "e", "y:2", 2, "X:1", "Y:2"), ("x:3", "y:2", "e", "y:2", 2, "X:3", "Y:2"), ("y:2", "y:9", "f", "y:2", 2, "Y:2", "Y:9")]
+    three = [("x:3", "y:2", "e", "x:3", 3, "X:3", "Y:2"), ("y:2", "y:9", "f", "y:9", 3, "Y:2", "Y:9"), ("y:9", "y:9", "f", "y:9", 3, "Y:9", "Y:9")]
+    assert got(parts, 1) == one and got(parts, 3) == sorted(one + two + three)
+    assert got(parts[0][2].unionByName(parts[1][2]), 3) == sorted(one + two + three)
+    assert got(parts[2:], 2) == []
