@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from attesta.functions.session import few, shared_folder, written
 
+#: Rows that a task holds the distinct ones of.
+DISTINCT_ROWS = 500_000
+
 
 def node_id(kind: str, col: str):
     """``kind:id``; an id that has the prefix keeps it."""
@@ -37,6 +40,12 @@ def edges_by_kind(*parts: tuple[DataFrame, str, str, str, str, str]) -> list[tup
     return [(p[1], p[3], edges(p)) for p in parts]
 
 
+def distinct_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows, dealt by the keys to as many tasks as their number asks for: what a task holds does not grow with the table."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // DISTINCT_ROWS))
+    return rows.repartition(n, *keys).distinct()
+
+
 def neighbours(edge: DataFrame, node: str, direction: str = "both", limit: int = 100) -> DataFrame:
     """Edges of a node in order, ``limit`` at most (a page of the report), and whether there are more."""
     out, into = F.col("source_id") == node, F.col("target_id") == node

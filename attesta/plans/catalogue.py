@@ -670,13 +670,13 @@ UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by' F
 UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies' FROM lineitem UNION ALL SELECT 'document:' || doc_id, 'order:' || o_orderkey, 'supports' FROM documents JOIN orders ON o_orderkey = doc_id"""
 
 
-def whole_graph(spark, sf_dir):
-    """Nodes, and the edges by the kinds of their ends."""
+def whole_graph(spark, sf_dir, distinct=lambda rows, *keys: rows.distinct()):
+    """Nodes, and the edges by the kinds of their ends. ``distinct`` gives the distinct rows of links and may deal them by the keys it is given."""
     t = lambda n: table(spark, sf_dir, n)
     nodes = graph.nodes((t("region"), "region", "r_regionkey", "r_name"), (t("nation"), "nation", "n_nationkey", "n_name"), (t("supplier"), "supplier", "s_suppkey", "s_name"), (t("customer"), "customer", "c_custkey", "c_name"), (t("orders"), "order", "o_orderkey", "o_orderpriority"), (t("part"), "part", "p_partkey", "p_name"), (t("documents"), "document", "doc_id", "source"))
     line = t("lineitem")
-    supplied = line.select("l_suppkey", "l_partkey").distinct()
-    part_of = lambda condition: line.filter(condition).select("l_partkey", "l_orderkey").distinct()
+    supplied = distinct(line.select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
+    part_of = lambda condition: distinct(line.filter(condition).select("l_partkey", "l_orderkey"), "l_orderkey")
     spoken = t("documents").select("doc_id").join(t("orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderkey"), "doc_id")
     edges = graph.edges_by_kind(
         (t("nation"), "nation", "n_nationkey", "region", "n_regionkey", "within"), (t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "based_in"), (t("customer"), "customer", "c_custkey", "nation", "c_nationkey", "resident_in"), (t("orders"), "order", "o_orderkey", "customer", "o_custkey", "placed_by"),
@@ -688,7 +688,7 @@ def whole_graph(spark, sf_dir):
 @query(f"SELECT node_type AS kind, count(*) AS n, count(DISTINCT label) AS n_labels FROM ({_KINDS}) GROUP BY 1 UNION ALL SELECT edge_type, count(*), count(DISTINCT target_id) FROM ({_LINKS}) GROUP BY 1")
 def graph_kinds(spark, sf_dir):
     """The seven kinds of nodes and eight of edges of the whole graph."""
-    nodes, edges = whole_graph(spark, sf_dir)
+    nodes, edges = whole_graph(spark, sf_dir, graph.distinct_by)
     edges = reduce(DataFrame.unionByName, [e for _, _, e in edges])
     kinds = lambda d, kind, of: d.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(of).alias("n_labels"))
     return kinds(nodes, "node_type", "label").unionByName(kinds(edges, "edge_type", "target_id"))

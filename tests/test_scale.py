@@ -1,6 +1,7 @@
 """Work that grows with the rows and not with pairs of them."""
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -92,3 +93,10 @@ def test_a_walk_reads_only_edges_of_kinds_it_has_met(spark):
     assert got(parts, 1) == one and got(parts, 3) == sorted(one + two + three)
     assert got(parts[0][2].unionByName(parts[1][2]), 3) == sorted(one + two + three)
     assert got(parts[2:], 2) == []
+
+
+def test_distinct_links_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DISTINCT_ROWS", 100, raising=False)
+    df = registry.QUERIES["graph_kinds"](spark, DATA)
+    dealt = [int(x) for x in re.findall(r"RepartitionByExpression .*, (\d+)", plan(df))]
+    assert len(dealt) == 3 and all(n >= 10 for n in dealt) and max(dealt) >= 60  # about 6,000 lines in parts of 100
