@@ -11,6 +11,7 @@ from attesta.functions import scalars as S
 from attesta.functions.session import shared_folder
 from attesta.operators import costing, graph, matching, merge, release, review, routes, top
 from attesta.plans.evidence import table
+from attesta.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -472,5 +473,5 @@ def dedupe_first_ci(spark, sf_dir):
 @query()
 def manifest_listing(spark, sf_dir):
     """Path, size and digest of every file of the release, and its media type."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), S.media_type(F.col("path")).alias("media_type"))
+    found = files.manifest(spark, sf_dir)
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "size_bytes", "sha256", S.media_type(F.col("path")).alias("media_type"))

@@ -70,7 +70,7 @@ def each_file(spark: SparkSession, path: str, run: Callable[[object, str], Itera
                         yield from run(f, uri)
 
         n = max(1, files.count())
-        return files.repartition(n, "path").select("path").mapInArrow(opened, schema)
+        return files.repartitionByRange(n, "path").select("path").mapInArrow(opened, schema)
 
     def held(batches):
         import io

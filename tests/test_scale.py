@@ -100,3 +100,12 @@ def test_distinct_links_are_dealt_by_their_number(spark, monkeypatch):
     df = registry.QUERIES["graph_kinds"](spark, DATA)
     dealt = [int(x) for x in re.findall(r"RepartitionByExpression .*, (\d+)", plan(df))]
     assert len(dealt) == 3 and all(n >= 10 for n in dealt) and max(dealt) >= 60  # about 6,000 lines in parts of 100
+
+
+def test_files_are_digested_in_pieces(spark):
+    before = {tuple(r) for r in registry.QUERIES["manifest_listing"](spark, DATA).collect()}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # a cell of Spark ends at 2 GB
+    try:
+        assert {tuple(r) for r in registry.QUERIES["manifest_listing"](spark, DATA).collect()} == before
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
