@@ -172,8 +172,8 @@ def _differ(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
-def _links(group: pa.Table, limit: int, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links between components of a bucket (or of two blocks of it), confirmed on full sets: enough of them to hold together what they link.
+def _near(group: pa.Table, limit: int) -> np.ndarray:
+    """Which members of a bucket (or of two blocks of it) may be linked by their sketches, as a symmetric matrix: those of different components.
 
     A pair that shares an earlier band is left to that band's bucket.
     """
@@ -187,7 +187,12 @@ def _links(group: pa.Table, limit: int, share: tuple[int, int]) -> tuple[np.ndar
         c = np.flatnonzero((block == j) & (comp != comp[r]) & ((ids > ids[r]) | (i != j)))
         c = c[np.bitwise_count(sketch[c] ^ sketch[r]).sum(axis=1) <= limit]
         near[r, c[~(keys[c] == keys[r]).any(axis=1)]] = True
-    near |= near.T
+    return near | near.T
+
+
+def _links(group: pa.Table, limit: int, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between near members of a bucket (or of two blocks of it), confirmed on full sets: enough of them to hold together what they link."""
+    ids, near = group.column("id").to_numpy(), _near(group, limit)
     some = np.flatnonzero(near.any(axis=1))
     if not len(some):
         return ids[:0], ids[:0]
@@ -257,15 +262,22 @@ def near_dedup(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 10
     split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("size")).filter("low < high")
     n_blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
     apart = stage(member.join(split.select("key", "m", "size"), "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    sets = _sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(small(stage(apart.select(F.col("id").alias(id_col)).distinct())), id_col, "left_semi"), id_col, text_col, width)
-    full = stage(own.drop("n_shingles").join(sets, "id"))
-    dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(full, "id")
+    dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def screen(group: pa.Table) -> pa.Table:
+        return group.select(["key", "band", "id", "component", "own", "i", "j"]).take(pa.array(np.flatnonzero(_near(group, limit).any(axis=1))))
+
+    # sketches go to every bucket of a document, full sets only to those where they may link it
+    sketched = own.select("id", "keys", "sketch")
+    close = stage(dealt.join(sketched, "id").groupBy("key", "i", "j").applyInArrow(screen, dealt.schema))
+    sets = _sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(small(stage(close.select(F.col("id").alias(id_col)).distinct())), id_col, "left_semi"), id_col, text_col, width)
+    full = stage(sketched.join(sets, "id"))
 
     def across(group: pa.Table) -> pa.Table:
         u, v = _links(group, limit, share)
         return pa.table({"u": u, "v": v})
 
-    more = dealt.groupBy("key", "i", "j").applyInArrow(across, "u bigint, v bigint")
+    more = close.join(full, "id").groupBy("key", "i", "j").applyInArrow(across, "u bigint, v bigint")
     edges = edges.unionByName(stage(more))
 
     label = components(edges)
