@@ -9,7 +9,6 @@ lie in several tokens come back whole.
 from __future__ import annotations
 
 import base64
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, forgets, free_name, tidy
-from attesta.llm.token_cache import BYTE_CHUNKS, ENCODE_BYTES, VOCABULARY, Encoder, kept_encoder
+from attesta.llm.token_cache import BYTE_CHUNKS, ENCODE_BYTES, VOCABULARY, Encoder, byte_table, kept_encoder
 
 _models: dict = {}
 forgets(_models.clear, VOCABULARY)
 
 
-@cache
-def byte_table() -> list[str]:
-    """The character that stands for each byte: itself if printable in Latin-1, else one from U+0100 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
-
 def read_ranks(path: str) -> list[bytes]:
     """Tokens in the order of their ranks."""
     ranks = {}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.llm.common import blocks, column, mix, range_bounds, range_key, ranges, tidy
-from attesta.llm.token_cache import ENCODE_BYTES, VOCABULARY, encoder
+from attesta.llm.token_cache import BLOCK_BYTES, ENCODE_BYTES, VOCABULARY, byte_encoder, encoder
 
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
@@ -125,6 +125,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
 
     @tidy(keep=VOCABULARY)
     def encode(batches):
+        if quick := byte_encoder(vocabulary):
+            for batch in batches:
+                for part, data, offsets in blocks(batch, "text", BLOCK_BYTES):
+                    ids = quick.ids(data, offsets, end_id)
+                    yield pa.RecordBatch.from_arrays([column(part, "key"), ids, pa.array([quick.dtype.itemsize] * len(ids), pa.int32())], names=["key", "ids", "width"])
+            return
         enc = encoder(vocabulary)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()

@@ -3,9 +3,12 @@ from itertools import accumulate
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from attesta.llm import token_cache
 from attesta.llm import token_store as ts
+from attesta.llm.common import text_buffers
 from attesta.llm.queries import op9_token_store
 
 VOCAB = P.path("byte_bpe_50k.json")
@@ -54,3 +57,42 @@ def test_query(spark):
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+#: Letters, digits, signs, contractions and white space of one to four bytes, what looks like white space, and the string of an added token.
+PIECES = ["a", "Be", "\xe9", "\xdf", "ǅ", "ɿ", "ʀ", "ʰ", "Ω", "й", "日", "\U0001f642", "\xd7", "\xf7", "\xaa", "\xb2", "٣", "́", "1", "90", ",", ".)", "'", "'s", "'re", "s", "“", "–", " ", " ", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\xa0", "　", " ", " ", " ", " ", "\x85", "\x1c", "\x1f", "﻿", "​", "᠎", "\x00", "<|endoftext|>"]
+
+
+def block(texts):
+    return text_buffers(pa.array(texts, pa.string()))
+
+
+def ids_of(array, dtype):
+    return [np.frombuffer(x, dtype).tolist() for x in array.to_pylist()]
+
+
+def test_blocks_are_encoded_as_the_library_does():
+    rng, t = np.random.default_rng(7), plain()
+    for rare, most in ((0, 1000), (1, 1000), (0, 30)):  # with and without the added token, and with a cache that overflows
+        enc = token_cache.ByteEncoder(t, most)
+        for _ in range(60):
+            texts = ["".join(PIECES[i] for i in rng.integers(0, len(PIECES) - 1 + rare, rng.integers(0, 25))) for _ in range(40)] + [None, "", " ", "\n", "  a", "x" * 200]
+            assert ids_of(enc.ids(*block(texts), 0), enc.dtype) == [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+        assert len(enc.known) <= most
+
+
+def test_python_sees_a_chunk_of_a_block_once(monkeypatch):
+    enc, seen = token_cache.ByteEncoder(plain()), []
+    values = enc._values
+    monkeypatch.setattr(enc, "_values", lambda chunks: seen.append(len(chunks)) or values(chunks))
+    texts = ["one two three, " * 500] * 40
+    assert ids_of(enc.ids(*block(texts), 0), enc.dtype) == [plain().encode(texts[0], add_special_tokens=False).ids + [0]] * 40
+    assert seen == [6]  # "one" with and without a space, "two", "three", the comma, the space at the end
+
+
+def test_other_vocabularies_take_the_plainer_path(spark, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    assert token_cache.byte_encoder(path) is None
+    ts.write(spark.createDataFrame([(1, "Hello world"), (2, None)], "doc_id long, text string"), f"{tmp_path}/w", path)
+    got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in ts.read(spark, f"{tmp_path}/w").collect()}
+    assert got == {1: Tokenizer.from_file(path).encode("Hello world", add_special_tokens=False).ids + [0], 2: [0]}
