@@ -21,6 +21,35 @@ def test_no_pair_of_candidates_is_joined_again(spark):
         assert p.index("Union") < p.index("Join")
 
 
+def test_pairs_are_made_by_the_last_step_alone(spark, monkeypatch):
+    names = ("candidate_match_all_seeds", "candidate_match_or_join")
+    for p in (plan(registry.QUERIES[n](spark, DATA)) for n in names):
+        assert "Generate explode" in p[: p.index("Union")]
+        # as many tasks as the session names, whatever the bytes
+        assert {int(x) for x in re.findall(r"RepartitionByExpression .*, (\d+)", p)} == {4}
+    monkeypatch.setattr(matching, "LISTED", 3, raising=False)
+    one = spark.range(64).select(F.concat(F.lit("k"), F.col("id") % 16).alias("k"), F.lit("c").alias("c"), "id")
+    got = matching.match_either(one, one.repartition(2), "k", "c").withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.id, r.s_id) for r in got}) == len(got) == 64 * 64 and sum(r.match_type == "exact_structure" for r in got) == 16 * 4 * 4
+    # rows of one prefix are dealt
+    assert len({r.task for r in got if r.match_type == "same_connectivity"}) > 1
+
+
+def test_lists_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LISTED", 2, raising=False)
+    whole, start = ("a", "b", "", "x", None), ("p", "q", "", None)
+    seeds = [(i if i % 7 else None, whole[i % 5], start[i % 4]) for i in range(60)] + [(5, "a", "p")] * 3
+    snap = [(100 + i, whole[i % 5], start[i // 5 % 4]) for i in range(40)] + [(100, "a", "p"), (None, "b", None)]
+    kind = lambda k, c, k2, c2: "exact_structure" if k is not None and k == k2 else "same_connectivity" if c is not None and c == c2 else None
+    want = sorted(str((i, j, kind(k, c, k2, c2))) for i, k, c in seeds for j, k2, c2 in snap if kind(k, c, k2, c2))
+    a, b = spark.createDataFrame(seeds, "id long, k string, c string"), spark.createDataFrame(snap, "sid long, k string, c string")
+    every = spark.createDataFrame([(k, c) for k in (*whole, "unknown") for c in start], "k string, c string")
+    for df in (matching.match_either(a, b, "k", "c"), matching.match_either(a, b, "k", "c", every)):
+        assert sorted(str((r.id, r.s_sid, r.match_type)) for r in df.collect()) == want
+    two = matching.match_either(a.withColumn("twice", F.col("id") * 2), b, "k", "c").collect()
+    assert sorted(str((r.id, r.s_sid, r.match_type)) for r in two) == want and all(r.twice == (r.id and r.id * 2) for r in two)
+
+
 def test_pairs_are_counted_without_the_pairs(spark):
     rows = [(i, "A" if i % 3 else None, "p") for i in range(20000)] + [(1, "A", "p"), (-1, "B", None), (-2, None, None), (-3, "C", "q"), (None, "C", "r")]
     part = spark.createDataFrame(rows, "id long, k string, c string")
